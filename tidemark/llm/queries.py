@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.llm.exact_dedup import exact_dedup
+from tidemark.llm.line_dedup import line_dedup
+from tidemark.llm.secret_scan import secret_scan
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,11 +19,32 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_documents(spark, sf_dir), keep="largest")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup(_documents(spark, sf_dir))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(_documents(spark, sf_dir)).drop("text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_line_dedup": op3_line_dedup,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_secret_scan": op7_secret_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_line_dedup": """
+        WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents),
+             w AS (SELECT doc_id, p, list_extract(a, p) || chr(10) || list_extract(a, p + 1) || chr(10) || list_extract(a, p + 2) AS x
+                   FROM l, LATERAL (SELECT unnest(range(1, len(a) - 1)) AS p)),
+             r AS (SELECT doc_id, p, row_number() OVER (PARTITION BY x ORDER BY doc_id, p) AS n FROM w),
+             gone AS (SELECT DISTINCT doc_id, p + j AS p FROM r, (SELECT unnest([0, 1, 2]) AS j) WHERE n > 1),
+             rows AS (SELECT doc_id, unnest(a) AS line, generate_subscripts(a, 1) AS p FROM l)
+        SELECT rows.doc_id, count(*) AS n_lines, count(gone.p) AS n_removed,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY rows.p) FILTER (WHERE gone.p IS NULL), '')) AS kept_sha256
+        FROM rows LEFT JOIN gone ON rows.doc_id = gone.doc_id AND rows.p = gone.p GROUP BY rows.doc_id""",
     "op6_exact_dedup": """
         WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM documents),
              g AS (SELECT x, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY x)
