@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 #: Bytes of text that one vectorised step works on at a time; bounds the memory of a Python worker.
 SLICE_BYTES = 2_000_000
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -33,10 +35,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Cuts lineage: writes df to a new Parquet table in the shared folder and reads it back."""
+    """Cuts lineage: writes df to a new Parquet table in the shared folder and reads it back.
+
+    As nothing reads the shuffles of df after that, Spark is asked to remove their files.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
