@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidemark.llm.common import column
+from tidemark.llm.common import column, cut
 
 #: Characters of a chunk, and of what it shares with the next.
 CHUNK, OVERLAP = 32_768, 512
@@ -97,7 +97,7 @@ def _pre_tokenise(pattern: str, chunk: int, overlap: int):
 def _encode(ranks, pattern: str, keep: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = _encoding(ranks.value, pattern)
-        for batch in batches:
+        for batch in cut(batches):
             ids = [np.array(one.encode_ordinary(t), "<u4").tobytes() if t else b"" for t in column(batch, "text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(column(batch, k) for k in keep), pa.array(ids, pa.binary())], [*keep, "ids"])
 
@@ -124,8 +124,8 @@ def encode(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap
     chunks = long.select(*key, "text").mapInArrow(_split(chunk, overlap), "doc_id long, h string, copies long, i int, start long, last boolean, text string")
     seen = chunks.repartition("doc_id", "h", "i").mapInArrow(_pre_tokenise(pattern, chunk, overlap), "doc_id long, h string, copies long, i int, start long, last boolean, text string, head array<long>, tail array<long>")
     order = Window.partitionBy(*key).orderBy("i")
-    cut = F.array_min(F.array_intersect("tail", F.lead("head").over(order)))
-    stitched = seen.withColumn("cut", cut).withColumn("before", F.lag("cut").over(order)).withColumn("run", F.count("before").over(order))
+    common = F.array_min(F.array_intersect("tail", F.lead("head").over(order)))
+    stitched = seen.withColumn("cut", common).withColumn("before", F.lag("cut").over(order)).withColumn("run", F.count("before").over(order))
     # a fused run: all but its last chunk give up what they share with the next
     part = F.struct("i", "start", F.when(F.col("cut").isNull() & ~F.col("last"), F.substring("text", 1, chunk)).otherwise(F.col("text")).alias("text"))
     runs = stitched.groupBy(*key, "run").agg(F.sort_array(F.collect_list(part)).alias("parts"), F.max("cut").alias("end"), F.min("before").alias("begin"))
@@ -146,7 +146,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = _tokens(ranks.value).__getitem__
-        for batch in batches:
+        for batch in cut(batches, "ids"):
             out = [None if x is None else b"".join(map(token, np.frombuffer(x, "<u4").tolist())) for x in column(batch, "ids").to_pylist()]
             yield batch.append_column("decoded", pa.array(out, pa.binary()))
 

@@ -80,6 +80,16 @@ def slices(offsets: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int,
         i = min(j, n)
 
 
+def cut(batches: Iterator[pa.RecordBatch], name: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in runs of rows that hold about `most` bytes of the named column, which bounds what one step makes of them."""
+    for batch in batches:
+        values = column(batch, name)
+        if len(values):
+            offsets = np.frombuffer(values.buffers()[1], np.int64 if values.type in (pa.large_string(), pa.large_binary()) else np.int32)[values.offset : values.offset + len(values) + 1]
+            for i, j in slices(offsets.astype(np.int64), most):
+                yield batch.slice(i, j - i)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The finalizer of splitmix64, elementwise over uint64."""
     x = x ^ (x >> np.uint64(30))
