@@ -10,6 +10,7 @@ from tidemark.llm import toxicity
 from tidemark.llm.byte_bpe import decode, encode, n_tokens
 from tidemark.llm.exact_dedup import exact_dedup
 from tidemark.llm.line_dedup import line_dedup
+from tidemark.llm.multi_index import multi_index
 from tidemark.llm.ngram_join import ngram_join
 from tidemark.llm.secret_scan import secret_scan
 
@@ -26,6 +27,10 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", n_tokens(F.col("ids")).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -52,6 +57,7 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op3_line_dedup": op3_line_dedup,
+    "op2_multi_index": op2_multi_index,
     "op4_toxicity": op4_toxicity,
     "op5_ngram_join": op5_ngram_join,
     "op6_exact_dedup": op6_exact_dedup,
