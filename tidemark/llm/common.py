@@ -174,17 +174,18 @@ def window_min(x: np.ndarray, w: int) -> np.ndarray:
     return out
 
 
-def anchors(h: np.ndarray, w: int) -> np.ndarray:
-    """Positions whose value is least in some window of w: a choice made by the content of the window alone.
+def anchors(h: np.ndarray, w: int, valid: np.ndarray) -> np.ndarray:
+    """Positions whose value is least in some valid window of w: a choice made by the content of the window alone.
 
-    Ties are all taken, so equal windows have equal anchors and each window has one at least.
+    valid: for each window of w consecutive values, whether it counts (windows that cross from one text into the next
+    don't). Ties are all taken, so equal windows have equal anchors and each valid window has one at least.
     """
     if len(h) < w:
         return np.zeros(0, np.int64)
-    least = window_min(h, w)
+    least = np.where(valid, window_min(h, w), np.uint64(0))
     pad = np.zeros(w - 1, h.dtype)
     most = ~window_min(~np.concatenate([pad, least, pad]), w)
-    return np.flatnonzero(most == h)
+    return np.flatnonzero((most == h) & (h > 0))
 
 
 def signed(x: np.ndarray) -> np.ndarray:

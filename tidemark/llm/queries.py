@@ -13,6 +13,7 @@ from tidemark.llm.line_dedup import line_dedup
 from tidemark.llm.multi_index import multi_index
 from tidemark.llm.ngram_join import ngram_join
 from tidemark.llm.secret_scan import secret_scan
+from tidemark.llm.suffix_tree import suffix_tree_dedup
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +55,11 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(_documents(spark, sf_dir)).drop("text")
 
 
+def op9_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_tree_dedup(_documents(spark, sf_dir))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op3_line_dedup": op3_line_dedup,
@@ -62,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_ngram_join": op5_ngram_join,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_secret_scan": op7_secret_scan,
+    "op9_suffix_tree": op9_suffix_tree,
 }
 
 ORACLE_SQL: dict[str, str] = {
