@@ -10,6 +10,7 @@ from tidemark.llm import toxicity
 from tidemark.llm.byte_bpe import decode, encode, n_tokens
 from tidemark.llm.exact_dedup import exact_dedup
 from tidemark.llm.line_dedup import line_dedup
+from tidemark.llm.mixing import mix
 from tidemark.llm.multi_index import multi_index
 from tidemark.llm.ngram_join import ngram_join
 from tidemark.llm.secret_scan import secret_scan
@@ -60,6 +61,18 @@ def op9_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+#: Domains are the labelled kinds of documents, quality and toxic; these are the shares of words they are to have.
+TARGETS = {"quality 1, toxic 0": 0.80, "quality 0, toxic 0": 0.12, "quality 1, toxic 1": 0.065, "quality 0, toxic 1": 0.015}
+
+
+def domains(labels: DataFrame) -> DataFrame:
+    return labels.select("doc_id", F.format_string("quality %d, toxic %d", "quality", "toxic").alias("domain")).where("quality IS NOT NULL AND toxic IS NOT NULL")
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_documents(spark, sf_dir), domains(spark.read.parquet(f"{sf_dir}/labels.parquet")), TARGETS)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op3_line_dedup": op3_line_dedup,
@@ -69,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_exact_dedup": op6_exact_dedup,
     "op7_secret_scan": op7_secret_scan,
     "op9_suffix_tree": op9_suffix_tree,
+    "op10_mixing": op10_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {
