@@ -3,7 +3,8 @@
 Unit vectors are cut into two halves and each half is quantised apart; a cell is a pair of centroids. A query goes
 through the pairs by the sum of its two distances, with a heap, until the cells hold enough entries; those entries
 are reranked by their exact cosine. Equal vectors are one entry, which carries its k + 1 smallest ids: no query can
-need more of them. Entries of a cell form blocks of bounded size; blocks meet the queries that chose the cell.
+need more of them. Entries of neighbouring cells form blocks of bounded size; a block meets queries in groups, and
+only those of which some chose a cell in it. Within it a query looks at the cells it chose.
 """
 
 from __future__ import annotations
@@ -20,9 +21,9 @@ from tidemark.llm.common import stage
 #: Vectors that the codebooks are fitted on at most (those of least hash), rounds of k-means, and most centroids of a half.
 FIT_ROWS, ROUNDS, CENTROIDS = 20_000, 10, 1024
 #: Share of all entries, and number at least, that a query looks at.
-SHARE, LEAST = 0.55, 1_000
-#: Entries of a cell's block, and queries that meet it at once.
-BLOCK, TOGETHER = 512, 256
+SHARE, LEAST = 0.6, 1_000
+#: Entries of a block, queries that meet it at once, and queries whose nearest a task holds before it hands them on.
+BLOCK, TOGETHER, HELD = 1024, 128, 50_000
 
 
 def usable(vector: Column) -> Column:
@@ -75,6 +76,35 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.array(column.tolist(), np.float64)
 
 
+class _Best:
+    """The nearest entries met so far, for each query."""
+
+    def __init__(self, most: int):
+        self.most, self.index, self.ids = most, {}, []
+        self.score, self.first, self.entry = np.zeros((0, most)), np.zeros((0, most), np.int64), np.zeros((0, most), np.int64)
+
+    def add(self, reps: np.ndarray, score: np.ndarray, ids: list) -> None:
+        """score of each rep for each entry (-inf: not looked at); ids: those of each entry, smallest first."""
+        at = np.array([self.index.setdefault(r, len(self.index)) for r in reps.tolist()], np.int64)
+        if (more := len(self.index) - len(self.score)) > 0:
+            more = max(more, len(self.score))
+            self.score = np.concatenate([self.score, np.full((more, self.most), -np.inf)])
+            self.first, self.entry = (np.concatenate([x, np.full((more, self.most), -1)]) for x in (self.first, self.entry))
+        first = np.array([i[0] for i in ids], np.int64)
+        entry = np.arange(len(ids)) + len(self.ids)
+        self.ids += [tuple(i) for i in ids]
+        s = np.concatenate([self.score[at], score], axis=1)
+        f, e = (np.concatenate([own[at], np.broadcast_to(new, score.shape)], axis=1) for own, new in ((self.first, first), (self.entry, entry)))
+        order = np.lexsort((f, -s), axis=1)[:, : self.most]
+        self.score[at], self.first[at], self.entry[at] = (np.take_along_axis(x, order, 1) for x in (s, f, e))
+
+    def rows(self) -> pd.DataFrame:
+        out = []
+        for rep, i in self.index.items():
+            out += [(rep, v, s) for s, v in sorted(((s, v) for s, e in zip(self.score[i].tolist(), self.entry[i].tolist(), strict=True) if s > -np.inf for v in self.ids[e]), key=lambda x: (-x[0], x[1]))[: self.most]]
+        return pd.DataFrame(out, columns=["rep", "vec_id", "score"])
+
+
 def _search(vectors: DataFrame, size: int, every: int, k: int, share: float, least: int) -> DataFrame:
     vectors = stage(vectors.where(F.size("vec") == size).distinct(), "vectors")
     by_id = Window.partitionBy("vec").orderBy("vec_id")
@@ -100,40 +130,57 @@ def _search(vectors: DataFrame, size: int, every: int, k: int, share: float, lea
                 yield frame.assign(cell=left.argmin(1) * len(books[1]) + right.argmin(1))
 
     placed = stage(entries.mapInPandas(assign, "vec array<double>, ids array<long>, cell int"), "cells")
-    sizes = placed.groupBy("cell").agg(F.count("*").alias("size"))
-    held = {r["cell"]: r["size"] for r in sizes.collect()}  # at most CENTROIDS squared
-    cells = placed.join(F.broadcast(sizes), "cell")
-    blocks = cells.withColumn("block", F.pmod(F.xxhash64("vec"), F.ceil(F.col("size") / BLOCK))).groupBy("cell", "block").agg(F.collect_list(F.struct("vec", "ids")).alias("rows"))
-    blocks = blocks.select("cell", F.col("rows.vec").alias("vecs"), F.col("rows.ids").alias("ids"))
+    held = {r["cell"]: r["size"] for r in placed.groupBy("cell").agg(F.count("*").alias("size")).collect()}  # at most CENTROIDS squared
+    # neighbouring cells fill a block; a cell of more than a block is split over several
+    blocks, first, split, full = {}, 0, {}, 0
+    for cell, count in sorted(held.items()):
+        if full + count > BLOCK and full:
+            first, full = first + 1, 0
+        blocks[cell], split[cell] = first, -(-count // BLOCK)
+        full += count
+        if split[cell] > 1:
+            first, full = first + split[cell], 0
+    places = placed.sparkSession.createDataFrame([(c, blocks[c], split[c]) for c in held], "cell int, block int, split int")
+    spread = placed.join(F.broadcast(places), "cell").withColumn("block", F.col("block") + F.pmod(F.xxhash64("vec"), F.col("split")).cast("int"))
+    packed = spread.groupBy("block").agg(F.collect_list(F.struct("vec", "ids", "cell")).alias("rows"))
+    packed = packed.select("block", F.flatten("rows.vec").alias("vecs"), F.col("rows.ids").alias("ids"), F.col("rows.cell").alias("cells"))
     enough = max(least, int(np.ceil(share * total)))
 
     def route(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for i in range(0, len(frame), TOGETHER):
                 part = frame.iloc[i : i + TOGETHER]
-                chosen: dict[int, list[int]] = {}
+                reps, flat = part["rep"].to_numpy(), _matrix(part["vec"])
+                chosen: dict[int, list[tuple[int, int]]] = {}
                 for row, (left, right) in enumerate(zip(*distances(part["vec"]), strict=True)):
                     for cell in cells_in_order(left, right, held, enough):
-                        chosen.setdefault(cell, []).append(row)
-                reps, flat = part["rep"].to_numpy(), _matrix(part["vec"])
-                yield pd.DataFrame([(c, reps[rows], flat[rows].tobytes()) for c, rows in chosen.items()], columns=["cell", "reps", "queries"])
+                        for block in range(blocks[cell], blocks[cell] + split[cell]):
+                            chosen.setdefault(block, []).append((row, cell))
+                out = []
+                for block, pairs in chosen.items():
+                    rows, at = np.unique([r for r, _ in pairs], return_inverse=True)
+                    out.append((block, reps[rows], flat[rows].ravel(), at.astype(np.int32), np.array([c for _, c in pairs], np.int32)))
+                yield pd.DataFrame(out, columns=["block", "reps", "queries", "row", "cell"])
 
-    routed = reps.mapInPandas(route, "cell int, reps array<long>, queries binary")
+    near_first = reps.mapInPandas(assign, "vec array<double>, rep long, cell int").repartitionByRange("cell").sortWithinPartitions("cell")
+    routed = near_first.mapInPandas(route, "block int, reps array<long>, queries array<double>, row array<int>, cell array<int>")
 
     def rerank(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = _Best(k + 1)
         for frame in frames:
-            out = []
-            for reps, flat, vecs, ids in zip(frame["reps"], frame["queries"], frame["vecs"], frame["ids"], strict=True):
-                q, x = np.frombuffer(flat).reshape(len(reps), size), np.array([*map(np.asarray, vecs)], np.float64)
+            for reps, flat, row, cell, vecs, ids, cells in zip(*(frame[c] for c in ("reps", "queries", "row", "cell", "vecs", "ids", "cells")), strict=True):
+                q, x = np.asarray(flat).reshape(-1, size), np.asarray(vecs).reshape(-1, size)
                 score = q @ x.T / (np.sqrt((q * q).sum(1))[:, None] * np.sqrt((x * x).sum(1)))
-                first = np.array([i[0] for i in ids])
-                for rep, s in zip(reps, score, strict=True):
-                    best = np.lexsort((first, -s))[: k + 1]
-                    found = sorted((-s[b], i) for b in best for i in ids[b])[: k + 1]
-                    out += [(rep, i, -v) for v, i in found]
-            yield pd.DataFrame(out, columns=["rep", "vec_id", "score"])
-
-    found = routed.join(blocks, "cell").select("reps", "queries", "vecs", "ids").mapInPandas(rerank, "rep long, vec_id long, score double")
+                names, at = np.unique(cells, return_inverse=True)
+                open_ = np.zeros((len(q), len(names)), bool)
+                open_[row, np.searchsorted(names, cell)] = True
+                best.add(np.asarray(reps), np.where(open_[:, at], score, -np.inf), ids)
+                if len(best.index) > HELD or len(best.ids) > 20 * HELD:
+                    yield best.rows()
+                    best = _Best(k + 1)
+        yield best.rows()
+
+    found = routed.join(packed, "block").mapInPandas(rerank, "rep long, vec_id long, score double")
     near = Window.partitionBy("rep").orderBy(F.desc("score"), "vec_id")
     best = stage(found.withColumn("r", F.row_number().over(near)).where(F.col("r") <= k + 1).drop("r"), "nearest")
     # back to every query: those with equal vectors share what was found, each without its own row
