@@ -14,6 +14,7 @@ from tidemark.llm.mixing import mix
 from tidemark.llm.multi_index import multi_index
 from tidemark.llm.ngram_join import ngram_join
 from tidemark.llm.secret_scan import secret_scan
+from tidemark.llm.suffix_array import suffix_array_dedup
 from tidemark.llm.suffix_tree import suffix_tree_dedup
 
 
@@ -40,11 +41,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join(_documents(spark, sf_dir))
+    return ngram_join(_documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup(_documents(spark, sf_dir), keep="largest")
+    return exact_dedup(_documents(spark, sf_dir), keep="largest").drop("uid")
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +57,11 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(_documents(spark, sf_dir)).drop("text")
 
 
+def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_array_dedup(_documents(spark, sf_dir))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_tree_dedup(_documents(spark, sf_dir))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
@@ -81,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_ngram_join": op5_ngram_join,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_secret_scan": op7_secret_scan,
+    "op8_suffix_array": op8_suffix_array,
     "op9_suffix_tree": op9_suffix_tree,
     "op10_mixing": op10_mixing,
 }
