@@ -1,0 +1,66 @@
+"""A seeded game simulation: draws of both teams, made game by game inside grouped pandas functions."""
+
+from __future__ import annotations
+
+import hashlib
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, functions as F
+
+SCHEMA = "game_id long, batch int, draw int, team long, plays int, yards int, touchdowns int, field_goals int, points int, margin int"
+#: Draws that one group makes; a game with more is dealt out in batches.
+BATCH = 1_000
+
+
+def seed(*parts: object) -> int:
+    """The same 64 bits for the same parts, on any machine."""
+    return int.from_bytes(hashlib.blake2b("|".join(map(str, parts)).encode(), digest_size=8).digest(), "big")
+
+
+def counts(rng: np.random.Generator, mean: np.ndarray, dispersion: float) -> np.ndarray:
+    """Negative binomial counts of the given means; the variance is mean times dispersion (Poisson at 1)."""
+    if dispersion <= 1:
+        return rng.poisson(mean)
+    return rng.negative_binomial(np.maximum(mean / (dispersion - 1), 1e-9), 1 / dispersion)
+
+
+def _game(draws: int, version: str) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("team")
+        game, batch = int(group["game_id"].iloc[0]), int(group["batch"].iloc[0])
+        rng = np.random.default_rng(seed(version, game, batch))
+        n = min(BATCH, draws - batch * BATCH)
+        pace = rng.normal(1.0, 0.05, n).clip(0.7, 1.3)
+        parts = []
+        for row in group.itertuples():
+            plays = counts(rng, pace * row.plays, 1.4)
+            success = rng.beta(20 * row.success, 20 * (1 - row.success), n)
+            yards = np.rint(plays * row.yards_per_play * (0.6 + 0.8 * success) + rng.standard_t(4, n) * 12).clip(0).astype(int)
+            touchdowns = rng.binomial(plays, np.minimum(row.touchdown_rate * (0.5 + success), 0.5))
+            goals = rng.binomial(np.maximum(plays // 12 - touchdowns, 0), 0.35)
+            parts.append(pd.DataFrame({"game_id": game, "batch": batch, "draw": batch * BATCH + np.arange(n), "team": row.team, "plays": plays, "yards": yards, "touchdowns": touchdowns, "field_goals": goals, "points": 7 * touchdowns + 3 * goals}))
+        total = sum(p["points"].to_numpy() for p in parts)
+        for p in parts:
+            p["margin"] = 2 * p["points"] - total
+        return pd.concat(parts)[[c.split()[0] for c in SCHEMA.split(", ")]]
+
+    return run
+
+
+def simulate(games: DataFrame, draws: int, version: str = "1") -> DataFrame:
+    """Draws of every game. games: game_id, team, plays, yards_per_play, success, touchdown_rate, with two rows for each game.
+
+    A draw depends on version, game and batch only, so neither partitions nor retries change it. Batches of a game
+    are groups of their own: more draws make more groups, not larger ones.
+    """
+    batches = F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // BATCH))).alias("batch")
+    return games.select("*", batches).groupBy("game_id", "batch").applyInPandas(_game(draws, version), SCHEMA)
+
+
+def violations(drawn: DataFrame) -> DataFrame:
+    """Counts of draws that break an identity of the simulation; all are 0."""
+    pair = drawn.groupBy("game_id", "draw").agg(F.count("*").alias("teams"), F.sum("margin").alias("margins"))
+    own = drawn.agg(F.count_if(F.expr("points <> 7 * touchdowns + 3 * field_goals")).alias("points"), F.count_if(F.expr("least(plays, yards, touchdowns, field_goals) < 0")).alias("negative"), F.count_if(F.expr("touchdowns > plays")).alias("touchdowns"))
+    return own.crossJoin(F.broadcast(pair.agg(F.count_if(F.expr("teams <> 2")).alias("teams"), F.count_if(F.expr("margins <> 0")).alias("margins"))))
