@@ -1,10 +1,12 @@
 """N-gram Jaccard join by vertical partitioning.
 
-The global order of n-grams is that of their 64-bit hashes, which needs no counting. Documents with the same set are
-one class, so copies cost nothing. A pair of sets can only reach the threshold if they share one of their first
-n - ceil(t n) + 1 n-grams in that order, which gives candidates; lengths rule out more. For candidates, the order is
-cut into fragments: every set becomes one segment in each, the overlap of two segments is counted in each fragment
-apart, and the counts of a pair are summed over the fragments.
+Documents with the same set are one class, so copies cost nothing. Sets that cannot have a partner go first: of its
+first m n-grams in the order of their hashes, a set with a partner shares at least m - p + 1 with it, where p is
+n - ceil(t n) + 1, so that many must occur in some other class. Only those first n-grams are counted over all
+documents. For the sets that stay, all n-grams are counted, and the global order is that of frequency: a pair that
+links has an n-gram in common among the first p of both, which gives candidates, and lengths rule out more. To verify
+them, the n-grams are cut into fragments by ranges: every set becomes one segment in each, the overlap of two
+segments is counted in each fragment apart, and the counts of a pair are summed over the fragments.
 
 A list of very many sets that share an n-gram never becomes all of its pairs. In star rounds every list compares its
 sets with one pivot only, a different one in each list; what proves equal is one component. Lists within a component
@@ -18,12 +20,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.llm.common import Words, column, documents, grams, lower_ascii, mix, packed, signed, slices, stage
 from tidemark.llm.components import components
 
 WORDS, PER_CENT, FRAGMENTS = 5, 80, 16
+#: Share of m in p that is looked at beyond p, in per cent; it only saves work.
+BEYOND = 50
 #: At most so many star rounds; they only save work.
 STARS = 6
 
@@ -51,31 +55,42 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
 def _sets(k: int, per_cent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size, cid, prefix = [], [], []
+            size, cid, first = [], [], []
             for x in _shingles(column(batch, "text"), k):
                 n = len(x)
                 size.append(n)
                 cid.append(_fingerprint(x) if n else None)
-                prefix.append(x[: n - -(-per_cent * n // 100) + 1] if n else x)
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "uid"), pa.array(size, pa.int64()), pa.array(cid, pa.int64()), _lists(prefix)], ["doc_id", "uid", "n", "cid", "prefix"])
+                first.append(x[: _prefix(n, per_cent) + _beyond(n, per_cent)])
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "uid"), pa.array(size, pa.int64()), pa.array(cid, pa.int64()), _lists(first)], ["doc_id", "uid", "n", "cid", "first"])
 
     return run
 
 
+def _prefix(n, per_cent: int):
+    """n - ceil(per_cent n / 100) + 1, for numbers and columns."""
+    return n - (F.ceil(n * per_cent / 100) if isinstance(n, Column) else -(-per_cent * n // 100)) + 1
+
+
+def _beyond(n, per_cent: int):
+    p = _prefix(n, per_cent)
+    return F.least(F.floor(p * BEYOND / 100), n - p) if isinstance(n, Column) else min(p * BEYOND // 100, n - p)
+
+
 def _segments(k: int, fragments: int):
     bits = np.uint64(64 - (fragments - 1).bit_length())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cids, frag, parts = [], [], []
+            cids, sizes, frag, parts = [], [], [], []
             for cid, x in zip(column(batch, "cid").to_pylist(), _shingles(column(batch, "text"), k), strict=True):
                 at = np.searchsorted(x >> bits, np.arange(fragments + 1, dtype=np.uint64))
                 for f in range(fragments):
                     if at[f] < at[f + 1]:
                         cids.append(cid)
+                        sizes.append(len(x))
                         frag.append(f)
                         parts.append(x[at[f] : at[f + 1]])
-            yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(frag, pa.int32()), _lists(parts)], ["cid", "f", "seg"])
+            yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(frag, pa.int32()), _lists(parts)], ["cid", "n", "f", "seg"])
 
     return run
 
@@ -120,15 +135,23 @@ def ngram_join(docs: DataFrame, k: int = WORDS, per_cent: int = PER_CENT, fragme
     if fragments < 2 or fragments & (fragments - 1):
         raise ValueError("fragments must be a power of two, 2 at least")
     docs = documents(docs)
-    sets = stage(docs.mapInArrow(_sets(k, per_cent), "doc_id long, uid long, n long, cid long, prefix array<long>"), "sets")
+    sets = stage(docs.mapInArrow(_sets(k, per_cent), "doc_id long, uid long, n long, cid long, first array<long>"), "sets")
 
-    entries = sets.select(F.explode("prefix").alias("h"), "cid", "n")
+    # sets of which enough of the first n-grams occur in other classes
+    entries = sets.select(F.explode("first").alias("h"), "cid", "uid", "n")
     shared = stage(entries.groupBy("h").agg(F.min("cid").alias("least"), F.max("cid").alias("most")).where("least <> most").select("h"), "shared")
-    postings = stage(entries.join(shared, "h").groupBy("h", "cid", "n").count().drop("count"), "lists")
-    wanted = postings.select("cid").distinct()
-    holder = stage(sets.join(wanted, "cid", "left_semi").groupBy("cid").agg(F.min("uid").alias("uid")), "holders")
-    one = docs.join(holder, "uid").select("cid", "text")
-    segments = stage(one.mapInArrow(_segments(k, fragments), "cid long, f int, seg array<long>").dropDuplicates(["cid", "f"]), "segments")
+    found = entries.join(shared, "h").groupBy("cid", "uid", "n").agg(F.count("*").alias("has")).where(F.col("has") > _beyond(F.col("n"), per_cent))
+    holder = stage(found.groupBy("cid", "n").agg(F.min("uid").alias("uid")), "holders")
+    one = docs.join(holder, "uid").select("cid", "n", "text")
+    segments = stage(one.mapInArrow(_segments(k, fragments), "cid long, n long, f int, seg array<long>").dropDuplicates(["cid", "f"]), "segments")
+
+    # of those, the first p n-grams in the order of frequency; the ones that no other set has come first and give no candidates
+    entries = segments.select(F.explode("seg").alias("h"), "cid", "n")
+    often = stage(entries.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"), "often")
+    own = Window.partitionBy("cid")
+    ranked = entries.join(often, "h").withColumn("has", F.count("*").over(own)).where(F.lit(100) * F.col("has") >= F.lit(per_cent) * F.col("n"))
+    place = F.row_number().over(own.orderBy("df", "h"))
+    postings = stage(ranked.withColumn("place", place).where(F.col("place") <= _prefix(F.col("n"), per_cent) - (F.col("n") - F.col("has"))).select("h", "cid", "n"), "lists")
 
     comp = checked = links = None
     for r in range(stars + 1):
