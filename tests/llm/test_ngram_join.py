@@ -38,7 +38,7 @@ def brute(rows, k=5, per_cent=80):
 
 def same(spark, rows, **kw):
     docs = spark.createDataFrame([(i, t, 7, "x") for i, t in rows], "doc_id long, text string, n int, cid string")
-    assert sorted([tuple(r) for r in ngram_join(docs, **kw).collect()], key=str) == brute(rows)
+    assert sorted([tuple(r)[:3] for r in ngram_join(docs, **kw).collect()], key=str) == brute(rows)
 
 
 def test_small_cases(spark):

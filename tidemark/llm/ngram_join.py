@@ -4,14 +4,15 @@ Documents with the same set are one class, so copies cost nothing. Sets that can
 first m n-grams in the order of their hashes, a set with a partner shares at least m - p + 1 with it, where p is
 n - ceil(t n) + 1, so that many must occur in some other class. Only those first n-grams are counted over all
 documents. For the sets that stay, all n-grams are counted, and the global order is that of frequency: a pair that
-links has an n-gram in common among the first p of both, which gives candidates, and lengths rule out more. To verify
+links has an n-gram in common among the first p of both, which gives candidates; its place in both sets rules out more. To verify
 them, the n-grams are cut into fragments by ranges: every set becomes one segment in each, the overlap of two
 segments is counted in each fragment apart, and the counts of a pair are summed over the fragments.
 
 A list of very many sets that share an n-gram never becomes all of its pairs. In star rounds every list compares its
 sets with one pivot only, a different one in each list; what proves equal is one component. Lists within a component
-are done. In the end all pairs of a list that lie in different components and have not been compared are, so no link
-between different components is lost; links within one cannot change the components.
+are done. In the end all pairs of a list that lie in different components and have not been compared are, unless
+parity signatures show that they differ too much; so no link between different components is lost, and links within
+one cannot change the components.
 """
 
 from __future__ import annotations
@@ -29,7 +30,9 @@ WORDS, PER_CENT, FRAGMENTS = 5, 80, 16
 #: Share of m in p that is looked at beyond p, in per cent; it only saves work.
 BEYOND = 50
 #: At most so many star rounds; they only save work.
-STARS = 6
+STARS = 2
+#: Bits of a set's parity signature, kept as a fragment of its own.
+BITS, SIGNATURE = 512, -1
 
 
 def _shingles(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -83,6 +86,11 @@ def _segments(k: int, fragments: int):
         for batch in batches:
             cids, sizes, frag, parts = [], [], [], []
             for cid, x in zip(column(batch, "cid").to_pylist(), _shingles(column(batch, "text"), k), strict=True):
+                odd = np.packbits(np.bincount((x & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1)
+                cids.append(cid)
+                sizes.append(len(x))
+                frag.append(SIGNATURE)
+                parts.append(odd.view(np.uint64))
                 at = np.searchsorted(x >> bits, np.arange(fragments + 1, dtype=np.uint64))
                 for f in range(fragments):
                     if at[f] < at[f + 1]:
@@ -95,42 +103,67 @@ def _segments(k: int, fragments: int):
     return run
 
 
-def _links(pairs: DataFrame, segments: DataFrame, per_cent: int) -> DataFrame:
-    """Those of pairs (a, b, na, nb) that reach the threshold: partial overlaps by fragment, summed by pair."""
-    left = pairs.join(segments.select(F.col("cid").alias("a"), "f", F.col("seg").alias("sa")), "a")
-    right = segments.select(F.col("cid").alias("b"), "f", F.col("seg").alias("sb"))
-    partial = left.join(right, ["b", "f"]).select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).alias("o"))
-    total = partial.groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("o"))
-    return total.where(F.lit(100) * F.col("o") >= F.lit(per_cent) * (F.col("na") + F.col("nb") - F.col("o"))).select("a", "b")
+def _overlaps(pairs: DataFrame, segments: DataFrame, which: Column) -> DataFrame:
+    """pairs with what their sets share in the fragments that `which` picks (o), and how many n-grams each has there (fa, fb)."""
+    left = pairs.join(segments.where(which).select(F.col("cid").alias("a"), "f", F.col("seg").alias("sa")), "a")
+    right = segments.where(which).select(F.col("cid").alias("b"), "f", F.col("seg").alias("sb"))
+    partial = left.join(right, ["b", "f"], "left").select(*pairs.columns, F.size("sa").alias("fa"), F.coalesce(F.size(F.array_intersect("sa", "sb")), F.lit(0)).alias("o"))
+    return partial.groupBy(*pairs.columns).agg(F.sum("o").alias("o"), F.sum("fa").alias("fa"))
+
+
+def _links(pairs: DataFrame, segments: DataFrame, per_cent: int, fragments: int) -> DataFrame:
+    """Those of pairs (a, b, na, nb) that reach the threshold: partial overlaps by fragment, summed by pair.
+
+    A quarter of the fragments comes first; pairs that cannot reach it with all that is left of `a` go no further.
+    """
+    need = lambda o: (F.lit(100 + per_cent) * o) >= F.lit(per_cent) * (F.col("na") + F.col("nb"))
+    quarter = F.col("f") < max(fragments // 4, 1)
+    some = pairs.join(_overlaps(pairs, segments, quarter), pairs.columns, "left").fillna(0, ["o", "fa"])
+    some = stage(some.where(need(F.col("o") + F.col("na") - F.col("fa"))).withColumnsRenamed({"o": "o1"}).drop("fa"), "halfway")
+    rest = _overlaps(some, segments, ~quarter).where(need(F.col("o1") + F.col("o")))
+    return rest.select("a", "b")
+
+
+def _near(per_cent: int) -> Column:
+    """Whether signatures allow a link: each n-gram that only one of two sets has flips one bit, so they differ in at least as many n-grams as bits."""
+    differ = sum((F.bit_count(F.get("bits", F.lit(i)).bitwiseXOR(F.get("other_bits", F.lit(i)))) for i in range(1, BITS // 64)), F.bit_count(F.get("bits", F.lit(0)).bitwiseXOR(F.get("other_bits", F.lit(0)))))
+    both = F.col("n") + F.col("other_n")
+    return F.lit(100 + per_cent) * differ <= F.lit(100 - per_cent) * both
 
 
 def _pair(rows: DataFrame, per_cent: int) -> DataFrame:
-    """Distinct pairs a < b of rows (cid, n, other, other_n) whose lengths allow a link."""
-    fits = F.lit(100) * F.least("n", "other_n") >= F.lit(per_cent) * F.greatest("n", "other_n")
+    """Distinct pairs a < b of rows (cid, n, i, other, other_n, other_i) that lengths and places of the n-gram allow to link.
+
+    i is the n-gram's place in its set. If it is the first that both share, the overlap is one more at most than
+    what follows it in either; if it isn't, the first one's list has the pair.
+    """
+    overlap = F.least(F.col("n") - F.col("i"), F.col("other_n") - F.col("other_i")) + 1
+    fits = F.lit(100 + per_cent) * overlap >= F.lit(per_cent) * (F.col("n") + F.col("other_n"))
     first = F.col("cid") < F.col("other")
     pick = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
     return rows.where((F.col("cid") != F.col("other")) & fits).select(pick("cid", "other").alias("a"), pick("other", "cid").alias("b"), pick("n", "other_n").alias("na"), pick("other_n", "n").alias("nb")).distinct()
 
 
 def _labelled(postings: DataFrame, comp: DataFrame | None) -> DataFrame:
-    """Postings (h, cid, n) with comp, of the lists that hold more than one component."""
+    """Postings (h, cid, n, i) with comp, of the lists that hold more than one component."""
     if comp is None:
         rows = postings.withColumn("comp", F.col("cid"))
     else:
         rows = postings.join(comp.select(F.col("node").alias("cid"), "comp"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-    rows = stage(rows.select("h", "cid", "n", "comp"), "postings")
+    rows = stage(rows.select("h", "cid", "n", "i", "comp"), "postings")
     sizes = rows.groupBy("h", "comp").agg(F.count("*").alias("size")).groupBy("h").agg(F.sum("size").alias("all"), F.max(F.struct("size", "comp")).alias("big"))
     mixed = stage(sizes.where("all > big.size").select("h", "all", F.col("big.size").alias("most"), F.col("big.comp").alias("big")), "mixed")
     return stage(rows.join(mixed, "h"), "open")
 
 
 def ngram_join(docs: DataFrame, k: int = WORDS, per_cent: int = PER_CENT, fragments: int = FRAGMENTS, stars: int = STARS) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row of docs (doc_id, text).
+    """doc_id, n_shingles, component_id, component and uid of every row of docs (doc_id, text).
 
     A text's set holds its k-word shingles after lower-casing A-Z; with fewer words, the whole sequence as one; a
     null text or one without words has none and is linked with nothing. Two rows link when 100 * intersection >=
     per_cent * union. component_id is the smallest doc_id that links reach, the row's own included; null ids count
-    only where there is no other. Every row is a document, also if its id occurs again; other columns are ignored.
+    only where there is no other. component is a key of the component itself, as two of them may have the same
+    smallest id where ids repeat. Every row is a document, also if its id occurs again; other columns are ignored.
     """
     if fragments < 2 or fragments & (fragments - 1):
         raise ValueError("fragments must be a power of two, 2 at least")
@@ -146,12 +179,14 @@ def ngram_join(docs: DataFrame, k: int = WORDS, per_cent: int = PER_CENT, fragme
     segments = stage(one.mapInArrow(_segments(k, fragments), "cid long, n long, f int, seg array<long>").dropDuplicates(["cid", "f"]), "segments")
 
     # of those, the first p n-grams in the order of frequency; the ones that no other set has come first and give no candidates
+    signatures = segments.where(F.col("f") == SIGNATURE).select("cid", F.col("seg").alias("bits"))
+    segments = segments.where(F.col("f") != SIGNATURE)
     entries = segments.select(F.explode("seg").alias("h"), "cid", "n")
     often = stage(entries.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"), "often")
     own = Window.partitionBy("cid")
     ranked = entries.join(often, "h").withColumn("has", F.count("*").over(own)).where(F.lit(100) * F.col("has") >= F.lit(per_cent) * F.col("n"))
     place = F.row_number().over(own.orderBy("df", "h"))
-    postings = stage(ranked.withColumn("place", place).where(F.col("place") <= _prefix(F.col("n"), per_cent) - (F.col("n") - F.col("has"))).select("h", "cid", "n"), "lists")
+    postings = stage(ranked.withColumn("place", place).withColumn("i", F.col("place") + F.col("n") - F.col("has")).where(F.col("i") <= _prefix(F.col("n"), per_cent)).select("h", "cid", "n", "i"), "lists")
 
     comp = checked = links = None
     for r in range(stars + 1):
@@ -161,25 +196,28 @@ def ngram_join(docs: DataFrame, k: int = WORDS, per_cent: int = PER_CENT, fragme
             break
         rest = r > 0 and (r == stars or load["pairs"] <= 8 * load["rows"])
         if rest:
-            outer = lists.where("comp <> big").select("h", F.col("cid").alias("other"), F.col("n").alias("other_n"), F.col("comp").alias("other_comp"))
+            lists = lists.join(signatures, "cid")
+            outer = lists.where("comp <> big").select("h", F.col("bits").alias("other_bits"), F.col("cid").alias("other"), F.col("n").alias("other_n"), F.col("i").alias("other_i"), F.col("comp").alias("other_comp"))
             apart = (F.col("comp") != F.col("other_comp")) & ((F.col("comp") == F.col("big")) | (F.col("cid") < F.col("other")))
-            pairs = _pair(lists.join(outer, "h").where(apart), per_cent)
+            pairs = _pair(lists.join(outer, "h").where(apart & _near(per_cent)), per_cent)
         else:
-            pivots = lists.groupBy("h").agg(F.min(F.struct(F.xxhash64("cid", "h", F.lit(r)).alias("r"), "cid", "n", "comp")).alias("p"))
-            star = lists.join(pivots.select("h", F.col("p.cid").alias("other"), F.col("p.n").alias("other_n"), F.col("p.comp").alias("other_comp")), "h").where("comp <> other_comp")
+            pivots = lists.groupBy("h").agg(F.min(F.struct(F.xxhash64("cid", "h", F.lit(r)).alias("r"), "cid", "n", "i", "comp")).alias("p"))
+            star = lists.join(pivots.select("h", F.col("p.cid").alias("other"), F.col("p.n").alias("other_n"), F.col("p.i").alias("other_i"), F.col("p.comp").alias("other_comp")), "h").where("comp <> other_comp")
             pairs = _pair(star, per_cent)
         pairs = stage(pairs if checked is None else pairs.join(checked, ["a", "b"], "left_anti"), "pairs")
         checked = pairs.select("a", "b") if checked is None else checked.union(pairs.select("a", "b"))
-        new = stage(_links(pairs, segments, per_cent), "linked")
+        new = stage(_links(pairs, segments, per_cent, fragments), "linked")
         links = new if links is None else links.union(new)
         comp = components(links)
         if rest:
             break
 
     low = sets.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("low"))
-    if comp is not None:
-        low = low.join(comp.select(F.col("node").alias("cid"), "comp"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-        low = stage(low, "lows")
+    if comp is None:
+        low = low.withColumn("comp", F.col("cid"))
+    else:
+        low = stage(low.join(comp.select(F.col("node").alias("cid"), "comp"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid")), "lows")
         low = low.select("cid", "comp").join(low.groupBy("comp").agg(F.min("low").alias("low")), "comp")
-    owner = stage(low.select("cid", F.col("low").alias("component_id")), "owners")
-    return sets.join(owner, "cid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    owner = stage(low.select("cid", "comp", F.col("low").alias("component_id")), "owners")
+    some = F.col("n") > 0
+    return sets.join(owner, "cid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(some, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(some, F.col("comp")).otherwise(F.col("uid")).alias("component"), "uid")
