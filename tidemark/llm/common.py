@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Bytes of text that one vectorised step works on at a time; bounds the memory of a Python worker.
 SLICE_BYTES = 2_000_000
@@ -192,7 +192,11 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def uid(docs: DataFrame) -> Column:
+    """A hash of a row's doc_id and text, so that rows that repeat an id with another text are told apart."""
+    return F.xxhash64(docs["doc_id"].cast("long"), F.coalesce(docs["text"].cast("string"), F.lit("")))
+
+
 def documents(docs: DataFrame) -> DataFrame:
-    """doc_id, text and uid of every row: uid is a hash of both, so repeated ids with other texts stay apart."""
-    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(docs["doc_id"], text).alias("uid"))
+    """doc_id, text (null as empty) and uid of every row."""
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"), uid(docs).alias("uid"))

@@ -16,6 +16,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from tidemark.llm.common import uid
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes of text that a task's first trie may hold; its subtrees are written out beyond that.
 SPILL_BYTES = 32_000_000
@@ -143,14 +145,14 @@ def owners(docs: DataFrame, largest: bool = True) -> DataFrame:
 
 
 def exact_dedup(docs: DataFrame, keep: str = "largest") -> DataFrame:
-    """doc_id, keep_id, group_size, kept and text_sha256 of every row of docs (doc_id, text).
+    """doc_id, keep_id, group_size, kept, text_sha256 and uid of every row of docs (doc_id, text).
 
     Rows are equal when their texts are identical after lower-casing A-Z. keep: whether the row with the largest
     or the smallest doc_id stays. A null text is the empty one, which is a text like any other. A row with a
     null doc_id counts in its group but is never chosen over another; if all ids of a group are null, keep_id is
-    null and all of its rows stay. Rows that repeat the chosen doc_id are all marked as kept. Other columns are
-    ignored; an empty table gives an empty result.
+    null and all of its rows stay. Rows that repeat the chosen doc_id are all marked as kept; uid (see
+    `common.documents`) tells those apart that differ. Other columns are ignored; an empty table gives an empty result.
     """
     found = owners(docs, keep == "largest").select("text_sha256", F.col("owner").alias("keep_id"), "group_size")
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.sha2(normalise(docs["text"]).cast("binary"), 256).alias("text_sha256"))
-    return rows.join(found, "text_sha256").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), uid(docs).alias("uid"), F.sha2(normalise(docs["text"]).cast("binary"), 256).alias("text_sha256"))
+    return rows.join(found, "text_sha256").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "uid")

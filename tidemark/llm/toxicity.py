@@ -196,25 +196,35 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model
     return model
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score (0 to 1) and predicted (1 from 0.5 on) of every row of docs (doc_id, text), with text.
-
-    A null text is scored as an empty one; null ids and repeated rows are passed through; other columns are ignored.
-    """
+def scorer(model: Model):
+    """A function of a text column: its score, from 0 to 1. Null counts as empty."""
     bias, a, b = model.logistic
-    automaton = {}
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        automaton.setdefault(0, model.automaton())
-        for frame in frames:
+    @F.pandas_udf("double")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        automaton = model.automaton()
+        for texts in batches:
             z = []
-            for text in frame["text"]:
+            for text in texts:
                 folded = fold(text or "")
-                found = hits(automaton[0], folded)
+                found = hits(automaton, folded)
                 f1, f2 = features(sum(w for _, w in found), len(folded.split()) if found else 0)
                 z.append(bias + a * f1 + b * f2)
-            yield frame.assign(score=1 / (1 + np.exp(-np.clip(np.array(z, float), -30, 30))))
+            yield pd.Series(1 / (1 + np.exp(-np.clip(np.array(z, float), -30, 30))))
 
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    found = rows.mapInPandas(run, "doc_id long, text string, score double")
-    return found.select("doc_id", "text", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return run
+
+
+def predicted(text: Column, model: Model) -> Column:
+    """1 where a text scores 0.5 or more, else 0."""
+    return (scorer(model)(text.cast("string")) >= 0.5).cast("int")
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, text, score (0 to 1) and predicted (1 from 0.5 on) of every row of docs (doc_id, text).
+
+    A null text is scored as an empty one; null ids and repeated rows are passed through; other columns are ignored.
+    """
+    text = docs["text"].cast("string")
+    found = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text.alias("text"), scorer(model)(text).alias("score"))
+    return found.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
