@@ -29,25 +29,32 @@ def _event_stream(spark, sf_dir):
     return spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parque[t]")
 
 
-@R.add("SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice FROM orders WHERE o_orderkey % 3 = 0 OR o_orderkey % 2 = 0")
+URGENT = "o_orderpriority IN ('1-URGENT', '2-HIGH')"
+UPSERT = f"SELECT o_orderkey, o_orderstatus, CASE WHEN {{}} THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice FROM orders WHERE o_orderstatus <> 'O' OR {URGENT}"
+
+
+def _stored_and_batch(spark, sf_dir):
+    """Stored: what is not open; batch: what is urgent, with other prices."""
+    orders = table(spark, sf_dir, "orders")
+    return orders.where("o_orderstatus <> 'O'").select(*VERSIONS), orders.where(URGENT).withColumn("o_totalprice", F.col("o_totalprice") + 1).select(*VERSIONS)
+
+
+@R.add(UPSERT.format(URGENT))
 def keyed_upsert(spark, sf_dir):
-    """Stored: even keys; batch: keys divisible by three with other prices; of equal keys the batch's row stays."""
-    orders = table(spark, sf_dir, "orders").select(*VERSIONS)
-    return src.upsert(orders.where("o_orderkey % 2 = 0"), orders.where("o_orderkey % 3 = 0").withColumn("o_totalprice", F.col("o_totalprice") + 1), ["o_orderkey"])
+    return src.upsert(*_stored_and_batch(spark, sf_dir), ["o_orderkey"])
 
 
-@R.add("SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice ELSE o_totalprice + 1 END AS o_totalprice FROM orders WHERE o_orderkey % 3 = 0 OR o_orderkey % 2 = 0")
+@R.add(UPSERT.format("o_orderstatus = 'O'"))
 def first_observation_wins(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").select(*VERSIONS)
-    return src.upsert(orders.where("o_orderkey % 2 = 0"), orders.where("o_orderkey % 3 = 0").withColumn("o_totalprice", F.col("o_totalprice") + 1), ["o_orderkey"], keep="first")
+    return src.upsert(*_stored_and_batch(spark, sf_dir), ["o_orderkey"], keep="first")
 
 
-@R.add("SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, 2 AS seen FROM orders WHERE o_orderkey % 2 = 1 OR (o_orderkey % 4 = 0 AND o_orderstatus <> 'X')")
+@R.add(f"SELECT o_orderkey, CASE WHEN {URGENT} THEN 'X' ELSE o_orderstatus END AS o_orderstatus, 2 AS seen FROM orders WHERE o_orderstatus = 'O' OR {URGENT}")
 def versioned_append(spark, sf_dir):
-    """Stored: even keys; batch: all keys, every fourth changed; what is appended is new or changed."""
+    """Stored: what is not open; batch: all rows, the urgent ones changed; what is appended is new or changed."""
     orders = table(spark, sf_dir, "orders")
-    stored = orders.where("o_orderkey % 2 = 0").select("o_orderkey", "o_orderstatus", F.lit(1).alias("seen"))
-    batch = orders.select("o_orderkey", F.when(F.col("o_orderkey") % 4 == 0, "X").otherwise(F.col("o_orderstatus")).alias("o_orderstatus"), F.lit(2).alias("seen"))
+    stored = orders.where("o_orderstatus <> 'O'").select("o_orderkey", "o_orderstatus", F.lit(1).alias("seen"))
+    batch = orders.select("o_orderkey", F.when(F.expr(URGENT), "X").otherwise(F.col("o_orderstatus")).alias("o_orderstatus"), F.lit(2).alias("seen"))
     return src.append_versions(stored, batch, ["o_orderkey"], ["o_orderstatus"], "seen")
 
 
@@ -56,7 +63,7 @@ def stored_and_compacted(spark, sf_dir):
     """Written, replaced, compacted and read again."""
     root = _scratch(spark)
     part = table(spark, sf_dir, "part")
-    src.replace(part.limit(10), root)
+    src.replace(part.where("p_size < 10"), root)
     src.replace(part, root, ["p_partkey"])
     src.compact(spark, root)
     return src.current(spark, root).groupBy("p_brand").agg(F.count("*").alias("n"), rounded(F.sum("p_retailprice")).alias("total"))
