@@ -103,9 +103,38 @@ ORACLE_SQL: dict[str, str] = {
         SELECT rows.doc_id, count(*) AS n_lines, count(gone.p) AS n_removed,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY rows.p) FILTER (WHERE gone.p IS NULL), '')) AS kept_sha256
         FROM rows LEFT JOIN gone ON rows.doc_id = gone.doc_id AND rows.p = gone.p GROUP BY rows.doc_id""",
+    "op5_ngram_join": """
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS a FROM documents),
+             s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(a, i, i + 4), ' ') AS x FROM w, LATERAL (SELECT unnest(range(1, greatest(len(a) - 3, 2))) AS i) WHERE len(a) > 0),
+             n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+             o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+             l AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 80 * (x.n + y.n - o)),
+             r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+        SELECT w.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, least(w.doc_id, min(r.b)) AS component_id
+        FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN r ON r.a = w.doc_id GROUP BY w.doc_id""",
     "op6_exact_dedup": """
         WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM documents),
              g AS (SELECT x, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY x)
         SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id AS kept, sha256(t.x) AS text_sha256
         FROM t JOIN g ON t.x = g.x""",
+    "op8_suffix_array": """
+        WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+             s AS (SELECT doc_id, i, md5(substr(x, 2 * i - 1, 800)) AS m FROM h, LATERAL (SELECT unnest(range(1, n - 398)) AS i)),
+             r AS (SELECT doc_id, i, (count(*) OVER (PARTITION BY m) > 1)::INT AS again FROM s),
+             p AS (SELECT doc_id, unnest(range(1, n + 1)) AS i, unnest(regexp_extract_all(x, '..')) AS byte FROM h),
+             c AS (SELECT p.doc_id, p.i, byte, coalesce(max(again) OVER (PARTITION BY p.doc_id ORDER BY p.i ROWS BETWEEN 399 PRECEDING AND CURRENT ROW), 0) AS gone
+                   FROM p LEFT JOIN r ON p.doc_id = r.doc_id AND p.i = r.i),
+             d AS (SELECT *, gone = 1 AND coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), 0) = 0 AS begins FROM c)
+        SELECT h.doc_id, any_value(h.n)::BIGINT AS n_bytes, coalesce(sum(gone), 0)::BIGINT AS n_removed, count(*) FILTER (WHERE begins) AS n_spans,
+               sha256(unhex(coalesce(string_agg(byte, '' ORDER BY i) FILTER (WHERE gone = 0), ''))) AS kept_sha256
+        FROM h LEFT JOIN d ON h.doc_id = d.doc_id GROUP BY h.doc_id""",
+    "op9_suffix_tree": """
+        WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS a FROM documents),
+             x AS (SELECT doc_id, i, array_to_string(list_slice(a, i, i + 34), ' ') AS s FROM w, LATERAL (SELECT unnest(range(1, len(a) - 33)) AS i)),
+             r AS (SELECT doc_id, i, count(*) OVER (PARTITION BY s) > 1 AS again FROM x),
+             p AS (SELECT doc_id, unnest(a) AS word, generate_subscripts(a, 1) AS i FROM w),
+             c AS (SELECT p.doc_id, p.i, word, coalesce(max(again::INT) OVER (PARTITION BY p.doc_id ORDER BY p.i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW), 0) AS gone
+                   FROM p LEFT JOIN r ON p.doc_id = r.doc_id AND p.i = r.i)
+        SELECT w.doc_id, count(i) AS n_words, coalesce(sum(gone), 0)::BIGINT AS n_removed, sha256(coalesce(string_agg(word, ' ' ORDER BY i) FILTER (WHERE gone = 0), '')) AS kept_sha256
+        FROM w LEFT JOIN c ON w.doc_id = c.doc_id GROUP BY w.doc_id""",
 }
