@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans import distributions, evaluation, market, products, snapshots, state, tables
+from tidemark.plans import distributions, evaluation, market, products, reports, snapshots, state, tables
 
-QUERIES = {name: q for m in (snapshots, tables, state, market, distributions, evaluation, products) for name, q in m.QUERIES.items()}
-ORACLE_SQL = {name: q for m in (snapshots, tables, state, market, distributions, evaluation, products) for name, q in m.ORACLE_SQL.items()}
+QUERIES = {name: q for m in (snapshots, tables, state, market, distributions, evaluation, products, reports) for name, q in m.QUERIES.items()}
+ORACLE_SQL = {name: q for m in (snapshots, tables, state, market, distributions, evaluation, products, reports) for name, q in m.ORACLE_SQL.items()}

@@ -38,12 +38,12 @@ def expected_value_and_stake(spark, sf_dir):
 
 
 @R.add("""
-    WITH l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_suppkey ORDER BY l_shipdate DESC, l_linenumber DESC) AS n FROM lineitem) WHERE n = 1)
+    WITH l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_suppkey ORDER BY l_shipdate DESC, l_linenumber DESC, l_partkey DESC) AS n FROM lineitem) WHERE n = 1)
     SELECT l_orderkey, round(median(l_quantity), 6) AS total, round(median(l_discount), 6) AS spread, count(*) AS books FROM l GROUP BY 1""")
 def median_consensus(spark, sf_dir):
     from tidemark.sources.tables import keep_one
 
-    last = keep_one(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_suppkey"], [F.col("l_shipdate").desc(), F.col("l_linenumber").desc()])
+    last = keep_one(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_suppkey"], [F.col("l_shipdate").desc(), F.col("l_linenumber").desc(), F.col("l_partkey").desc()])
     return last.groupBy("l_orderkey").agg(rounded(F.median("l_quantity")).alias("total"), rounded(F.median("l_discount")).alias("spread"), F.count("*").alias("books"))
 
 
@@ -100,11 +100,11 @@ def settlement(spark, sf_dir):
 
 @R.add(f"""
     WITH {QUOTES}, {SETTLED},
-         w AS (SELECT l_suppkey, profit, sum(profit) OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber ROWS UNBOUNDED PRECEDING) AS run, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber) AS i FROM f),
+         w AS (SELECT l_suppkey, profit, sum(profit) OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey ROWS UNBOUNDED PRECEDING) AS run, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey) AS i FROM f),
          p AS (SELECT *, greatest(max(run) OVER (PARTITION BY l_suppkey ORDER BY i ROWS UNBOUNDED PRECEDING), 0) AS peak FROM w)
     SELECT l_suppkey, count(*) AS bets, round(sum(profit), 6) AS profit, round(max(peak - run), 6) AS max_drawdown FROM p GROUP BY 1""")
 def running_drawdown(spark, sf_dir):
-    out = evaluation.drawdown(_settled(spark, sf_dir), ["l_suppkey"], ["l_shipdate", "l_orderkey", "l_linenumber"], "profit")
+    out = evaluation.drawdown(_settled(spark, sf_dir), ["l_suppkey"], ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey"], "profit")
     return out.select("l_suppkey", "bets", rounded("profit").alias("profit"), rounded("max_drawdown").alias("max_drawdown"))
 
 

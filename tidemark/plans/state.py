@@ -85,14 +85,14 @@ def null_as_zero_proof(spark, sf_dir):
 
 
 @R.add("""
-    SELECT l_orderkey, l_partkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_linenumber, l_partkey) AS n FROM lineitem) WHERE n = 1""")
+    SELECT l_orderkey, l_partkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_linenumber, l_partkey, l_suppkey) AS n FROM lineitem) WHERE n = 1""")
 def starters(spark, sf_dir):
     """Of each game the player with the largest share, then the least depth, then the smallest id."""
     from tidemark.sources.tables import keep_one
 
-    return keep_one(table(spark, sf_dir, "lineitem"), ["l_orderkey"], [F.col("l_quantity").desc(), F.col("l_linenumber").asc(), F.col("l_partkey").asc()]).select("l_orderkey", "l_partkey", "l_linenumber")
+    return keep_one(table(spark, sf_dir, "lineitem"), ["l_orderkey"], [F.col("l_quantity").desc(), F.col("l_linenumber").asc(), F.col("l_partkey").asc(), F.col("l_suppkey").asc()]).select("l_orderkey", "l_partkey", "l_linenumber")
 
 
-@R.add("SELECT l_partkey, arg_max(l_suppkey, (l_shipdate, l_orderkey, l_linenumber)) AS team FROM lineitem GROUP BY 1")
+@R.add("SELECT l_partkey, arg_max(l_suppkey, (l_shipdate, l_orderkey, l_linenumber, l_suppkey)) AS team FROM lineitem GROUP BY 1")
 def current_team(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.max_by("l_suppkey", F.struct("l_shipdate", "l_orderkey", "l_linenumber")).alias("team"))
+    return table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.max_by("l_suppkey", F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey")).alias("team"))

@@ -79,9 +79,9 @@ def union_by_name(spark, sf_dir):
     return src.union_wide(left, right)
 
 
-@R.add("SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC) AS n FROM lineitem) WHERE n = 1")
+@R.add("SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_partkey DESC, l_suppkey DESC) AS n FROM lineitem) WHERE n = 1")
 def distinct_keep_last(spark, sf_dir):
-    return src.keep_one(table(spark, sf_dir, "lineitem"), ["l_orderkey"], [F.col("l_linenumber").desc()]).select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+    return src.keep_one(table(spark, sf_dir, "lineitem"), ["l_orderkey"], [F.col("l_linenumber").desc(), F.col("l_partkey").desc(), F.col("l_suppkey").desc()]).select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
 
 
 @R.add("SELECT DISTINCT l_returnflag, l_linestatus, l_linenumber FROM lineitem")
