@@ -9,7 +9,7 @@ them, the n-grams are cut into fragments by ranges: every set becomes one segmen
 segments is counted in each fragment apart, and the counts of a pair are summed over the fragments.
 
 A list of very many sets that share an n-gram never becomes all of its pairs. In star rounds every list compares its
-sets with one pivot only, a different one in each list; what proves equal is one component. Lists within a component
+sets with one pivot only, in each round another; what proves linked is one component. Lists within a component
 are done. In the end all pairs of a list that lie in different components and have not been compared are, unless
 parity signatures show that they differ too much; so no link between different components is lost, and links within
 one cannot change the components.
@@ -26,11 +26,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tidemark.llm.common import Words, column, documents, grams, lower_ascii, mix, packed, signed, slices, stage
 from tidemark.llm.components import components
 
-WORDS, PER_CENT, FRAGMENTS = 5, 80, 16
+WORDS, PER_CENT, FRAGMENTS = 5, 80, 4
 #: Share of m in p that is looked at beyond p, in per cent; it only saves work.
 BEYOND = 50
 #: At most so many star rounds; they only save work.
-STARS = 2
+STARS = 3
 #: Bits of a set's parity signature, kept as a fragment of its own.
 BITS, SIGNATURE = 512, -1
 
@@ -103,45 +103,40 @@ def _segments(k: int, fragments: int):
     return run
 
 
-def _overlaps(pairs: DataFrame, segments: DataFrame, which: Column) -> DataFrame:
-    """pairs with what their sets share in the fragments that `which` picks (o), and how many n-grams each has there (fa, fb)."""
-    left = pairs.join(segments.where(which).select(F.col("cid").alias("a"), "f", F.col("seg").alias("sa")), "a")
-    right = segments.where(which).select(F.col("cid").alias("b"), "f", F.col("seg").alias("sb"))
-    partial = left.join(right, ["b", "f"], "left").select(*pairs.columns, F.size("sa").alias("fa"), F.coalesce(F.size(F.array_intersect("sa", "sb")), F.lit(0)).alias("o"))
-    return partial.groupBy(*pairs.columns).agg(F.sum("o").alias("o"), F.sum("fa").alias("fa"))
+def _links(pairs: DataFrame, segments: DataFrame, per_cent: int) -> DataFrame:
+    """Those of pairs (a, b, na, nb) that reach the threshold: partial overlaps by fragment, summed by pair."""
+    pairs = pairs.select("a", "b", "na", "nb")
+    left = pairs.join(segments.select(F.col("cid").alias("a"), "f", F.col("seg").alias("sa")), "a")
+    right = segments.select(F.col("cid").alias("b"), "f", F.col("seg").alias("sb"))
+    partial = left.join(right, ["b", "f"]).select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).alias("o"))
+    total = partial.groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("o"))
+    return total.where(F.lit(100 + per_cent) * F.col("o") >= F.lit(per_cent) * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
-def _links(pairs: DataFrame, segments: DataFrame, per_cent: int, fragments: int) -> DataFrame:
-    """Those of pairs (a, b, na, nb) that reach the threshold: partial overlaps by fragment, summed by pair.
-
-    A quarter of the fragments comes first; pairs that cannot reach it with all that is left of `a` go no further.
-    """
-    need = lambda o: (F.lit(100 + per_cent) * o) >= F.lit(per_cent) * (F.col("na") + F.col("nb"))
-    quarter = F.col("f") < max(fragments // 4, 1)
-    some = pairs.join(_overlaps(pairs, segments, quarter), pairs.columns, "left").fillna(0, ["o", "fa"])
-    some = stage(some.where(need(F.col("o") + F.col("na") - F.col("fa"))).withColumnsRenamed({"o": "o1"}).drop("fa"), "halfway")
-    rest = _overlaps(some, segments, ~quarter).where(need(F.col("o1") + F.col("o")))
-    return rest.select("a", "b")
+def _differ() -> Column:
+    """Bits in which the signatures bits and other_bits differ."""
+    each = [F.bit_count(F.get("bits", F.lit(i)).bitwiseXOR(F.get("other_bits", F.lit(i)))) for i in range(BITS // 64)]
+    return sum(each[1:], each[0])
 
 
-def _near(per_cent: int) -> Column:
+def _near(per_cent: int, n: str = "n", other_n: str = "other_n") -> Column:
     """Whether signatures allow a link: each n-gram that only one of two sets has flips one bit, so they differ in at least as many n-grams as bits."""
-    differ = sum((F.bit_count(F.get("bits", F.lit(i)).bitwiseXOR(F.get("other_bits", F.lit(i)))) for i in range(1, BITS // 64)), F.bit_count(F.get("bits", F.lit(0)).bitwiseXOR(F.get("other_bits", F.lit(0)))))
-    both = F.col("n") + F.col("other_n")
-    return F.lit(100 + per_cent) * differ <= F.lit(100 - per_cent) * both
+    return F.lit(100 + per_cent) * _differ() <= F.lit(100 - per_cent) * (F.col(n) + F.col(other_n))
 
 
-def _pair(rows: DataFrame, per_cent: int) -> DataFrame:
+def _pair(rows: DataFrame, per_cent: int, *more: tuple[str, str]) -> DataFrame:
     """Distinct pairs a < b of rows (cid, n, i, other, other_n, other_i) that lengths and places of the n-gram allow to link.
 
     i is the n-gram's place in its set. If it is the first that both share, the overlap is one more at most than
-    what follows it in either; if it isn't, the first one's list has the pair.
+    what follows it in either; if it isn't, the first one's list has the pair. more: names x whose columns x and
+    other_x become the pair's x of a and of b.
     """
     overlap = F.least(F.col("n") - F.col("i"), F.col("other_n") - F.col("other_i")) + 1
     fits = F.lit(100 + per_cent) * overlap >= F.lit(per_cent) * (F.col("n") + F.col("other_n"))
     first = F.col("cid") < F.col("other")
     pick = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
-    return rows.where((F.col("cid") != F.col("other")) & fits).select(pick("cid", "other").alias("a"), pick("other", "cid").alias("b"), pick("n", "other_n").alias("na"), pick("other_n", "n").alias("nb")).distinct()
+    extra = [c for x, name in more for c in (pick(x, f"other_{x}").alias(f"{name}a"), pick(f"other_{x}", x).alias(f"{name}b"))]
+    return rows.where((F.col("cid") != F.col("other")) & fits).select(pick("cid", "other").alias("a"), pick("other", "cid").alias("b"), pick("n", "other_n").alias("na"), pick("other_n", "n").alias("nb"), *extra).distinct()
 
 
 def _labelled(postings: DataFrame, comp: DataFrame | None) -> DataFrame:
@@ -156,6 +151,26 @@ def _labelled(postings: DataFrame, comp: DataFrame | None) -> DataFrame:
     return stage(rows.join(mixed, "h"), "open")
 
 
+def _rest(lists: DataFrame, checked: DataFrame, links: DataFrame, segments: DataFrame, per_cent: int) -> tuple[DataFrame, DataFrame]:
+    """All links and components, once every pair of a list that lies in two components is compared or shown to be apart.
+
+    Of the pairs between the same two components the likeliest goes first: if it links, the others need no look.
+    """
+    outer = lists.where("comp <> big").select("h", *[F.col(c).alias(f"other_{c}") for c in ("n", "i", "comp", "bits")], F.col("cid").alias("other"))
+    apart = (F.col("comp") != F.col("other_comp")) & ((F.col("comp") == F.col("big")) | (F.col("cid") < F.col("other")))
+    rows = lists.join(outer, "h").where(apart & _near(per_cent)).withColumn("d", _differ()).withColumn("other_d", F.col("d"))
+    pairs = stage(_pair(rows, per_cent, ("comp", "c"), ("d", "d")).join(checked, ["a", "b"], "left_anti"), "pairs")
+    best = pairs.groupBy(F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y")).agg(F.min(F.struct("da", "a", "b", "na", "nb")).alias("p")).select("p.*")
+    best = stage(best, "best")
+    links = links.union(stage(_links(best, segments, per_cent), "linked"))
+    comp = components(links)
+    found = [comp.select(F.col("node").alias(f"c{x}"), F.col("comp").alias(f"now_{x}")) for x in "ab"]
+    left = pairs.drop("ca", "cb").withColumns({"ca": F.col("a"), "cb": F.col("b")}).join(found[0], "ca", "left").join(found[1], "cb", "left")
+    left = left.where(F.coalesce("now_a", "a") != F.coalesce("now_b", "b")).join(best, ["a", "b"], "left_anti").select("a", "b", "na", "nb")
+    links = links.union(stage(_links(stage(left, "left"), segments, per_cent), "linked"))
+    return links, components(links)
+
+
 def ngram_join(docs: DataFrame, k: int = WORDS, per_cent: int = PER_CENT, fragments: int = FRAGMENTS, stars: int = STARS) -> DataFrame:
     """doc_id, n_shingles, component_id, component and uid of every row of docs (doc_id, text).
 
@@ -171,10 +186,10 @@ def ngram_join(docs: DataFrame, k: int = WORDS, per_cent: int = PER_CENT, fragme
     sets = stage(docs.mapInArrow(_sets(k, per_cent), "doc_id long, uid long, n long, cid long, first array<long>"), "sets")
 
     # sets of which enough of the first n-grams occur in other classes
-    entries = sets.select(F.explode("first").alias("h"), "cid", "uid", "n")
+    entries = sets.select(F.explode("first").alias("h"), "cid", "uid")
     shared = stage(entries.groupBy("h").agg(F.min("cid").alias("least"), F.max("cid").alias("most")).where("least <> most").select("h"), "shared")
-    found = entries.join(shared, "h").groupBy("cid", "uid", "n").agg(F.count("*").alias("has")).where(F.col("has") > _beyond(F.col("n"), per_cent))
-    holder = stage(found.groupBy("cid", "n").agg(F.min("uid").alias("uid")), "holders")
+    found = entries.select("h", "uid").join(shared, "h").groupBy("uid").agg(F.count("*").alias("has")).join(sets.select("uid", "cid", "n").distinct(), "uid")
+    holder = stage(found.where(F.col("has") > _beyond(F.col("n"), per_cent)).groupBy("cid", "n").agg(F.min("uid").alias("uid")), "holders")
     one = docs.join(holder, "uid").select("cid", "n", "text")
     segments = stage(one.mapInArrow(_segments(k, fragments), "cid long, n long, f int, seg array<long>").dropDuplicates(["cid", "f"]), "segments")
 
@@ -196,21 +211,17 @@ def ngram_join(docs: DataFrame, k: int = WORDS, per_cent: int = PER_CENT, fragme
             break
         rest = r > 0 and (r == stars or load["pairs"] <= 8 * load["rows"])
         if rest:
-            lists = lists.join(signatures, "cid")
-            outer = lists.where("comp <> big").select("h", F.col("bits").alias("other_bits"), F.col("cid").alias("other"), F.col("n").alias("other_n"), F.col("i").alias("other_i"), F.col("comp").alias("other_comp"))
-            apart = (F.col("comp") != F.col("other_comp")) & ((F.col("comp") == F.col("big")) | (F.col("cid") < F.col("other")))
-            pairs = _pair(lists.join(outer, "h").where(apart & _near(per_cent)), per_cent)
-        else:
-            pivots = lists.groupBy("h").agg(F.min(F.struct(F.xxhash64("cid", "h", F.lit(r)).alias("r"), "cid", "n", "i", "comp")).alias("p"))
-            star = lists.join(pivots.select("h", F.col("p.cid").alias("other"), F.col("p.n").alias("other_n"), F.col("p.i").alias("other_i"), F.col("p.comp").alias("other_comp")), "h").where("comp <> other_comp")
-            pairs = _pair(star, per_cent)
+            links, comp = _rest(lists.join(signatures, "cid"), checked, links, segments, per_cent)
+            break
+        pivots = lists.groupBy("h").agg(F.min(F.struct(F.xxhash64("cid", F.lit(r)).alias("r"), "cid", "n", "i", "comp")).alias("p"))
+        star = lists.join(pivots.select("h", F.col("p.cid").alias("other"), F.col("p.n").alias("other_n"), F.col("p.i").alias("other_i"), F.col("p.comp").alias("other_comp")), "h").where("comp <> other_comp")
+        pairs = _pair(star, per_cent)
         pairs = stage(pairs if checked is None else pairs.join(checked, ["a", "b"], "left_anti"), "pairs")
         checked = pairs.select("a", "b") if checked is None else checked.union(pairs.select("a", "b"))
-        new = stage(_links(pairs, segments, per_cent, fragments), "linked")
+        both = pairs.join(signatures.select(F.col("cid").alias("a"), "bits"), "a").join(signatures.select(F.col("cid").alias("b"), F.col("bits").alias("other_bits")), "b")
+        new = stage(_links(both.where(_near(per_cent, "na", "nb")), segments, per_cent), "linked")
         links = new if links is None else links.union(new)
         comp = components(links)
-        if rest:
-            break
 
     low = sets.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("low"))
     if comp is None:
