@@ -6,6 +6,8 @@ as Parquet in the shared folder and reads it again. All stages but the last retu
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.llm import mixing, toxicity
@@ -18,36 +20,58 @@ from tidemark.llm.ngram_join import ngram_join
 QUALITY = {"0": 0.10, "1": 0.90}
 MOST_COPIES = 4.0
 KEY = "corpus_pipeline_uid"
+BATCHES = "spark.sql.execution.arrow.maxRecordsPerBatch"
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
+#: Rows of an Arrow batch while the pipeline runs: texts are long, and a stage's Python workers stay for the next one.
+BATCH_ROWS = 2_000
+
+
+def _stage(function):
+    """A stage whose tasks hand texts to Python in batches of BATCH_ROWS at most."""
+
+    @wraps(function)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if int(spark.conf.get(BATCHES)) > BATCH_ROWS:
+            spark.conf.set(BATCHES, str(BATCH_ROWS))
+        return function(spark, docs, sf_dir)
+
+    return run
+
+
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+@_stage
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows of docs that are not predicted to be toxic; the model learns from the labelled rows among docs."""
     model = toxicity.train(docs, _labels(spark, sf_dir))
     return docs.where(toxicity.predicted(docs["text"], model) == 0)
 
 
+@_stage
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts, that with the largest doc_id."""
     return _keep(docs, exact_dedup(docs).where("kept").groupBy("text_sha256").agg(F.min("uid").alias("uid")))
 
 
+@_stage
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies, that with the smallest doc_id."""
     owners = ngram_join(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     return _keep(docs, owners.groupBy("component").agg(F.min("uid").alias("uid")))
 
 
+@_stage
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows of docs as often as their rates say; the domains are the two labels of quality."""
     labels = _labels(spark, sf_dir).select("doc_id", F.col("quality").alias("domain"))
     return mixing.resample(docs, labels, QUALITY, MOST_COPIES)
 
 
+@_stage
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, and digests of the ids and of the bytes that they decode to."""
     import public_tokenizers

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Bytes of text that one vectorised step works on at a time; bounds the memory of a Python worker.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 500_000
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 

@@ -20,7 +20,7 @@ from tidemark.llm.common import uid
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes of text that a task's first trie may hold; its subtrees are written out beyond that.
-SPILL_BYTES = 32_000_000
+SPILL_BYTES = 8_000_000
 
 
 class RadixTrie:
