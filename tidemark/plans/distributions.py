@@ -80,7 +80,7 @@ def entropy_weights(spark, sf_dir):
     return D.softmax_weights(table(spark, sf_dir, "lineitem"), ["l_orderkey"], F.col("l_quantity") / 10).select("l_orderkey", "l_linenumber", rounded("weight").alias("weight"))
 
 
-@R.add(f"WITH {SOFT} SELECT l_orderkey, round(1 / sum(weight * weight), 5) AS ess, round(max(weight), 6) AS max_weight, round(-sum(CASE WHEN weight > 0 THEN weight * ln(weight) ELSE 0 END), 6) AS entropy FROM s GROUP BY 1")
+@R.add(f"WITH {SOFT} SELECT l_orderkey, round(1 / sum(weight * weight), 5) AS ess, round(max(weight), 6) AS max_weight, round(-sum(CASE WHEN weight > 0 THEN weight * ln(weight) ELSE 0 END), 6) + 0.0::DOUBLE AS entropy FROM s GROUP BY 1")
 def weight_diagnostics(spark, sf_dir):
     out = D.weight_diagnostics(D.softmax_weights(table(spark, sf_dir, "lineitem"), ["l_orderkey"], F.col("l_quantity") / 10), ["l_orderkey"])
     return out.select("l_orderkey", F.round("ess", 5).alias("ess"), rounded("max_weight").alias("max_weight"), rounded("entropy").alias("entropy"))
