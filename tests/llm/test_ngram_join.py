@@ -5,7 +5,7 @@ from collections import defaultdict
 import pytest
 
 from tidemark.llm.components import components
-from tidemark.llm.ngram_join import ngram_join
+from tidemark.llm.ngram_join import _beyond, _looked_at, ngram_join
 
 
 def brute(rows, k=5, per_cent=80):
@@ -63,6 +63,37 @@ def test_random_near_copies(spark, stars):
     same(spark, rows, stars=max(stars, 1) if stars else 1)
 
 
+def least_overlap(a, b, per_cent):
+    return -(-per_cent * (a + b) // (100 + per_cent))
+
+
+@pytest.mark.parametrize("per_cent", [50, 80, 90])
+def test_first_filter_keeps_every_size_pair(per_cent):
+    """Private shingles first in both sets, or in one of them only."""
+    for a in range(1, 61):
+        for b in range(-(-per_cent * a // 100), a + 1):
+            o = least_overlap(a, b, per_cent)
+            for before_a in (0, a - o):
+                for before_b in (0, b - o):
+                    x = [("a", i) for i in range(before_a)] + list(range(o)) + [("a", -i) for i in range(1, a - o - before_a + 1)]
+                    y = [("b", i) for i in range(before_b)] + list(range(o)) + [("b", -i) for i in range(1, b - o - before_b + 1)]
+                    assert len(x) == a and len(y) == b and 100 * o >= per_cent * len({*x, *y})
+                    both = set(x[: _looked_at(a, per_cent)]) & set(y[: _looked_at(b, per_cent)])
+                    assert len(both) > _beyond(a, per_cent) and len(both) > _beyond(b, per_cent), (a, b)
+
+
+def test_links_of_every_size_pair(spark):
+    rows = []
+    for a in range(1, 61):
+        for b in range(-(-80 * a // 100), a + 1):
+            o = least_overlap(a, b, 80)
+            shared = [f"s{a}.{b}.{i}" for i in range(o + 4)]
+            rows.append((len(rows), " ".join([f"x{a}.{b}.{i}" for i in range(a - o)] + shared)))
+            rows.append((len(rows), " ".join(shared + [f"y{a}.{b}.{i}" for i in range(b - o)])))
+    assert all(low == doc - doc % 2 for doc, _, low in brute(rows))
+    same(spark, rows)
+
+
 def test_documents(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     same(spark, rows)

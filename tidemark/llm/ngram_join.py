@@ -2,7 +2,7 @@
 
 Documents with the same set are one class, so copies cost nothing. Sets that cannot have a partner go first: of its
 first m n-grams in the order of their hashes, a set with a partner shares at least m - p + 1 with it, where p is
-n - ceil(t n) + 1, so that many must occur in some other class. Only those first n-grams are counted over all
+n - ceil(t n) + 1, so that many must occur in some other class; each set puts in enough for partners of all sizes. Only those first n-grams are counted over all
 documents. For the sets that stay, all n-grams are counted, and the global order is that of frequency: a pair that
 links has an n-gram in common among the first p of both, which gives candidates; its place in both sets rules out more. To verify
 them, the n-grams are cut into fragments by ranges: every set becomes one segment in each, the overlap of two
@@ -18,6 +18,7 @@ one cannot change the components.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -63,7 +64,7 @@ def _sets(k: int, per_cent: int):
                 n = len(x)
                 size.append(n)
                 cid.append(_fingerprint(x) if n else None)
-                first.append(x[: _prefix(n, per_cent) + _beyond(n, per_cent)])
+                first.append(x[: _looked_at(n, per_cent)])
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "uid"), pa.array(size, pa.int64()), pa.array(cid, pa.int64()), _lists(first)], ["doc_id", "uid", "n", "cid", "first"])
 
     return run
@@ -79,6 +80,16 @@ def _beyond(n, per_cent: int):
     return F.least(F.floor(p * BEYOND / 100), n - p) if isinstance(n, Column) else min(p * BEYOND // 100, n - p)
 
 
+@cache
+def _looked_at(n: int, per_cent: int) -> int:
+    """How many of a set's first n-grams are looked at: m, or as many as a larger partner needs to find its m - p + 1.
+
+    With overlap o, the first m of a set of n hold at least m - (n - o) of those that both share, in the order of both.
+    """
+    m = _prefix(n, per_cent) + _beyond(n, per_cent)
+    return max([m, *(n + per_cent * (n + a) // -(100 + per_cent) + _beyond(a, per_cent) + 1 for a in range(n + 1, 100 * n // per_cent + 1))])
+
+
 def _segments(k: int, fragments: int):
     bits = np.uint64(64 - (fragments - 1).bit_length())
 
