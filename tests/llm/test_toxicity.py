@@ -14,6 +14,14 @@ def test_hits_take_the_best_term_and_leave_exceptions_out():
     assert toxicity.hits(toxicity.Model().automaton(), " a ") == []
 
 
+def test_exceptions_hold_across_punctuation_and_digits():
+    model = toxicity.Model({" trash ": 3.0}, (" trash can ",))
+    for text in ("trash can", "Trash, can", "trash\r\ncan", "a tr4sh can", "trash c4n!", "trash  --  can"):
+        assert toxicity.hits(model.automaton(), toxicity.fold(text)) == [], text
+    assert toxicity.fold("a,  b\r\n1d10t c") == " a b idiot c "
+    assert len(toxicity.hits(model.automaton(), toxicity.fold("trash, bin"))) == 1
+
+
 def test_small_cases(spark):
     schema = "doc_id long, text string, score string, toxic string"
     texts = [(i, "you are a nasty fool" if i % 3 == 0 else "a calm and kind day", None, None) for i in range(200)]

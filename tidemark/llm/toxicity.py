@@ -60,9 +60,9 @@ def _read(word: re.Match) -> str:
 
 
 def fold(text: str) -> str:
-    """The folded text, with a space before and after."""
+    """The folded text: words with one space between them, and one before and after."""
     out = text.lower().translate(_TABLE)
-    return f" {_MIXED.sub(_read, out) if any(d in out for d in DIGITS) else out} "
+    return f" {' '.join((_MIXED.sub(_read, out) if any(d in out for d in DIGITS) else out).split())} "
 
 
 @dataclass
@@ -133,7 +133,7 @@ def _phrases(terms: dict[str, float]):
         for frame in frames:
             count: Counter = Counter()
             for text, toxic in zip(frame["text"], frame["toxic"], strict=True):
-                folded = f" {' '.join(fold(text).split())} "
+                folded = fold(text)
                 found = {f" {' '.join(folded[s:].split(' ', 3)[1:3])} " for s, _ in hits(automaton, folded)}
                 count.update((p, int(toxic)) for p in found)
             yield pd.DataFrame([(t, n if x else 0, 0 if x else n) for (t, x), n in count.items()], columns=["term", "toxic", "clean"])
