@@ -59,6 +59,21 @@ def test_resample_keeps_columns(spark):
     assert sorted(map(str, out.collect())) == sorted(map(str, mixing.resample(docs, labels, {"dry": 0.3, "wet": 0.7}).collect()))
 
 
+def test_fit_reads_one_row_of_each_id(spark, monkeypatch):
+    sizes, stage = {}, mixing.stage
+
+    def counted(df, name):
+        out = stage(df, name)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(mixing, "stage", counted)
+    docs = spark.createDataFrame([(i, f"text {i % 3} of many") for i in range(90)] + [(i, f"repeat {j}") for i in (4, 12) for j in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(60)], "doc_id long, domain string")
+    mixing.train(docs, labels, 50)
+    assert 0 < sizes["mixing"] <= 50
+
+
 def test_held_out_accuracy(spark):
     at = "/root/testdata/sf0.1"
     labels = domains(spark.read.parquet(f"{at}/labels.parquet"))

@@ -36,6 +36,21 @@ def test_small_cases(spark):
     assert toxicity.score(docs.limit(0), none).count() == 0
 
 
+def test_fit_reads_one_row_of_each_id(spark, monkeypatch):
+    sizes, stage = {}, toxicity.stage
+
+    def counted(df, name):
+        out = stage(df, name)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(toxicity, "stage", counted)
+    docs = spark.createDataFrame([(i, f"text {i % 3} of many") for i in range(90)] + [(i, f"repeat {j}") for i in (4, 12) for j in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)], "doc_id long, toxic int")
+    toxicity.train(docs, labels, 50)
+    assert 0 < sizes["toxicity"] <= 50
+
+
 def test_held_out_accuracy(spark):
     at = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{at}/labels.parquet").select("doc_id", "toxic")

@@ -50,6 +50,15 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def one_of_each(texts: DataFrame, marked: DataFrame) -> DataFrame:
+    """One row of texts (doc_id, text) for each row of marked (doc_id and more, ids distinct and few), the one of least text hash.
+
+    However often an id is repeated, each task passes on one row of it.
+    """
+    least = F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("least")
+    return texts.join(F.broadcast(marked), "doc_id").groupBy(*marked.columns).agg(least).select(*marked.columns, "least.text")
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 

@@ -18,7 +18,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.llm.common import Words, lower_ascii, packed, slices, stage
+from tidemark.llm.common import Words, lower_ascii, one_of_each, packed, slices, stage
 
 #: Labelled rows that the classifier is fitted on at most (those of least hash); buckets of its word counts.
 FIT_ROWS, BUCKETS = 20_000, 1 << 14
@@ -80,7 +80,7 @@ def _softmax(x: np.ndarray, y: np.ndarray, k: int, rounds: int = 400) -> np.ndar
 
 
 def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Classifier:
-    """Fits the classifier on rows of docs that labels (doc_id, domain) marks, at most fit_rows of them.
+    """Fits the classifier on rows of docs that labels (doc_id, domain) marks, at most fit_rows of them and one of each id.
 
     Word counts come from one half of the rows, the softmax from the other. Null ids, domains and texts are left
     out; an id with more domains counts with the least. Without labels there is one domain, named ''.
@@ -90,7 +90,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Class
     marked = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).where("text IS NOT NULL")
     half = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)).cast("int").alias("half")
-    sample = stage(texts.join(F.broadcast(marked), "doc_id").select("domain", half, "text"), "mixing")  # fit_rows rows at most
+    sample = stage(one_of_each(texts, marked).select("domain", half, "text"), "mixing")  # fit_rows rows at most
     domains = [r[0] for r in sample.select("domain").distinct().orderBy("domain").collect()] or [""]
     index = {d: i for i, d in enumerate(domains)}
 

@@ -20,7 +20,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.llm.common import stage
+from tidemark.llm.common import one_of_each, stage
 
 #: Labelled rows that the fit reads at most (those of least hash), and terms and exceptions that a lexicon holds at most.
 FIT_ROWS, LEXICON, EXCEPTIONS = 20_000, 3_000, 1_000
@@ -170,14 +170,14 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     """The lexicon and its logistic, from rows of docs that labels (doc_id, toxic) marks and that are not held out.
 
-    At most fit_rows labelled rows are read, those with the least hash of doc_id. Null labels, ids and texts are
+    At most fit_rows labelled rows are read, those with the least hash of doc_id, one of each id. Null labels, ids and texts are
     left out, and of an id with more labels the largest counts. Without both kinds of labels the lexicon is empty.
     """
     marked = labels.where(labels["doc_id"].isNotNull() & labels["toxic"].isNotNull() & ~held_out(labels["doc_id"]))
     marked = marked.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     marked = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).where("text IS NOT NULL")
-    sample = stage(texts.join(F.broadcast(marked), "doc_id").select("toxic", "text"), "toxicity")  # marked has fit_rows rows at most
+    sample = stage(one_of_each(texts, marked).select("toxic", "text"), "toxicity")  # fit_rows rows at most, as in marked
     n_clean, n_toxic = (sample.where(F.col("toxic") == k).count() for k in (0, 1))
     if not n_clean or not n_toxic:
         return Model(logistic=(8.0 if n_toxic else -8.0, 0.0, 0.0))
