@@ -77,6 +77,25 @@ def test_isotonic_and_logistic(spark):
     assert len(beta) == 3 and calibration.fit_logistic(df.limit(0), [F.col("p")], "y") == [0.0, 0.0]
 
 
+def test_isotonic_pools_every_distinct_p(spark):
+    rng = np.random.default_rng(1)
+    p = np.concatenate([0.5 + np.arange(400) * 1e-6, rng.random(400)])
+    y = np.concatenate([rng.random(400) < np.linspace(0, 1, 400), rng.random(400) < p[400:]]).astype(int)
+    order = np.argsort(p)
+    blocks = []
+    for a, b in zip(p[order], y[order], strict=True):
+        blocks.append([[a], [b]])
+        while len(blocks) > 1 and np.mean(blocks[-2][1]) >= np.mean(blocks[-1][1]):
+            last = blocks.pop()
+            blocks[-1] = [blocks[-1][0] + last[0], blocks[-1][1] + last[1]]
+    x, f = [e for b in blocks for e in (b[0][0], b[0][-1])], [np.mean(b[1]) for b in blocks for _ in range(2)]
+    df = spark.createDataFrame([(float(a), int(b)) for a, b in zip(p, y, strict=True)] + [(None, 1), (0.3, None)], "p double, y int").repartition(5)
+    rows = calibration.apply_isotonic(df, calibration.fit_isotonic(df, "p", "y"), "p").collect()
+    assert len(rows) == 802 and [r.fitted for r in rows if r.p is None] == [None]
+    for r in rows:
+        assert r.p is None or r.fitted == pytest.approx(np.interp(r.p, x, f), abs=1e-9)
+
+
 def test_header_does_not_depend_on_partitions(spark, sf):
     rows = spark.read.parquet(f"{sf}/lineitem.parquet").withColumn("run", F.col("l_suppkey"))
     a, b = (sorted(map(tuple, products.header(r, "run", ["l_orderkey", "l_quantity"]).collect())) for r in (rows, rows.repartition(7, "l_quantity")))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions.scoring import clipped, log_loss
@@ -48,29 +51,50 @@ def beta_features(p: Column) -> list[Column]:
     return [F.log(q), -F.log(F.lit(1.0) - q)]
 
 
-def fit_isotonic(df: DataFrame, p: str, y: str, bins: int = 1_000) -> DataFrame:
-    """lower and fitted: a rising step function of p, by pooling adjacent violators over at most `bins` equal bins of p.
+def _pool(blocks: list[list[float]], block: list[float]) -> None:
+    """Appends a block (lower, upper, sum, count) and pools adjacent violators."""
+    blocks.append(block)
+    while len(blocks) > 1 and blocks[-2][2] * blocks[-1][3] >= blocks[-1][2] * blocks[-2][3]:
+        _, upper, s, n = blocks.pop()
+        blocks[-1][1:] = [upper, blocks[-1][2] + s, blocks[-1][3] + n]
+
+
+def _pooled(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    blocks: list[list[float]] = []
+    for frame in frames:
+        for p, s, n in frame.itertuples(index=False):
+            _pool(blocks, [p, p, s, n])
+    yield pd.DataFrame(blocks, columns=["lower", "upper", "s", "n"])
+
+
+def fit_isotonic(df: DataFrame, p: str, y: str) -> DataFrame:
+    """knot and fitted: a rising function of p, by pooling adjacent violators over every distinct p; rows without p or y are left out.
 
-    Bins are counted by Spark; pooling works on the bins, so its size does not depend on the rows.
+    Spark adds up the rows of each p, and tasks pool ranges of p. Only pooled blocks reach the driver, which finishes
+    on them; with outcomes 0 and 1 their means are rising fractions, so n rows make some n ** (2 / 3) blocks at most.
     """
-    b = F.least(F.floor(F.col(p) * bins), F.lit(bins - 1))
-    rows = df.groupBy(b.alias("bin")).agg(F.count("*").alias("n"), F.sum(F.col(y).cast("double")).alias("s")).orderBy("bin").collect()
+    rows = df.select(F.col(p).cast("double").alias("p"), F.col(y).cast("double").alias("y")).where("p IS NOT NULL AND NOT isnan(p) AND y IS NOT NULL")
+    each = rows.groupBy("p").agg(F.sum("y").alias("s"), F.count("*").cast("double").alias("n"))
+    parts = each.repartitionByRange("p").sortWithinPartitions("p").mapInPandas(_pooled, "lower double, upper double, s double, n double")
     blocks: list[list[float]] = []
-    for r in rows:
-        blocks.append([r["bin"] / bins, r["s"], r["n"]])
-        while len(blocks) > 1 and blocks[-2][1] * blocks[-1][2] >= blocks[-1][1] * blocks[-2][2]:
-            _, s, n = blocks.pop()
-            blocks[-1][1] += s
-            blocks[-1][2] += n
-    return df.sparkSession.createDataFrame([(lo, s / n) for lo, s, n in blocks], "lower double, fitted double")
-
-
-def apply_isotonic(df: DataFrame, steps: DataFrame, p: str) -> DataFrame:
-    """df with fitted: the value of the last step at or below p (of the first one below all). steps has a bounded number of rows."""
-    table = F.broadcast(steps.agg(F.sort_array(F.collect_list(F.struct("lower", "fitted"))).alias("_steps")))
-    at = F.filter("_steps", lambda s: s["lower"] <= F.col(p))
-    value = F.when(F.size(at) > 0, F.element_at(at, -1)["fitted"]).otherwise(F.get("_steps", F.lit(0))["fitted"])
-    return df.crossJoin(table).withColumn("fitted", value).drop("_steps")
+    for r in parts.orderBy("lower").toLocalIterator():
+        _pool(blocks, list(r))
+    knots = [(x, s / n) for lower, upper, s, n in blocks for x in sorted({lower, upper})]
+    return df.sparkSession.createDataFrame(knots, "knot double, fitted double")
+
+
+def apply_isotonic(df: DataFrame, knots: DataFrame, p: str) -> DataFrame:
+    """df with fitted: interpolated between knots, clipped beyond the first and the last; null without p or knots."""
+    at = sorted(map(tuple, knots.select("knot", "fitted").collect()))
+    if not at:
+        return df.withColumn("fitted", F.lit(None).cast("double"))
+    x, value = map(np.array, zip(*at, strict=True))
+
+    @F.pandas_udf("double")
+    def fitted(q: pd.Series) -> pd.Series:
+        return pd.Series(np.interp(q.to_numpy(float), x, value)).where(q.notna().to_numpy())
+
+    return df.withColumn("fitted", fitted(F.col(p).cast("double")))
 
 
 def prior_rate(df: DataFrame, group: list[str], time: str, y: str, prior: float, strength: float) -> DataFrame:

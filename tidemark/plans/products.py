@@ -22,7 +22,7 @@ def logistic_calibration(spark, sf_dir):
 
 @R.add()
 def isotonic_calibration(spark, sf_dir):
-    """Each labelled document's forecast, calibrated by a rising step function."""
+    """Each labelled document's forecast, calibrated by a rising function."""
     rows = _forecasts(spark, sf_dir)
     return C.apply_isotonic(rows, C.fit_isotonic(rows, "p", "y"), "p").select("doc_id", rounded("fitted").alias("fitted"))
 
