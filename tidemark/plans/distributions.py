@@ -14,6 +14,8 @@ G = "l_returnflag, l_linestatus"
 PMF = f"m AS (SELECT {G}, l_quantity::INT AS x, count(*)::DOUBLE AS n FROM lineitem GROUP BY ALL), p AS (SELECT *, n / sum(n) OVER (PARTITION BY {G}) AS p FROM m), c AS (SELECT *, sum(p) OVER (PARTITION BY {G} ORDER BY x) AS cdf FROM p)"
 QS = [0.05, 0.10, 0.25, 0.50, 0.75, 0.90, 0.95]
 CATALOG = [1, 5, 10, 20, 30, 40, 50]
+#: Draws of each game, as many as the reference makes by default.
+DRAWS = 20_000
 
 
 def _draws(spark, sf_dir):
@@ -112,10 +114,10 @@ def _games(spark, sf_dir):
 @R.add()
 def game_simulation(spark, sf_dir):
     """Projections from simulated games: mean and percentiles of points by game and team."""
-    draws = simulation.simulate(_games(spark, sf_dir), 400)
+    draws = simulation.simulate(_games(spark, sf_dir), DRAWS)
     return D.order_statistics(draws, ["game_id", "team"], "points", [0.05, 0.5, 0.95])
 
 
 @R.add("SELECT 0::BIGINT AS points, 0::BIGINT AS negative, 0::BIGINT AS touchdowns, 0::BIGINT AS teams, 0::BIGINT AS margins")
 def simulation_violations(spark, sf_dir):
-    return simulation.violations(simulation.simulate(_games(spark, sf_dir), 200))
+    return simulation.violations(simulation.simulate(_games(spark, sf_dir), DRAWS))
