@@ -6,8 +6,11 @@ each row. All hashes are 64 bits wide.
 
 from __future__ import annotations
 
+import atexit
+import threading
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +26,16 @@ _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
+_LOCK, _WRITERS = threading.Lock(), {"now": 0, "before": "false"}
+_LEFT: set[str] = set()
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a temporary one in local mode, else an error."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         import tempfile
 
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
@@ -34,20 +43,59 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+@contextmanager
+def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Has Spark remove a query's shuffle files when it ends; the setting goes back when the last of the writers within is done."""
+    with _LOCK:
+        if not _WRITERS["now"]:
+            _WRITERS["before"] = spark.conf.get(CLEANUP, "false")
+            spark.conf.set(CLEANUP, "true")
+        _WRITERS["now"] += 1
+    try:
+        yield
+    finally:
+        with _LOCK:
+            _WRITERS["now"] -= 1
+            if not _WRITERS["now"]:
+                spark.conf.set(CLEANUP, _WRITERS["before"])
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Cuts lineage: writes df to a new Parquet table in the shared folder and reads it back.
 
-    As nothing reads the shuffles of df after that, Spark is asked to remove their files.
+    As nothing reads the shuffles of df after that, Spark is asked to remove their files. The table stays until
+    `release` is given it, or until Python ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with _shuffles_removed(spark):
         df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    if not _LEFT:
+        atexit.register(_remove, spark)
+    _LEFT.add(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path  # type: ignore[attr-defined]
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _LEFT.discard(path)
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Deletes tables that `stage` wrote; nothing that is still to be computed may read them. Other DataFrames and None are passed over."""
+    for df in tables:
+        if df is not None and getattr(df, "staged_at", None) in _LEFT:
+            _delete(df.sparkSession, df.staged_at)
+
+
+def _remove(spark: SparkSession) -> None:
+    """Deletes what is left when Python ends, as far as the session still runs."""
+    if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
+        for path in list(_LEFT):
+            _delete(spark, path)
 
 
 def one_of_each(texts: DataFrame, marked: DataFrame) -> DataFrame:

@@ -10,14 +10,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.common import stage
+from tidemark.llm.common import release, stage
 
 
 def _ends(parent: DataFrame) -> DataFrame:
     """parent (node, up), up <= node: follows up until it stays."""
     while True:
         step = parent.select(F.col("node").alias("up"), F.col("up").alias("next"))
-        parent = stage(parent.join(step, "up", "left").select("node", F.coalesce("next", "up").alias("up"), (F.col("next") < F.col("up")).alias("moved")), "pointers")
+        before, parent = parent, stage(parent.join(step, "up", "left").select("node", F.coalesce("next", "up").alias("up"), (F.col("next") < F.col("up")).alias("moved")), "pointers")
+        release(before)
         if parent.where("moved").isEmpty():
             return parent.select("node", "up")
 

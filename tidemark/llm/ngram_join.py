@@ -2,17 +2,20 @@
 
 Documents with the same set are one class, so copies cost nothing. Sets that cannot have a partner go first: of its
 first m n-grams in the order of their hashes, a set with a partner shares at least m - p + 1 with it, where p is
-n - ceil(t n) + 1, so that many must occur in some other class; each set puts in enough for partners of all sizes. Only those first n-grams are counted over all
-documents. For the sets that stay, all n-grams are counted, and the global order is that of frequency: a pair that
-links has an n-gram in common among the first p of both, which gives candidates; its place in both sets rules out more. To verify
-them, the n-grams are cut into fragments by ranges: every set becomes one segment in each, the overlap of two
-segments is counted in each fragment apart, and the counts of a pair are summed over the fragments.
-
-A list of very many sets that share an n-gram never becomes all of its pairs. In star rounds every list compares its
-sets with one pivot only, in each round another; what proves linked is one component. Lists within a component
-are done. In the end all pairs of a list that lie in different components and have not been compared are, unless
-parity signatures show that they differ too much; so no link between different components is lost, and links within
-one cannot change the components.
+n - ceil(t n) + 1, so that many must occur in some other class; each set puts in enough for partners of all sizes.
+For the sets that stay, all n-grams are counted, and the global order is that of frequency, rare ones first. It is
+cut into fragments at quantiles, so each fragment holds as many n-grams as the next, and every set becomes one
+segment in each. The posting lists of the rarest p n-grams of each set, its share of the head of the order, give
+candidate pairs; the place of an n-gram in both sets and a parity signature rule pairs out. What is left is counted
+fragment by fragment: each gives partial overlaps of its segments, and the counts of a pair are summed.
+
+A list of very many sets that share an n-gram and link never becomes all of its pairs. In star rounds every list
+compares its sets with one pivot only, in each round another; what proves linked is one component. Lists within a
+component are done. In the end all pairs of a list that lie in different components and have not been compared are,
+unless parity signatures show that they differ too much; so no link between different components is lost, and links
+within one cannot change the components. Sets that share rare n-grams and yet do not link are met pair by pair in
+that last step: it is quadratic in the length of such a list (see README). Lists of more than HOT sets are dealt out
+by a salt as well as by their n-gram.
 """
 
 from __future__ import annotations
@@ -22,9 +25,9 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.llm.common import Words, column, documents, grams, lower_ascii, mix, packed, signed, slices, stage
+from tidemark.llm.common import Words, column, cut, documents, grams, lower_ascii, mix, packed, release, signed, slices, stage
 from tidemark.llm.components import components
 
 WORDS, PER_CENT, FRAGMENTS = 5, 80, 4
@@ -32,8 +35,10 @@ WORDS, PER_CENT, FRAGMENTS = 5, 80, 4
 BEYOND = 50
 #: At most so many star rounds; they only save work.
 STARS = 3
-#: Bits of a set's parity signature, kept as a fragment of its own.
-BITS, SIGNATURE = 512, -1
+#: Bits of a set's parity signature.
+BITS = 512
+#: Sets from which on a list is dealt out over SALTS places.
+HOT, SALTS = 1_000, 16
 
 
 def _shingles(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -58,7 +63,7 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
 
 def _sets(k: int, per_cent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in cut(batches):
             size, cid, first = [], [], []
             for x in _shingles(column(batch, "text"), k):
                 n = len(x)
@@ -90,40 +95,56 @@ def _looked_at(n: int, per_cent: int) -> int:
     return max([m, *(n + per_cent * (n + a) // -(100 + per_cent) + _beyond(a, per_cent) + 1 for a in range(n + 1, 100 * n // per_cent + 1))])
 
 
-def _segments(k: int, fragments: int):
-    bits = np.uint64(64 - (fragments - 1).bit_length())
+def _grams(k: int):
+    """n-grams and parity signature of one text of each class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cids, sizes, frag, parts = [], [], [], []
-            for cid, x in zip(column(batch, "cid").to_pylist(), _shingles(column(batch, "text"), k), strict=True):
-                odd = np.packbits(np.bincount((x & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1)
-                cids.append(cid)
-                sizes.append(len(x))
-                frag.append(SIGNATURE)
-                parts.append(odd.view(np.uint64))
-                at = np.searchsorted(x >> bits, np.arange(fragments + 1, dtype=np.uint64))
-                for f in range(fragments):
-                    if at[f] < at[f + 1]:
-                        cids.append(cid)
-                        sizes.append(len(x))
-                        frag.append(f)
-                        parts.append(x[at[f] : at[f + 1]])
-            yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(frag, pa.int32()), _lists(parts)], ["cid", "n", "f", "seg"])
+        for batch in cut(batches):
+            sets = list(_shingles(column(batch, "text"), k))
+            odd = [np.packbits(np.bincount((x & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1).view(np.uint64) for x in sets]
+            yield pa.RecordBatch.from_arrays([column(batch, "cid"), column(batch, "n"), _lists(odd), _lists(sets)], ["cid", "n", "bits", "grams"])
 
     return run
 
 
+def _order() -> Column:
+    """Place of an n-gram h in the global order: frequency first (up to 32,767), then its hash."""
+    return F.shiftleft(F.least("df", F.lit(32_767)).cast("long"), 48).bitwiseOR(F.shiftrightunsigned("h", 16))
+
+
+def _cut_order(ordered: DataFrame, fragments: int) -> DataFrame:
+    """cid, f and seg: the n-grams of each set in each fragment of the global order, which is cut at quantiles."""
+    shares = [i / fragments for i in range(1, fragments)]
+    ends = ordered.select(F.explode("grams.o").alias("o")).agg(F.approx_percentile("o", shares, 1_000)).first()[0] or []
+    bounds = [-1, *ends, (1 << 63) - 1]
+
+    def inside(low: int, high: int) -> Column:
+        return F.transform(F.filter("grams", lambda g: (g["o"] > low) & (g["o"] <= high)), lambda g: g["h"])
+
+    each = [F.struct(F.lit(f).alias("f"), inside(*ends).alias("seg")) for f, ends in enumerate(zip(bounds, bounds[1:], strict=False))]
+    return ordered.select("cid", F.inline(F.array(*each))).where(F.size("seg") > 0)
+
+
 def _links(pairs: DataFrame, segments: DataFrame, per_cent: int) -> DataFrame:
     """Those of pairs (a, b, na, nb) that reach the threshold: partial overlaps by fragment, summed by pair."""
     pairs = pairs.select("a", "b", "na", "nb")
     left = pairs.join(segments.select(F.col("cid").alias("a"), "f", F.col("seg").alias("sa")), "a")
-    right = segments.select(F.col("cid").alias("b"), "f", F.col("seg").alias("sb"))
+    right = segments.select(F.col("cid").alias("b"), "f", F.col("seg").alias("sb")).join(pairs.select("b").distinct(), "b", "left_semi")
     partial = left.join(right, ["b", "f"]).select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).alias("o"))
     total = partial.groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("o"))
     return total.where(F.lit(100 + per_cent) * F.col("o") >= F.lit(per_cent) * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
+def _salt() -> Column:
+    """Where a set's posting in a hot list goes."""
+    return F.when(F.col("df") > HOT, F.pmod(F.xxhash64("cid"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
+
+
+def _salts() -> Column:
+    """All places of a list, for what meets every posting of it."""
+    return F.explode(F.sequence(F.lit(0), F.when(F.col("df") > HOT, SALTS - 1).otherwise(0))).alias("salt")
+
+
 def _differ() -> Column:
     """Bits in which the signatures bits and other_bits differ."""
     each = [F.bit_count(F.get("bits", F.lit(i)).bitwiseXOR(F.get("other_bits", F.lit(i)))) for i in range(BITS // 64)]
@@ -151,26 +172,30 @@ def _pair(rows: DataFrame, per_cent: int, *more: tuple[str, str]) -> DataFrame:
 
 
 def _labelled(postings: DataFrame, comp: DataFrame | None) -> DataFrame:
-    """Postings (h, cid, n, i) with comp, of the lists that hold more than one component."""
+    """Postings (h, cid, n, i, df, salt) with comp, of the lists that hold more than one component."""
     if comp is None:
         rows = postings.withColumn("comp", F.col("cid"))
     else:
         rows = postings.join(comp.select(F.col("node").alias("cid"), "comp"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-    rows = stage(rows.select("h", "cid", "n", "i", "comp"), "postings")
-    sizes = rows.groupBy("h", "comp").agg(F.count("*").alias("size")).groupBy("h").agg(F.sum("size").alias("all"), F.max(F.struct("size", "comp")).alias("big"))
-    mixed = stage(sizes.where("all > big.size").select("h", "all", F.col("big.size").alias("most"), F.col("big.comp").alias("big")), "mixed")
-    return stage(rows.join(mixed, "h"), "open")
+    rows = stage(rows.select("h", "salt", "df", "cid", "n", "i", "comp"), "postings")
+    sizes = rows.groupBy("h", "df", "comp").agg(F.count("*").alias("size")).groupBy("h", "df").agg(F.sum("size").alias("all"), F.max(F.struct("size", "comp")).alias("big"))
+    mixed = stage(sizes.where("all > big.size").select("h", "df", "all", F.col("big.size").alias("most"), F.col("big.comp").alias("big")), "mixed")
+    out = stage(rows.join(mixed.select("h", "all", "most", "big", _salts()).hint("merge"), ["h", "salt"]), "open")
+    release(rows, mixed)
+    return out
 
 
-def _rest(lists: DataFrame, checked: DataFrame, links: DataFrame, segments: DataFrame, per_cent: int) -> tuple[DataFrame, DataFrame]:
-    """All links and components, once every pair of a list that lies in two components is compared or shown to be apart.
+def _rest(lists: DataFrame, signatures: DataFrame, checked: DataFrame, links: DataFrame, segments: DataFrame, per_cent: int) -> DataFrame:
+    """Components once every pair of a list that lies in two of them is compared or shown to be apart.
 
     Of the pairs between the same two components the likeliest goes first: if it links, the others need no look.
     """
-    outer = lists.where("comp <> big").select("h", *[F.col(c).alias(f"other_{c}") for c in ("n", "i", "comp", "bits")], F.col("cid").alias("other"))
+    lists = stage(lists.join(signatures, "cid"), "signed")
+    outer = lists.where("comp <> big").select("h", _salts(), *[F.col(c).alias(f"other_{c}") for c in ("n", "i", "comp", "bits")], F.col("cid").alias("other"))
     apart = (F.col("comp") != F.col("other_comp")) & ((F.col("comp") == F.col("big")) | (F.col("cid") < F.col("other")))
-    rows = lists.join(outer, "h").where(apart & _near(per_cent)).withColumn("d", _differ()).withColumn("other_d", F.col("d"))
+    rows = lists.join(outer.hint("merge"), ["h", "salt"]).where(apart & _near(per_cent)).withColumn("d", _differ()).withColumn("other_d", F.col("d"))
     pairs = stage(_pair(rows, per_cent, ("comp", "c"), ("d", "d")).join(checked, ["a", "b"], "left_anti"), "pairs")
+    release(lists)
     best = pairs.groupBy(F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y")).agg(F.min(F.struct("da", "a", "b", "na", "nb")).alias("p")).select("p.*")
     best = stage(best, "best")
     links = links.union(stage(_links(best, segments, per_cent), "linked"))
@@ -178,8 +203,12 @@ def _rest(lists: DataFrame, checked: DataFrame, links: DataFrame, segments: Data
     found = [comp.select(F.col("node").alias(f"c{x}"), F.col("comp").alias(f"now_{x}")) for x in "ab"]
     left = pairs.drop("ca", "cb").withColumns({"ca": F.col("a"), "cb": F.col("b")}).join(found[0], "ca", "left").join(found[1], "cb", "left")
     left = left.where(F.coalesce("now_a", "a") != F.coalesce("now_b", "b")).join(best, ["a", "b"], "left_anti").select("a", "b", "na", "nb")
-    links = links.union(stage(_links(stage(left, "left"), segments, per_cent), "linked"))
-    return links, components(links)
+    left = stage(left, "left")
+    release(pairs, best)
+    if left.isEmpty():
+        return comp
+    more = stage(_links(left, segments, per_cent), "linked")
+    return comp if more.isEmpty() else components(links.union(more))
 
 
 def ngram_join(docs: DataFrame, k: int = WORDS, per_cent: int = PER_CENT, fragments: int = FRAGMENTS, stars: int = STARS) -> DataFrame:
@@ -189,30 +218,39 @@ def ngram_join(docs: DataFrame, k: int = WORDS, per_cent: int = PER_CENT, fragme
     null text or one without words has none and is linked with nothing. Two rows link when 100 * intersection >=
     per_cent * union. component_id is the smallest doc_id that links reach, the row's own included; null ids count
     only where there is no other. component is a key of the component itself, as two of them may have the same
-    smallest id where ids repeat. Every row is a document, also if its id occurs again; other columns are ignored.
+    smallest id where ids repeat. Every row is a document, also if its id occurs again; other columns are ignored,
+    whatever their names. Very long texts are sets like others, held one at a time; an empty table gives an empty result.
     """
-    if fragments < 2 or fragments & (fragments - 1):
-        raise ValueError("fragments must be a power of two, 2 at least")
+    if fragments < 1:
+        raise ValueError("there must be a fragment")
     docs = documents(docs)
-    sets = stage(docs.mapInArrow(_sets(k, per_cent), "doc_id long, uid long, n long, cid long, first array<long>"), "sets")
+    whole = stage(docs.mapInArrow(_sets(k, per_cent), "doc_id long, uid long, n long, cid long, first array<long>"), "sets")
+    sets = stage(whole.drop("first"), "classes")
 
-    # sets of which enough of the first n-grams occur in other classes
-    entries = sets.select(F.explode("first").alias("h"), "cid", "uid")
+    # sets of which enough of the first n-grams occur in other classes; joins by n-gram are hinted, as both sides grow with the input
+    entries = whole.select(F.explode("first").alias("h"), "cid", "uid")
     shared = stage(entries.groupBy("h").agg(F.min("cid").alias("least"), F.max("cid").alias("most")).where("least <> most").select("h"), "shared")
-    found = entries.select("h", "uid").join(shared, "h").groupBy("uid").agg(F.count("*").alias("has")).join(sets.select("uid", "cid", "n").distinct(), "uid")
+    found = entries.select("h", "uid").join(shared.hint("merge"), "h").groupBy("uid").agg(F.count("*").alias("has")).join(sets.select("uid", "cid", "n").distinct(), "uid")
     holder = stage(found.where(F.col("has") > _beyond(F.col("n"), per_cent)).groupBy("cid", "n").agg(F.min("uid").alias("uid")), "holders")
-    one = docs.join(holder, "uid").select("cid", "n", "text")
-    segments = stage(one.mapInArrow(_segments(k, fragments), "cid long, n long, f int, seg array<long>").dropDuplicates(["cid", "f"]), "segments")
+    release(whole, shared)
+    one = docs.join(holder.hint("merge"), "uid").groupBy("uid", "cid", "n").agg(F.first("text").alias("text"))
+    held = stage(one.mapInArrow(_grams(k), "cid long, n long, bits array<long>, grams array<long>"), "held")
+    release(holder)
 
-    # of those, the first p n-grams in the order of frequency; the ones that no other set has come first and give no candidates
-    signatures = segments.where(F.col("f") == SIGNATURE).select("cid", F.col("seg").alias("bits"))
-    segments = segments.where(F.col("f") != SIGNATURE)
-    entries = segments.select(F.explode("seg").alias("h"), "cid", "n")
+    # their n-grams in the order of frequency; the ones that no other set has come first and give no candidates
+    entries = held.select(F.explode("grams").alias("h"), "cid", "n")
     often = stage(entries.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"), "often")
-    own = Window.partitionBy("cid")
-    ranked = entries.join(often, "h").withColumn("has", F.count("*").over(own)).where(F.lit(100) * F.col("has") >= F.lit(per_cent) * F.col("n"))
-    place = F.row_number().over(own.orderBy("df", "h"))
-    postings = stage(ranked.withColumn("place", place).withColumn("i", F.col("place") + F.col("n") - F.col("has")).where(F.col("i") <= _prefix(F.col("n"), per_cent)).select("h", "cid", "n", "i"), "lists")
+    ranked = entries.join(often.hint("merge"), "h").select("cid", "n", F.struct(_order().alias("o"), "h").alias("g")).repartition("cid")
+    ordered = stage(ranked.groupBy("cid", "n").agg(F.sort_array(F.collect_list("g")).alias("grams")).where(F.lit(100) * F.size("grams") >= F.lit(per_cent) * F.col("n")), "ordered")
+    signatures = stage(held.select("cid", "bits"), "signatures")
+    release(held, often)
+    segments = stage(_cut_order(ordered, fragments), "segments")
+    private = F.col("n") - F.size("grams")
+    head = F.slice("grams", F.lit(1), F.greatest(_prefix(F.col("n"), per_cent) - private, F.lit(0)).cast("int"))
+    postings = ordered.select("cid", "n", private.alias("private"), F.posexplode(head).alias("i", "g"))
+    postings = postings.select("cid", "n", (F.col("i") + 1 + F.col("private")).alias("i"), "g.h", F.shiftright("g.o", 48).alias("df"))
+    postings = stage(postings.withColumn("salt", _salt()), "lists")
+    release(ordered)
 
     comp = checked = links = None
     for r in range(stars + 1):
@@ -220,20 +258,23 @@ def ngram_join(docs: DataFrame, k: int = WORDS, per_cent: int = PER_CENT, fragme
         load = lists.select("h", "all", "most").distinct().agg(F.sum(F.col("all") - F.col("most")).alias("rows"), F.sum((F.col("all") - F.col("most")) * F.col("all")).alias("pairs")).first()
         if not load["rows"]:
             break
-        rest = r > 0 and (r == stars or load["pairs"] <= 8 * load["rows"])
-        if rest:
-            links, comp = _rest(lists.join(signatures, "cid"), checked, links, segments, per_cent)
+        if r > 0 and (r == stars or load["pairs"] <= 8 * load["rows"]):
+            comp = _rest(lists, signatures, checked, links, segments, per_cent)
             break
-        pivots = lists.groupBy("h").agg(F.min(F.struct(F.xxhash64("cid", F.lit(r)).alias("r"), "cid", "n", "i", "comp")).alias("p"))
-        star = lists.join(pivots.select("h", F.col("p.cid").alias("other"), F.col("p.n").alias("other_n"), F.col("p.i").alias("other_i"), F.col("p.comp").alias("other_comp")), "h").where("comp <> other_comp")
-        pairs = _pair(star, per_cent)
+        pivots = lists.groupBy("h", "df").agg(F.min(F.struct(F.xxhash64("cid", F.lit(r)).alias("r"), "cid", "n", "i", "comp")).alias("p"))
+        pivots = pivots.select("h", _salts(), F.col("p.cid").alias("other"), F.col("p.n").alias("other_n"), F.col("p.i").alias("other_i"), F.col("p.comp").alias("other_comp"))
+        pairs = _pair(lists.join(pivots.hint("merge"), ["h", "salt"]).where("comp <> other_comp"), per_cent)
         pairs = stage(pairs if checked is None else pairs.join(checked, ["a", "b"], "left_anti"), "pairs")
+        release(lists)
         checked = pairs.select("a", "b") if checked is None else checked.union(pairs.select("a", "b"))
         both = pairs.join(signatures.select(F.col("cid").alias("a"), "bits"), "a").join(signatures.select(F.col("cid").alias("b"), F.col("bits").alias("other_bits")), "b")
-        new = stage(_links(both.where(_near(per_cent, "na", "nb")), segments, per_cent), "linked")
+        likely = stage(both.where(_near(per_cent, "na", "nb")).select("a", "b", "na", "nb"), "likely")
+        new = stage(_links(likely, segments, per_cent), "linked")
+        release(likely)
         links = new if links is None else links.union(new)
         comp = components(links)
 
+    release(signatures, segments, postings)
     low = sets.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("low"))
     if comp is None:
         low = low.withColumn("comp", F.col("cid"))

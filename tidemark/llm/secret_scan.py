@@ -21,7 +21,7 @@ HEX = r"[0-9a-f]{16,}"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 #: Class name, alphabet, and least entropy (bits) of the best window.
 CLASSES = (("hex", "0123456789abcdefABCDEF", 2.9), ("token", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/_=-", 3.6))
-ALLOW = (r"^[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$", r"(?i)example|sample|placeholder|dummy|your[-_]", r"^(?:/[A-Za-z0-9_=-]*)+$")
+ALLOW = (r"^[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$", r"(?i)example|sample|placeholder|dummy|your[-_]", r"^/[A-Za-z0-9_=/-]*$")
 WINDOW = 20
 
 
@@ -84,7 +84,8 @@ def secret_scan(docs: DataFrame, window: int = WINDOW, classes=CLASSES, allow=AL
 
     Spans are kind:start:end in code points, end exclusive, by start and then kind. A null text counts as empty,
     which has no spans. Null ids and repeated rows are passed through, one result for each row; other columns
-    are ignored. Patterns look at whole texts.
+    are ignored. Patterns look at whole texts, however long: none repeats a group of variable length, so none recurses
+    with the length of a match. An empty table gives an empty result.
     """
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
     found = rows.withColumns({"assign": _at(F.col("text"), ASSIGN, lambda n: n >= 12), "access": _at(F.col("text"), ACCESS), "hex": _at(F.col("text"), HEX), "candidate": _at(F.col("text"), CANDIDATE)})
