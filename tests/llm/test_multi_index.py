@@ -56,9 +56,7 @@ def test_small_cases(spark):
     assert multi_index(frame(spark, [(0, [1.0, 1.0])])).count() == 0
 
 
-@pytest.mark.parametrize("at", ["sf0.1", "check_s"])
-def test_recall(spark, at):
-    df = spark.read.parquet(f"/root/testdata/{at}/embeddings.parquet")
+def recall(df):
     rows = [(r.vec_id, r.embedding) for r in df.collect()]
     ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows], np.float64)
     x /= np.sqrt((x * x).sum(1, keepdims=True))
@@ -66,8 +64,20 @@ def test_recall(spark, at):
     for q in np.flatnonzero(ids % 50 == 0):
         s = x @ x[q]
         s[q] = -2
-        want = set(ids[np.argsort(-s)[:5]].tolist())
-        hits += len(want & {i for i, _ in got[ids[q]]})
+        hits += len(set(ids[np.argsort(-s)[:5]].tolist()) & {i for i, _ in got[ids[q]]})
         total += 5
-    assert hits / total >= 0.9, hits / total
-    print("recall", at, hits / total)
+    return hits / total
+
+
+def test_recall_on_the_test_table(spark):
+    assert recall(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")) >= 0.9
+
+
+@pytest.mark.parametrize("groups", [0, 60])
+def test_recall_on_made_vectors(spark, groups):
+    """Vectors without any structure, and vectors in groups."""
+    rng = np.random.default_rng(groups)
+    x = rng.standard_normal((6_000, 64))
+    if groups:
+        x = 0.4 * x + rng.standard_normal((groups, 64))[rng.integers(0, groups, len(x))]
+    assert recall(frame(spark, [(i, v.tolist()) for i, v in enumerate(x)])) >= 0.9

@@ -1,5 +1,6 @@
 """Each stage against a plain version over the same rows."""
 
+import os
 import random
 import re
 
@@ -87,3 +88,45 @@ def test_run(spark, inputs, sf):
     ids = [r.doc_id for r in corpus_pipeline.run(spark, inputs).collect()]
     assert 100 < len(ids) < 430
     assert corpus_pipeline.run(spark, sf).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def empty(spark, at, rows=(), labels=(), more=""):
+    docs = spark.createDataFrame(rows, SCHEMA + more)
+    docs.write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    return at
+
+
+def test_empty_tables(spark, tmp_path):
+    assert corpus_pipeline.run(spark, empty(spark, str(tmp_path / "a"))).count() == 0
+    rows = [(i, f"text {i} of some that differ in every word {i}{i}", "en", "s", 1) for i in range(30)]
+    assert corpus_pipeline.run(spark, empty(spark, str(tmp_path / "b"), rows)).count() == 30
+    assert corpus_pipeline.run(spark, empty(spark, str(tmp_path / "c"), [], [(1, 1, 1)])).count() == 0
+
+
+def test_long_texts_and_clashing_columns(spark, tmp_path):
+    rows = [(i, t, "en", "s", 1, 5, "x", 0.5) for i, t in enumerate(["/a1" * 20_000, "é" * 200_000, " ".join(map(str, range(60_000))), " ".join(map(str, range(60_001))), None, "", "short"])]
+    at = empty(spark, str(tmp_path), rows, [(6, 1, 0)], ", uid long, key string, score double")
+    docs = spark.read.parquet(f"{at}/documents.parquet")
+    for name, function in corpus_pipeline.STAGES[:-1]:
+        docs = stage(function(spark, docs, at), "t")
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "uid", "key", "score"], name
+        assert {r.uid for r in docs.collect()} == {5}
+    assert {0, 1, 2, 6} <= {r.doc_id for r in docs.collect()} and {4, 5} - {r.doc_id for r in docs.collect()} == {4}
+    assert {r.doc_id for r in corpus_pipeline.run(spark, at).collect()} == {0, 1, 2, 5, 6}
+
+
+def test_leaves_settings_and_folders_as_they_were(spark, inputs):
+    from tidemark.llm.common import shared_dir
+
+    def state():
+        folder = shared_dir(spark).removeprefix("file:")
+        return dict(spark.conf.getAll), {f for f in os.listdir(folder) if f.startswith("tidemark-")}
+
+    settings, folders = state()
+    corpus_pipeline.run(spark, inputs).collect()
+    after, more = state()
+    assert after == settings
+    # what the lazy result still reads, and the small tables of links and models
+    assert sum(f.startswith("tidemark-pipeline-") for f in more - folders) == 1
+    assert not any(f.split("-")[1] in ("sets", "held", "ordered", "segments", "signatures", "lists", "open", "often") for f in more - folders)

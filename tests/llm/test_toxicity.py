@@ -1,3 +1,5 @@
+import math
+
 from tidemark.llm import toxicity
 from tidemark.llm.queries import op4_toxicity
 
@@ -51,6 +53,47 @@ def test_fit_reads_one_row_of_each_id(spark, monkeypatch):
     assert 0 < sizes["toxicity"] <= 50
 
 
+def plain_score(text, model):
+    """By a loop over all terms at every place of the folded text."""
+    folded, best = toxicity.fold(text or ""), {}
+    for term, weight in model.terms.items():
+        at = folded.find(term)
+        while at >= 0:
+            if weight > best.get(at, 0.0):
+                best[at] = weight
+            at = folded.find(term, at + 1)
+    for phrase in model.exceptions:
+        at = folded.find(phrase)
+        while at >= 0:
+            best.pop(at, None)
+            at = folded.find(phrase, at + 1)
+    bias, a, b = model.logistic
+    f1, f2 = toxicity.features(sum(best.values()), len(folded.split()))
+    return 1 / (1 + math.exp(-max(-30, min(30, bias + a * f1 + b * f2))))
+
+
+def test_scores_match_a_plain_loop_over_terms(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    long = spark.createDataFrame([(10_001, "1d10t " * 60_000), (10_002, "x" * 400_000), (None, None)], "doc_id long, text string")
+    docs = docs.select("doc_id", "text").union(long)
+    at = "/root/testdata/sf0.1"
+    model = toxicity.train(spark.read.parquet(f"{at}/documents.parquet"), spark.read.parquet(f"{at}/labels.parquet"))
+    model.terms |= {" idiot ": 2.5, " idi": 1.0, " th": 0.25}
+    model.exceptions += (" the same ",)
+    assert len(model.terms) > 3
+    for r in toxicity.score(docs, model).collect():
+        assert abs(r.score - plain_score(r.text, model)) < 1e-9, r.doc_id
+    kept = sorted(str(r.doc_id) for r in toxicity.without_toxic(docs, model).collect())
+    assert kept == sorted(str(r.doc_id) for r in docs.collect() if plain_score(r.text, model) < 0.5)
+
+
+def test_every_term_that_passes_is_kept(spark):
+    rows = [(i, " ".join(f"q{j:05d}" for j in range(5_000)) if i % 2 else "a calm and kind day") for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, toxic int"))
+    assert {f" q{j:05d} " for j in range(5_000)} <= {f" {t.strip()} " for t in model.terms} | {t for t in model.terms}
+
+
 def test_held_out_accuracy(spark):
     at = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{at}/labels.parquet").select("doc_id", "toxic")

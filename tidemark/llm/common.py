@@ -145,6 +145,7 @@ def cut(batches: Iterator[pa.RecordBatch], name: str = "text", most: int = SLICE
             offsets = np.frombuffer(values.buffers()[1], np.int64 if values.type in (pa.large_string(), pa.large_binary()) else np.int32)[values.offset : values.offset + len(values) + 1]
             for i, j in slices(offsets.astype(np.int64), most):
                 yield batch.slice(i, j - i)
+    pa.default_memory_pool().release_unused()  # the worker stays for other stages
 
 
 def mix(x: np.ndarray) -> np.ndarray:

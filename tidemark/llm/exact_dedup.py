@@ -1,11 +1,12 @@
 """Exact deduplication by Patricia-trie owners.
 
-Every task first inserts its own rows into compressed radix tries, so that a text with very many copies leaves
-a task once. What is left is dealt out by byte length and content hash, sorted by both inside each partition,
-and inserted again. The key of a string in the trie is its length, its hash and then its bytes: a terminal node
-stores the owner (the largest or smallest identifier) and the count. As rows arrive in key order, the subtree of
-a (length, hash) pair is finished when the next pair begins; it is then written out and dropped, so a worker
-holds one open subtree, whatever the size of the partition. Equality is that of whole byte strings.
+Every task first inserts its own texts into a compressed radix trie, so that a text with very many copies leaves a
+task once. What is left is dealt out by byte length and content hash, and each partition inserts the full byte
+strings of its rows into a trie of its own. Keys are the plain bytes of the texts: edges hold runs of bytes, nodes
+branch where texts part, and a terminal node stores the owner (the largest or smallest identifier) and the count.
+A trie that outgrows its bound gives up a subtree at a time, the smallest one that holds half of it; a text that
+comes again later then has another terminal. Terminals of one text are added up in the end by their digest, of
+which only owners and counts are shuffled.
 """
 
 from __future__ import annotations
@@ -13,55 +14,90 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.common import uid
+from tidemark.llm.common import column, packed, uid
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Bytes of text that a task's first trie may hold; its subtrees are written out beyond that.
-SPILL_BYTES = 8_000_000
+#: Bytes that a task's trie may hold, a node's own share of them, and bytes of text in a batch that a task gives out.
+SPILL_BYTES, NODE_BYTES, OUT_BYTES = 16_000_000, 200, 1_000_000
 
 
 class RadixTrie:
-    """Compressed radix trie over byte strings; each edge holds a whole run of bytes."""
+    """Compressed radix trie over byte strings.
+
+    A node is [edge, children by first byte, terminal or None, bytes held at and below it]; a terminal is [owner, count].
+    """
 
     def __init__(self):
-        self.root: dict[int, list] = {}
-        self.held = 0
+        self.root: list = [b"", {}, None, 0]
+
+    @property
+    def held(self) -> int:
+        return self.root[3]
 
     def insert(self, key: bytes, owner: int | None, count: int, largest: bool) -> None:
-        """A node is [edge bytes, children by first byte, terminal or None]; a terminal is [owner, count]."""
-        children, at = self.root, 0
-        while True:
-            node = children.get(key[at]) if at < len(key) else None
-            if node is None:
-                children[key[at] if at < len(key) else -1] = [key[at:], {}, [owner, count]]
-                self.held += len(key) - at
-                return
-            edge, rest = node[0], len(key) - at
-            if len(edge) <= rest and key.startswith(edge, at):
-                at += len(edge)
+        path, node, at = [self.root], self.root, 0
+        while at < len(key):
+            child = node[1].get(key[at])
+            if child is None:
+                child = [key[at:], {}, None, 0]
+                node[1][key[at]] = child
+                path.append(child)
+                self._grow(path, len(key) - at + NODE_BYTES)
+                at = len(key)
+            elif key.startswith(child[0], at):
+                at += len(child[0])
+                path.append(child)
             else:
+                edge = child[0]
                 same = _common(edge, key, at)
-                node[:] = [edge[:same], {edge[same]: [edge[same:], node[1], node[2]]}, None]
+                child[:] = [edge[:same], {edge[same]: [edge[same:], child[1], child[2], child[3] - same]}, None, child[3]]
+                path.append(child)
+                self._grow(path, NODE_BYTES)
                 at += same
-            if at == len(key):
-                if node[2] is None:
-                    node[2] = [owner, count]
-                else:
-                    node[2][:] = [_own(node[2][0], owner, largest), node[2][1] + count]
-                return
-            children = node[1]
+            node = child
+        if node[2] is None:
+            node[2] = [owner, count]
+        else:
+            node[2][:] = [_own(node[2][0], owner, largest), node[2][1] + count]
+
+    @staticmethod
+    def _grow(path: list[list], size: int) -> None:
+        for node in path:
+            node[3] += size
+
+    def evict(self) -> Iterator[tuple[bytes, int, int]]:
+        """Cuts off the smallest subtree that holds half of all bytes, or else the largest below the root; gives its strings."""
+        path, most = [self.root], self.root[3] / 2
+        while path[-1][1]:
+            child = max(path[-1][1].values(), key=lambda c: c[3])
+            if child[3] < most and len(path) > 1:
+                break
+            path.append(child)
+            if child[3] < most:
+                break
+        node = path.pop()
+        if path:
+            del path[-1][1][node[0][0]]
+            self._grow(path, -node[3])
+        else:
+            self.root = [b"", {}, None, 0]
+        yield from _strings(b"".join(n[0] for n in path), node)
 
     def items(self) -> Iterator[tuple[bytes, int, int]]:
         """Every string with its owner and count, subtree by subtree."""
-        stack = [(b"", node) for node in self.root.values()]
-        while stack:
-            before, (edge, children, end) = stack.pop()
-            if end is not None:
-                yield before + edge, end[0], end[1]
-            stack += [(before + edge, node) for node in children.values()]
+        yield from _strings(b"", self.root)
+
+
+def _strings(before: bytes, node: list) -> Iterator[tuple[bytes, int, int]]:
+    stack = [(before, node)]
+    while stack:
+        before, (edge, children, end, _) = stack.pop()
+        if end is not None:
+            yield before + edge, end[0], end[1]
+        stack += [(before + edge, child) for child in children.values()]
 
 
 def _own(a, b, largest: bool):
@@ -82,50 +118,47 @@ def _common(edge: bytes, key: bytes, at: int) -> int:
     return low
 
 
-def _key(size: int, digest: int, text: str) -> bytes:
-    return size.to_bytes(8, "big") + digest.to_bytes(8, "big", signed=True) + text.encode()
+def _terminals(batches: Iterator[pa.RecordBatch], largest: bool, spill: int) -> Iterator[tuple[bytes, int, int]]:
+    """The strings of a task's rows (text, owner, count): those of evicted subtrees as they go, the others in the end."""
+    trie = RadixTrie()
+    for batch in batches:
+        buf, offsets = packed(column(batch, "text"))
+        ends = offsets.tolist()
+        for i, (owner, count) in enumerate(zip(column(batch, "owner").to_pylist(), column(batch, "count").to_pylist(), strict=True)):
+            trie.insert(buf[ends[i] : ends[i + 1]].tobytes(), owner, count, largest)
+            while trie.held > spill:
+                yield from trie.evict()
+    yield from trie.items()
 
 
-def _combine(largest: bool):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        trie = RadixTrie()
+def _batches(rows: Iterator[tuple], size_of, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows in batches of about OUT_BYTES, as size_of counts them."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += size_of(row)
+        if size > OUT_BYTES:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
 
-        def spill():
-            rows = [(int.from_bytes(k[:8], "big"), int.from_bytes(k[8:16], "big", signed=True), k[16:].decode(), o, c) for k, o, c in trie.items()]
-            return pd.DataFrame(rows, columns=["size", "digest", "text", "owner", "count"]).astype({"owner": "Int64"})
 
-        for frame in frames:
-            for size, digest, text, owner in zip(frame["size"], frame["digest"], frame["text"], frame["owner"].astype(object), strict=True):
-                trie.insert(_key(size, digest, text), None if pd.isna(owner) else int(owner), 1, largest)
-                if trie.held > SPILL_BYTES:
-                    yield spill()
-                    trie = RadixTrie()
-        if trie.root:
-            yield spill()
+def _combine(largest: bool, spill: int):
+    schema = pa.schema([("text", pa.string()), ("owner", pa.int64()), ("count", pa.int64())])
 
-    return run
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _batches(_terminals(batches, largest, spill), lambda r: len(r[0]) + 16, schema)
 
+    return run
 
-def _owners(largest: bool):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        open_key, trie, rows = None, RadixTrie(), []
-
-        def close():
-            rows.extend((int.from_bytes(k[:8], "big"), int.from_bytes(k[8:16], "big", signed=True), hashlib.sha256(k[16:]).hexdigest(), o, c) for k, o, c in trie.items())
 
-        def out():
-            return pd.DataFrame(rows, columns=["size", "digest", "text_sha256", "owner", "group_size"]).astype({"owner": "Int64"})
+def _owners(largest: bool, spill: int):
+    schema = pa.schema([("text_sha256", pa.string()), ("owner", pa.int64()), ("count", pa.int64())])
 
-        for frame in frames:
-            for size, digest, text, owner, count in zip(frame["size"], frame["digest"], frame["text"], frame["owner"].astype(object), frame["count"], strict=True):
-                if (size, digest) != open_key:
-                    close()
-                    open_key, trie = (size, digest), RadixTrie()
-                trie.insert(_key(size, digest, text), None if pd.isna(owner) else int(owner), count, largest)
-            yield out()
-            rows = []
-        close()
-        yield out()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = ((hashlib.sha256(text).hexdigest(), owner, count) for text, owner, count in _terminals(batches, largest, spill))
+        yield from _batches(found, lambda r: 80, schema)
 
     return run
 
@@ -135,16 +168,16 @@ def normalise(text):
     return F.translate(F.coalesce(text.cast("string"), F.lit("")), UPPER, LOWER)
 
 
-def owners(docs: DataFrame, largest: bool = True) -> DataFrame:
-    """One row for each distinct normalised text: size, digest, text_sha256, owner, group_size."""
-    text = normalise(docs["text"])
-    rows = docs.select(F.octet_length(text).cast("long").alias("size"), F.xxhash64(text).alias("digest"), text.alias("text"), docs["doc_id"].cast("long").alias("owner"))
-    local = rows.mapInPandas(_combine(largest), "size long, digest long, text string, owner long, count long")
-    dealt = local.repartition("size", "digest").sortWithinPartitions("size", "digest")
-    return dealt.mapInPandas(_owners(largest), "size long, digest long, text_sha256 string, owner long, group_size long")
+def owners(docs: DataFrame, largest: bool = True, spill: int = SPILL_BYTES) -> DataFrame:
+    """One row for each distinct normalised text: text_sha256, owner, group_size."""
+    rows = docs.select(normalise(docs["text"]).alias("text"), docs["doc_id"].cast("long").alias("owner"), F.lit(1).cast("long").alias("count"))
+    local = rows.mapInArrow(_combine(largest, spill), "text string, owner long, count long")
+    dealt = local.repartition(F.octet_length("text"), F.xxhash64("text"))
+    found = dealt.mapInArrow(_owners(largest, spill), "text_sha256 string, owner long, count long")
+    return found.groupBy("text_sha256").agg((F.max if largest else F.min)("owner").alias("owner"), F.sum("count").alias("group_size"))
 
 
-def exact_dedup(docs: DataFrame, keep: str = "largest") -> DataFrame:
+def exact_dedup(docs: DataFrame, keep: str = "largest", spill: int = SPILL_BYTES) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 and uid of every row of docs (doc_id, text).
 
     Rows are equal when their texts are identical after lower-casing A-Z. keep: whether the row with the largest
@@ -152,7 +185,8 @@ def exact_dedup(docs: DataFrame, keep: str = "largest") -> DataFrame:
     null doc_id counts in its group but is never chosen over another; if all ids of a group are null, keep_id is
     null and all of its rows stay. Rows that repeat the chosen doc_id are all marked as kept; uid (see
     `common.documents`) tells those apart that differ. Other columns are ignored; an empty table gives an empty result.
+    A text longer than `spill` is inserted and evicted like any other, so it needs memory for itself.
     """
-    found = owners(docs, keep == "largest").select("text_sha256", F.col("owner").alias("keep_id"), "group_size")
+    found = owners(docs, keep == "largest", spill).select("text_sha256", F.col("owner").alias("keep_id"), "group_size")
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), uid(docs).alias("uid"), F.sha2(normalise(docs["text"]).cast("binary"), 256).alias("text_sha256"))
     return rows.join(found, "text_sha256").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "uid")

@@ -190,7 +190,8 @@ def _rest(lists: DataFrame, signatures: DataFrame, checked: DataFrame, links: Da
 
     Of the pairs between the same two components the likeliest goes first: if it links, the others need no look.
     """
-    lists = stage(lists.join(signatures, "cid"), "signed")
+    unsigned, lists = lists, stage(lists.join(signatures, "cid"), "signed")
+    release(unsigned)
     outer = lists.where("comp <> big").select("h", _salts(), *[F.col(c).alias(f"other_{c}") for c in ("n", "i", "comp", "bits")], F.col("cid").alias("other"))
     apart = (F.col("comp") != F.col("other_comp")) & ((F.col("comp") == F.col("big")) | (F.col("cid") < F.col("other")))
     rows = lists.join(outer.hint("merge"), ["h", "salt"]).where(apart & _near(per_cent)).withColumn("d", _differ()).withColumn("other_d", F.col("d"))
@@ -257,6 +258,7 @@ def ngram_join(docs: DataFrame, k: int = WORDS, per_cent: int = PER_CENT, fragme
         lists = _labelled(postings, comp)
         load = lists.select("h", "all", "most").distinct().agg(F.sum(F.col("all") - F.col("most")).alias("rows"), F.sum((F.col("all") - F.col("most")) * F.col("all")).alias("pairs")).first()
         if not load["rows"]:
+            release(lists)
             break
         if r > 0 and (r == stars or load["pairs"] <= 8 * load["rows"]):
             comp = _rest(lists, signatures, checked, links, segments, per_cent)

@@ -13,23 +13,24 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.llm.common import one_of_each, stage
+from tidemark.llm.common import column, cut, one_of_each, stage
 
-#: Labelled rows that the fit reads at most (those of least hash), and terms and exceptions that a lexicon holds at most.
-FIT_ROWS, LEXICON, EXCEPTIONS = 20_000, 3_000, 1_000
+#: Labelled rows that the fit reads at most (those of least hash); what it learns is bounded by their words alone.
+FIT_ROWS = 20_000
 #: Lengths of the beginnings of words that are tried as terms, besides whole words.
 STEMS = (4, 5, 6)
 LEAST_WEIGHT = 2.0
 
 #: Letters that look like Latin ones (Cyrillic, Greek, full width aside), and digits and signs read as letters.
-HOMOGLYPHS = dict(zip("абвгеіјкмнорстухѕһԁԛԝαβγεηικνορτυχω", "a6breijkmhopctyxshdqwabyenikvoptuxw", strict=True)) | {"б": "b", "в": "b", "г": "r", "н": "h"}
+HOMOGLYPHS = dict(zip("авгеіјкмнорстухѕһԁԛԝбαβγεηικνορτυχω", "abreijkmhopctyxshdqwbabyenikvoptuxw", strict=True))
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s"}
 
 
@@ -171,7 +172,8 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model
     """The lexicon and its logistic, from rows of docs that labels (doc_id, toxic) marks and that are not held out.
 
     At most fit_rows labelled rows are read, those with the least hash of doc_id, one of each id. Null labels, ids and texts are
-    left out, and of an id with more labels the largest counts. Without both kinds of labels the lexicon is empty.
+    left out, and of an id with more labels the largest counts. Without both kinds of labels, as with empty tables, the
+    lexicon is empty. Every term and phrase that passes its test is kept, so ties need no order.
     """
     marked = labels.where(labels["doc_id"].isNotNull() & labels["toxic"].isNotNull() & ~held_out(labels["doc_id"]))
     marked = marked.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
@@ -184,10 +186,10 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model
     counts = stage(sample.mapInPandas(_terms, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")), "terms")
     weight, llr = _rate(F.col("toxic"), F.col("clean"), n_toxic, n_clean)
     least = math.log(max(counts.count(), 2)) + 2.0
-    chosen = counts.where((weight >= LEAST_WEIGHT) & (llr >= least)).select("term", weight.alias("weight")).orderBy(llr.desc(), "term").limit(LEXICON).collect()
+    chosen = counts.where((weight >= LEAST_WEIGHT) & (llr >= least)).select("term", weight.alias("weight")).orderBy("term").collect()
     terms = {r.term: r.weight for r in chosen}
     phrases = sample.mapInPandas(_phrases(terms), "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    phrases = phrases.where((F.col("clean") >= 3) & (weight <= -0.5)).orderBy(F.desc("clean"), "term").limit(EXCEPTIONS)
+    phrases = phrases.where((F.col("clean") >= 3) & (weight <= -0.5)).orderBy("term")
     model = Model(terms, tuple(r.term for r in phrases.collect()))
     table = sample.mapInPandas(_features(model), "toxic int, f1 double, f2 double").toPandas()  # fit_rows rows at most
     table = table.sort_values(["f1", "f2", "toxic"])
@@ -196,35 +198,45 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model
     return model
 
 
-def scorer(model: Model):
-    """A function of a text column: its score, from 0 to 1. Null counts as empty."""
+def scores(texts: Iterable[str | None], model: Model, automaton) -> np.ndarray:
+    """The score of each text, from 0 to 1. Null counts as empty."""
     bias, a, b = model.logistic
+    z = []
+    for text in texts:
+        folded = fold(text or "")
+        found = hits(automaton, folded)
+        f1, f2 = features(sum(w for _, w in found), len(folded.split()) if found else 0)
+        z.append(bias + a * f1 + b * f2)
+    return 1 / (1 + np.exp(-np.clip(np.array(z, float), -30, 30)))
 
-    @F.pandas_udf("double")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+
+def _scored(model: Model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = model.automaton()
-        for texts in batches:
-            z = []
-            for text in texts:
-                folded = fold(text or "")
-                found = hits(automaton, folded)
-                f1, f2 = features(sum(w for _, w in found), len(folded.split()) if found else 0)
-                z.append(bias + a * f1 + b * f2)
-            yield pd.Series(1 / (1 + np.exp(-np.clip(np.array(z, float), -30, 30))))
+        for batch in cut(batches):
+            yield batch.append_column("score", pa.array(scores(column(batch, "text").to_pylist(), model, automaton), pa.float64()))
 
     return run
 
 
-def predicted(text: Column, model: Model) -> Column:
-    """1 where a text scores 0.5 or more, else 0."""
-    return (scorer(model)(text.cast("string")) >= 0.5).cast("int")
+def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs (with a column text) that are not predicted to be toxic, all columns as they are."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = model.automaton()
+        for batch in cut(batches):
+            yield batch.filter(pa.array(scores(batch.column(at).to_pylist(), model, automaton) < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, text, score (0 to 1) and predicted (1 from 0.5 on) of every row of docs (doc_id, text).
 
-    A null text is scored as an empty one; null ids and repeated rows are passed through; other columns are ignored.
+    A null text is scored as an empty one; null ids and repeated rows are passed through; other columns are ignored,
+    whatever their names. Texts are read whole, however long; an empty table gives an empty result.
     """
-    text = docs["text"].cast("string")
-    found = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text.alias("text"), scorer(model)(text).alias("score"))
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
+    found = rows.mapInArrow(_scored(model), "doc_id long, text string, score double")
     return found.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
