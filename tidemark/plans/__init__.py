@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from tidemark.plans import distributions, evaluation, market, products, reports, snapshots, state, tables
+from tidemark.plans import clv, distributions, evaluation, gates, market, parsing, products, reports, snapshots, state, stats, tables, timing
 
-QUERIES = {name: q for m in (snapshots, tables, state, market, distributions, evaluation, products, reports) for name, q in m.QUERIES.items()}
-ORACLE_SQL = {name: q for m in (snapshots, tables, state, market, distributions, evaluation, products, reports) for name, q in m.ORACLE_SQL.items()}
+MODULES = (snapshots, tables, state, market, distributions, evaluation, products, reports, parsing, clv, timing, stats, gates)
+QUERIES = {name: q for m in MODULES for name, q in m.QUERIES.items()}
+ORACLE_SQL = {name: q for m in MODULES for name, q in m.ORACLE_SQL.items()}
