@@ -17,8 +17,9 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from tidemark.llm.common import Words, lower_ascii, one_of_each, packed, slices, stage
+from tidemark.llm.common import Words, cut, lower_ascii, one_of_each, packed, slices, stage
 
 #: Labelled rows that the classifier is fitted on at most (those of least hash); buckets of its word counts.
 FIT_ROWS, BUCKETS = 20_000, 1 << 14
@@ -128,20 +129,22 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Class
     return model
 
 
-def membership(model: Classifier):
-    """A function of a text column: struct of n_tokens (words) and posterior (one number for each domain). Null counts as empty."""
+def scored(docs: DataFrame, model: Classifier, text: str, names: tuple[str, str] = ("n_tokens", "posterior")) -> DataFrame:
+    """docs with two more columns: n_tokens (words of its column `text`) and posterior (one number for each domain). A null text counts as empty."""
+    at = docs.columns.index(text)
 
-    @F.pandas_udf("n_tokens long, posterior array<double>")
-    def run(texts: pd.Series) -> pd.DataFrame:
-        n, p = [], []
-        for words, measures, scores in _read(pa.array(texts, pa.string()), model.table):
-            n.append(words.count)
-            p.append(model.posterior(np.column_stack([measures, scores])))
-        if not n:
-            return pd.DataFrame({"n_tokens": np.zeros(0, np.int64), "posterior": []})
-        return pd.DataFrame({"n_tokens": np.concatenate(n), "posterior": list(np.concatenate(p))})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in cut(batches, text):
+            n, p = [], []
+            for words, measures, scores in _read(batch.column(at), model.table):
+                n.append(words.count)
+                p.append(model.posterior(np.column_stack([measures, scores])))
+            flat = np.concatenate(p).ravel()
+            each = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, len(model.domains), dtype=np.int32)), pa.array(flat))
+            yield batch.append_column(names[0], pa.array(np.concatenate(n).astype(np.int64))).append_column(names[1], each)
 
-    return run
+    schema = StructType([*docs.schema.fields, StructField(names[0], LongType()), StructField(names[1], ArrayType(DoubleType()))])
+    return docs.mapInArrow(run, schema)
 
 
 def rate_of(posterior: Column, steps: list[list[float]], most: float = MOST) -> Column:
@@ -153,46 +156,51 @@ def rate_of(posterior: Column, steps: list[list[float]], most: float = MOST) ->
     return F.aggregate(table, F.lit(1.0), lambda r, s: F.least(F.lit(most), F.greatest(F.lit(0.0), r - move(s))))
 
 
-def fit_rates(members: DataFrame, targets: list[float], most: float = MOST, steps: int = STEPS, close: float = CLOSE) -> list[list[float]]:
-    """Steps of projected gradient for members (n_tokens, posterior); targets: the share of the words each domain is to have.
+def fit_rates(members: DataFrame, targets: list[float], most: float = MOST, steps: int = STEPS, close: float = CLOSE) -> tuple[list[list[float]], list[float]]:
+    """Steps of projected gradient for members (n_tokens, posterior), and what is left of each domain's relative error after
+    them; targets: the share of the words each domain is to have.
 
     Minimises (S - T)' G^-1 (S - T) over the rates: S are the expected totals, the targets T add up to all words there
     are, and G is the sum of t_d p_d p_d', which makes one step enough where no rate meets a bound. A domain with
-    target 0 gets a target of a millionth instead. Without words there are no steps.
+    target 0 gets a target of a millionth instead. Without words there are no steps. Targets that rates in [0, most]
+    cannot meet leave a residual beyond `close`.
     """
     k = len(targets)
     p = [F.get("posterior", F.lit(i)) for i in range(k)]
     t = F.col("n_tokens").cast("double")
     first = members.agg(F.sum(t).alias("n"), *[F.sum(t * p[i] * p[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)]).first()
     if not first["n"]:
-        return []
+        return [], [0.0] * k
     share = np.maximum(np.array(targets, float), 0)
     share = np.maximum(share / share.sum(), 1e-6)
     want = share / share.sum() * first["n"]
     weight = np.array([[first[f"g{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
     weight = np.linalg.inv(weight + np.eye(k) * 1e-9 * np.trace(weight))
     out: list[list[float]] = []
-    for _ in range(steps):
+    while True:
         rate = members.withColumn("rate", rate_of(F.col("posterior"), out, most))
         total = np.array(rate.agg(*[F.sum(F.col("rate") * t * p[i]).alias(f"s{i}") for i in range(k)]).first(), float)
-        if np.abs((total - want) / want).max() < close:
-            break
+        left = (total - want) / want
+        if np.abs(left).max() < close or len(out) == steps:
+            return out, left.tolist()
         out.append((weight @ (total - want)).tolist())
-    return out
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], most: float = MOST) -> DataFrame:
-    """doc_id, n_tokens, domains, posterior and rate of every row of docs (doc_id, text).
+    """doc_id, n_tokens, domains, posterior, rate and residual of every row of docs (doc_id, text).
 
     labels: doc_id and domain of some rows. targets: the share of the words of each domain; a domain that is not
-    named gets none, one without labelled rows is left out, and if none is left all shares are equal. A null text is
-    an empty one and has no words; its rate moves nothing. Null and repeated ids are rows like others.
+    named gets none, one without labelled rows is left out, and if none is left all shares are equal. residual: of each
+    domain, how far its expected total is from its target, relative to that; the same in all rows. A null text is
+    an empty one and has no words; its rate moves nothing. Null and repeated ids are rows like others; other columns of
+    docs are ignored. Texts are read whole, however long; an empty table gives an empty result.
     """
     model = train(docs, labels)
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), membership(model)(docs["text"].cast("string")).alias("m"))
-    members = stage(rows.select("doc_id", "m.n_tokens", "m.posterior"), "members")
-    steps = fit_rates(members, _shares(model, targets), most)
-    return members.select("doc_id", "n_tokens", F.array(*map(F.lit, model.domains)).alias("domains"), "posterior", rate_of(F.col("posterior"), steps, most).alias("rate"))
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
+    members = stage(scored(rows, model, "text").drop("text"), "members")
+    steps, residual = fit_rates(members, _shares(model, targets), most)
+    domains, left = F.array(*map(F.lit, model.domains)), F.array(*map(F.lit, residual))
+    return members.select("doc_id", "n_tokens", domains.alias("domains"), "posterior", rate_of(F.col("posterior"), steps, most).alias("rate"), left.alias("residual"))
 
 
 def _shares(model: Classifier, targets: dict[str, float]) -> list[float]:
@@ -207,11 +215,10 @@ def resample(docs: DataFrame, labels: DataFrame, targets: dict[str, float], most
     both fare alike. Labels as in `mix`.
     """
     model = train(docs, labels)
-    score = membership(model)
-    members = stage(docs.select(score(docs["text"].cast("string")).alias("m")).select("m.n_tokens", "m.posterior"), "members")
-    steps = fit_rates(members, _shares(model, targets), most)
-    names = docs.columns
-    chance = F.pmod(F.xxhash64(docs["doc_id"], docs["text"]), F.lit(1 << 30)) / float(1 << 30)
-    rated = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), chance.alias("chance"), score(docs["text"].cast("string")).alias("m"))
-    times = F.floor(rate_of(F.col("m.posterior"), steps, most) + F.col("chance")).cast("int")
-    return rated.withColumn("times", times).where("times > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
+    names, width = docs.columns, "_" * max(map(len, docs.columns))
+    n_tokens, posterior, chance = (f"{x}{width}" for x in ("n", "p", "chance"))
+    rated = stage(scored(docs, model, "text", (n_tokens, posterior)), "scored")
+    steps, _ = fit_rates(rated.select(F.col(n_tokens).alias("n_tokens"), F.col(posterior).alias("posterior")), _shares(model, targets), most)
+    part = F.pmod(F.xxhash64(rated["doc_id"], rated["text"]), F.lit(1 << 30)) / float(1 << 30)
+    times = F.floor(rate_of(F.col(posterior), steps, most) + part).cast("int")
+    return rated.withColumn(chance, times).where(F.col(chance) > 0).select(*names, F.explode(F.sequence(F.lit(1), F.col(chance))).alias(chance)).drop(chance)
