@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tidemark.functions.scoring import bin_of, brier, log_loss
+from tidemark.functions.scoring import bin_of, brier, clipped, log_loss
 
 
 def benchmark(df: DataFrame, slices: list[str], model: str = "p", market: str = "q", outcome: str = "y") -> DataFrame:
@@ -22,11 +22,31 @@ def reliability(df: DataFrame, p: str = "p", y: str = "y", bins: int = 10) -> Da
 
 
 def calibration_error(df: DataFrame, p: str = "p", y: str = "y", bins: int = 10) -> DataFrame:
-    """Mean gap between probability and rate over the bins, weighted by rows."""
-    r = reliability(df, p, y, bins)
+    """Mean gap between clipped probability and rate over the bins, weighted by rows."""
+    r = reliability(df.withColumn(p, clipped(F.col(p))), p, y, bins)
     return r.agg((F.sum(F.abs(F.col("mean_p") - F.col("rate")) * F.col("n")) / F.sum("n")).alias("ece"))
 
 
+def calibration_errors(df: DataFrame, slices: list[str], model: str = "p", market: str = "q", outcome: str = "y", bins: int = 10) -> DataFrame:
+    """ece_model and ece_market over all rows and by each slice (with the slice number of `benchmark`), in two aggregates."""
+    each = F.array(*[F.struct(F.lit(n).alias("_name"), clipped(F.col(c)).alias("_p")) for n, c in (("model", model), ("market", market))])
+    rows = df.where(F.col(model).isNotNull() & F.col(market).isNotNull() & F.col(outcome).isNotNull()).select(*slices, F.col(outcome).alias("_y"), F.inline(each))
+    rows = rows.withColumn("_bin", bin_of(F.col("_p"), bins))
+    sets = [[F.col("_name"), F.col("_bin")], *[[F.col(s), F.col("_name"), F.col("_bin")] for s in slices]]
+    binned = rows.groupingSets(sets, *map(F.col, slices), F.col("_name"), F.col("_bin")).agg(F.shiftright(F.grouping_id(), 2).alias("slice"), F.count("*").alias("_n"), F.abs(F.sum("_p") - F.sum("_y")).alias("_gap"))
+    ece = lambda name: (F.sum(F.when(F.col("_name") == name, F.col("_gap"))) / F.sum(F.when(F.col("_name") == name, F.col("_n")))).alias(f"ece_{name}")
+    return binned.groupBy("slice", *slices).agg(ece("model"), ece("market"))
+
+
+def full_benchmark(df: DataFrame, slices: list[str], model: str = "p", market: str = "q", outcome: str = "y") -> DataFrame:
+    """`benchmark` with ece_model and ece_market; slices are few rows, joined null-safely."""
+    left, right = benchmark(df, slices, model, market, outcome), calibration_errors(df, slices, model, market, outcome)
+    on = left["slice"] == right["slice"]
+    for s in slices:
+        on &= left[s].eqNullSafe(right[s])
+    return left.join(right, on).select(*[left[c] for c in left.columns], "ece_model", "ece_market")
+
+
 def sample_crps(df: DataFrame, group: list[str], value: str, actual: str) -> DataFrame:
     """CRPS of a sample against the group's actual value, by the sorted-sample identity."""
     w = Window.partitionBy(*group)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from tidemark.operators.gates import superiority_reasons
 from tidemark.sources.tables import content_hash
 
 
@@ -28,9 +29,10 @@ def missing_grid(rows: DataFrame, entity: list[str], axis: str) -> DataFrame:
     return have.crossJoin(F.broadcast(size)).where("_n < _all").select(*entity, (F.col("_all") - F.col("_n")).alias("n_missing"))
 
 
-def promotion(benchmark: DataFrame, least_rows: int, tolerance: float) -> DataFrame:
-    """benchmark with promoted: enough rows, and the model no worse than the market by log loss and, within tolerance, by Brier score."""
-    return benchmark.withColumn("promoted", (F.col("n") >= least_rows) & (F.col("log_loss_model") <= F.col("log_loss_market")) & (F.col("brier_model") <= F.col("brier_market") + tolerance))
+def promotion(benchmark: DataFrame, least_rows: int = 500, tolerance: float = 0.01) -> DataFrame:
+    """benchmark (with ece_model and ece_market) with reasons against a promotion, and promoted where there are none."""
+    rows = benchmark.withColumn("reasons", superiority_reasons(least_rows, tolerance))
+    return rows.withColumn("promoted", F.size("reasons") == 0)
 
 
 def leaks(rows: DataFrame, cutoff: str, clocks: list[str]) -> DataFrame:

@@ -64,9 +64,14 @@ def threshold_grid(spark, sf_dir):
     return D.thresholds(_draws(spark, sf_dir), GROUP, "x", CATALOG).withColumn("p_hit", rounded("p_hit"))
 
 
-@R.add(f"SELECT {G}, 0 AS threshold, 0.0::DOUBLE AS p_hit, 0.0::DOUBLE AS before FROM lineitem WHERE false")
+@R.add(f"""
+    WITH g AS (SELECT {G}, t AS threshold, avg((l_quantity::INT >= t)::INT) + any_value(CASE WHEN t = 30 THEN 0.3 ELSE 0 END) AS p_hit FROM lineitem, (SELECT unnest([{", ".join(map(str, CATALOG))}]) AS t) GROUP BY ALL),
+         b AS (SELECT *, lag(p_hit) OVER (PARTITION BY {G} ORDER BY threshold) AS before FROM g)
+    SELECT {G}, threshold, round(p_hit, 6) AS p_hit, round(before, 6) AS before FROM b WHERE p_hit > before""")
 def threshold_violations(spark, sf_dir):
-    return D.rising(D.thresholds(_draws(spark, sf_dir), GROUP, "x", CATALOG), GROUP)
+    """A grid with a threshold whose probability was raised by 0.3."""
+    grid = D.thresholds(_draws(spark, sf_dir), GROUP, "x", CATALOG).withColumn("p_hit", F.col("p_hit") + F.when(F.col("threshold") == 30, 0.3).otherwise(0.0))
+    return D.rising(grid, GROUP).select(*GROUP, "threshold", rounded("p_hit").alias("p_hit"), rounded("before").alias("before"))
 
 
 @R.add("SELECT l_orderkey, l_linenumber, round(coalesce((l_quantity - avg(l_quantity) OVER w) / nullif(stddev_pop(l_quantity) OVER w, 0), 0), 5) AS z FROM lineitem WINDOW w AS (PARTITION BY l_orderkey)")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import odds
 from tidemark.operators import evaluation, pit
+from tidemark.operators.clv import line_units
 from tidemark.plans.common import Registry, rounded, table
 
 R = Registry()
@@ -75,11 +76,12 @@ def _close(spark, sf_dir):
 
 @R.add(f"""
     WITH {CLOSE}, e AS (SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey % 20 AS prop, l_quantity AS line FROM lineitem)
-    SELECT l_orderkey, l_linenumber, CASE WHEN n_variants = 1 THEN q - line END AS line_value, n_variants IS NULL OR n_variants > 1 AS closing_line_missing, coalesce(n_variants = 1 AND abs(q - line) <= 1e-12, false) AS same_line FROM e LEFT JOIN c USING (l_suppkey, prop)""")
+    SELECT l_orderkey, l_linenumber, CASE WHEN n_variants = 1 THEN CASE WHEN l_linenumber % 3 = 1 THEN line - q ELSE q - line END END AS line_value, n_variants IS NULL OR n_variants > 1 AS closing_line_missing, coalesce(n_variants = 1 AND abs(q - line) <= 1e-12, false) AS same_line FROM e LEFT JOIN c USING (l_suppkey, prop)""")
 def closing_line_value(spark, sf_dir):
     entry = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", (F.col("l_partkey") % 20).alias("prop"), F.col("l_quantity").alias("line"))
     joined = entry.join(_close(spark, sf_dir).select("l_suppkey", "prop", F.col("l_quantity").alias("close")), ["l_suppkey", "prop"], "left")
-    return joined.select("l_orderkey", "l_linenumber", (F.col("close") - F.col("line")).alias("line_value"), F.col("close").isNull().alias("closing_line_missing"), F.coalesce(odds.same_line(F.col("close"), F.col("line")), F.lit(False)).alias("same_line"))
+    moved = line_units(F.when(F.col("l_linenumber") % 3 == 1, "UNDER").otherwise("OVER"), F.col("line"), F.col("close"))
+    return joined.select("l_orderkey", "l_linenumber", moved.alias("line_value"), F.col("close").isNull().alias("closing_line_missing"), F.coalesce(odds.same_line(F.col("close"), F.col("line")), F.lit(False)).alias("same_line"))
 
 
 SETTLED = f"""s AS (SELECT *, CASE WHEN l_linenumber % 3 = 0 THEN 'OVER' WHEN l_linenumber % 3 = 1 THEN 'UNDER' ELSE 'HIT' END AS side FROM q),

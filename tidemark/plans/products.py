@@ -51,31 +51,50 @@ def walk_forward_folds(spark, sf_dir):
     return C.walk_forward(rows, "season").groupBy("fold", "role").agg(F.count("*").alias("n"), F.round(F.avg("o_totalprice"), 4).alias("mean"))
 
 
+BENCHMARK = """
+    c AS (SELECT lang, y, p, q, 0 AS one FROM f),
+    g AS (SELECT lang, grouping(lang) AS slice, count(*) AS n, avg((p - y) ** 2) AS bm, avg((q - y) ** 2) AS bq, -avg(y * ln(p) + (1 - y) * ln(1 - p)) AS lm, -avg(y * ln(q) + (1 - y) * ln(1 - q)) AS lq FROM c GROUP BY GROUPING SETS ((), (lang))),
+    m AS (SELECT lang, slice, sum(gap) / sum(k) AS em FROM (SELECT lang, grouping(lang) AS slice, least(floor(p * 10), 9) AS b, count(*) AS k, abs(sum(p) - sum(y)) AS gap FROM c GROUP BY GROUPING SETS ((least(floor(p * 10), 9)), (lang, least(floor(p * 10), 9)))) GROUP BY 1, 2),
+    w AS (SELECT lang, slice, sum(gap) / sum(k) AS eq FROM (SELECT lang, grouping(lang) AS slice, least(floor(q * 10), 9) AS b, count(*) AS k, abs(sum(q) - sum(y)) AS gap FROM c GROUP BY GROUPING SETS ((least(floor(q * 10), 9)), (lang, least(floor(q * 10), 9)))) GROUP BY 1, 2),
+    b AS (SELECT g.*, em, eq FROM g JOIN m ON g.slice = m.slice AND g.lang IS NOT DISTINCT FROM m.lang JOIN w ON g.slice = w.slice AND g.lang IS NOT DISTINCT FROM w.lang)"""
+
+
 @R.add(f"""
-    WITH {FORECASTS}, g AS (SELECT lang, count(*) AS n, avg((p - y) ** 2) AS bm, avg((q - y) ** 2) AS bq, -avg(y * ln(p) + (1 - y) * ln(1 - p)) AS lm, -avg(y * ln(q) + (1 - y) * ln(1 - q)) AS lq FROM f GROUP BY GROUPING SETS ((), (lang)))
-    SELECT lang, n, n >= 50 AND lm <= lq AND bm <= bq + 0.01 AS promoted FROM g""")
+    WITH {FORECASTS}, {BENCHMARK}
+    SELECT lang, n, round(em, 6) AS ece_model, round(eq, 6) AS ece_market, n >= 500 AND lm < lq AND bm < bq AND em <= eq + 0.01 AS promoted,
+        concat_ws(', ', CASE WHEN n < 500 THEN 'sample too small' END, CASE WHEN lm >= lq THEN 'log loss not better' END, CASE WHEN bm >= bq THEN 'Brier score not better' END, CASE WHEN em > eq + 0.01 THEN 'calibration error worse' END) AS reasons FROM b""")
 def promotion_gate(spark, sf_dir):
-    return P.promotion(E.benchmark(_forecasts(spark, sf_dir), ["lang"]), 50, 0.01).select("lang", "n", "promoted")
+    """Both scores strictly better, 500 rows, and calibration no worse than 0.01 beyond the market's."""
+    out = P.promotion(E.full_benchmark(_forecasts(spark, sf_dir), ["lang"]))
+    return out.select("lang", "n", rounded("ece_model").alias("ece_model"), rounded("ece_market").alias("ece_market"), "promoted", F.concat_ws(", ", "reasons").alias("reasons"))
+
 
+HASHED = """
+    j AS (SELECT l_orderkey AS run, sha256(json_object('l_linenumber', l_linenumber, 'l_partkey', l_partkey, 'l_returnflag', l_returnflag)::VARCHAR) AS h FROM {rows}),
+    s AS (SELECT run, count(*) AS n_rows, sum(('0x' || substr(h, 1, 15))::BIGINT::DECIMAL(38,0)) AS a, sum(('0x' || substr(h, 16, 15))::BIGINT::DECIMAL(38,0)) AS b FROM j GROUP BY 1)"""
+CONTENT = ["l_linenumber", "l_partkey", "l_returnflag"]
 
-@R.add("SELECT o_orderkey AS run, count(*) AS n_rows FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1")
+
+@R.add(f"WITH {HASHED.format(rows='lineitem')} SELECT run, n_rows, sha256(concat_ws('|', n_rows, a, b)) AS content_hash FROM s")
 def product_headers(spark, sf_dir):
-    """The header of each run and its hash; the hash is the same however the rows are dealt out, which tests hold."""
-    rows = table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "run")
-    return P.header(rows, "run", ["l_linenumber", "l_partkey", "l_quantity"]).select("run", "n_rows")
+    """The header of each run and its hash, the same however the rows are dealt out."""
+    return P.header(table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "run"), "run", CONTENT)
 
 
-@R.add("SELECT 0::BIGINT AS run, 0::BIGINT AS n_rows FROM orders WHERE false")
+@R.add("SELECT l_orderkey AS run, count(*) AS n_rows FROM lineitem GROUP BY 1 HAVING count(*) FILTER (WHERE l_quantity = 50) > 0")
 def product_conflicts(spark, sf_dir):
-    """A product that is stored and comes again unchanged is no conflict."""
+    """Runs that are stored and come again with another row; those that come again unchanged are no conflict."""
     rows = table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "run")
-    content = ["l_linenumber", "l_partkey", "l_quantity"]
-    return P.conflicts(P.header(rows, "run", content), P.header(rows.repartition("l_partkey"), "run", content), "run").select("run", "n_rows")
+    again = rows.repartition("l_partkey").withColumn("l_partkey", F.when(F.col("l_quantity") == 50, -1).otherwise(F.col("l_partkey")))
+    return P.conflicts(P.header(rows, "run", CONTENT), P.header(again, "run", CONTENT), "run").select("run", "n_rows")
 
 
-@R.add("SELECT l_suppkey, (SELECT count(DISTINCT l_linenumber) FROM lineitem) - count(DISTINCT l_linenumber) AS n_missing FROM lineitem GROUP BY 1 HAVING n_missing > 0")
+@R.add("""
+    WITH r AS (SELECT l_orderkey % 997 AS grid, l_linenumber FROM lineitem WHERE l_partkey % 50 = 0)
+    SELECT grid, (SELECT count(DISTINCT l_linenumber) FROM r) - count(DISTINCT l_linenumber) AS n_missing FROM r GROUP BY 1 HAVING n_missing > 0""")
 def incomplete_grids(spark, sf_dir):
-    return P.missing_grid(table(spark, sf_dir, "lineitem"), ["l_suppkey"], "l_linenumber")
+    rows = table(spark, sf_dir, "lineitem").where("l_partkey % 50 = 0").withColumn("grid", F.col("l_orderkey") % 997)
+    return P.missing_grid(rows, ["grid"], "l_linenumber")
 
 
 @R.add("""
