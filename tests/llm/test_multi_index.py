@@ -3,7 +3,7 @@ import math
 import numpy as np
 import pytest
 
-from tidemark.llm.multi_index import cells_in_order, multi_index
+from tidemark.llm.multi_index import Cells, cells_in_order, multi_index
 
 SCHEMA = "vec_id long, embedding array<float>, rep long, cell string"
 
@@ -36,10 +36,16 @@ def frame(spark, rows):
 def test_walk_is_in_order():
     rng = np.random.default_rng(1)
     left, right = rng.random(9), rng.random(7)
-    size = {c: 1 for c in range(63) if c % 5}
-    want = sorted(size, key=lambda c: left[c // 7] + right[c % 7])
-    assert cells_in_order(left, right, size, 10**9) == want
-    assert cells_in_order(left, right, size, 12) == want[:12]
+    held = np.array([c for c in reversed(range(63)) if c % 5 and not 14 <= c < 21])
+    cells = Cells(held, np.arange(len(held)) % 3 + 1, 7, 4)
+    want = sorted(cells.id.tolist(), key=lambda c: left[c // 7] + right[c % 7])
+    assert [int(cells.id[i]) for i in cells_in_order(left, right, cells, 10**9)] == want
+    size, have, some = dict(zip(cells.id.tolist(), cells.size.tolist(), strict=True)), 0, 0
+    while have < 20:
+        have, some = have + size[want[some]], some + 1
+    assert [int(cells.id[i]) for i in cells_in_order(left, right, cells, 20)] == want[:some]
+    for at in range(int(cells.block.max()) + 1):
+        assert cells.size[(cells.block == at) & (cells.split == 1)].sum() <= 4
 
 
 def test_small_cases(spark):

@@ -1,8 +1,8 @@
 """Approximate nearest neighbours by an inverted multi-index.
 
 Unit vectors are cut into two halves and each half is quantised apart; a cell is a pair of centroids. A query goes
-through the pairs by the sum of its two distances, with a heap, until the cells hold enough entries; those entries
-are reranked by their exact cosine. Equal vectors are one entry, which carries its k + 1 smallest ids: no query can
+through the pairs that hold entries by the sum of its two distances, with a heap, until they hold enough; those
+entries are reranked by their exact cosine. Equal vectors are one entry, which carries its k + 1 smallest ids: no query can
 need more of them. Entries of neighbouring cells form blocks of bounded size; a block meets queries in groups, and
 only those of which some chose a cell in it. Within it a query looks at the cells it chose.
 """
@@ -20,8 +20,10 @@ from tidemark.llm.common import stage
 
 #: Vectors that the codebooks are fitted on at most (those of least hash), rounds of k-means, and most centroids of a half.
 FIT_ROWS, ROUNDS, CENTROIDS = 20_000, 10, 1024
+#: Vectors for a centroid of a half; more make cells finer and a smaller share do.
+PER_CENTROID = 8
 #: Share of all entries, and number at least, that a query looks at.
-SHARE, LEAST = 0.6, 1_000
+SHARE, LEAST = 0.2, 1_000
 #: Entries of a block, queries that meet it at once, and queries whose nearest a task holds before it hands them on.
 BLOCK, TOGETHER, HELD = 1024, 128, 50_000
 
@@ -42,33 +44,63 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def codebook(x: np.ndarray, k: int, rounds: int) -> np.ndarray:
-    """Lloyd's k-means from k of the rows, spread evenly over them."""
+    """Lloyd's k-means from k of the rows, spread evenly over them; distances are held for 1,000 rows at a time."""
     centroids = x[np.linspace(0, len(x) - 1, min(k, len(x))).astype(int)].copy()
     for _ in range(rounds):
-        at = _distance(x, centroids).argmin(1)
-        n = np.bincount(at, minlength=len(centroids))
-        sums = np.zeros_like(centroids)
-        np.add.at(sums, at, x)
-        centroids[n > 0] = sums[n > 0] / n[n > 0, None]
+        at = np.concatenate([_distance(x[i : i + 1000], centroids).argmin(1) for i in range(0, len(x), 1000)])
+        order = np.argsort(at, kind="stable")
+        names, first = np.unique(at[order], return_index=True)
+        centroids[names] = np.add.reduceat(x[order], first) / np.diff(np.append(first, len(x)))[:, None]
     return centroids
 
 
-def cells_in_order(left: np.ndarray, right: np.ndarray, size: dict[int, int], enough: int) -> list[int]:
-    """Cells that hold entries, by the sum of their halves' distances, until they hold enough: the multi-sequence walk."""
-    a, b = np.argsort(left, kind="stable").tolist(), np.argsort(right, kind="stable").tolist()
-    la, lb, n = left[a].tolist(), right[b].tolist(), len(b)
-    heap, out, have, done = [(la[0] + lb[0], 0, 0)], [], 0, [0] * len(a)
-    while heap and have < enough:
-        _, i, j = heapq.heappop(heap)
-        done[i] = j + 1
-        cell = a[i] * n + b[j]
-        if cell in size:
-            out.append(cell)
-            have += size[cell]
-        if i + 1 < len(a) and done[i + 1] == j:
-            heapq.heappush(heap, (la[i + 1] + lb[j], i + 1, j))
-        if j + 1 < n and (i == 0 or done[i - 1] > j + 1):
-            heapq.heappush(heap, (la[i] + lb[j + 1], i, j + 1))
+class Cells:
+    """The cells that hold entries: id (left centroid times n plus right centroid) in order, size, first block and number of blocks."""
+
+    def __init__(self, ids: np.ndarray, sizes: np.ndarray, n: int, block: int = 1):
+        order = np.argsort(ids)
+        self.id, self.size, self.n = ids[order].astype(np.int64), sizes[order].astype(np.int64), n
+        self.block, self.split = np.zeros(len(ids), np.int32), (-(-self.size // block)).astype(np.int32)
+        at = full = 0
+        for i, count in enumerate(self.size.tolist()):
+            if full and full + count > block:
+                at, full = at + 1, 0
+            self.block[i] = at
+            full += count
+            if count > block:
+                at, full = at + int(self.split[i]), 0
+
+    def of_left(self, i: int) -> tuple[int, int]:
+        """Where the cells of a left centroid begin and end."""
+        return tuple(np.searchsorted(self.id, (i * self.n, (i + 1) * self.n)).tolist())
+
+
+def cells_in_order(left: np.ndarray, right: np.ndarray, cells: Cells, enough: int) -> list[int]:
+    """Cells (by their place) in the order of the sum of their halves' distances, until they hold enough entries.
+
+    The heap has the nearest cell not yet taken of each left centroid that is near enough to have the next one; a left
+    centroid's cells are sorted when its turn comes.
+    """
+    lefts, least = np.argsort(left, kind="stable").tolist(), float(right.min())
+    heap, out, have, opened = [], [], 0, 0
+    while have < enough:
+        while opened < len(lefts) and (not heap or left[lefts[opened]] + least <= heap[0][0]):
+            i = lefts[opened]
+            opened += 1
+            begin, end = cells.of_left(i)
+            if begin < end:
+                far = right[cells.id[begin:end] - i * cells.n] + left[i]
+                order = np.argsort(far, kind="stable")
+                heapq.heappush(heap, (float(far[order[0]]), i, 0, far[order].tolist(), (begin + order).tolist()))
+        if not heap:
+            break
+        _, i, j, far, places = heap[0]
+        out.append(places[j])
+        have += int(cells.size[places[j]])
+        if j + 1 < len(far):
+            heapq.heapreplace(heap, (far[j + 1], i, j + 1, far, places))
+        else:
+            heapq.heappop(heap)
     return out
 
 
@@ -116,7 +148,7 @@ def _search(vectors: DataFrame, size: int, every: int, k: int, share: float, lea
     total = entries.count()
     sample = _unit(_matrix(entries.orderBy(F.xxhash64("vec"), "vec").limit(FIT_ROWS).toPandas()["vec"]))
     half = size // 2
-    n = int(np.clip(2 ** round(np.log2(max(np.sqrt(total) / 4, 1))), 16, CENTROIDS))
+    n = int(np.clip(2 ** round(np.log2(max(total / PER_CENTROID, 1))), 16, CENTROIDS))
     books = codebook(sample[:, :half], n, ROUNDS), codebook(sample[:, half:], n, ROUNDS)
 
     def distances(vec: pd.Series) -> tuple[np.ndarray, np.ndarray]:
@@ -130,18 +162,16 @@ def _search(vectors: DataFrame, size: int, every: int, k: int, share: float, lea
                 yield frame.assign(cell=left.argmin(1) * len(books[1]) + right.argmin(1))
 
     placed = stage(entries.mapInPandas(assign, "vec array<double>, ids array<long>, cell int"), "cells")
-    held = {r["cell"]: r["size"] for r in placed.groupBy("cell").agg(F.count("*").alias("size")).collect()}  # at most CENTROIDS squared
+    counted = placed.groupBy("cell").agg(F.count("*").alias("size")).toPandas()  # CENTROIDS squared rows at most, 20 bytes each
+    cells = Cells(counted["cell"].to_numpy(), counted["size"].to_numpy(), len(books[1]), BLOCK)
+
+    @F.pandas_udf("first int, split int")
+    def block_of(cell: pd.Series) -> pd.DataFrame:
+        at = np.searchsorted(cells.id, cell)
+        return pd.DataFrame({"first": cells.block[at], "split": cells.split[at]})
+
     # neighbouring cells fill a block; a cell of more than a block is split over several
-    blocks, first, split, full = {}, 0, {}, 0
-    for cell, count in sorted(held.items()):
-        if full + count > BLOCK and full:
-            first, full = first + 1, 0
-        blocks[cell], split[cell] = first, -(-count // BLOCK)
-        full += count
-        if split[cell] > 1:
-            first, full = first + split[cell], 0
-    places = placed.sparkSession.createDataFrame([(c, blocks[c], split[c]) for c in held], "cell int, block int, split int")
-    spread = placed.join(F.broadcast(places), "cell").withColumn("block", F.col("block") + F.pmod(F.xxhash64("vec"), F.col("split")).cast("int"))
+    spread = placed.withColumn("b", block_of("cell")).withColumn("block", F.col("b.first") + F.pmod(F.xxhash64("vec"), F.col("b.split")).cast("int"))
     packed = spread.groupBy("block").agg(F.collect_list(F.struct("vec", "ids", "cell")).alias("rows"))
     packed = packed.select("block", F.flatten("rows.vec").alias("vecs"), F.col("rows.ids").alias("ids"), F.col("rows.cell").alias("cells"))
     enough = max(least, int(np.ceil(share * total)))
@@ -153,16 +183,17 @@ def _search(vectors: DataFrame, size: int, every: int, k: int, share: float, lea
                 reps, flat = part["rep"].to_numpy(), _matrix(part["vec"])
                 chosen: dict[int, list[tuple[int, int]]] = {}
                 for row, (left, right) in enumerate(zip(*distances(part["vec"]), strict=True)):
-                    for cell in cells_in_order(left, right, held, enough):
-                        for block in range(blocks[cell], blocks[cell] + split[cell]):
-                            chosen.setdefault(block, []).append((row, cell))
+                    for place in cells_in_order(left, right, cells, enough):
+                        for block in range(cells.block[place], cells.block[place] + cells.split[place]):
+                            chosen.setdefault(block, []).append((row, int(cells.id[place])))
                 out = []
                 for block, pairs in chosen.items():
                     rows, at = np.unique([r for r, _ in pairs], return_inverse=True)
                     out.append((block, reps[rows], flat[rows].ravel(), at.astype(np.int32), np.array([c for _, c in pairs], np.int32)))
                 yield pd.DataFrame(out, columns=["block", "reps", "queries", "row", "cell"])
 
-    near_first = reps.mapInPandas(assign, "vec array<double>, rep long, cell int").repartitionByRange("cell").sortWithinPartitions("cell")
+    tasks = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, so that few bytes of queries still make many tasks
+    near_first = reps.mapInPandas(assign, "vec array<double>, rep long, cell int").repartitionByRange(tasks, "cell").sortWithinPartitions("cell")
     routed = near_first.mapInPandas(route, "block int, reps array<long>, queries array<double>, row array<int>, cell array<int>")
 
     def rerank(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
