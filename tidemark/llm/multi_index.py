@@ -20,10 +20,8 @@ from tidemark.llm.common import stage
 
 #: Vectors that the codebooks are fitted on at most (those of least hash), rounds of k-means, and most centroids of a half.
 FIT_ROWS, ROUNDS, CENTROIDS = 20_000, 10, 1024
-#: Vectors for a centroid of a half; more make cells finer and a smaller share do.
-PER_CENTROID = 8
 #: Share of all entries, and number at least, that a query looks at.
-SHARE, LEAST = 0.2, 1_000
+SHARE, LEAST = 0.4, 1_000
 #: Entries of a block, queries that meet it at once, and queries whose nearest a task holds before it hands them on.
 BLOCK, TOGETHER, HELD = 1024, 128, 50_000
 
@@ -148,7 +146,7 @@ def _search(vectors: DataFrame, size: int, every: int, k: int, share: float, lea
     total = entries.count()
     sample = _unit(_matrix(entries.orderBy(F.xxhash64("vec"), "vec").limit(FIT_ROWS).toPandas()["vec"]))
     half = size // 2
-    n = int(np.clip(2 ** round(np.log2(max(total / PER_CENTROID, 1))), 16, CENTROIDS))
+    n = int(np.clip(2 ** round(np.log2(max(np.sqrt(total) / 2, 1))), 32, CENTROIDS))
     books = codebook(sample[:, :half], n, ROUNDS), codebook(sample[:, half:], n, ROUNDS)
 
     def distances(vec: pd.Series) -> tuple[np.ndarray, np.ndarray]:
@@ -181,15 +179,20 @@ def _search(vectors: DataFrame, size: int, every: int, k: int, share: float, lea
             for i in range(0, len(frame), TOGETHER):
                 part = frame.iloc[i : i + TOGETHER]
                 reps, flat = part["rep"].to_numpy(), _matrix(part["vec"])
-                chosen: dict[int, list[tuple[int, int]]] = {}
-                for row, (left, right) in enumerate(zip(*distances(part["vec"]), strict=True)):
-                    for place in cells_in_order(left, right, cells, enough):
-                        for block in range(cells.block[place], cells.block[place] + cells.split[place]):
-                            chosen.setdefault(block, []).append((row, int(cells.id[place])))
+                chosen = [np.array(cells_in_order(left, right, cells, enough), np.int64) for left, right in zip(*distances(part["vec"]), strict=True)]
+                row, place = np.repeat(np.arange(len(part)), [len(c) for c in chosen]), np.concatenate(chosen)
+                # a cell of several blocks is chosen in each of them
+                times = cells.split[place]
+                within = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                row, place = np.repeat(row, times), np.repeat(place, times)
+                block = cells.block[place] + within
+                order = np.lexsort((row, block))
+                row, place, block = row[order], place[order], block[order]
+                ends = np.append(np.flatnonzero(np.diff(block, prepend=-1)), len(block)).tolist()
                 out = []
-                for block, pairs in chosen.items():
-                    rows, at = np.unique([r for r, _ in pairs], return_inverse=True)
-                    out.append((block, reps[rows], flat[rows].ravel(), at.astype(np.int32), np.array([c for _, c in pairs], np.int32)))
+                for low, high in zip(ends, ends[1:], strict=False):
+                    rows, at = np.unique(row[low:high], return_inverse=True)
+                    out.append((int(block[low]), reps[rows], flat[rows].ravel(), at.astype(np.int32), cells.id[place[low:high]].astype(np.int32)))
                 yield pd.DataFrame(out, columns=["block", "reps", "queries", "row", "cell"])
 
     tasks = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, so that few bytes of queries still make many tasks
