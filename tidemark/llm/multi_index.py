@@ -21,7 +21,7 @@ from tidemark.llm.common import stage
 #: Vectors that the codebooks are fitted on at most (those of least hash), rounds of k-means, and most centroids of a half.
 FIT_ROWS, ROUNDS, CENTROIDS = 20_000, 10, 1024
 #: Share of all entries, and number at least, that a query looks at.
-SHARE, LEAST = 0.4, 1_000
+SHARE, LEAST = 0.45, 1_000
 #: Entries of a block, queries that meet it at once, and queries whose nearest a task holds before it hands them on.
 BLOCK, TOGETHER, HELD = 1024, 128, 50_000
 
