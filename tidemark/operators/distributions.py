@@ -30,10 +30,57 @@ def line_probabilities(dist: DataFrame, group: list[str], outcome: str, line: Co
     return dist.groupBy(*group).agg(F.sum(x * F.col(p)).alias("mean"), mass(x > line).alias("p_over"), mass(x < line).alias("p_under"), mass(x == line).alias("p_push"))
 
 
+#: Ranges that the values of a group are dealt out over.
+RANGES = 64
+
+
+def range_of(df: DataFrame, column: str, ranges: int = RANGES) -> Column:
+    """The number of a range of about equal size, by the column (a number or a time), whose quantiles are looked up at once."""
+    kind = dict(df.dtypes)[column]
+    key = F.col(column).cast("timestamp").cast("double") if kind.startswith(("timestamp", "date")) else F.col(column).cast("double")
+    ends = df.agg(F.approx_percentile(key, [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0] or []
+    return sum(((key > end).cast("int") for end in sorted(set(ends))), F.lit(0))
+
+
+def _counted(df: DataFrame, group: list[str], value: str) -> DataFrame:
+    """group, value and n, with below: how many rows of the group have a smaller value, and all: how many it has.
+
+    Rows are added up by value first. The values are then dealt out by group and range; a range's total of a group, of
+    which there are RANGES at most, gives the offset of its values, so a group of all rows is spread over many tasks.
+    """
+    v = F.col(value)
+    counts = df.where(v.isNotNull()).groupBy(*group, value).agg(F.count("*").alias("n")).withColumn("_part", range_of(df, value))
+    inside = Window.partitionBy(*group, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_before", F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    parts = counts.groupBy(*group, "_part").agg(F.sum("n").alias("_n"))
+    earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(*[F.col(g).alias(f"_g_{g}") for g in group], F.col("_part").alias("_at"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"), F.sum("_n").over(Window.partitionBy(*group)).alias("all"))
+    on = F.col("_part") == F.col("_at")
+    for g in group:
+        on &= F.col(g).eqNullSafe(F.col(f"_g_{g}"))
+    return counts.join(parts, on).select(*group, value, "n", (F.col("_before") + F.col("_offset")).alias("below"), "all")
+
+
+def _value_at(place: Column, value: str) -> Column:
+    """The value of the row at a place, counted from 0 in the order of values."""
+    return F.max(F.when((F.col("below") <= place) & (place < F.col("below") + F.col("n")), F.col(value)))
+
+
 def order_statistics(df: DataFrame, group: list[str], value: str, qs: list[float]) -> DataFrame:
-    """Rows, mean, and percentiles without interpolation."""
-    each = [F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {value})").alias(f"p{round(q * 100):02d}") for q in qs]
-    return df.groupBy(*group).agg(F.count("*").alias("n_draws"), F.avg(value).alias("mean"), *each)
+    """Rows, mean, and percentiles without interpolation: the least value that a share q of the rows does not exceed."""
+    each = [_value_at(F.greatest(F.ceil(F.lit(q) * F.col("all") - 1e-9) - 1, F.lit(0)), value).alias(f"p{round(q * 100):02d}") for q in qs]
+    return _counted(df, group, value).groupBy(*group).agg(F.sum("n").alias("n_draws"), (F.sum(F.col(value) * F.col("n")) / F.sum("n")).alias("mean"), *each)
+
+
+def interpolated(df: DataFrame, group: list[str], value: str, qs: list[float]) -> DataFrame:
+    """Rows, mean, and percentiles with linear interpolation between neighbouring rows."""
+    each = []
+    for q in qs:
+        place = F.lit(q) * (F.col("all") - 1)
+        low, part = F.floor(place + 1e-9), F.first(place - F.floor(place + 1e-9))
+        a, b = _value_at(low, value), _value_at(F.least(low + 1, F.col("all") - 1), value)
+        each.append((a + (b - a) * F.greatest(part, F.lit(0.0))).alias(f"p{round(q * 100):02d}"))
+    return _counted(df, group, value).groupBy(*group).agg(F.sum("n").alias("n_draws"), (F.sum(F.col(value) * F.col("n")) / F.sum("n")).alias("mean"), *each)
 
 
 def thresholds(df: DataFrame, group: list[str], value: str, catalog: list[int]) -> DataFrame:

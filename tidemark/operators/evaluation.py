@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemark.functions.scoring import bin_of, brier, clipped, log_loss
+from tidemark.operators.distributions import _counted, range_of
 
 
 def benchmark(df: DataFrame, slices: list[str], model: str = "p", market: str = "q", outcome: str = "y") -> DataFrame:
@@ -48,23 +49,34 @@ def full_benchmark(df: DataFrame, slices: list[str], model: str = "p", market: s
 
 
 def sample_crps(df: DataFrame, group: list[str], value: str, actual: str) -> DataFrame:
-    """CRPS of a sample against the group's actual value, by the sorted-sample identity."""
-    w = Window.partitionBy(*group)
-    i, n = F.row_number().over(w.orderBy(value)), F.count("*").over(w)
-    rows = df.withColumn("_k", (F.lit(2) * i - n - 1) * F.col(value)).withColumn("_n", n)
-    return rows.groupBy(*group).agg((F.avg(F.abs(F.col(value) - F.col(actual))) - F.sum("_k") / F.first("_n") / F.first("_n")).alias("crps"))
+    """CRPS of a sample against the group's actual value, by the sorted-sample identity over counted values."""
+    counted = _counted(df, group, value)
+    n, below, every, x = (F.col(c) for c in ("n", "below", "all", value))
+    # places below + 1 to below + n share a value: the sum of 2 i - all - 1 over them
+    spread = counted.groupBy(*group).agg((F.sum(x * n * (2 * below + n - every).cast("double")) / F.first(every) / F.first(every)).alias("_k"))
+    error = df.where(F.col(value).isNotNull()).groupBy(*group).agg(F.avg(F.abs(F.col(value) - F.col(actual))).alias("_e"))
+    return error.join(spread, group).select(*group, (F.col("_e") - F.col("_k")).alias("crps"))
 
 
 def uniformity(df: DataFrame, group: list[str], value: str) -> DataFrame:
-    """Largest distance of the group's empirical distribution from the uniform one."""
-    w = Window.partitionBy(*group)
-    rows = df.withColumn("_i", F.row_number().over(w.orderBy(value))).withColumn("_n", F.count("*").over(w))
-    gap = F.greatest(F.col("_i") / F.col("_n") - F.col(value), F.col(value) - (F.col("_i") - 1) / F.col("_n"))
-    return rows.groupBy(*group).agg(F.max(gap).alias("ks"))
+    """Largest distance of the group's empirical distribution from the uniform one, over counted values."""
+    n, below, every, x = (F.col(c) for c in ("n", "below", "all", value))
+    return _counted(df, group, value).groupBy(*group).agg(F.max(F.greatest((below + n) / every - x, x - below / every)).alias("ks"))
 
 
 def drawdown(df: DataFrame, group: list[str], order: list[str], profit: str) -> DataFrame:
-    """Bets, profit and the largest fall of the running profit from its peak (0 at the start)."""
-    w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    run = df.withColumn("_run", F.sum(profit).over(w)).withColumn("_peak", F.greatest(F.max("_run").over(w), F.lit(0.0)))
-    return run.groupBy(*group).agg(F.count("*").alias("bets"), F.sum(profit).alias("profit"), F.max(F.col("_peak") - F.col("_run")).alias("max_drawdown"))
+    """Bets, profit and the largest fall of the running profit from its peak (0 at the start).
+
+    Rows are dealt out by group and range of the first column of order. Within a range, and then over the ranges of a
+    group, a stretch is told by its profit, its highest and lowest running profit and its largest fall; so a group of
+    all rows is spread over many tasks.
+    """
+    rows = df.withColumn("_part", range_of(df, order[0]))
+    inside = Window.partitionBy(*group, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_run", F.sum(profit).over(inside)).withColumn("_top", F.max("_run").over(inside))
+    parts = rows.groupBy(*group, "_part").agg(F.count("*").alias("_n"), F.sum(profit).alias("_sum"), F.max("_run").alias("_high"), F.min("_run").alias("_low"), F.max(F.col("_top") - F.col("_run")).alias("_fall"))
+    earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("_base", F.coalesce(F.sum("_sum").over(earlier), F.lit(0.0)))
+    parts = parts.withColumn("_peak", F.greatest(F.max(F.col("_base") + F.col("_high")).over(earlier), F.lit(0.0)))
+    fall = F.greatest(F.col("_fall"), F.col("_peak") - F.col("_base") - F.col("_low"))
+    return parts.groupBy(*group).agg(F.sum("_n").alias("bets"), F.sum("_sum").alias("profit"), F.greatest(F.max(fall), F.lit(0.0)).alias("max_drawdown"))

@@ -53,10 +53,17 @@ def order_statistics(spark, sf_dir):
     return D.order_statistics(table(spark, sf_dir, "lineitem"), GROUP, "l_extendedprice", QS).withColumn("mean", F.round("mean", 4))
 
 
-@R.add(f"SELECT {G}, round(avg(l_quantity), 6) AS mean, round(median(l_quantity), 6) AS median, round(quantile_cont(l_quantity, 0.1), 6) AS p10, round(quantile_cont(l_quantity, 0.9), 6) AS p90, round(avg((l_quantity > 24.5)::INT), 6) AS p_over FROM lineitem GROUP BY {G}")
+@R.add(f"""
+    SELECT {G}, round(avg(l_quantity), 6) AS mean, round(quantile_cont(l_quantity, 0.05), 6) AS p05, round(quantile_cont(l_quantity, 0.1), 6) AS p10, round(quantile_cont(l_quantity, 0.25), 6) AS p25, round(median(l_quantity), 6) AS p50,
+        round(quantile_cont(l_quantity, 0.75), 6) AS p75, round(quantile_cont(l_quantity, 0.9), 6) AS p90, round(quantile_cont(l_quantity, 0.95), 6) AS p95,
+        round(avg((l_quantity > 25)::INT), 6) AS p_over, round(avg((l_quantity < 25)::INT), 6) AS p_under, round(avg((l_quantity = 25)::INT), 6) AS p_push FROM lineitem GROUP BY {G}""")
 def prop_summary(spark, sf_dir):
-    q = F.col("l_quantity")
-    return table(spark, sf_dir, "lineitem").groupBy(*GROUP).agg(rounded(F.avg(q)).alias("mean"), rounded(F.median(q)).alias("median"), rounded(F.percentile(q, 0.1)).alias("p10"), rounded(F.percentile(q, 0.9)).alias("p90"), rounded(F.avg((q > 24.5).cast("double"))).alias("p_over"))
+    """Mean, seven quantiles, and the chances at a line."""
+    rows, q = table(spark, sf_dir, "lineitem"), F.col("l_quantity")
+    share = lambda test, name: rounded(F.avg(test.cast("double"))).alias(name)
+    chances = rows.groupBy(*GROUP).agg(share(q > 25, "p_over"), share(q < 25, "p_under"), share(q == 25, "p_push"))
+    out = D.interpolated(rows, GROUP, "l_quantity", [0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95]).join(chances, GROUP)
+    return out.select(*GROUP, *[rounded(c).alias(c) for c in ("mean", "p05", "p10", "p25", "p50", "p75", "p90", "p95")], "p_over", "p_under", "p_push")
 
 
 @R.add(f"SELECT {G}, t.threshold, round(avg((l_quantity >= t.threshold)::INT), 6) AS p_hit FROM lineitem, (VALUES {', '.join(f'({t})' for t in CATALOG)}) AS t(threshold) GROUP BY ALL")
