@@ -106,6 +106,7 @@ def leakage_audit(spark, sf_dir):
     return P.leaks(rows, "cutoff", ["shipped", "ordered"]).select("l_orderkey", "l_linenumber", "clock", "rule")
 
 
-@R.add("SELECT sha256(props) AS sha256, count(*) AS n_received FROM events WHERE props IS NOT NULL GROUP BY 1")
+@R.add("SELECT sha256(props) AS sha256, any_value(props) AS props, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_received, count(*) AS n_received FROM events WHERE props IS NOT NULL GROUP BY props")
 def raw_landing(spark, sf_dir):
-    return raw.landing(table(spark, sf_dir, "events").where("props IS NOT NULL"), "props", "ts").select("sha256", "n_received")
+    out = raw.landing(table(spark, sf_dir, "events").where("props IS NOT NULL"), "props", "ts")
+    return out.withColumn("first_received", F.date_format("first_received", "yyyy-MM-dd HH:mm:ss"))

@@ -19,8 +19,10 @@ VERSIONS = ["o_orderkey", "o_orderstatus", "o_totalprice"]
 
 
 def _scratch(spark) -> str:
-    """A folder that driver and executors share."""
+    """A folder that driver and executors share; without spark.checkpoint.dir, a temporary one in local mode only."""
     at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return f"{at}/tidemark-{uuid.uuid4().hex}" if at else tempfile.mkdtemp(prefix="spark-")
 
 
@@ -120,9 +122,11 @@ def negative_counts(spark, sf_dir):
     return quality.negative_counts(table(spark, sf_dir, "customer"), ["c_acctbal", "c_nationkey"])
 
 
-@R.add("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@R.add("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_orderstatus = 'F' AND o_totalprice > 200000)")
 def missing_statistics(spark, sf_dir):
-    return quality.orphans(table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders"), "c_custkey", "o_custkey").select("c_custkey", "c_name")
+    """Customers without a large order that is final."""
+    final = table(spark, sf_dir, "orders").where("o_orderstatus = 'F' AND o_totalprice > 200000")
+    return quality.orphans(table(spark, sf_dir, "customer"), final, "c_custkey", "o_custkey").select("c_custkey", "c_name")
 
 
 @R.add("SELECT event_type, sum(n)::BIGINT AS n_rows, sum(n - 1)::BIGINT AS n_surplus FROM (SELECT event_type, user_id, props, count(*) AS n FROM events GROUP BY ALL) GROUP BY event_type")
@@ -177,23 +181,55 @@ def pushed_scan(spark, sf_dir):
 @R.add("""
     SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS hour, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL""")
 def streamed_windows(spark, sf_dir):
-    """Events as a stream of files, counted by hour; in append mode windows close behind the watermark, so complete mode shows all."""
-    rows, root = _event_stream(spark, sf_dir), _scratch(spark)
-    counted = snapshots.windowed(rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 day"), "ts", ["event_type"], "value", "1 hour")
-
-    def write(batch, _):
-        batch.write.mode("overwrite").parquet(f"{root}/out")
-
-    counted.writeStream.outputMode("complete").option("checkpointLocation", f"{root}/checkpoint").foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
-    out = spark.read.parquet(f"{root}/out")
+    """Events as a stream of files, counted by hour: windows are appended as they close behind the watermark, and the open ones in the end."""
+    rows, root = _event_stream(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")), _scratch(spark)
+    shape = ("ts", ["event_type"], "value", "1 hour")
+    counted = snapshots.windowed(rows.withWatermark("ts", "1 day"), *shape)
+    snapshots.run_available(counted, f"{root}/out", f"{root}/checkpoint")
+    history = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    out = snapshots.flushed(spark.read.schema(counted.schema).parquet(f"{root}/out"), history, *shape)
     return out.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("hour"), "event_type", "n", rounded("total").alias("total"))
 
 
-@R.add("SELECT user_id, arg_max(value, (ts, event_id)) AS value, max(event_id) FILTER (WHERE false) AS none FROM events GROUP BY user_id")
+@R.add("SELECT user_id, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY user_id")
 def streamed_versions(spark, sf_dir):
     """Events as a stream into a versioned store; the last version of each user."""
     root = _scratch(spark)
     rows = _event_stream(spark, sf_dir).withColumn("seen", F.struct("ts", "event_id"))
     snapshots.keep_versions(rows, f"{root}/store", f"{root}/checkpoint", ["user_id"], ["value"], "seen")
     stored = spark.read.option("recursiveFileLookup", "true").parquet(f"{root}/store")
-    return stored.groupBy("user_id").agg(F.max_by("value", "seen").alias("value"), F.lit(None).cast("long").alias("none"))
+    return stored.groupBy("user_id").agg(F.max_by("value", "seen").alias("value"))
+
+
+@R.add("""
+    WITH s AS (SELECT event_id, user_id, ts FROM events WHERE event_id % 4 < 3), b AS (SELECT event_id, user_id, ts FROM events WHERE event_id % 4 > 1)
+    SELECT user_id, count(*) AS n, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last FROM (SELECT * FROM s UNION SELECT * FROM b) GROUP BY 1""")
+def appended_snapshots(spark, sf_dir):
+    """Snapshots appended by key and time: those that are stored already are not stored twice."""
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
+    out = src.append_snapshot(events.where("event_id % 4 < 3"), events.where("event_id % 4 > 1"), ["event_id"], "ts")
+    return out.groupBy("user_id").agg(F.count("*").alias("n"), F.date_format(F.max("ts"), "yyyy-MM-dd HH:mm:ss").alias("last"))
+
+
+@R.add("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey % 2 = 0 UNION SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey % 3 = 0")
+def appended_keys(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    return src.append_new(orders.where("o_orderkey % 2 = 0"), orders.where("o_orderkey % 3 = 0"), ["o_orderkey"])
+
+
+@R.add("SELECT s_suppkey AS id, s_acctbal AS amount FROM supplier UNION ALL SELECT p_partkey, p_size FROM part")
+def positional_union(spark, sf_dir):
+    """Columns by position, types widened; a part without rows adds none."""
+    suppliers, parts = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("amount")), table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    return src.by_position(suppliers, parts, src.empty_like(parts))
+
+
+@R.add("""
+    SELECT s_suppkey, strftime(TIMESTAMP '2024-01-01', '%Y-%m-%d') AS first_seen, sha256(json_object('s_name', s_name, 's_nationkey', s_nationkey)::VARCHAR) AS content_sha256,
+        sha256(concat_ws('|', s_suppkey, sha256(json_object('s_name', s_name, 's_nationkey', s_nationkey)::VARCHAR))) AS version_id FROM supplier WHERE s_suppkey % 3 <> 0""")
+def migrated_versions(spark, sf_dir):
+    """Rows of old given version columns, of those that the store does not hold yet."""
+    suppliers = table(spark, sf_dir, "supplier")
+    legacy = src.translated(suppliers, suppliers.where("s_suppkey % 3 = 0").select("s_suppkey"), ["s_suppkey"], {c: F.col(c) for c in ("s_suppkey", "s_name", "s_nationkey")})
+    out = src.with_versions(legacy.withColumn("seen", F.lit("2024-01-01")), ["s_suppkey"], "seen", ["s_name", "s_nationkey"])
+    return out.select("s_suppkey", F.col("first_seen_at").alias("first_seen"), "content_sha256", "version_id")

@@ -1,7 +1,8 @@
 """Tables as Parquet folders: scans, views, and the ways of adding to them.
 
 Writes that depend on what is stored (keyed, versioned, first-wins) read the stored table, write the new state beside
-it and switch a pointer file, so a lost job leaves the old state readable. One writer at a time is assumed.
+it and append a pointer to it; the pointer with the largest number counts and none is ever overwritten, so a lost job
+leaves the old state readable. One writer at a time is assumed.
 """
 
 from __future__ import annotations
@@ -64,7 +65,8 @@ def keep_one(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
 
 
 def upsert(stored: DataFrame, batch: DataFrame, key: list[str], keep: str = "last") -> DataFrame:
-    """Stored and batch with one row for each key: of the batch if keep is 'last', else of the store. Neither may repeat a key itself."""
+    """Stored and batch with one row for each key: of the batch if keep is 'last', else of the store. The store has a key once; of a key that batch repeats any one row counts."""
+    batch = batch.dropDuplicates(key)
     if keep == "last":
         return union_wide(absent(stored, batch, key), batch)
     return union_wide(stored, absent(batch, stored, key))
@@ -90,21 +92,92 @@ def append_versions(stored: DataFrame, batch: DataFrame, key: list[str], content
 
 
 def replace(df: DataFrame, root: str, sort_by: list[str] | None = None) -> str:
-    """Writes df as the new state of the table at root and points to it; what was there stays until `vacuum`."""
-    spark, state = df.sparkSession, f"{root}/state-{uuid.uuid4().hex}"
+    """Writes df as the new state of the table at root and points to it; what was there stays on disk."""
+    state = f"{root}/state-{uuid.uuid4().hex}"
     (df.sortWithinPartitions(*sort_by) if sort_by else df).write.option("compression", "zstd").parquet(state)
-    spark.createDataFrame([(state,)], "path string").coalesce(1).write.mode("overwrite").text(f"{root}/{POINTER}")
+    return _point(df.sparkSession, root, state)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, in whatever file system it names."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def _pointers(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.schema("n long, state string").json(f"{root}/{POINTER}")
+
+
+def _point(spark: SparkSession, root: str, state: str) -> str:
+    last = _pointers(spark, root).agg(F.max("n")).first()[0] if exists(spark, f"{root}/{POINTER}") else None
+    spark.createDataFrame([((last or 0) + 1, state)], "n long, state string").coalesce(1).write.mode("append").json(f"{root}/{POINTER}")
     return state
 
 
 def current(spark: SparkSession, root: str) -> DataFrame:
-    """The table's state that `replace` wrote last."""
-    return spark.read.parquet(spark.read.text(f"{root}/{POINTER}").first()[0])
+    """The table's state that was pointed to last."""
+    return spark.read.parquet(_pointers(spark, root).agg(F.max_by("state", "n")).first()[0])
 
 
 def compact(spark: SparkSession, root: str, rows_per_file: int = 1_000_000) -> str:
     """The same rows in larger files; sizes follow Spark's writer, no task collects the table."""
     state = f"{root}/state-{uuid.uuid4().hex}"
     current(spark, root).hint("rebalance").write.option("maxRecordsPerFile", rows_per_file).option("compression", "zstd").parquet(state)
-    spark.createDataFrame([(state,)], "path string").coalesce(1).write.mode("overwrite").text(f"{root}/{POINTER}")
-    return state
+    return _point(spark, root, state)
+
+
+def append_snapshot(stored: DataFrame, batch: DataFrame, key: list[str], clock: str) -> DataFrame:
+    """Stored rows and those of batch whose key and time are new. A batch without the time's column, or with a null time, is an error."""
+    if clock not in batch.columns:
+        raise ValueError(f"a snapshot lacks its time {clock}")
+    dated = batch.withColumn(clock, F.when(F.col(clock).isNull(), F.raise_error(F.lit(f"a snapshot row lacks {clock}"))).otherwise(F.col(clock)))
+    return union_wide(stored, absent(dated, stored, [*key, clock]))
+
+
+def append_new(stored: DataFrame, batch: DataFrame, key: list[str]) -> DataFrame:
+    """Stored rows and those of batch whose key is not stored."""
+    return union_wide(stored, absent(batch, stored, key))
+
+
+def register_artifacts(stored: DataFrame, batch: DataFrame, key: list[str]) -> DataFrame:
+    """Stored rows and batch, in which no key may be stored already."""
+    if row := present(batch, stored, key).limit(1).collect():
+        raise ValueError(f"stored already: {row[0].asDict()}")
+    return union_wide(stored, batch)
+
+
+def by_position(*parts: DataFrame) -> DataFrame:
+    """All rows of the parts, columns by position; types are widened, names are those of the first."""
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.union(part)
+    return out
+
+
+def empty_like(df: DataFrame) -> DataFrame:
+    """No rows, the same columns."""
+    return df.limit(0)
+
+
+def disjoint(*parts: DataFrame) -> None:
+    """Raises if a row of keys is in two of the parts."""
+    for i, a in enumerate(parts):
+        for b in parts[i + 1 :]:
+            if row := a.intersect(b).limit(1).collect():
+                raise ValueError(f"in two parts: {row[0].asDict()}")
+
+
+def listing(spark: SparkSession) -> list[str]:
+    """Names of the registered tables and views, in order."""
+    return sorted(t.name for t in spark.catalog.listTables())
+
+
+def with_versions(rows: DataFrame, key: list[str], seen: str, content: list[str]) -> DataFrame:
+    """Rows from before there were versions, with first_seen_at, content_sha256 and version_id, a digest of key and content."""
+    digest = content_hash(content)
+    return rows.withColumns({"first_seen_at": F.col(seen), "content_sha256": digest, "version_id": F.sha2(F.concat_ws("|", *[F.col(k).cast("string") for k in key], digest), 256)})
+
+
+def translated(legacy: DataFrame, stored: DataFrame, key: list[str], columns: dict[str, Column]) -> DataFrame:
+    """Legacy rows in the columns of the store that it does not hold yet; doing it twice adds nothing."""
+    return absent(legacy.select(*[c.alias(n) for n, c in columns.items()]), stored, key)
