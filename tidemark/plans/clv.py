@@ -57,9 +57,9 @@ def closing_value_summary(spark, sf_dir):
 
 
 @R.add(f"""
-    WITH {VALUED}, b AS (SELECT *, l_quantity > 25 AS won, l_quantity FROM w JOIN (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity FROM lineitem) USING (l_orderkey, l_linenumber, l_partkey, l_suppkey) WHERE line <> 25),
+    WITH {VALUED}, b AS (SELECT *, line > 25 AS won FROM w WHERE line <> 25),
          r AS (SELECT l_suppkey, p, CASE WHEN won THEN CASE WHEN odds < 0 THEN 100.0 / -odds ELSE odds / 100.0 END ELSE -1 END AS profit, missing FROM b)
-    SELECT l_suppkey, count(*) AS bets, round(avg(profit), 6) AS roi, count(p) AS n_clv, round(avg(p), 6) AS mean_clv, round(avg((p > 0)::INT), 6) AS share_positive FROM r WHERE l_suppkey IS NOT NULL GROUP BY 1""")
+    SELECT l_suppkey, count(*) AS bets, round(avg(profit), 6) AS roi, count(p) AS n_clv, round(avg(p), 6) AS mean_clv, round(avg((p > 0)::INT), 6) AS share_positive FROM r GROUP BY 1""")
 def trading_with_clv(spark, sf_dir):
     """Return on bets, and closing value over those bets only that have a close."""
     rows = _valued(spark, sf_dir).where("line <> 25")
