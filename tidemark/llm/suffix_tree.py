@@ -2,9 +2,11 @@
 
 A suffix is cut off after `window` words, as no deeper node matters, and read as four symbols of eight or nine words,
 each named by 32 bits of a hash: that is the path of its leaf. Suffixes that `anchored` rules out are never made.
-Spark deals the others out by ranges of paths: the bounds are prefixes as long as it takes for groups of equal size,
-found on a sample that Spark bounds. In a group the suffixes arrive in order; the common prefix of neighbours gives
-the internal nodes of the subtree, and the leaves below a node at full depth are the places of a repeated window.
+The others are dealt out by a prefix of their path: its first symbol, and where more than `most` suffixes begin
+with that, as many more as it takes (`dealt`). So each subtree has `most` leaves at most and is built in memory; a
+prefix as long as the path is one node, whose leaves stream. In a subtree the leaves come in the order of their paths,
+what neighbours have in common gives the internal nodes, and the leaves below a node at full depth are the places of a
+repeated window. Nodes above that depth only serve to deal suffixes out.
 A path that a task meets twice is repeated whatever the others hold: it stays there, and one witness of it goes out,
 so a passage in very many texts costs a row for each task. The windows a text gets back are merged into maximal
 repeats, which are removed.
@@ -17,13 +19,15 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.llm.anchored import array_of, by_words, candidates, cover, shared_anchors, units_of
 from tidemark.llm.common import column, cut, documents, grams, signed, stage
 
 WINDOW, GRAM = 35, 10
 SYMBOLS = 4
+#: Leaves of a subtree at most; more of them get a longer prefix.
+LEAVES = 1 << 13
 
 
 def _paths(hashes: np.ndarray, starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -75,35 +79,80 @@ def common_symbols(k1: np.ndarray, k2: np.ndarray) -> np.ndarray:
     return out
 
 
-def _deep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Leaves under internal nodes at full depth, of suffixes in the order of their paths; an open node is carried on to the next batch."""
-    last: pa.RecordBatch | None = None
+def dealt(suffixes: DataFrame, most: int = LEAVES) -> DataFrame:
+    """suffixes (k1, k2 and more) with the symbols `length` in the prefix of each: the fewest that no more than `most` suffixes begin with, or all.
 
-    def leaves(batch: pa.RecordBatch, deep: np.ndarray) -> pa.RecordBatch:
-        batch = batch.filter(pa.array(deep & column(batch, "uid").is_valid().to_numpy(False)))
-        return batch.select(["uid", "at"])
+    Suffixes are counted by one symbol first and by one more only under prefixes that have too many; those number
+    at most the suffixes over `most`, and Spark chooses how to join them by the size of their table.
+    """
+    heads = [["s1"], ["k1"], ["k1", "s3"]]
+    rows = suffixes.withColumns({"s1": F.shiftrightunsigned("k1", 32), "s3": F.shiftrightunsigned("k2", 32), "length": F.lit(1)})
+    for length, head in enumerate(heads, 1):
+        counts = rows.where(F.col("length") == length).groupBy(*head).agg(F.count("*").alias("n"))
+        heavy = stage(counts.where(F.col("n") > most).select(*head, F.lit(1).alias("longer")), "prefixes")
+        if heavy.isEmpty():
+            break
+        rows = rows.join(heavy, head, "left").withColumn("length", F.col("length") + F.coalesce("longer", F.lit(0))).drop("longer")
+    return rows
+
+
+def _prefix() -> Column:
+    """A hash of the first `length` symbols of a row of `dealt`."""
+    return F.when(F.col("length") == 1, F.xxhash64("s1")).when(F.col("length") == 2, F.xxhash64("k1")).when(F.col("length") == 3, F.xxhash64("k1", "s3")).otherwise(F.xxhash64("k1", "k2"))
+
+
+def deep_nodes(common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and end leaf of each internal node at full depth; common: as of common_symbols."""
+    first = np.flatnonzero(common < SYMBOLS)
+    end = np.append(first[1:], len(common))
+    inner = end - first > 1
+    return first[inner], end[inner]
+
+
+def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """uid and at of the leaves under nodes at full depth, of suffixes in the order of their paths, one subtree after another.
+
+    The last subtree of a batch is held until it is complete; of one whose prefix is the whole path, only the last leaf.
+    """
+
+    def paths(batch: pa.RecordBatch) -> np.ndarray:
+        return common_symbols(*(column(batch, c).to_numpy().view(np.uint64) for c in ("k1", "k2")))
+
+    def leaves(batch: pa.RecordBatch, common: np.ndarray) -> pa.RecordBatch:
+        first, end = deep_nodes(common)
+        step = np.zeros(len(common) + 1, np.int64)
+        step[first] += 1
+        step[end] -= 1
+        deep = np.cumsum(step)[:-1] > 0
+        return batch.filter(pa.array(deep & column(batch, "uid").is_valid().to_numpy(False))).select(["uid", "at"])
 
+    held: pa.RecordBatch | None = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        if last is not None:
-            batch = pa.concat_batches([last, batch])
-        k1, k2 = (column(batch, c).to_numpy().view(np.uint64) for c in ("k1", "k2"))
-        joined = common_symbols(k1, k2) == SYMBOLS
-        deep = joined.copy()
-        deep[:-1] |= joined[1:]
-        # the last leaf waits for its right neighbour; with an earlier twin it is reported now, and once more after at most
-        yield leaves(batch, deep)
-        last = batch.slice(batch.num_rows - 1)
-
-
-def repeated_windows(docs: DataFrame, window: int = WINDOW, k: int = GRAM) -> DataFrame:
+        if held is not None:
+            batch = pa.concat_batches([held, batch])
+        common, length = paths(batch), column(batch, "length").to_numpy()
+        last = int(np.flatnonzero(common < length)[-1])  # leaves of two subtrees have fewer symbols in common than a prefix
+        if length[-1] == SYMBOLS:
+            # one node: all its leaves so far are reported, the held one maybe again
+            yield leaves(batch, common)
+            held = batch.slice(batch.num_rows - 1)
+        else:
+            yield leaves(batch.slice(0, last), common[:last])
+            held = batch.slice(last)
+    if held is not None:
+        yield leaves(held, paths(held))
+
+
+def repeated_windows(docs: DataFrame, window: int = WINDOW, k: int = GRAM, most: int = LEAVES) -> DataFrame:
     """uid and the starts `at` (lists of lists) of the repeated windows of docs (uid, text)."""
     shared = shared_anchors(docs, by_words(k), window, k)
     rows = docs.select("uid", "text").join(shared, "uid")
     suffixes = stage(rows.mapInArrow(_suffixes(window, k), "k1 long, k2 long, uid long, at int, known array<int>"), "suffixes")
-    dealt = suffixes.where("k1 IS NOT NULL").select("k1", "k2", "uid", "at").repartitionByRange("k1", "k2").sortWithinPartitions("k1", "k2")
-    deep = dealt.mapInArrow(_deep, "uid long, at int").groupBy("uid").agg(F.collect_list("at").alias("known"))
+    by_prefix = dealt(suffixes.where("k1 IS NOT NULL").select("k1", "k2", "uid", "at"), most).repartition(_prefix())
+    subtrees = by_prefix.select("length", "k1", "k2", "uid", "at").sortWithinPartitions("k1", "k2")
+    deep = subtrees.mapInArrow(_subtrees, "uid long, at int").groupBy("uid").agg(F.collect_list("at").alias("known"))
     known = suffixes.where("k1 IS NULL").select("uid", "known")
     return stage(deep.unionByName(known).groupBy("uid").agg(F.flatten(F.collect_list("known")).alias("at")), "windows")
 
@@ -125,13 +174,14 @@ def _cut(window: int):
     return run
 
 
-def suffix_tree_dedup(docs: DataFrame, window: int = WINDOW, k: int = GRAM) -> DataFrame:
+def suffix_tree_dedup(docs: DataFrame, window: int = WINDOW, k: int = GRAM, most: int = LEAVES) -> DataFrame:
     """doc_id, n_words, n_removed and text (kept words joined by one space) of every row of docs (doc_id, text).
 
     A word is removed if a window of `window` consecutive words of its document covers it whose words also start
     anywhere else, in the same document too. Windows are judged on the input. A null text has no words; null and
     repeated ids are documents like others, and rows repeated whole repeat each other. Other columns are ignored.
+    Texts are read whole, however long; an empty table gives an empty result. most: leaves of a subtree held in memory.
     """
     docs = documents(docs)
-    found = repeated_windows(docs, window, k)
+    found = repeated_windows(docs, window, k, most)
     return docs.join(found, "uid", "left").mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, text string")
