@@ -97,8 +97,10 @@ def dealt(suffixes: DataFrame, most: int = LEAVES) -> DataFrame:
 
 
 def _prefix() -> Column:
-    """A hash of the first `length` symbols of a row of `dealt`."""
-    return F.when(F.col("length") == 1, F.xxhash64("s1")).when(F.col("length") == 2, F.xxhash64("k1")).when(F.col("length") == 3, F.xxhash64("k1", "s3")).otherwise(F.xxhash64("k1", "k2"))
+    """A hash of the first `length` symbols, of columns that are shuffled anyway."""
+    upper = [F.shiftrightunsigned(k, 32) for k in ("k1", "k2")]
+    heads = [F.xxhash64(upper[0]), F.xxhash64("k1"), F.xxhash64("k1", upper[1])]
+    return F.when(F.col("length") == 1, heads[0]).when(F.col("length") == 2, heads[1]).when(F.col("length") == 3, heads[2]).otherwise(F.xxhash64("k1", "k2"))
 
 
 def deep_nodes(common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -150,8 +152,8 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, k: int = GRAM, most:
     shared = shared_anchors(docs, by_words(k), window, k)
     rows = docs.select("uid", "text").join(shared, "uid")
     suffixes = stage(rows.mapInArrow(_suffixes(window, k), "k1 long, k2 long, uid long, at int, known array<int>"), "suffixes")
-    by_prefix = dealt(suffixes.where("k1 IS NOT NULL").select("k1", "k2", "uid", "at"), most).repartition(_prefix())
-    subtrees = by_prefix.select("length", "k1", "k2", "uid", "at").sortWithinPartitions("k1", "k2")
+    paths = dealt(suffixes.where("k1 IS NOT NULL").select("k1", "k2", "uid", "at"), most)
+    subtrees = paths.select("length", "k1", "k2", "uid", "at").repartition(_prefix()).sortWithinPartitions("k1", "k2")
     deep = subtrees.mapInArrow(_subtrees, "uid long, at int").groupBy("uid").agg(F.collect_list("at").alias("known"))
     known = suffixes.where("k1 IS NULL").select("uid", "known")
     return stage(deep.unionByName(known).groupBy("uid").agg(F.flatten(F.collect_list("known")).alias("at")), "windows")
