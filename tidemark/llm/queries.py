@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tidemark.llm import toxicity
 from tidemark.llm.byte_bpe import decode, encode, n_tokens
 from tidemark.llm.exact_dedup import exact_dedup
+from tidemark.llm.exact_topk import exact_top_k
+from tidemark.llm.hard_negatives import hard_negatives
 from tidemark.llm.line_dedup import line_dedup
 from tidemark.llm.mixing import mix
 from tidemark.llm.multi_index import multi_index
@@ -16,6 +18,7 @@ from tidemark.llm.ngram_join import ngram_join
 from tidemark.llm.secret_scan import secret_scan
 from tidemark.llm.suffix_array import suffix_array_dedup
 from tidemark.llm.suffix_tree import suffix_tree_dedup
+from tidemark.llm.vector_codes import codebooks_sha256, hex_code, vector_codes, with_label_error
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,6 +82,22 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_documents(spark, sf_dir), domains(spark.read.parquet(f"{sf_dir}/labels.parquet")), TARGETS)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    moved = F.when(F.pmod("vec_id", F.lit(7)) == 0, F.pmod(F.col("label") + 1, F.lit(10))).otherwise(F.col("label"))
+    return hard_negatives(rows.withColumn("label", moved))
+
+
+def op12_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = vector_codes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    out = with_label_error(hex_code(codes)).withColumn("codebooks_sha256", F.lit(codebooks_sha256(books)))
+    return out.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op3_line_dedup": op3_line_dedup,
@@ -90,8 +109,34 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_array": op8_suffix_array,
     "op9_suffix_tree": op9_suffix_tree,
     "op10_mixing": op10_mixing,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_exact_top_k": op12_exact_top_k,
+    "op13_vector_codes": op13_vector_codes,
 }
 
+_INTEGERS = """e AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+                    WHERE embedding IS NOT NULL AND NOT list_bool_or(list_transform(embedding, lambda x: x IS NULL OR NOT isfinite(x))))"""
+
+
+def _codes_sql(rounds: int = 2) -> str:
+    """Parts p (16), entries c (part, entry, components) before each round, and what each part is assigned to."""
+    step = """,
+             a{i} AS (SELECT id, part, arg_min(entry, (d, entry)) AS entry, min(d) AS d
+                      FROM (SELECT id, p.part, entry, list_sum(list_transform(list_zip(p.w, c.w), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM p JOIN c{i} c ON p.part = c.part) GROUP BY id, part)"""
+    after = """,
+             m{i} AS (SELECT part, entry, place, floor(sum(x) / count(*)) AS x FROM (SELECT p.part, entry, unnest(w) AS x, generate_subscripts(w, 1) AS place FROM a{i} a JOIN p ON a.id = p.id AND a.part = p.part) GROUP BY 1, 2, 3),
+             c{j} AS (SELECT c.part, c.entry, coalesce(m.w, c.w) AS w FROM c{i} c LEFT JOIN (SELECT part, entry, list(x ORDER BY place) AS w FROM m{i} GROUP BY 1, 2) m ON c.part = m.part AND c.entry = m.entry)"""
+    body = "".join(step.format(i=i) + after.format(i=i, j=i + 1) for i in range(rounds)) + step.format(i=rounds)
+    return f"""
+        WITH {_INTEGERS},
+             n AS (SELECT *, row_number() OVER (ORDER BY vec_id, v) AS id FROM e),
+             p AS (SELECT id, part, list_slice(v, len(v) // 16 * part + 1, len(v) // 16 * (part + 1)) AS w FROM n, (SELECT unnest(range(16)) AS part)),
+             c0 AS (SELECT part, id - 1 AS entry, w FROM p WHERE id <= 64){body},
+             h AS (SELECT sha256(string_agg(x::BIGINT::VARCHAR, ',' ORDER BY part, entry, place)) AS h FROM (SELECT part, entry, unnest(w) AS x, generate_subscripts(w, 1) AS place FROM c{rounds})),
+             r AS (SELECT n.vec_id, n.label, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a{rounds} a JOIN n ON a.id = n.id GROUP BY n.id, n.vec_id, n.label)
+        SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, h AS codebooks_sha256 FROM r, h"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op3_line_dedup": """
         WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents),
@@ -137,4 +182,17 @@ ORACLE_SQL: dict[str, str] = {
                    FROM p LEFT JOIN r ON p.doc_id = r.doc_id AND p.i = r.i)
         SELECT w.doc_id, count(i) AS n_words, coalesce(sum(gone), 0)::BIGINT AS n_removed, sha256(coalesce(string_agg(word, ' ' ORDER BY i) FILTER (WHERE gone = 0), '')) AS kept_sha256
         FROM w LEFT JOIN c ON w.doc_id = c.doc_id GROUP BY w.doc_id""",
+    "op11_hard_negatives": f"""
+        WITH {_INTEGERS},
+             l AS (SELECT vec_id, v, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label FROM e WHERE label IS NOT NULL),
+             s AS (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, list_inner_product(a.v, c.v)::BIGINT AS score FROM l a JOIN l c ON a.vec_id <> c.vec_id WHERE a.vec_id % 100 = 0),
+             p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+        SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+        FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+        QUALIFY rank <= 10""",
+    "op12_exact_top_k": f"""
+        WITH {_INTEGERS}
+        SELECT q.vec_id AS query_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_inner_product(q.v, c.v) DESC, c.vec_id) AS rank, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+        FROM e q JOIN e c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0 QUALIFY rank <= 5""",
+    "op13_vector_codes": _codes_sql(),
 }
