@@ -52,10 +52,10 @@ def test_two_stores_that_disagree(spark):
 
 
 def test_catalog(spark):
-    assert stats.catalog(spark, {"receptions": [2, 4]}).count() == 2
+    assert stats.catalog(spark, {"receptions": [2, 4]}, None).count() == 2
     for ladders in ({"touchdowns": [1]}, {"receptions": []}, {"receptions": [4, 2]}, {"receptions": [0, 2]}):
         with pytest.raises(ValueError, match="statistic|rise"):
-            stats.catalog(spark, ladders)
+            stats.catalog(spark, ladders, None)
 
 
 def test_distributions_are_checked(spark):

@@ -12,12 +12,3 @@ def con(sf):
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_matches_sql(spark, sf, con, name):
     compare(QUERIES[name](spark, sf), con, ORACLE_SQL[name])
-
-
-def test_simulation_is_the_same_in_every_run(spark, sf):
-    a, b = (sorted(map(tuple, QUERIES["game_simulation"](spark, sf).collect())) for _ in range(2))
-    assert a == b and len(a) > 0
-
-
-def test_simulation_makes_all_draws(spark, sf):
-    assert {r.n_draws for r in QUERIES["game_simulation"](spark, sf).select("n_draws").distinct().collect()} == {20_000}

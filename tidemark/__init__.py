@@ -1 +1 @@
-"""Spark-native point-in-time analytics: snapshots, markets, scoring, simulation."""
+"""Spark-native point-in-time analytics: snapshots, markets, scoring."""

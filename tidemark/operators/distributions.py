@@ -34,12 +34,37 @@ def line_probabilities(dist: DataFrame, group: list[str], outcome: str, line: Co
 RANGES = 64
 
 
-def range_of(df: DataFrame, column: str, ranges: int = RANGES) -> Column:
-    """The number of a range of about equal size, by the column (a number or a time), whose quantiles are looked up at once."""
+def with_range(df: DataFrame, column: str, name: str = "_part", ranges: int = RANGES) -> DataFrame:
+    """df with the number of a range of about equal size, by the column (a number or a time); a null has range 0.
+
+    The ends of the ranges are quantiles that one aggregate over df finds; they come as one row beside every row.
+    """
     kind = dict(df.dtypes)[column]
     key = F.col(column).cast("timestamp").cast("double") if kind.startswith(("timestamp", "date")) else F.col(column).cast("double")
-    ends = df.agg(F.approx_percentile(key, [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0] or []
-    return sum(((key > end).cast("int") for end in sorted(set(ends))), F.lit(0))
+    ends = df.agg(F.array_distinct(F.coalesce(F.approx_percentile(key, [i / ranges for i in range(1, ranges)], 10 * ranges), F.array().cast("array<double>"))).alias("_ends"))
+    part = F.size(F.filter("_ends", lambda end: key > end))
+    return df.crossJoin(F.broadcast(ends)).withColumn(name, F.coalesce(part, F.lit(0))).drop("_ends")
+
+
+def past_sums(times: DataFrame, group: list[str], clock: str, sums: list[str]) -> DataFrame:
+    """group, clock and the columns `sums`, each added up over the earlier times of the group. times: one row for each group and time.
+
+    Times are dealt out by range: within a range a window adds up, and the totals of the ranges before it, of which
+    there are RANGES at most, come on top.
+    """
+    rows = with_range(times, clock)
+    inside = Window.partitionBy(*group, "_part").orderBy(clock).rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.groupBy(*group, "_part").agg(*[F.sum(c).alias(c) for c in sums])
+    earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    if not group:
+        earlier = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    parts = parts.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("_part").alias("_at"), *[zero(F.sum(c).over(earlier)).alias(f"_b{i}") for i, c in enumerate(sums)])
+    on = F.col("_part") == F.col("_at")
+    for i, g in enumerate(group):
+        on &= F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    rows = rows.withColumns({f"_i{i}": zero(F.sum(c).over(inside)) for i, c in enumerate(sums)}).join(parts, on)
+    return rows.select(*group, clock, *[(F.col(f"_i{i}") + F.col(f"_b{i}")).alias(c) for i, c in enumerate(sums)])
 
 
 def _counted(df: DataFrame, group: list[str], value: str) -> DataFrame:
@@ -49,7 +74,7 @@ def _counted(df: DataFrame, group: list[str], value: str) -> DataFrame:
     which there are RANGES at most, gives the offset of its values, so a group of all rows is spread over many tasks.
     """
     v = F.col(value)
-    counts = df.where(v.isNotNull()).groupBy(*group, value).agg(F.count("*").alias("n")).withColumn("_part", range_of(df, value))
+    counts = with_range(df.where(v.isNotNull()).groupBy(*group, value).agg(F.count("*").alias("n")), value)
     inside = Window.partitionBy(*group, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("_before", F.coalesce(F.sum("n").over(inside), F.lit(0)))
     parts = counts.groupBy(*group, "_part").agg(F.sum("n").alias("_n"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemark.functions.scoring import bin_of, brier, clipped, log_loss
-from tidemark.operators.distributions import _counted, range_of
+from tidemark.operators.distributions import _counted, with_range
 
 
 def benchmark(df: DataFrame, slices: list[str], model: str = "p", market: str = "q", outcome: str = "y") -> DataFrame:
@@ -71,7 +71,7 @@ def drawdown(df: DataFrame, group: list[str], order: list[str], profit: str) ->
     group, a stretch is told by its profit, its highest and lowest running profit and its largest fall; so a group of
     all rows is spread over many tasks.
     """
-    rows = df.withColumn("_part", range_of(df, order[0]))
+    rows = with_range(df, order[0])
     inside = Window.partitionBy(*group, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("_run", F.sum(profit).over(inside)).withColumn("_top", F.max("_run").over(inside))
     parts = rows.groupBy(*group, "_part").agg(F.count("*").alias("_n"), F.sum(profit).alias("_sum"), F.max("_run").alias("_high"), F.min("_run").alias("_low"), F.max(F.col("_top") - F.col("_run")).alias("_fall"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions.scoring import clipped
+from tidemark.operators.distributions import past_sums
 from tidemark.operators.quality import require_empty
 
 BLOCK, WARN = "BLOCK", "WARN"
@@ -90,15 +91,22 @@ def skill(challenger: Column, baseline: Column) -> Column:
 def fallback_rate(rows: DataFrame, levels: list[list[str]], clock: str, y: str, least: int) -> DataFrame:
     """rows with level and rate: of the groups from narrow to broad, the first with `least` outcomes strictly before the row's time; level is its number.
 
-    Each group is first added up by time, so a window goes over the distinct times of a group, not over its rows.
+    Each group is first added up by time, and the times of a group are dealt out by range, so a window goes over the
+    distinct times of a range. A null group is a group of its own; a row without a time has no past and
+    is in nobody's.
     """
     out = rows
     for i, level in enumerate(levels):
-        times = rows.groupBy(*level, clock).agg(F.count(y).alias("_n"), F.sum(y).alias("_s"))
-        past = (Window.partitionBy(*level) if level else Window.partitionBy(F.lit(0))).orderBy(clock).rowsBetween(Window.unboundedPreceding, -1)
-        times = times.select(*level, clock, F.coalesce(F.sum("_n").over(past), F.lit(0)).alias(f"_n{i}"), F.coalesce(F.sum("_s").over(past), F.lit(0)).alias(f"_s{i}"))
-        out = out.join(times, [*level, clock])
-    enough = [F.col(f"_n{i}") >= least for i in range(len(levels))]
+        told = F.when(F.col(clock).isNotNull(), F.col(y))
+        times = rows.groupBy(*level, clock).agg(F.count(told).alias("n"), F.sum(told).alias("s"))
+        past = past_sums(times, level, clock, ["n", "s"])
+        names = [f"_k{j}" for j in range(len(level) + 1)]
+        past = past.toDF(*names, f"_n{i}", f"_s{i}")
+        on = F.lit(True)
+        for c, name in zip([*level, clock], names, strict=True):
+            on &= out[c].eqNullSafe(past[name])
+        out = out.join(past, on).drop(*names)
+    enough = [F.col(clock).isNotNull() & (F.col(f"_n{i}") >= least) for i in range(len(levels))]
     level, rate = F.lit(None).cast("int"), F.lit(None).cast("double")
     for i in reversed(range(len(levels))):
         level, rate = F.when(enough[i], i).otherwise(level), F.when(enough[i], F.col(f"_s{i}") / F.col(f"_n{i}")).otherwise(rate)

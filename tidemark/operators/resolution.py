@@ -9,10 +9,11 @@ def resolve(left: DataFrame, right: DataFrame, left_id: str, right_id: str, rule
     """left_id, right_id, status and rule: the first rule whose columns match exactly one id of right decides; if it matches more, the row is ambiguous."""
     found = None
     for n, rule in enumerate(rules):
-        sides = left.join(right.select(*rule, right_id).distinct(), rule).groupBy(left_id).agg(F.collect_set(right_id).alias("_ids"))
-        one = sides.withColumn("_rule", F.lit(n + 1))
+        ids = right.groupBy(*rule).agg(F.min(right_id).alias("_id"), F.max(right_id).alias("_other"))
+        one = left.join(ids, rule).groupBy(left_id).agg(F.min("_id").alias("_id"), F.max("_other").alias("_other")).withColumn("_rule", F.lit(n + 1))
         found = one if found is None else found.unionByName(one)
-    best = found.groupBy(left_id).agg(F.min_by("_ids", "_rule").alias("_ids"), F.min("_rule").alias("rule"))
+    best = found.groupBy(left_id).agg(F.min_by(F.struct("_id", "_other"), "_rule").alias("_ids"), F.min("_rule").alias("rule"))
     out = left.select(left_id).distinct().join(best, left_id, "left")
-    size = F.size("_ids")
-    return out.select(left_id, F.when(size == 1, F.get("_ids", F.lit(0))).alias(right_id), F.when(F.col("_ids").isNull(), "UNMATCHED").when(size == 1, "MATCHED").otherwise("AMBIGUOUS").alias("status"), "rule")
+    sole = F.col("_ids._id") == F.col("_ids._other")
+    status = F.when(F.col("_ids").isNull(), "UNMATCHED").when(sole, "MATCHED").otherwise("AMBIGUOUS")
+    return out.select(left_id, F.when(sole, F.col("_ids._id")).alias(right_id), status.alias("status"), "rule")

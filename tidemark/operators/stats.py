@@ -7,31 +7,76 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from tidemark.functions import odds
 from tidemark.operators.quality import require_empty
 
-#: The statistics that draws have as columns, and those made of them.
+#: The statistics that draws have as columns. Parts of a game are columns too, such as q1_passing_yards; q5 is overtime.
 NATIVE = ("targets", "receptions", "receiving_yards", "receiving_tds", "longest_reception", "rush_attempts", "rushing_yards", "rushing_tds", "longest_rush", "passing_attempts",
     "passing_completions", "passing_yards", "passing_tds", "interceptions", "longest_pass", "fg_attempts", "fg_made", "xp_made", "kicking_points", "rushing_receiving_yards")
-DERIVED = {
-    "anytime_td": "receiving_tds + rushing_tds", "passing_yards_1h": "passing_yards_1q + passing_yards_2q", "passing_tds_1h": "passing_tds_1q + passing_tds_2q", "receiving_yards_1h": "receiving_yards_1q + receiving_yards_2q",
-    "rushing_yards_1h": "rushing_yards_1q + rushing_yards_2q", "fg_made_1h": "fg_made_1q + fg_made_2q", "anytime_td_1q": "tds_1q", "anytime_td_1h": "tds_1q + tds_2q", "anytime_td_2h": "tds_3q + tds_4q", "first_td": "first_td",
-}
-REGISTRY = {**{n: n for n in NATIVE}, **DERIVED}
-#: Statistics read as 0 or 1, and the ones that only the catalog of thresholds knows.
+#: Statistics made of others, the ones read as 0 or 1, and the ones that only the catalog of thresholds knows.
+HALVES = ("passing_yards", "passing_tds", "receiving_yards", "rushing_yards", "fg_made")
 BINARY = ("anytime_td", "anytime_td_1q", "anytime_td_1h", "anytime_td_2h")
-CATALOG_STATS = {"offensive_tds": "receiving_tds + rushing_tds"}
+DERIVED = ("anytime_td", *(f"{s}_1h" for s in HALVES), "anytime_td_1q", "anytime_td_1h", "anytime_td_2h", "first_td")
+CATALOG_STATS = ("offensive_tds",)
+#: Kinds of props that are bet on and are a column or a derived statistic under their own name; one has another.
+PROPS = ("passing_attempts", "passing_completions", "passing_yards", "passing_tds", "interceptions", "rushing_attempts", "rushing_yards", "receptions", "receiving_yards", "rushing_receiving_yards",
+    "longest_pass", "longest_reception", "longest_rush", "fg_made", "kicking_points", *DERIVED)
+RENAMED = {"rushing_attempts": "rush_attempts"}
+#: The thresholds of each statistic's events, "at least so many": 131 in all.
+LADDERS = {
+    "passing_yards": [150, 175, 200, 225, 250, 275, 300, 325, 350, 400],
+    "passing_completions": [15, 18, 20, 22, 25, 28, 30],
+    "passing_attempts": [25, 30, 35, 40, 45, 50],
+    "rushing_yards": [25, 40, 50, 60, 75, 90, 100, 125, 150],
+    "rush_attempts": [5, 8, 10, 12, 15, 18, 20, 25],
+    "receiving_yards": [20, 30, 40, 50, 60, 75, 90, 100, 125, 150],
+    "receptions": [2, 3, 4, 5, 6, 7, 8, 10],
+    "targets": [3, 5, 7, 9, 11],
+    "longest_reception": [15, 20, 25, 30, 40, 50],
+    "longest_rush": [10, 15, 20, 30, 40],
+    "longest_pass": [20, 30, 40, 50, 60],
+    "rushing_receiving_yards": [40, 50, 60, 75, 90, 100, 125, 150],
+    "kicking_points": [4, 6, 7, 8, 10, 12],
+    "passing_yards_1h": [75, 100, 125, 150, 175, 200],
+    "receiving_yards_1h": [15, 25, 40, 50, 60, 75],
+    "rushing_yards_1h": [15, 25, 40, 50, 60, 75],
+    "passing_tds": [1, 2, 3, 4],
+    "interceptions": [1, 2, 3],
+    "fg_made": [1, 2, 3, 4],
+    "fg_attempts": [1, 2, 3],
+    "offensive_tds": [2, 3],
+    "passing_tds_1h": [1, 2],
+    "fg_made_1h": [1, 2],
+}
+MILESTONES = ("passing_tds", "interceptions", "fg_made", "fg_attempts", "offensive_tds", "passing_tds_1h", "fg_made_1h")
+EVENTS = 131
+
+
+def touchdowns(quarters: str) -> str:
+    return " + ".join(f"q{q}_receiving_tds + q{q}_rushing_tds" for q in quarters)
+
+
+def formula(stat: str, overtime: bool = True) -> str:
+    """The value of a statistic or prop from the columns of one draw, as SQL that Spark and others read. overtime: whether second halves count it."""
+    stat = RENAMED.get(stat, stat)
+    if stat in NATIVE or stat == "first_td":
+        return stat
+    if stat in ("anytime_td", "offensive_tds"):
+        return "receiving_tds + rushing_tds"
+    if stat.removesuffix("_1h") in HALVES:
+        return f"q1_{stat.removesuffix('_1h')} + q2_{stat.removesuffix('_1h')}"
+    quarters = {"anytime_td_1q": "1", "anytime_td_1h": "12", "anytime_td_2h": "345" if overtime else "34"}
+    if stat not in quarters:
+        raise ValueError(f"unknown statistic: {stat}")
+    return touchdowns(quarters[stat])
 
 
-def extractor(stat: str) -> Column:
+def extractor(stat: str, overtime: bool = True) -> Column:
     """The value of a statistic in one draw; binary ones are 1 from one on."""
-    known = REGISTRY | CATALOG_STATS
-    if stat not in known:
-        raise ValueError(f"unknown statistic: {stat}")
-    value = F.expr(known[stat]).cast("long")
+    value = F.expr(formula(stat, overtime)).cast("long")
     return (value >= 1).cast("long") if stat in BINARY else value
 
 
-def long_form(draws: DataFrame, keys: list[str], stats: list[str]) -> DataFrame:
+def long_form(draws: DataFrame, keys: list[str], stats: list[str], overtime: bool = True) -> DataFrame:
     """One row of stat and value for each draw and statistic; a null value is left out."""
-    each = F.array(*[F.struct(F.lit(s).alias("stat"), extractor(s).alias("value")) for s in stats])
+    each = F.array(*[F.struct(F.lit(s).alias("stat"), extractor(s, overtime).alias("value")) for s in stats])
     return draws.select(*keys, F.inline(each)).where("value IS NOT NULL")
 
 
@@ -75,6 +120,12 @@ def weighted_quantile(table: DataFrame, keys: list[str], q: float) -> DataFrame:
     return reached.groupBy(*keys).agg(F.min("outcome").alias("quantile"))
 
 
+def props(draws: DataFrame, keys: list[str], overtime: bool = True) -> DataFrame:
+    """One row of prop and value for each draw and each of the 25 kinds of props; touchdown props count touchdowns."""
+    each = F.array(*[F.struct(F.lit(p).alias("prop"), F.expr(formula(p, overtime)).cast("long").alias("value")) for p in PROPS])
+    return draws.select(*keys, F.inline(each)).where("value IS NOT NULL")
+
+
 def projections(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Draws, mean, standard deviation and share of draws above 0 of each statistic. rows: keys and value."""
     return rows.groupBy(*keys).agg(F.count("*").alias("n_draws"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"), F.avg((F.col("value") > 0).cast("double")).alias("p_positive"))
@@ -91,33 +142,38 @@ def eligible(players: DataFrame, team: list[str], player: str, active: str, shar
     return rows.withColumn("starter", F.coalesce(chosen, F.lit(False))).where((F.col(share) > 0) | F.col("starter")).drop("_q", "_k")
 
 
-def catalog(spark: SparkSession, ladders: dict[str, list[int]]) -> DataFrame:
-    """stat and threshold of every event, checked: known statistics, positive thresholds, each ladder rising."""
+def catalog(spark: SparkSession, ladders: dict[str, list[int]] | None = None, events: int | None = EVENTS) -> DataFrame:
+    """stat, threshold and classification of every event, checked: known statistics, positive thresholds, each ladder rising, as many events as stated."""
+    ladders = LADDERS if ladders is None else ladders
     for stat, ladder in ladders.items():
         extractor(stat)
         if not ladder or ladder[0] < 1 or any(a >= b for a, b in zip(ladder, ladder[1:], strict=False)):
             raise ValueError(f"thresholds of {stat} must be positive and rise")
-    return spark.createDataFrame([(s, t) for s, ladder in sorted(ladders.items()) for t in ladder], "stat string, threshold long")
+    rows = [(s, t, "MILESTONE_ONLY" if s in MILESTONES else "STANDARD_THRESHOLD_ELIGIBLE") for s, ladder in sorted(ladders.items()) for t in ladder]
+    if events is not None and len(rows) != events:
+        raise ValueError(f"{len(rows)} events, not {events}")
+    return spark.createDataFrame(rows, "stat string, threshold long, classification string")
 
 
 def threshold_product(table: DataFrame, keys: list[str], events: DataFrame) -> DataFrame:
     """p_hit of each distribution at each threshold of its statistic. events: the catalog, whose size does not depend on data."""
     tail = F.sum(F.when(F.col("outcome") >= F.col("threshold"), F.col("p")).otherwise(0.0))
-    return table.join(F.broadcast(events), "stat").groupBy(*keys, "threshold").agg(tail.alias("p_hit"))
+    return table.join(F.broadcast(events), "stat").groupBy(*keys, "threshold", "classification").agg(tail.alias("p_hit"))
 
 
 def priced(quotes: DataFrame, table: DataFrame, keys: list[str], cutoff: Column, received: str) -> DataFrame:
     """quotes (keys, side, line, odds) with p_win, p_push, fair odds and expected value under the distributions.
 
-    A quote received after the cutoff is an error; one without a distribution is left out.
+    A quote received after the cutoff is an error; one without a distribution is left out. Each quote meets one row, its
+    distribution packed into an array, so quotes that repeat stay as they are.
     """
     late = F.when(F.col(received) > cutoff, F.raise_error(F.lit("a quote from after the cutoff"))).otherwise(F.col("line"))
-    names = quotes.columns
-    rows = quotes.withColumn("line", late).join(table, keys)
-    side, above, at = F.col("side"), F.col("outcome") > F.col("line"), F.col("outcome") == F.col("line")
-    wins = F.when(side == "OVER", above).when(side == "UNDER", ~above & ~at).otherwise(above | at)
-    mass = lambda c: F.sum(F.when(c, F.col("p")).otherwise(0.0))
-    out = rows.groupBy(*names).agg(mass(wins).alias("p_win"), mass((side != "HIT") & at).alias("p_push"))
+    rows = quotes.withColumn("line", late).join(packed(table, keys), keys)
+    side, line = F.col("side"), F.col("line")
+    mass = lambda test: F.aggregate(F.filter("pmf", test), F.lit(0.0), lambda a, x: a + x["p"])
+    above, below, at = (mass(t) for t in (lambda x: x["outcome"] > line, lambda x: x["outcome"] < line, lambda x: x["outcome"] == line))
+    wins = F.when(side == "OVER", above).when(side == "UNDER", below).otherwise(above + at)
+    out = rows.withColumns({"p_win": wins, "p_push": F.when(side != "HIT", at).otherwise(0.0)}).drop("pmf")
     fair = odds.non_push(F.col("p_win"), F.col("p_push"))
     return out.withColumns({"fair_odds": odds.american(fair), "ev": odds.expected_value(F.col("p_win"), F.col("p_push"), F.col("odds"))})
 

@@ -1,10 +1,10 @@
-"""Distributions: draws are lineitems, the outcome is l_quantity as a whole number; and the game simulation."""
+"""Distributions: draws are lineitems, the outcome is l_quantity as a whole number."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import distributions as D, simulation
+from tidemark.operators import distributions as D
 from tidemark.plans.common import Registry, rounded, table
 
 R = Registry()
@@ -113,23 +113,3 @@ def pmf_crps(spark, sf_dir):
 def joint_totals(spark, sf_dir):
     q = F.col("l_quantity")
     return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sum(q).alias("plays"), F.count_if(F.col("l_extendedprice") > 30000).alias("scores"), (F.max(q) - F.min(q)).alias("margin"), F.bool_or(F.col("l_returnflag") == "R").alias("turnover"))
-
-
-def _games(spark, sf_dir):
-    """Two sides of every supplier: its odd and its even lines."""
-    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("game_id"), (F.col("l_linenumber") % 2).cast("long").alias("team"))
-    games = rows.agg(F.lit(62.0).alias("plays"), (F.lit(4.0) + F.avg("l_discount") * 20).alias("yards_per_play"), (F.lit(0.35) + F.avg("l_tax")).alias("success"), F.lit(0.045).alias("touchdown_rate"))
-    both = games.groupBy("game_id").count().where("count = 2").select("game_id")
-    return games.join(both, "game_id", "left_semi")
-
-
-@R.add()
-def game_simulation(spark, sf_dir):
-    """Projections from simulated games: mean and percentiles of points by game and team."""
-    draws = simulation.simulate(_games(spark, sf_dir), DRAWS)
-    return D.order_statistics(draws, ["game_id", "team"], "points", [0.05, 0.5, 0.95])
-
-
-@R.add("SELECT 0::BIGINT AS points, 0::BIGINT AS negative, 0::BIGINT AS touchdowns, 0::BIGINT AS teams, 0::BIGINT AS margins")
-def simulation_violations(spark, sf_dir):
-    return simulation.violations(simulation.simulate(_games(spark, sf_dir), DRAWS))

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from tidemark.operators import evaluation as E, gates as G, products as P, quality as Q
+from tidemark.operators import gates as G, products as P, quality as Q
 from tidemark.plans.common import Registry, rounded, table, text_time
 from tidemark.plans.evaluation import FORECASTS, _forecasts
-from tidemark.plans.products import BENCHMARK, CONTENT, HASHED
+from tidemark.plans.products import CONTENT, HASHED
 
 R = Registry()
 QUERIES, ORACLE_SQL = R.queries, R.sql
@@ -74,12 +74,12 @@ def team_game_sums(spark, sf_dir):
 
 
 @R.add("""
-    SELECT o_orderkey, round(o_totalprice, 2) AS raw, round(o_totalprice * 0.9 + 10, 2) AS calibrated FROM orders WHERE o_orderstatus = 'F'""")
+    WITH c AS (SELECT o_orderkey, CAST(round(o_totalprice * 100) AS BIGINT) AS cents FROM orders WHERE o_orderstatus = 'F')
+    SELECT o_orderkey, cents AS raw_cents, cents * 9 + 10000 AS calibrated_tenths FROM c""")
 def paired_predictions(spark, sf_dir):
-    """Raw and calibrated values of the same predictions, each held exactly once by both."""
-    final = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'")
-    raw = final.select("o_orderkey", F.round("o_totalprice", 2).alias("raw"))
-    return G.joined_one_to_one(raw, final.select("o_orderkey", F.round(F.col("o_totalprice") * 0.9 + 10, 2).alias("calibrated")), ["o_orderkey"])
+    """Raw and calibrated values of the same predictions, each held exactly once by both; in whole cents and tenths of them, which no rounding parts."""
+    final = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select("o_orderkey", F.round(F.col("o_totalprice") * 100).cast("long").alias("raw_cents"))
+    return G.joined_one_to_one(final, final.select("o_orderkey", (F.col("raw_cents") * 9 + 10000).alias("calibrated_tenths")), ["o_orderkey"])
 
 
 @R.add(f"""
@@ -174,19 +174,6 @@ def leakage_rules(spark, sf_dir):
     return G.leakage(lineage, "l_orderkey").groupBy("rule").agg(F.count("*").alias("predictions"), F.sum("n").alias("findings"))
 
 
-@R.add(f"""
-    WITH {FORECASTS}, {BENCHMARK}, o AS (SELECT n >= 500 AND lm < lq AND bm < bq AND em <= eq + 0.01 AS base FROM b WHERE slice = 1), s AS (SELECT bool_and(n >= 500 AND lm < lq AND bm < bq AND em <= eq + 0.01) AS stable FROM b WHERE slice = 0)
-    SELECT base AND stable AND false AS promote, concat_ws(', ', CASE WHEN stable IS NULL THEN 'missing: stable' WHEN NOT stable THEN 'failed: stable' END, 'missing: crps_not_worse', CASE WHEN base IS NULL THEN 'missing: base' WHEN NOT base THEN 'failed: base' END) AS reasons FROM o, s""")
-def full_promotion_gate(spark, sf_dir):
-    """The gate over all rows and each slice; evidence that is missing fails."""
-    rows = P.promotion(E.full_benchmark(_forecasts(spark, sf_dir), ["lang"]))
-    base = rows.where("slice = 1").select(F.col("promoted").alias("base"))
-    slices = G.stable(rows.where("slice = 0").withColumn("all", F.lit(1)), ["all"], F.col("promoted")).select("stable")
-    evidence = base.crossJoin(slices).withColumns({"crps_not_worse": F.lit(None).cast("boolean"), "zero_leakage": F.lit(True)})
-    reasons = G.evidence_reasons(["stable", "crps_not_worse", "zero_leakage", "base"])
-    return evidence.select((F.size(reasons) == 0).alias("promote"), F.concat_ws(", ", reasons).alias("reasons"))
-
-
 CHANGED = "(SELECT * REPLACE (CASE WHEN l_quantity = 50 THEN 'X' ELSE l_returnflag END AS l_returnflag) FROM lineitem WHERE l_orderkey % 100 <> 3)"
 
 
@@ -231,6 +218,8 @@ def label_coverage(spark, sf_dir):
     return rows.groupBy("lang").agg(F.count("*").alias("n"), F.count("quality").alias("labelled"), F.count_if(F.col("quality").isNull()).alias("unlabelled"), rounded(F.count("quality") / F.count("*")).alias("coverage"))
 
 
+#: Keys of a range whose places are counted together.
+RANGE = 4096
 NAMES = ("orders", "lineitem", "customer", "supplier", "part", "events")
 
 
@@ -250,8 +239,10 @@ def list_columns(spark, sf_dir):
     """Lists made, sorted, made distinct, measured and added up; places in an order with nulls last. The window takes one row a game, range by range."""
     rows = _lines(spark, sf_dir).groupBy("l_orderkey").agg(F.count("*").alias("n"), F.max("l_suppkey").alias("top"), F.array_sort(F.collect_set("l_suppkey")).alias("a"))
     rows = rows.withColumn("key", F.when(F.col("n") > 3, F.col("top")))
-    ranges = rows.groupBy("key").agg(F.count("*").alias("_n"))
-    before = ranges.select(F.col("key").alias("_key"), F.coalesce(F.sum("_n").over(Window.orderBy(F.asc_nulls_last("key")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    placed = rows.withColumn("_i", F.row_number().over(Window.partitionBy("key").orderBy("l_orderkey"))).join(before, F.col("key").eqNullSafe(F.col("_key")))
+    rows = rows.withColumn("_range", F.floor(F.col("l_orderkey") / RANGE))  # so that games with one key, or none, are parted too
+    ranges = rows.groupBy("key", "_range").agg(F.count("*").alias("_n"))
+    before = ranges.select(F.col("key").alias("_key"), F.col("_range").alias("_at"), F.coalesce(F.sum("_n").over(Window.orderBy(F.asc_nulls_last("key"), "_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("key", "_range").orderBy("l_orderkey"))
+    placed = rows.withColumn("_i", own).join(before, F.col("key").eqNullSafe(F.col("_key")) & (F.col("_range") == F.col("_at")))
     total = F.aggregate("a", F.lit(0).cast("long"), lambda s, x: s + x)
     return placed.select("l_orderkey", "n", F.size("a").alias("n_distinct"), F.get("a", F.lit(0)).alias("first"), total.alias("total"), (F.col("_before") + F.col("_i")).alias("place"))

@@ -2,32 +2,60 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from tidemark.operators import stats as S
 from tidemark.plans.common import Registry, rounded, table
 
 R = Registry()
 QUERIES, ORACLE_SQL = R.queries, R.sql
-COLUMNS = {
-    "receptions": "CAST(l_linenumber AS BIGINT)", "receiving_yards": "CAST(l_quantity AS BIGINT)", "receiving_tds": "CAST(l_linenumber % 3 AS BIGINT)", "rushing_tds": "CAST(round(l_tax * 100) AS BIGINT) % 2",
-    "tds_1q": "CAST(l_linenumber % 2 AS BIGINT)", "tds_2q": "CAST(round(l_discount * 100) AS BIGINT) % 3", "first_td": "CAST(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS BIGINT)",
+#: Every column of a draw, from whole numbers of a line; the SQL is read by both engines.
+BASE = {
+    "targets": "l_linenumber + q % 8", "receptions": "l_linenumber", "receiving_yards": "q * 3", "receiving_tds": "l_linenumber % 3", "longest_reception": "q", "rush_attempts": "l_partkey % 27",
+    "rushing_yards": "l_partkey % 160", "rushing_tds": "l_partkey % 2", "longest_rush": "l_partkey % 45", "passing_attempts": "15 + l_orderkey % 40", "passing_completions": "10 + l_orderkey % 25",
+    "passing_yards": "l_orderkey % 420", "passing_tds": "l_orderkey % 5", "interceptions": "(l_orderkey + l_linenumber) % 4", "longest_pass": "l_orderkey % 65", "fg_attempts": "(l_orderkey + l_linenumber) % 5",
+    "fg_made": "(l_orderkey + l_linenumber) % 5 * (l_partkey % 2)", "xp_made": "l_partkey % 6", "kicking_points": "(l_orderkey + l_linenumber) % 5 * (l_partkey % 2) * 3 + l_partkey % 6", "rushing_receiving_yards": "l_partkey % 160 + q * 3",
+    "first_td": "CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END",
 }
-STATS = ["receptions", "receiving_yards", "receiving_tds", "anytime_td", "anytime_td_1h", "first_td", "offensive_tds"]
-VALUES = {"receptions": "receptions", "receiving_yards": "receiving_yards", "receiving_tds": "receiving_tds", "anytime_td": "(receiving_tds + rushing_tds >= 1)::BIGINT", "anytime_td_1h": "(tds_1q + tds_2q >= 1)::BIGINT", "first_td": "first_td", "offensive_tds": "receiving_tds + rushing_tds"}
-LONG = f"""
-    d AS (SELECT l_suppkey, l_orderkey, {", ".join(f"{v} AS {k}" for k, v in COLUMNS.items())} FROM lineitem WHERE l_orderkey < 12000),
+PARTS_OF = [*S.HALVES, "receiving_tds", "rushing_tds"]
+COLUMNS = {k: f"CAST({v} AS BIGINT)" for k, v in (BASE | {f"q{i}_{s}": f"({BASE[s]} + {i}) % {i + 1}" for s in PARTS_OF for i in range(1, 6)}).items()}
+STATS = [*S.NATIVE, *S.DERIVED, *S.CATALOG_STATS]
+VALUES = {s: f"({S.formula(s)} >= 1)::BIGINT" if s in S.BINARY else S.formula(s) for s in STATS}
+DRAWS = f"""
+    b AS (SELECT *, CAST(l_quantity AS BIGINT) AS q FROM lineitem),
+    d AS (SELECT l_suppkey, l_orderkey, l_linenumber, {", ".join(f"{v} AS {k}" for k, v in COLUMNS.items())} FROM b)"""
+LONG = f"""{DRAWS},
     x AS (SELECT l_suppkey, unnest([{", ".join(f"{{'stat': '{k}', 'value': {v}}}" for k, v in VALUES.items())}], recursive := true) FROM d),
     m AS (SELECT l_suppkey, stat, value AS outcome, count(*) / sum(count(*)) OVER (PARTITION BY l_suppkey, stat) AS p FROM x GROUP BY 1, 2, 3)"""
 
 
+def _draws(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").withColumn("q", F.col("l_quantity").cast("long"))
+    return rows.select("l_suppkey", "l_orderkey", "l_linenumber", *[F.expr(v).alias(k) for k, v in COLUMNS.items()])
+
+
 def _rows(spark, sf_dir):
-    draws = S.first_draws(table(spark, sf_dir, "lineitem"), "l_orderkey", 12_000)
-    return S.long_form(draws.select("l_suppkey", *[F.expr(v).alias(k) for k, v in COLUMNS.items()]), ["l_suppkey"], STATS)
+    return S.long_form(_draws(spark, sf_dir), ["l_suppkey"], STATS)
+
 
+def _pmf(spark, sf_dir, stats=None):
+    return S.pmf(S.long_form(_draws(spark, sf_dir), ["l_suppkey"], stats or STATS), ["l_suppkey", "stat"])
 
-def _pmf(spark, sf_dir):
-    return S.pmf(_rows(spark, sf_dir), ["l_suppkey", "stat"])
+
+@R.add(f"WITH {DRAWS} SELECT l_orderkey, sum(receiving_yards)::BIGINT AS receiving_yards, count(*) AS n_draws FROM d WHERE l_linenumber < 4 GROUP BY 1")
+def retained_draws(spark, sf_dir):
+    """Only the first draws of each game are kept: those numbered below 4."""
+    kept = S.first_draws(_draws(spark, sf_dir), "l_linenumber", 4)
+    return kept.groupBy("l_orderkey").agg(F.sum("receiving_yards").alias("receiving_yards"), F.count("*").alias("n_draws"))
+
+
+@R.add(f"""
+    WITH {DRAWS}, x AS (SELECT l_suppkey, unnest([{", ".join(f"{{'prop': '{k}', 'value': {S.formula(k, False)}}}" for k in S.PROPS)}], recursive := true) FROM d)
+    SELECT l_suppkey, prop, count(*) AS n_draws, sum(value)::BIGINT AS total, max(value) AS most FROM x GROUP BY 1, 2""")
+def prop_totals(spark, sf_dir):
+    """All 25 kinds of props of every draw, second halves without overtime."""
+    rows = S.props(_draws(spark, sf_dir), ["l_suppkey"], overtime=False)
+    return rows.groupBy("l_suppkey", "prop").agg(F.count("*").alias("n_draws"), F.sum("value").alias("total"), F.max("value").alias("most"))
 
 
 @R.add(f"WITH {LONG} SELECT l_suppkey, stat, count(*) AS n_draws, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS sd, round(avg((value > 0)::INT), 6) AS p_positive FROM x GROUP BY 1, 2")
@@ -48,8 +76,10 @@ def stat_distributions(spark, sf_dir):
     SELECT l_suppkey, i, CASE WHEN a[1].o >= a[2].o THEN 'ORDER' WHEN i = 3 THEN 'MASS' WHEN i = 5 THEN 'SUM' END AS fault FROM d""")
 def distribution_faults(spark, sf_dir):
     """What is wrong with arrays of outcomes that nobody sorted, some with a negative or a missing part."""
-    first = F.slice(F.sort_array(F.collect_list(F.struct("l_orderkey", "l_quantity", "l_partkey"))), 1, 2)
-    rows = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", F.col("l_linenumber").alias("i")).agg(first.alias("a"))
+    order = ["l_orderkey", "l_quantity", "l_partkey"]
+    place = F.row_number().over(Window.partitionBy("l_suppkey", "l_linenumber").orderBy(*order))
+    two = table(spark, sf_dir, "lineitem").withColumn("place", place).where("place <= 2")
+    rows = two.groupBy("l_suppkey", F.col("l_linenumber").alias("i")).agg(F.sort_array(F.collect_list(F.struct(*order))).alias("a"))
     p = F.when(F.col("i") == 3, -0.5).when(F.col("i") == 5, 0.25).otherwise(0.5)
     return rows.select("l_suppkey", "i", S.faults(F.transform("a", lambda x: F.struct(x["l_quantity"].cast("long").alias("outcome"), p.alias("p")))).alias("fault"))
 
@@ -61,20 +91,17 @@ def weighted_quantiles(spark, sf_dir):
     return S.weighted_quantile(_pmf(spark, sf_dir), ["l_suppkey", "stat"], 0.8)
 
 
-LADDERS = {"receptions": [2, 4, 6], "receiving_yards": list(range(5, 51, 5)), "offensive_tds": [2, 3]}
-
-
 @R.add(f"""
-    WITH {LONG}, e AS (SELECT 'receptions' AS stat, unnest([2, 4, 6]) AS threshold UNION ALL SELECT 'receiving_yards', unnest(range(5, 51, 5)) UNION ALL SELECT 'offensive_tds', unnest([2, 3]))
-    SELECT l_suppkey, stat, threshold, round(sum(CASE WHEN outcome >= threshold THEN p ELSE 0 END), 6) AS p_hit FROM m JOIN e USING (stat) GROUP BY 1, 2, 3""")
+    WITH {LONG}, e AS ({" UNION ALL ".join(f"SELECT '{k}' AS stat, unnest({v}) AS threshold, '{'MILESTONE_ONLY' if k in S.MILESTONES else 'STANDARD_THRESHOLD_ELIGIBLE'}' AS classification" for k, v in S.LADDERS.items())})
+    SELECT l_suppkey, stat, threshold, classification, round(sum(CASE WHEN outcome >= threshold THEN p ELSE 0 END), 6) AS p_hit FROM m JOIN e USING (stat) GROUP BY 1, 2, 3, 4""")
 def catalog_thresholds(spark, sf_dir):
-    """Chances of at least each threshold of a checked catalog, from the distributions."""
-    out = S.threshold_product(_pmf(spark, sf_dir), ["l_suppkey", "stat"], S.catalog(spark, LADDERS))
-    return out.select("l_suppkey", "stat", "threshold", rounded("p_hit").alias("p_hit"))
+    """Chances of at least each threshold of the whole catalog, from the distributions."""
+    out = S.threshold_product(_pmf(spark, sf_dir, list(S.LADDERS)), ["l_suppkey", "stat"], S.catalog(spark))
+    return out.select("l_suppkey", "stat", "threshold", "classification", rounded("p_hit").alias("p_hit"))
 
 
 @R.add(f"""
-    WITH {LONG}, q AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE l_linenumber % 3 WHEN 0 THEN 'OVER' WHEN 1 THEN 'UNDER' ELSE 'HIT' END AS side, floor(l_quantity / 2) + CASE WHEN l_quantity > 40 THEN 0.5 ELSE 0 END AS line, CAST(round(100 + 1000 * l_tax) AS INT) AS odds FROM lineitem WHERE l_shipdate <= TIMESTAMP '1996-01-01'),
+    WITH {LONG}, q AS (SELECT row_number() OVER () AS id, l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE l_linenumber % 3 WHEN 0 THEN 'OVER' WHEN 1 THEN 'UNDER' ELSE 'HIT' END AS side, floor(l_quantity / 2) + CASE WHEN l_quantity > 40 THEN 0.5 ELSE 0 END AS line, CAST(round(100 + 1000 * l_tax) AS INT) AS odds FROM lineitem WHERE l_shipdate <= TIMESTAMP '1996-01-01'),
          w AS (SELECT q.*, sum(CASE WHEN (side = 'OVER' AND outcome > line) OR (side = 'UNDER' AND outcome < line) OR (side = 'HIT' AND outcome >= line) THEN p ELSE 0 END) AS w, sum(CASE WHEN side <> 'HIT' AND outcome = line THEN p ELSE 0 END) AS push
                FROM q JOIN m ON m.l_suppkey = q.l_suppkey AND stat = 'receiving_yards' GROUP BY ALL)
     SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, side, round(w, 6) AS p_win, round(push, 6) AS p_push, round(w * odds / 100.0 - (1 - w - push), 6) AS ev FROM w""")
@@ -84,8 +111,8 @@ def price_board(spark, sf_dir):
     side = F.when(F.col("l_linenumber") % 3 == 0, "OVER").when(F.col("l_linenumber") % 3 == 1, "UNDER").otherwise("HIT")
     line = F.floor(F.col("l_quantity") / 2) + F.when(F.col("l_quantity") > 40, 0.5).otherwise(0.0)
     quotes = table(spark, sf_dir, "lineitem").where(F.col("l_shipdate") <= cutoff).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", side.alias("side"), line.alias("line"), F.round(F.lit(100) + F.col("l_tax") * 1000).cast("int").alias("odds"))
-    yards = _pmf(spark, sf_dir).where("stat = 'receiving_yards'").drop("stat")
-    out = S.priced(quotes.distinct(), yards, ["l_suppkey"], cutoff, "l_shipdate")
+    yards = _pmf(spark, sf_dir, ["receiving_yards"]).drop("stat")
+    out = S.priced(quotes, yards, ["l_suppkey"], cutoff, "l_shipdate")
     return out.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "side", rounded("p_win").alias("p_win"), rounded("p_push").alias("p_push"), rounded("ev").alias("ev"))
 
 

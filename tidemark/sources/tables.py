@@ -7,6 +7,7 @@ leaves the old state readable. One writer at a time is assumed.
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterable
 
@@ -58,15 +59,32 @@ def _null_safe(left: DataFrame, right: DataFrame, key: list[str], how: str) -> D
     return left.join(keys, on, how)
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """df computed once and kept in the checkpoint folder that driver and executors share; set here only where nobody has, on a local master."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        at = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not at and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(at or tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint()
+
+
 def keep_one(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key in the given order; the order must decide ties."""
     place = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
     return df.withColumn("_place", place).where("_place = 1").drop("_place")
 
 
-def upsert(stored: DataFrame, batch: DataFrame, key: list[str], keep: str = "last") -> DataFrame:
-    """Stored and batch with one row for each key: of the batch if keep is 'last', else of the store. The store has a key once; of a key that batch repeats any one row counts."""
-    batch = batch.dropDuplicates(key)
+def upsert(stored: DataFrame, batch: DataFrame, key: list[str], keep: str = "last", order: list[str] | None = None) -> DataFrame:
+    """Stored and batch with one row for each key: of the batch if keep is 'last', else of the store. The store has a key once.
+
+    Of a key that batch repeats the row counts that is last (or first) by `order` (if given) and then by all columns, so
+    a task that runs again gives the same row. Columns that have no order, such as maps, must not be needed for it.
+    """
+    rest = [c for c, kind in batch.dtypes if c not in {*key, *(order or [])} and "map<" not in kind]
+    by = [F.col(c).desc_nulls_last() if keep == "last" else F.col(c).asc_nulls_first() for c in [*(order or []), *rest]]
+    batch = keep_one(batch, key, by or [F.lit(0)])
     if keep == "last":
         return union_wide(absent(stored, batch, key), batch)
     return union_wide(stored, absent(batch, stored, key))
