@@ -146,3 +146,37 @@ def test_line_dedup_of_a_very_long_text(spark):
     text = "\n".join(str(i % 5_000) for i in range(60_000))
     (r,) = line_dedup(frame(spark, [(1, text)])).collect()
     assert (r.n_lines, r.n_removed, r.text) == (60_000, 55_000, "\n".join(str(i) for i in range(5_000)))
+
+
+def test_work_of_the_secret_scan_grows_with_the_matches(spark):
+    """One text with many matches: four times the matches take less than six times the time, and every place is right."""
+    import random
+    import time
+
+    from tidemark.llm.secret_scan import secret_scan
+
+    random.seed(3)
+    took = {}
+    for n in (500, 40_000, 160_000):
+        parts = [f"{random.getrandbits(64):016x}" for _ in range(n)]
+        df = spark.createDataFrame([(1, " ".join(parts))], "doc_id long, text string")
+        began = time.time()
+        row = secret_scan(df).first()
+        took[n] = time.time() - began
+        assert row.n_hex == n
+        spans = [s.split(":") for s in row.spans.split(",") if s.startswith("hex")]
+        assert [(int(a), int(b)) for _, a, b in spans] == [(17 * i, 17 * i + 16) for i in range(n)]
+    assert took[160_000] < 6 * took[40_000] + 2
+
+
+def test_running_sums_and_ranks(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.llm.secret_scan import below, running
+
+    rng = __import__("random").Random(4)
+    rows = [([rng.randint(0, 9) for _ in range(n)], sorted(rng.randint(0, 60) for _ in range(m))) for n in (0, 1, 127, 128, 129, 1000) for m in (0, 5, 300)]
+    df = spark.createDataFrame(rows, "v array<int>, q array<int>")
+    for r in df.select("v", "q", running(F.col("v")).alias("s"), below(F.col("v"), F.col("q")).alias("n")).collect():
+        assert r.s == [sum(r.v[: i + 1]) for i in range(len(r.v))]
+        assert r.n == [sum(p < q for p in r.v) for q in r.q]

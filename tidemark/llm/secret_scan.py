@@ -25,24 +25,60 @@ ALLOW = (r"^[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$", r"(?i)exampl
 WINDOW = 20
 
 
+#: Values of an array that are added up one after the other before the sums of such stretches are.
+CHUNK = 128
+INTS = "array<int>"
+
+
+def _let(value: Column, use) -> Column:
+    """use(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def running(values: Column) -> Column:
+    """Sums of an array of ints up to each of them. An array that grows by one value is copied, so it only ever grows to CHUNK values."""
+
+    def sums(part: Column, name: str) -> Column:
+        def step(state, x):
+            total = state["s"] + x
+            return F.struct(total.alias("s"), F.concat(state["out"], F.array({"upto": total, "before": state["s"]}[name])).alias("out"))
+
+        return F.aggregate(part, F.struct(F.lit(0).alias("s"), F.array().cast(INTS).alias("out")), step, lambda state: state["out"])
+
+    def scan(v: Column) -> Column:
+        at = F.when(F.size(v) > 0, F.sequence(F.lit(0), F.floor((F.size(v) - 1) / CHUNK).cast("int"))).otherwise(F.array().cast(INTS))
+        stretches = F.transform(at, lambda k: sums(F.slice(v, k * CHUNK + 1, F.lit(CHUNK)), "upto"))
+        return _let(stretches, lambda own: F.flatten(F.zip_with(own, sums(F.transform(own, lambda part: F.element_at(part, -1)), "before"), lambda part, before: F.transform(part, lambda x: x + before))))
+
+    return _let(values, scan)
+
+
+def below(points: Column, asked: Column) -> Column:
+    """For each of the rising ints `asked`, how many points are smaller: both in one sorted array, in which points are counted."""
+    both = F.array_sort(F.concat(F.transform(points, lambda p: F.struct(p.alias("at"), F.lit(1).alias("point"))), F.transform(asked, lambda q: F.struct(q.alias("at"), F.lit(0).alias("point")))))
+
+    def counted(events: Column) -> Column:
+        sums = running(F.transform(events, lambda e: e["point"]))
+        return F.transform(F.filter(F.zip_with(events, sums, lambda e, n: F.struct(e["point"].alias("point"), n.alias("n"))), lambda e: e["point"] == 0), lambda e: e["n"])
+
+    return _let(both, counted)
+
+
 def _at(text: Column, pattern: str, keep=None) -> Column:
-    """Spans [start, end) of the pattern's matches, in code points: what stands between the matches gives their places.
+    """Matches of the pattern as m, start and end (code points): what stands between the matches gives their places.
 
-    keep: of (match, second group), whether a match counts.
+    keep: of the length of the second group, whether a match counts.
     """
     gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     groups = F.regexp_extract_all(text, F.lit(pattern), F.lit(2)) if keep is not None else found
-    parts = F.zip_with(F.arrays_zip(found.alias("m"), groups.alias("g")), F.slice(gaps, 1, F.size(found)), lambda m, gap: F.struct(F.length(gap).alias("gap"), F.length(m["m"]).alias("n"), F.length(m["g"]).alias("g")))
-    span = "array<struct<start:int,end:int>>"
+    parts = F.zip_with(F.arrays_zip(found.alias("m"), groups.alias("g")), F.slice(gaps, 1, F.size(found)), lambda m, gap: F.struct(F.length(gap).alias("gap"), F.length(m["m"]).alias("n"), F.length(m["g"]).alias("g"), m["m"].alias("m")))
 
-    def step(state, x):
-        start = state["at"] + x["gap"]
-        one = F.array(F.struct(start.alias("start"), (start + x["n"]).alias("end")))
-        more = one if keep is None else F.when(keep(x["g"]), one).otherwise(F.array().cast(span))
-        return F.struct((start + x["n"]).alias("at"), F.concat(state["out"], more).alias("out"))
+    def placed(p: Column) -> Column:
+        spans = F.zip_with(p, running(F.transform(p, lambda x: x["gap"] + x["n"])), lambda x, end: F.struct(x["m"].alias("m"), (end - x["n"]).alias("start"), end.alias("end"), x["g"].alias("g")))
+        kept = spans if keep is None else F.filter(spans, lambda x: keep(x["g"]))
+        return F.transform(kept, lambda x: F.struct(x["m"].alias("m"), x["start"].alias("start"), x["end"].alias("end")))
 
-    first = F.struct(F.lit(0).alias("at"), F.array().cast(span).alias("out"))
-    return F.when(text.rlike(pattern), F.aggregate(parts, first, step, lambda s: s["out"])).otherwise(F.array().cast(span))
+    return F.when(text.rlike(pattern), _let(parts, placed)).otherwise(F.array().cast("array<struct<m:string,start:int,end:int>>"))
 
 
 def best_entropy(candidate: Column, alphabet: str, window: int) -> Column:
@@ -85,15 +121,20 @@ def secret_scan(docs: DataFrame, window: int = WINDOW, classes=CLASSES, allow=AL
     Spans are kind:start:end in code points, end exclusive, by start and then kind. A null text counts as empty,
     which has no spans. Null ids and repeated rows are passed through, one result for each row; other columns
     are ignored. Patterns look at whole texts, however long: none repeats a group of variable length, so none recurses
-    with the length of a match. An empty table gives an empty result.
+    with the length of a match; work grows in proportion to a text and its matches. An empty table gives an empty result.
     """
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
     found = rows.withColumns({"assign": _at(F.col("text"), ASSIGN, lambda n: n >= 12), "access": _at(F.col("text"), ACCESS), "hex": _at(F.col("text"), HEX), "candidate": _at(F.col("text"), CANDIDATE)})
     base = found.withColumn("base", F.concat(_tagged(F.col("assign"), 0), _tagged(F.col("access"), 1), _tagged(F.col("hex"), 2)))
 
+    # of spans that begin before a candidate ends, those that end before it begins don't overlap it
+    began = below(F.transform("base", lambda b: b["start"]), F.transform("candidate", lambda s: s["end"]))
+    ended = below(F.transform("base", lambda b: b["end"]), F.transform("candidate", lambda s: s["start"] + 1))
+    free = F.zip_with(F.col("candidate"), F.zip_with(began, ended, lambda a, b: a - b), lambda s, n: F.struct(s["m"].alias("m"), s["start"].alias("start"), s["end"].alias("end"), n.alias("n")))
+
     def secret(s: Column) -> Column:
-        value = F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"])
-        ok = value.rlike("[0-9]") & value.rlike("[A-Za-z]") & ~F.exists(F.col("base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+        value = s["m"]
+        ok = (s["n"] == 0) & value.rlike("[0-9]") & value.rlike("[A-Za-z]")
         for pattern in allow:
             ok &= ~value.rlike(pattern)
         high = F.lit(False)
@@ -101,7 +142,7 @@ def secret_scan(docs: DataFrame, window: int = WINDOW, classes=CLASSES, allow=AL
             high |= best_entropy(value, alphabet, window) >= least
         return F.when(ok, high).otherwise(False)
 
-    added = base.withColumn("added", F.when(F.size("candidate") > 0, F.filter(F.col("candidate"), secret)).otherwise(F.col("candidate")))
+    added = base.withColumn("added", F.when(F.size("candidate") > 0, F.filter(free, secret)).otherwise(F.array().cast("array<struct<m:string,start:int,end:int,n:int>>")))
     return added.select(
         "doc_id", F.size("assign").cast("long").alias("n_assign"), F.size("access").cast("long").alias("n_access"), F.size("hex").cast("long").alias("n_hex"),
         F.sha2(_joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), _joined(F.concat("base", _tagged(F.col("added"), 3))).alias("spans"), "text",
