@@ -80,3 +80,20 @@ def logit_blend(a: Column, b: Column, weight: Column | float, clip: float = 1e-6
     odds = lambda p: F.log(bound(p) / (1.0 - bound(p)))
     z = odds(a) * weight + odds(b) * (F.lit(1.0) - weight)
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
+
+
+def edge(model: Column, market: Column) -> Column:
+    """By how much the model's probability exceeds the market's fair one."""
+    return model - market
+
+
+def win_push_fault(win: Column, push: Column) -> Column:
+    """Why a pair of probabilities cannot be priced; null if it can. Nothing is clipped or repaired."""
+    wild = lambda p: p.isNull() | F.isnan(p) | (F.abs(p) == float("inf"))
+    return F.when(wild(win) | wild(push), "NOT_FINITE").when((win < 0) | (push < 0), "NEGATIVE").when((win > 1) | (push > 1), "ABOVE_ONE").when(win + push > 1.0 + 1e-9, "SUM_ABOVE_ONE")
+
+
+def checked_win(win: Column, push: Column) -> Column:
+    """win; a pair that cannot be priced is an error."""
+    fault = win_push_fault(win, push)
+    return F.when(fault.isNotNull(), F.raise_error(F.concat(F.lit("win and push: "), fault))).otherwise(win)

@@ -33,3 +33,15 @@ def decay(age_days: Column, half_life: float) -> Column:
 def shrunk(numerator: Column, denominator: Column, prior: Column | float, strength: float) -> Column:
     """Ratio pulled towards a prior that counts as much as `strength` observations."""
     return (numerator + prior * F.lit(float(strength))) / (denominator + F.lit(float(strength)))
+
+
+def standard_error(p: Column, n: Column) -> Column:
+    """Standard error of a share p among n draws; p is clipped to 0 and 1. No draws are an error."""
+    q = F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0))
+    return F.when(n <= 0, F.raise_error(F.lit("a standard error needs draws"))).otherwise(F.sqrt(q * (F.lit(1.0) - q) / n))
+
+
+def draws_needed(p: Column, error: Column) -> Column:
+    """Draws after which the standard error of p is no larger than `error`, which must be above 0."""
+    q = F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0))
+    return F.when(error <= 0, F.raise_error(F.lit("the error asked for must be above 0"))).otherwise(F.ceil(q * (F.lit(1.0) - q) / (error * error)))

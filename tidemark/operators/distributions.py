@@ -67,6 +67,24 @@ def past_sums(times: DataFrame, group: list[str], clock: str, sums: list[str]) -
     return rows.select(*group, clock, *[(F.col(f"_i{i}") + F.col(f"_b{i}")).alias(c) for i, c in enumerate(sums)])
 
 
+def past_last(times: DataFrame, group: list[str], clock: str, value: str) -> DataFrame:
+    """group, clock and the value of the latest time of the group that has one, up to and with its own. times: one row for each group and time.
+
+    Times are dealt out by range; ranges hand the last value of each on to those after it.
+    """
+    rows = with_range(times, clock)
+    inside = Window.partitionBy(*group, "_part").orderBy(clock).rowsBetween(Window.unboundedPreceding, 0)
+    ends = rows.where(F.col(value).isNotNull()).groupBy(*group, "_part").agg(F.max_by(value, clock).alias("_v"))
+    marks = rows.select(*group, "_part").distinct().join(ends, [*group, "_part"], "left")
+    before = F.last("_v", True).over(Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    marks = marks.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("_part").alias("_at"), before.alias("_b"))
+    on = F.col("_part") == F.col("_at")
+    for i, g in enumerate(group):
+        on &= F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    rows = rows.withColumn("_i", F.last(value, True).over(inside)).join(marks, on)
+    return rows.select(*group, clock, F.coalesce("_i", "_b").alias(value))
+
+
 def _counted(df: DataFrame, group: list[str], value: str) -> DataFrame:
     """group, value and n, with below: how many rows of the group have a smaller value, and all: how many it has.
 

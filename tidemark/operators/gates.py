@@ -176,3 +176,28 @@ def with_provenance(rows: DataFrame, sources: DataFrame, key: list[str]) -> Data
     if clash := {"source_hash", "max_available_at"} & set(rows.columns):
         raise ValueError(f"rows have {sorted(clash)} already")
     return rows.join(sources.select(*key, "source_hash", "max_available_at"), key, "left")
+
+
+def scoreable(settled: DataFrame, availability: DataFrame, positions: DataFrame, game: str, player: str) -> DataFrame:
+    """settled with outcome_available_at (of game and player) and position_group (of the player); a row that lacks one is an error."""
+    rows = settled.join(availability.select(game, player, "outcome_available_at"), [game, player], "left").join(positions.select(player, "position_group"), player, "left")
+    missing = F.when(F.col("outcome_available_at").isNull(), "outcome_available_at").when(F.col("position_group").isNull(), "position_group")
+    told = F.when(missing.isNotNull(), F.raise_error(F.concat(F.lit("a settled prediction lacks "), missing)))
+    return rows.withColumn("position_group", F.coalesce(told, F.col("position_group")))
+
+
+#: The columns of a row of a backtest, with what each is called before.
+BACKTEST = {
+    "prediction_id": "prediction_id", "as_of": "as_of", "quote_available_at": "quote_available_at", "quote_time_source": "quote_time_source", "quote_age_seconds": "quote_age_seconds", "injury_data_available": "injury_data_available",
+    "canonical_game_id": "game_id", "canonical_player_id": "player_id", "prop_type": "prop_type", "line": "line", "odds": "american_odds", "vendor": "vendor", "market_type": "market_type", "feature_snapshot_id": "feature_snapshot_id",
+    "state_snapshot_id": "state_snapshot_id", "model_version": "model_version", "p_raw": "p_model_raw", "p_calibrated": "p_calibrated", "p_fundamental": "p_model_raw", "p_final": "p_calibrated", "market_fair": "p_market_fair",
+    "devig_method": "devig_method", "devig_confidence": "devig_confidence", "actual_value": "actual_value", "outcome": "outcome_binary", "closing_line": None, "closing_odds": None, "quoted_at_close": None,
+}
+
+
+def backtest_rows(scoreable_: DataFrame, calibrated: DataFrame) -> DataFrame:
+    """The 28 columns of a backtest. calibrated: prediction_id and p_calibrated, once for each prediction; anything else is an error."""
+    joined = joined_one_to_one(scoreable_, calibrated.select("prediction_id", "p_calibrated"), ["prediction_id"])
+    empty = {"closing_line": "double", "closing_odds": "int", "quoted_at_close": "boolean"}
+    checked = F.when(F.col("p_calibrated").isNull(), F.raise_error(F.lit("a prediction without a calibrated probability"))).otherwise(F.col("p_calibrated"))
+    return joined.withColumn("p_calibrated", checked).select(*[F.lit(None).cast(empty[c]).alias(c) if old is None else F.col(old).alias(c) for c, old in BACKTEST.items()])

@@ -111,3 +111,16 @@ def due(last_cycle: Column, now: Column, cadence_seconds: Column) -> Column:
     return last_cycle.isNull() | (F.unix_seconds(now) - F.unix_seconds(last_cycle) >= cadence_seconds)
 
 
+def select_request(requests: DataFrame, now: Column, run: str | None = None) -> DataFrame:
+    """The request to handle, at most one row of requests (run_id, kickoff_at, as_of and more).
+
+    The one named by run, which must be there; else of those whose game is still to come the one of earliest kickoff, time and
+    id, and without such the earliest by time and id of the others.
+    """
+    if run is not None:
+        named = requests.where(F.col("run_id") == run).limit(1)
+        if named.isEmpty():
+            raise ValueError(f"run {run} is not among the requests that can be handled")
+        return named
+    later = F.coalesce(F.col("kickoff_at") > now, F.lit(False))
+    return requests.orderBy(F.desc(later), F.when(later, F.col("kickoff_at")), "as_of", "run_id").limit(1)

@@ -199,3 +199,19 @@ def with_versions(rows: DataFrame, key: list[str], seen: str, content: list[str]
 def translated(legacy: DataFrame, stored: DataFrame, key: list[str], columns: dict[str, Column]) -> DataFrame:
     """Legacy rows in the columns of the store that it does not hold yet; doing it twice adds nothing."""
     return absent(legacy.select(*[c.alias(n) for n, c in columns.items()]), stored, key)
+
+
+#: What the run of a resource may come to. What a run found is told by its status, never by its row count.
+RUN_STATES = ("SUCCESS", "EMPTY_RESPONSE", "PARTIAL_RESPONSE", "RATE_LIMITED", "PROVIDER_ERROR", "UNSUPPORTED", "MARKET_NOT_POSTED")
+
+
+def record_runs(stored: DataFrame, batch: DataFrame, key: str = "resource_run_id", status: str = "collection_status") -> DataFrame:
+    """stored with the runs of batch that it lacks. A run that is stored with another content, repeats in batch, or has no known status is an error."""
+    columns = [c for c in stored.columns if c != key]
+    known = F.col(status).isin(*RUN_STATES)
+    checked = batch.withColumn(status, F.when(known, F.col(status)).otherwise(F.raise_error(F.concat(F.lit("unknown status of a run: "), F.coalesce(F.col(status), F.lit("null"))))))
+    both = stored.select(key, content_hash(columns).alias("_h")).unionByName(batch.select(key, content_hash(columns).alias("_h")))
+    twice = both.groupBy(key).agg(F.min("_h").alias("_a"), F.max("_h").alias("_b")).where("_a <> _b")
+    if not twice.isEmpty():
+        raise ValueError("runs that are recorded with other content")
+    return stored.unionByName(absent(checked, stored, [key]).dropDuplicates([key]))
