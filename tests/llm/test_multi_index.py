@@ -54,7 +54,7 @@ def test_small_cases(spark):
     same = [1.0, 2.0, 0.0, 0.0, 1.0, 0.5]
     rows += [(i, same) for i in range(200, 420)]
     rows += [(500, None), (550, [0.0] * 6), (600, [1.0, float("nan")] * 3), (650, [None, 1.0] * 3), (700, [1.0, float("inf")] * 3), (None, same), (750, []), (800, [1.0, 2.0]), (801, [2.0, 1.0]), (50, rows[50][1])]
-    got, want = found(multi_index(frame(spark, rows))), brute(rows)
+    got, want = found(multi_index(frame(spark, rows), share=1.0)), brute(rows)
     assert got.keys() == want.keys()
     for q in want:
         assert [i for i, _ in got[q]] == [i for i, _ in want[q]] and all(abs(a - b) < 1e-9 for (_, a), (_, b) in zip(got[q], want[q], strict=True))

@@ -29,7 +29,8 @@ def line_dedup(docs: DataFrame, size: int = LINES) -> DataFrame:
     Lines are split at line feeds. The first place of a window is that of the smallest (doc_id, position), null
     ids first; every other place is removed, overlapping places of one document included. A text with fewer than
     `size` lines has no window and stays whole. A null text is an empty one (one empty line). Rows that repeat
-    both id and text are one document: they are cut alike. Other columns are ignored.
+    both id and text are one document: they are cut alike. Other columns are ignored. A text of any length is read
+    whole by one task; an empty table gives an empty result.
     """
     docs = documents(docs)
     windows = _windows(docs, size)

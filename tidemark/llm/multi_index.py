@@ -20,8 +20,8 @@ from tidemark.llm.common import stage
 
 #: Vectors that the codebooks are fitted on at most (those of least hash), rounds of k-means, and most centroids of a half.
 FIT_ROWS, ROUNDS, CENTROIDS = 20_000, 10, 1024
-#: Share of all entries, and number at least, that a query looks at.
-SHARE, LEAST = 0.45, 1_000
+#: Share of all entries that a query looks at, whatever their number.
+SHARE = 0.55
 #: Entries of a block, queries that meet it at once, and queries whose nearest a task holds before it hands them on.
 BLOCK, TOGETHER, HELD = 1024, 128, 50_000
 
@@ -135,7 +135,7 @@ class _Best:
         return pd.DataFrame(out, columns=["rep", "vec_id", "score"])
 
 
-def _search(vectors: DataFrame, size: int, every: int, k: int, share: float, least: int) -> DataFrame:
+def _search(vectors: DataFrame, size: int, every: int, k: int, share: float) -> DataFrame:
     vectors = stage(vectors.where(F.size("vec") == size).distinct(), "vectors")
     by_id = Window.partitionBy("vec").orderBy("vec_id")
     small = vectors.withColumn("r", F.row_number().over(by_id)).where(F.col("r") <= k + 1)
@@ -172,7 +172,7 @@ def _search(vectors: DataFrame, size: int, every: int, k: int, share: float, lea
     spread = placed.withColumn("b", block_of("cell")).withColumn("block", F.col("b.first") + F.pmod(F.xxhash64("vec"), F.col("b.split")).cast("int"))
     packed = spread.groupBy("block").agg(F.collect_list(F.struct("vec", "ids", "cell")).alias("rows"))
     packed = packed.select("block", F.flatten("rows.vec").alias("vecs"), F.col("rows.ids").alias("ids"), F.col("rows.cell").alias("cells"))
-    enough = max(least, int(np.ceil(share * total)))
+    enough = int(np.ceil(share * total))
 
     def route(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -224,18 +224,18 @@ def _search(vectors: DataFrame, size: int, every: int, k: int, share: float, lea
     return each.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def multi_index(embeddings: DataFrame, every: int = 50, k: int = 5, share: float = SHARE, least: int = LEAST) -> DataFrame:
+def multi_index(embeddings: DataFrame, every: int = 50, k: int = 5, share: float = SHARE) -> DataFrame:
     """query_id, rank (from 1), vec_id and score: of each row whose vec_id is divisible by `every`, the k nearest found.
 
     Nearness is the largest cosine, in double precision on the vectors as given; ties go to the smaller vec_id. Each
-    query looks at the share of all distinct vectors whose cells are nearest, and at `least` of them. Rows that are
+    query looks at the share of all distinct vectors whose cells are nearest; with a share of 1 it finds all. Rows that are
     not `usable`, or whose vec_id is null, take no part; nor do rows of the query's own id. Rows repeated whole
     count once. Vectors of different lengths are searched apart. An empty table gives an empty result.
     """
     vectors = embeddings.select(embeddings["vec_id"].cast("long").alias("vec_id"), embeddings["embedding"].cast("array<double>").alias("vec"))
     vectors = vectors.where(F.col("vec_id").isNotNull() & usable(F.col("vec")))
     lengths = sorted(r[0] for r in vectors.select(F.size("vec")).distinct().collect())
-    parts = [_search(vectors, n, every, k, share, least) for n in lengths]
+    parts = [_search(vectors, n, every, k, share) for n in lengths]
     out = parts[0] if parts else embeddings.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     for part in parts[1:]:
         out = out.unionByName(part)

@@ -243,7 +243,8 @@ def suffix_array_dedup(docs: DataFrame, window: int = WINDOW, k: int = GRAM, ste
     A byte is removed if a string of `window` bytes of its document covers it that also starts anywhere else, in the
     same document too; overlaps count, and strings are judged on the input. n_spans counts maximal removed runs. What
     is kept may cut a character. A null text is an empty one; null and repeated ids are documents like others, and
-    rows repeated whole repeat each other. Other columns are ignored.
+    rows repeated whole repeat each other. Other columns are ignored. A text is read whole, however long, by one task at a
+    time; an empty table gives an empty result.
     """
     if not 0 < step <= 48 or window - step + 1 < k:
         raise ValueError("step must be 48 at most, and window - step + 1 not less than k")
