@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import calibration as C, evaluation as E, products as P
+from tidemark.operators.prequential import prequential
 from tidemark.plans.common import Registry, rounded, table
 from tidemark.plans.evaluation import FORECASTS, _forecasts
 from tidemark.sources import raw
@@ -20,13 +21,33 @@ def logistic_calibration(spark, sf_dir):
     return spark.createDataFrame([(n, round(float(v), 6)) for n, v in zip(("intercept", "slope"), w, strict=True)], "name string, weight double")
 
 
-@R.add()
+@R.add(f"""
+    WITH {FORECASTS}, e AS (SELECT p, sum(y) AS s, count(*) AS n FROM f GROUP BY 1), c AS (SELECT p, row_number() OVER o AS i, sum(s) OVER o AS s, sum(n) OVER o AS n FROM e WINDOW o AS (ORDER BY p)),
+         z AS (SELECT 0 AS i, 0.0 AS s, 0 AS n UNION ALL SELECT i, s, n FROM c),
+         lows AS (SELECT a.i AS a, c.i, min((b.s - a.s) / (b.n - a.n)) AS low FROM z a JOIN c ON a.i < c.i JOIN c b ON b.i >= c.i GROUP BY 1, 2), v AS (SELECT i, max(low) AS fitted FROM lows GROUP BY 1)
+    SELECT doc_id, round(fitted, 6) AS fitted FROM f JOIN c USING (p) JOIN v USING (i)""")
 def isotonic_calibration(spark, sf_dir):
     """Each labelled document's forecast, calibrated by a rising function."""
     rows = _forecasts(spark, sf_dir)
     return C.apply_isotonic(rows, C.fit_isotonic(rows, "p", "y"), "p").select("doc_id", rounded("fitted").alias("fitted"))
 
 
+@R.add()
+def fitted_calibrators(spark, sf_dir):
+    """Each labelled document's forecast under three calibrators, and which of them has the least loss."""
+    out, name = C.choose_calibrator(_forecasts(spark, sf_dir), "p", "y")
+    return out.select("doc_id", *[rounded(m).alias(m) for m in C.METHODS]).withColumn("chosen", F.lit(name))
+
+
+@R.add()
+def prequential_methods(spark, sf_dir):
+    """Every line's probability, calibrated by what was known before its month: by return flag, else by line status, else by all lines."""
+    at = F.date_trunc("month", F.col("l_shipdate").cast("timestamp"))
+    key = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]
+    rows = table(spark, sf_dir, "lineitem").select(*key, "l_returnflag", "l_linestatus", (F.lit(0.05) + F.lit(0.9) * ((F.col("l_partkey") * 7 + F.col("l_quantity").cast("long")) % 100) / 100).alias("p"), (F.col("l_quantity") > 25).cast("int").alias("y"), at.alias("asked"), (F.col("l_shipdate").cast("timestamp") + F.make_dt_interval(days=F.col("l_linenumber"))).alias("known"))
+    return prequential(rows, key, {"prop": "l_returnflag", "position": "l_linestatus", "global": None}, "p", "y", "asked", "known", 200)
+
+
 @R.add(f"""
     WITH {FORECASTS}, b AS (SELECT lang, avg(-(y * ln(p) + (1 - y) * ln(1 - p))) AS a, avg(-(y * ln(q) + (1 - y) * ln(1 - q))) AS b FROM f GROUP BY 1)
     SELECT lang, CASE WHEN a <= b THEN 'p' ELSE 'q' END AS choice FROM b""")

@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import Window, functions as F
 
 from tidemark.operators import distributions as D, gates as G, shards as S, tilt as T
+from tidemark.operators.stats import priced
 from tidemark.plans.common import Registry, rounded, table
 from tidemark.sources.tables import cut
 
@@ -138,3 +139,19 @@ def tilted_challenger(spark, sf_dir):
     shards = shards.withColumn("as_of", F.make_timestamp_ntz("season", F.lit(1), F.col("week").cast("int"), F.lit(0), F.lit(0), F.lit(0))).withColumn("known", F.col("as_of") + F.expr("INTERVAL 3 HOURS"))
     out, fits = T.walk_forward(shards, FOLDS, "game", "as_of", "known")
     return out.join(F.broadcast(T.fit_frame(spark, fits)), "fold")
+
+
+@R.add(f"""
+    WITH {OOF}, a AS (SELECT row_number() OVER () AS id, l_partkey AS game, l_orderkey, l_linenumber, l_suppkey, CASE l_linenumber % 2 WHEN 0 THEN 'OVER' ELSE 'UNDER' END AS side, floor(l_quantity / 2) AS line, 100 + l_orderkey % 60 AS odds FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-01-01'),
+         s AS (SELECT id, variant, a.game, l_orderkey, l_linenumber, l_suppkey, side, odds, sum(CASE WHEN (side = 'OVER' AND outcome > line) OR (side = 'UNDER' AND outcome < line) THEN p ELSE 0 END) AS w, sum(CASE WHEN outcome = line THEN p ELSE 0 END) AS push
+               FROM a JOIN m ON m.game = a.game AND m.prop = 'receiving_yards' AND variant <> 'down' GROUP BY ALL)
+    SELECT variant, game, l_orderkey, l_linenumber, l_suppkey, side, round(w, 6) AS p_win, round(push, 6) AS p_push, round(w * odds / 100.0 - (1 - w - push), 6) AS ev FROM s""")
+def calibrated_prices(spark, sf_dir):
+    """Every quote up to a cutoff, priced under the draws as they are and under tilted ones."""
+    cutoff = F.expr("TIMESTAMP_NTZ'1998-01-01 00:00:00'")
+    thetas = {k: THETAS[k] for k in ("raw", "up")}
+    yards = S.distributions(_shards(spark, sf_dir), "game", thetas).where("prop = 'receiving_yards'").select("variant", "game", F.inline("pmf"))
+    lines = table(spark, sf_dir, "lineitem").where(F.col("l_shipdate") <= cutoff)
+    quotes = lines.select(F.explode(F.array(*map(F.lit, thetas))).alias("variant"), F.col("l_partkey").alias("game"), "l_orderkey", "l_linenumber", "l_suppkey", "l_shipdate", F.when(F.col("l_linenumber") % 2 == 0, "OVER").otherwise("UNDER").alias("side"), F.floor(F.col("l_quantity") / 2).alias("line"), (100 + F.col("l_orderkey") % 60).alias("odds"))
+    out = priced(quotes, yards, ["variant", "game"], cutoff, "l_shipdate")
+    return out.select("variant", "game", "l_orderkey", "l_linenumber", "l_suppkey", "side", *[rounded(c).alias(c) for c in ("p_win", "p_push", "ev")])
