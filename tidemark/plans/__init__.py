@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidemark.plans import clv, distributions, evaluation, gates, market, parsing, players, products, reports, shards, snapshots, state, stats, stores, tables, timing
+from tidemark.plans import backtest, clv, distributions, evaluation, gates, market, parsing, players, products, reports, shards, snapshots, state, stats, stores, tables, timing
 
-MODULES = (snapshots, tables, state, market, distributions, evaluation, products, reports, parsing, clv, timing, stats, gates, shards, players, stores)
+MODULES = (snapshots, tables, state, market, distributions, evaluation, products, reports, parsing, clv, timing, stats, gates, shards, players, stores, backtest)
 QUERIES = {name: q for m in MODULES for name, q in m.QUERIES.items()}
 ORACLE_SQL = {name: q for m in MODULES for name, q in m.ORACLE_SQL.items()}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 
 def landing(payloads: DataFrame, body: str, received: str) -> DataFrame:
@@ -14,7 +15,7 @@ def mapped(payloads: DataFrame, body: str, schema: str) -> tuple[DataFrame, Data
     """Rows with the body's fields typed by schema, and those whose body is no JSON of that kind."""
     read = payloads.withColumn("_json", F.from_json(body, schema + ", _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
     bad = F.col("_json._corrupt").isNotNull() | F.col("_json").isNull()
-    fields = [c.split()[0] for c in schema.split(", ")]
+    fields = StructType.fromDDL(schema).names
     return read.where(~bad).select(*payloads.columns, *[F.col(f"_json.{c}").alias(c) for c in fields]), read.where(bad).select(*payloads.columns)
 
 

@@ -144,6 +144,81 @@ def compact(spark: SparkSession, root: str, rows_per_file: int = 1_000_000) -> s
     return _point(spark, root, state)
 
 
+PARTS = "_parts"
+#: A table of parts is compacted when so many of them are small; a part of so many rows is none of these.
+SMALL_PARTS, SMALL_ROWS = 32, 1_000_000
+
+
+def _live(spark: SparkSession, root: str) -> tuple[int, list[tuple[str, int]]]:
+    """Number of the last list of parts, and the parts (folder, rows) in it."""
+    if not exists(spark, f"{root}/{PARTS}"):
+        return 0, []
+    row = spark.read.schema("n long, parts array<struct<at: string, rows: long>>").json(f"{root}/{PARTS}").agg(F.max("n").alias("n"), F.max_by("parts", "n").alias("parts")).first()
+    return row["n"], [(p["at"], p["rows"]) for p in row["parts"]]
+
+
+def _list_parts(spark: SparkSession, root: str, n: int, parts: list[tuple[str, int]]) -> None:
+    spark.createDataFrame([(n + 1, parts)], "n long, parts array<struct<at: string, rows: long>>").coalesce(1).write.mode("append").json(f"{root}/{PARTS}")
+
+
+def _write_part(df: DataFrame, root: str) -> tuple[str, int]:
+    at = f"{root}/part-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(at)
+    return at, df.sparkSession.read.parquet(at).count()
+
+
+def live_parts(spark: SparkSession, root: str) -> DataFrame:
+    """The rows of all live parts of a table, columns by name and types widened."""
+    _, parts = _live(spark, root)
+    if not parts:
+        raise ValueError(f"no parts at {root}")
+    return union_wide(*[spark.read.parquet(at) for at, _ in parts])
+
+
+def append_part(batch: DataFrame, root: str, key: list[str], keep: str = "last", order: list[str] | None = None) -> int:
+    """Adds batch to the table of parts at root as one new part, and returns how many rows that has.
+
+    Keys are compared with null equal to null. keep "first": only rows whose key is not stored are written. keep "last": rows
+    of batch replace stored ones; only the parts that hold such keys are written anew without them, the others are not
+    touched. A key that batch repeats counts once, as in `upsert`. Parts never change on disk and a new list of parts is
+    appended last, so a job that is lost leaves the old state readable. One writer at a time is assumed.
+    """
+    spark = batch.sparkSession
+    n, parts = _live(spark, root)
+    if not parts:
+        new = _write_part(upsert(empty_like(batch), batch, key, keep, order), root)
+        _list_parts(spark, root, n, [new])
+        return new[1]
+    stored = live_parts(spark, root)
+    if keep == "first":
+        new = _write_part(absent(upsert(empty_like(batch), batch, key, keep, order), stored.select(*key), key), root)
+        if new[1]:
+            _list_parts(spark, root, n, [*parts, new])
+        return new[1]
+    new = _write_part(upsert(empty_like(batch), batch, key, keep, order), root)
+    keys = spark.read.parquet(new[0]).select(*key)
+    named = union_wide(*[spark.read.parquet(at).select(*key).withColumn("_at", F.lit(at)) for at, _ in parts])
+    touched = {r["_at"] for r in present(named, keys, key).select("_at").distinct().collect()}  # a name for each part at most
+    kept = [p for p in parts if p[0] not in touched]
+    for at in sorted(touched):
+        rest = _write_part(absent(spark.read.parquet(at), keys, key), root)
+        kept += [rest] if rest[1] else []
+    if new[1]:
+        _list_parts(spark, root, n, [*kept, new])
+    return new[1]
+
+
+def compact_parts(spark: SparkSession, root: str, small_parts: int = SMALL_PARTS, small_rows: int = SMALL_ROWS) -> int:
+    """Writes the small parts (fewer than small_rows rows) as one, if they are at least small_parts; returns how many that were."""
+    n, parts = _live(spark, root)
+    small = [p for p in parts if p[1] < small_rows]
+    if len(small) < max(small_parts, 2):
+        return 0
+    merged = union_wide(*[spark.read.parquet(at) for at, _ in small]).hint("rebalance")
+    _list_parts(spark, root, n, [*[p for p in parts if p not in small], _write_part(merged, root)])
+    return len(small)
+
+
 def append_snapshot(stored: DataFrame, batch: DataFrame, key: list[str], clock: str) -> DataFrame:
     """Stored rows and those of batch whose key and time are new. A batch without the time's column, or with a null time, is an error."""
     if clock not in batch.columns:
@@ -172,6 +247,14 @@ def by_position(*parts: DataFrame) -> DataFrame:
     return out
 
 
+def union_exact(*parts: DataFrame) -> DataFrame:
+    """All rows of the parts, which must have the same columns of the same types in the same order."""
+    for part in parts[1:]:
+        if part.dtypes != parts[0].dtypes:
+            raise ValueError(f"columns differ: {sorted(set(part.dtypes) ^ set(parts[0].dtypes)) or 'their order'}")
+    return by_position(*parts)
+
+
 def empty_like(df: DataFrame) -> DataFrame:
     """No rows, the same columns."""
     return df.limit(0)
