@@ -221,3 +221,14 @@ def test_union_of_exactly_equal_columns(spark):
     assert S.union_exact(one, one).count() == 4
     with pytest.raises(ValueError, match="int"):
         S.union_exact(one, other)
+
+
+def test_player_crosswalk_rules_and_refusals(spark):
+    from tidemark.operators.resolution import player_crosswalk
+
+    roster = "season int, week int, team int, id string, full_name string, football_name string, last_name string, college string"
+    seen = "player int, season int, week int, team int, name string, last_name string, college string"
+    rows = [(1, 1, 1, "a", "Al Bo", "Al", "Bo", "X"), (1, 1, 1, "b", "Cy Do", None, "Do", "X"), (1, 1, 1, "c", "Cy Do", None, "Do", "Y"), (1, 1, 1, "d", None, "Ed", "Fo", "Z"), (1, 1, 1, "e", None, None, "Go", "W"), (1, 1, 2, "f", None, None, "Go", "V"), (1, 1, 1, "h", None, None, None, None), (1, 1, 3, "i", "Jo Ko", None, "Ko", "X")]
+    apps = [(1, 1, 1, 1, "al bo", "bo", None), (1, 1, 1, 9, "al bo", "bo", None), (2, 1, 1, 1, "Cy Do Jr.", "Do", "Y"), (3, 1, 1, 1, "Cy Do", "Do", None), (4, 1, 1, 1, "Ed Fo", "Fo", None), (5, 1, 1, 1, "Gi Go", "Go", "w"), (6, 1, 1, 2, "Gi Go", "Go", "W"), (7, 1, 1, 1, None, None, None), (8, 1, 1, 3, "Jo Ko", "Ko", "X"), (9, 1, 1, 3, "Jo Ko", "Ko", "X")]
+    got = {r["player"]: (r["id"], r["match_class"], r["n_appearances"]) for r in player_crosswalk(spark.createDataFrame(apps, seen), spark.createDataFrame(rows, roster)).collect()}
+    assert got == {1: ("a", "MATCHED_EXACT", 2), 2: ("c", "MATCHED_CORROBORATED", 1), 3: (None, "AMBIGUOUS", 1), 4: ("d", "MATCHED_EXACT", 1), 5: ("e", "MATCHED_CORROBORATED", 1), 6: (None, "UNMATCHED", 1), 7: (None, "UNMATCHED", 1), 8: (None, "AMBIGUOUS", 1), 9: (None, "AMBIGUOUS", 1)}

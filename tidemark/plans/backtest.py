@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import boards as B, inputs as I, protocol as P, report as E
+from tidemark.operators import boards as B, inputs as I, protocol as P, report as E, resolution as N
 from tidemark.plans.common import Registry, rounded, table
 from tidemark.plans.tables import _scratch
 from tidemark.sources import receipts as C, tables as S
@@ -194,11 +194,13 @@ def converted_receipts(spark, sf_dir):
 
 
 @R.add("""
-    WITH s AS (SELECT o_custkey AS customer, year(o_orderdate) AS season, max(o_orderdate) AS at FROM orders GROUP BY 1, 2)
-    SELECT o_orderkey AS id, o_orderstatus AS status, o_custkey AS owner, strftime(at, '%Y-%m-%d') AS day FROM orders JOIN s ON customer = o_custkey AND season = year(o_orderdate) WHERE season = 1995 AND o_custkey % 97 > 0 AND o_custkey % 89 > 0 AND o_orderstatus <> 'P' AND o_orderkey % 3 > 0""")
+    WITH s AS (SELECT o_custkey AS customer, year(o_orderdate) AS season, max(o_orderdate) AS ts FROM orders GROUP BY 1, 2)
+    SELECT o_orderkey AS id, o_orderstatus AS status, o_custkey AS owner, strftime(ts, '%Y-%m-%d') AS day FROM orders JOIN s ON customer = o_custkey AND season = year(o_orderdate) WHERE season = 1995 AND o_custkey % 97 > 0 AND o_custkey % 89 > 0 AND o_orderstatus <> 'P' AND o_orderkey % 3 > 0""")
 def backfilled_orders(spark, sf_dir):
     """Orders of 1995 that a table has lost, read back from compressed receipts; it still holds a third of them."""
-    receipts = C.compressed(_receipts(spark, sf_dir)).where("fault IS NULL")
+    at = _scratch(spark)
+    C.compressed(_receipts(spark, sf_dir)).where("fault IS NULL").drop("fault").write.parquet(at)
+    receipts = spark.read.parquet(at)
     orders = table(spark, sf_dir, "orders").withColumn("season", F.year("o_orderdate"))
     times = receipts.select(F.col("customer").alias("o_custkey"), "season", F.col("received_at").alias("available_at"))
     asked = orders.where("season = 1995 AND o_custkey % 97 > 0 AND o_custkey % 89 > 0 AND o_orderstatus <> 'P'")
@@ -220,3 +222,31 @@ def appended_parts(spark, sf_dir):
     S.append_part(rows.where("o_orderkey % 4 = 0").drop("urgent"), at, ["o_orderkey", "owner"], keep="first")
     S.compact_parts(spark, at, small_parts=3)
     return S.live_parts(spark, at)
+
+
+#: A player's name as it is spelled here and on rosters; c is the customer. The same text is read by both engines.
+SPELLED = {"name": "CASE WHEN c % 12 = 4 THEN concat('f l', c % 90) ELSE concat('n', c % 200) END", "last_name": "concat('l', c % 90)", "college": "CASE WHEN c % 11 > 0 THEN concat('k', c % 3) END"}
+LISTED = {"full_name": "CASE WHEN c % 4 = 1 THEN concat('z', c) WHEN c % 4 > 1 THEN concat('n', c % 200) END", "football_name": "CASE WHEN c % 6 > 0 THEN 'f' END", "last_name": "CASE WHEN c % 17 > 0 THEN concat('l', c % 90) END", "college": "CASE WHEN c % 7 > 0 THEN concat('k', c % 3) ELSE 'other' END"}
+SLOTS = "year(o_orderdate) AS season, month(o_orderdate) AS week, c % 8 AS team"
+
+
+@R.add(f"""
+    WITH o AS (SELECT *, o_custkey AS c FROM orders), a AS (SELECT c AS player, o_orderkey AS app, {SLOTS}, {", ".join(f"{v} AS {k}" for k, v in SPELLED.items())} FROM o),
+         r AS (SELECT 'g' || CASE WHEN c % 13 = 0 THEN c - 8 ELSE c END AS id, {SLOTS}, {", ".join(f"{v} AS {k}" for k, v in LISTED.items())} FROM o),
+         n AS (SELECT season, week, team, id, college, full_name AS name FROM r WHERE full_name IS NOT NULL UNION SELECT season, week, team, id, college, football_name || ' ' || last_name FROM r WHERE football_name IS NOT NULL AND last_name IS NOT NULL),
+         j1 AS (SELECT a.player, a.app, n.id, a.college = n.college AS same FROM a JOIN n ON a.season = n.season AND a.week = n.week AND a.team = n.team AND a.name = n.name),
+         j3 AS (SELECT a.player, a.app, r.id, a.college = r.college AS same FROM a JOIN r ON a.season = r.season AND a.week = r.week AND a.team = r.team AND a.last_name = r.last_name),
+         r1 AS (SELECT player, count(DISTINCT id) AS n1, min(id) AS i1, count(DISTINCT id) FILTER (WHERE same) AS n2, min(id) FILTER (WHERE same) AS i2 FROM j1 GROUP BY 1),
+         m3 AS (SELECT player, max(k) AS k FROM (SELECT player, app, count(DISTINCT id) AS k FROM j3 GROUP BY 1, 2) GROUP BY 1),
+         r3 AS (SELECT player, count(DISTINCT id) FILTER (WHERE same) AS n3, min(id) FILTER (WHERE same) AS i3 FROM j3 GROUP BY 1),
+         b AS (SELECT p.player, p.n, coalesce(n1, 0) AS n1, coalesce(n2, 0) AS n2, coalesce(n3, 0) AS n3, coalesce(k, 0) AS k, i1, i2, i3 FROM (SELECT player, count(*) AS n FROM a GROUP BY 1) p LEFT JOIN r1 ON p.player = r1.player LEFT JOIN r3 ON p.player = r3.player LEFT JOIN m3 ON p.player = m3.player),
+         u AS (SELECT *, CASE WHEN n1 = 1 THEN '{N.BY_NAME}' WHEN n1 > 1 AND n2 = 1 THEN '{N.BY_NAME_AND_COLLEGE}' WHEN n1 = 0 AND n3 = 1 AND k <= 1 THEN '{N.BY_LAST_NAME}' END AS rule FROM b),
+         v AS (SELECT *, CASE rule WHEN '{N.BY_NAME}' THEN i1 WHEN '{N.BY_NAME_AND_COLLEGE}' THEN i2 WHEN '{N.BY_LAST_NAME}' THEN i3 END AS id FROM u), w AS (SELECT *, CASE WHEN id IS NOT NULL THEN count(*) OVER (PARTITION BY id) END AS claims FROM v)
+    SELECT player, CASE WHEN claims = 1 THEN id END AS id, CASE WHEN claims > 1 THEN 'AMBIGUOUS' WHEN rule = '{N.BY_NAME}' THEN 'MATCHED_EXACT' WHEN rule IS NOT NULL THEN 'MATCHED_CORROBORATED' WHEN n1 > 1 OR n3 > 0 THEN 'AMBIGUOUS' ELSE 'UNMATCHED' END AS match_class, CASE WHEN claims = 1 THEN rule END AS match_rule, n AS n_appearances FROM w""")
+def player_crosswalk(spark, sf_dir):
+    """Players of box scores and who they are on the weekly rosters, by three rules."""
+    orders = table(spark, sf_dir, "orders").withColumn("c", F.col("o_custkey"))
+    slots = [F.year("o_orderdate").alias("season"), F.month("o_orderdate").alias("week"), (F.col("c") % 8).alias("team")]
+    appearances = orders.select(F.col("c").alias("player"), *slots, *[F.expr(v).alias(k) for k, v in SPELLED.items()])
+    rosters = orders.select(F.concat(F.lit("g"), F.when(F.col("c") % 13 == 0, F.col("c") - 8).otherwise(F.col("c"))).alias("id"), *slots, *[F.expr(v).alias(k) for k, v in LISTED.items()])
+    return N.player_crosswalk(appearances, rosters)

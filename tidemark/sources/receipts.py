@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.operators.quality import require_empty
 from tidemark.sources.raw import mapped
-from tidemark.sources.tables import absent, keep_one
+from tidemark.sources.tables import absent, cut, keep_one
 
 LEVEL = 10
 
@@ -77,7 +77,7 @@ def backfill(receipts: DataFrame, schema: str, stored: DataFrame, expected: Data
     good = opened(receipts.where("http_status = 200")).withColumn("_body", F.col("payload").cast("string"))
     read, bad = mapped(good.select("sha256", "received_at", "_body"), "_body", f"data array<struct<{schema}>>")
     require_empty(bad.select("sha256").unionByName(read.where("data IS NULL").select("sha256")), "payloads without a list of records")
-    rows = read.select(F.col("received_at").alias(clock), "sha256", F.inline("data")).where(wanted)
+    rows = cut(read.select(F.col("received_at").alias(clock), "sha256", F.inline("data")).where(wanted))  # the checks below read it again
     require_empty(rows.where(F.col(clock) > now).select("sha256"), "records of receipts from after now")
     rows = keep_one(rows, [key, clock], [F.col("sha256")]).drop("sha256")
     found, asked = rows.select(key).distinct(), expected.select(key).distinct()
