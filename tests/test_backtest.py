@@ -232,3 +232,29 @@ def test_player_crosswalk_rules_and_refusals(spark):
     apps = [(1, 1, 1, 1, "al bo", "bo", None), (1, 1, 1, 9, "al bo", "bo", None), (2, 1, 1, 1, "Cy Do Jr.", "Do", "Y"), (3, 1, 1, 1, "Cy Do", "Do", None), (4, 1, 1, 1, "Ed Fo", "Fo", None), (5, 1, 1, 1, "Gi Go", "Go", "w"), (6, 1, 1, 2, "Gi Go", "Go", "W"), (7, 1, 1, 1, None, None, None), (8, 1, 1, 3, "Jo Ko", "Ko", "X"), (9, 1, 1, 3, "Jo Ko", "Ko", "X")]
     got = {r["player"]: (r["id"], r["match_class"], r["n_appearances"]) for r in player_crosswalk(spark.createDataFrame(apps, seen), spark.createDataFrame(rows, roster)).collect()}
     assert got == {1: ("a", "MATCHED_EXACT", 2), 2: ("c", "MATCHED_CORROBORATED", 1), 3: (None, "AMBIGUOUS", 1), 4: ("d", "MATCHED_EXACT", 1), 5: ("e", "MATCHED_CORROBORATED", 1), 6: (None, "UNMATCHED", 1), 7: (None, "UNMATCHED", 1), 8: (None, "AMBIGUOUS", 1), 9: (None, "AMBIGUOUS", 1)}
+
+
+def versions(spark, *rows):
+    return spark.createDataFrame([(k, x, datetime(2020, 1, s) if s else None, datetime(2020, 1, a), True) for k, x, s, a in rows], "k int, x int, first_seen_at timestamp_ntz, available_at timestamp_ntz, estimated boolean")
+
+
+def test_outcomes_are_corrected_from_when_they_were_seen(spark):
+    stored = versions(spark, (1, 1, 1, 1), (1, 2, 2, 2), (2, 5, 1, 1), (None, 7, 1, 1))
+    batch = versions(spark, (1, 1, 5, 3), (2, 5, 5, 3), (None, 8, 5, 9), (4, 1, 5, 3), (4, 1, 5, 3), (4, 1, 6, 2))
+    got = S.append_outcomes(stored, batch, ["k"], ["x"], estimated="estimated").collect()
+    assert sorted(((r["k"], r["x"], r["first_seen_at"].day, r["available_at"].day, r["estimated"]) for r in got), key=str) == [(1, 1, 5, 5, False), (4, 1, 5, 3, True), (None, 8, 5, 9, False)]
+    assert S.append_outcomes(stored, batch.limit(0), ["k"], ["x"]).count() == 0 and S.append_outcomes(stored.limit(0), batch, ["k"], ["x"]).count() == 4
+
+
+@pytest.mark.parametrize("rows, reason", [([(1, 3, 2, 2)], "no later"), ([(9, 3, None, 2)], "when it was seen"), ([(9, 3, 2, 2), (9, 4, 2, 2)], "two contents"), ([(None, 3, 2, 2), (None, 4, 2, 2)], "two contents")])
+def test_outcomes_refuse(spark, rows, reason):
+    with pytest.raises((ValueError, PySparkException), match=reason):
+        S.append_outcomes(versions(spark, (1, 1, 1, 1), (1, 2, 2, 2)), versions(spark, *rows), ["k"], ["x"]).collect()
+
+
+def test_moments_of_groups_with_nulls_no_rows_or_no_weight(spark):
+    from tidemark.operators.state import moments_or_default
+
+    rows = spark.createDataFrame([(1, 2.0, 1.0), (1, None, 1.0), (2, 5.0, 0.0), (None, 3.0, 2.0)], "g int, x double, weight double")
+    got = {r["g"]: (r["mean"], r["variance"]) for r in moments_or_default(rows, spark.createDataFrame([(1,), (2,), (3,), (None,), (1,)], "g int"), ["g"], "x", 7.0, 8.0).collect()}
+    assert got == {1: (1.0, 1.0), 2: (7.0, 8.0), 3: (7.0, 8.0), None: (3.0, 1e-9)}

@@ -18,6 +18,22 @@ def weighted_moments(df: DataFrame, group: list[str], value: str, floor: float =
     return off.groupBy(*group).agg(F.first("mean").alias("mean"), F.greatest(F.sum("_d") / F.sum("weight"), F.lit(floor)).alias("variance"))
 
 
+def moments_or_default(df: DataFrame, groups: DataFrame, group: list[str], value: str, mean: float, variance: float, floor: float = 1e-9) -> DataFrame:
+    """Each row of groups (whose columns are group) with its weighted mean and variance; null values count as 0.
+
+    A group without rows, or without weight, has the stated defaults. Deviations are taken from the group's mean, in a second pass.
+    """
+    rows = df.select(*group, F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("_x"), "weight")
+    keys = [f"_k{i}" for i in range(len(group))]
+    same = [F.col(g).eqNullSafe(F.col(k)) for g, k in zip(group, keys, strict=True)]
+    weight = F.nullif(F.sum("weight"), F.lit(0.0))
+    first = rows.groupBy(*group).agg((F.sum(F.col("_x") * F.col("weight")) / weight).alias("_mean")).toDF(*keys, "_mean")
+    off = F.pow(F.col("_x") - F.col("_mean"), F.lit(2.0)) * F.col("weight")
+    own = rows.join(first, same).groupBy(*keys).agg(F.first("_mean").alias("_mean"), F.greatest(F.sum(off) / weight, F.lit(floor)).alias("_variance"))
+    given = F.col("_mean").isNotNull()
+    return groups.distinct().join(own, same, "left").select(*group, F.when(given, F.col("_mean")).otherwise(F.lit(mean)).alias("mean"), F.when(given, F.col("_variance")).otherwise(F.lit(variance)).alias("variance"))
+
+
 def opponents(totals: DataFrame, game: str, team: str, columns: list[str]) -> DataFrame:
     """Each team's row of a game beside that of each opponent in it, whose columns are named opp_*."""
     other = totals.select(F.col(game), F.col(team).alias("opp_team"), *[F.col(c).alias(f"opp_{c}") for c in columns])

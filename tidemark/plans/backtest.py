@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import boards as B, inputs as I, protocol as P, report as E, resolution as N
+from tidemark.functions import scoring
+from tidemark.operators import boards as B, inputs as I, protocol as P, report as E, resolution as N, state as T
 from tidemark.plans.common import Registry, rounded, table
 from tidemark.plans.tables import _scratch
 from tidemark.sources import receipts as C, tables as S
@@ -250,3 +251,32 @@ def player_crosswalk(spark, sf_dir):
     appearances = orders.select(F.col("c").alias("player"), *slots, *[F.expr(v).alias(k) for k, v in SPELLED.items()])
     rosters = orders.select(F.concat(F.lit("g"), F.when(F.col("c") % 13 == 0, F.col("c") - 8).otherwise(F.col("c"))).alias("id"), *slots, *[F.expr(v).alias(k) for k, v in LISTED.items()])
     return N.player_crosswalk(appearances, rosters)
+
+
+@R.add("""
+    SELECT o_orderkey, CASE WHEN o_orderkey % 5 < 2 THEN o_totalprice + 1 ELSE o_totalprice END AS price, strftime(CASE WHEN o_orderkey % 3 > 0 THEN greatest(o_orderdate + to_days((o_orderkey % 4 * 3)::INT), o_orderdate + INTERVAL 5 DAY) ELSE o_orderdate + to_days((o_orderkey % 4 * 3)::INT) END, '%Y-%m-%d') AS day, o_orderkey % 3 = 0 AND o_orderkey % 2 = 0 AS estimated
+    FROM orders WHERE o_orderkey % 3 = 0 OR o_orderkey % 5 < 2""")
+def corrected_outcomes(spark, sf_dir):
+    """Orders of which two thirds are stored come again five days later, two fifths at another price: what is new, and corrections, visible from when they were seen."""
+    orders = table(spark, sf_dir, "orders")
+    stored = orders.where("o_orderkey % 3 > 0").select("o_orderkey", F.col("o_totalprice").alias("price"), F.col("o_orderdate").alias("first_seen_at"))
+    known = (F.col("o_orderdate") + F.make_dt_interval(days=(F.col("o_orderkey") % 4 * 3).cast("int"))).alias("available_at")
+    batch = orders.select("o_orderkey", F.when(F.col("o_orderkey") % 5 < 2, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")).alias("price"), (F.col("o_orderdate") + F.expr("INTERVAL 5 DAYS")).alias("first_seen_at"), known, (F.col("o_orderkey") % 2 == 0).alias("estimated"))
+    out = S.append_outcomes(stored, batch.unionAll(batch.where("o_orderkey % 7 = 0")), ["o_orderkey"], ["price"], estimated="estimated")
+    return out.select("o_orderkey", "price", F.date_format("available_at", "yyyy-MM-dd").alias("day"), "estimated")
+
+
+@R.add("""
+    WITH r AS (SELECT l_suppkey, CASE WHEN l_returnflag <> 'A' THEN l_quantity ELSE 0 END AS x, l_linenumber / 8 AS w FROM lineitem WHERE l_suppkey % 9 > 0), m AS (SELECT l_suppkey, sum(x * w) / sum(w) AS mean, count(*) AS n FROM r GROUP BY 1),
+         v AS (SELECT l_suppkey, any_value(mean) AS mean, greatest(sum((x - mean) ** 2 * w) / sum(w), 1e-9) AS variance, any_value(n) AS n FROM r JOIN m USING (l_suppkey) GROUP BY 1),
+         s AS (SELECT s_suppkey, coalesce(mean, 20.0) AS mean, coalesce(variance, 99.0) AS variance, coalesce(n, 0) AS n FROM supplier LEFT JOIN v ON s_suppkey = l_suppkey),
+         p AS (SELECT *, CASE WHEN n = 0 THEN 20.0 ELSE n / (n + 40.0) * mean + (1 - n / (n + 40.0)) * 20.0 END AS posterior, CASE WHEN n = 0 THEN 50.0 ELSE 1 / (n / variance + 1 / 50.0) END AS left_over FROM s)
+    SELECT s_suppkey, round(mean, 6) AS mean, round(variance, 6) AS variance, round(posterior, 6) AS posterior, round(0.9 * posterior + 0.1 * 20, 6) AS carried, round(left_over, 6) AS posterior_variance, round(30 / (1 + 4 * left_over), 6) AS concentration FROM p""")
+def posterior_states(spark, sf_dir):
+    """Every supplier's mean and variance, defaults where it has no rows, and the posterior after as many observations as it has lines."""
+    rows = table(spark, sf_dir, "lineitem").where("l_suppkey % 9 > 0").select(F.col("l_suppkey").alias("s_suppkey"), F.when(F.col("l_returnflag") != "A", F.col("l_quantity")).alias("x"), (F.col("l_linenumber") / 8).alias("weight"))
+    states = T.moments_or_default(rows, table(spark, sf_dir, "supplier").select("s_suppkey"), ["s_suppkey"], "x", 20.0, 99.0)
+    out = states.join(rows.groupBy("s_suppkey").agg(F.count("*").alias("n")), "s_suppkey", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    out = out.withColumns({"posterior": scoring.updated(F.col("mean"), F.col("n"), 20.0, 40.0), "posterior_variance": scoring.posterior_variance(F.col("variance"), F.col("n"), 50.0)})
+    out = out.withColumns({"carried": scoring.carried(F.col("posterior"), 20.0, 0.9), "concentration": scoring.concentration(F.col("posterior_variance"), 30.0, 4.0)})
+    return out.select("s_suppkey", *[rounded(c).alias(c) for c in ("mean", "variance", "posterior", "carried", "posterior_variance", "concentration")])

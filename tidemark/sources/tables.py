@@ -109,6 +109,35 @@ def append_versions(stored: DataFrame, batch: DataFrame, key: list[str], content
     return fresh.where("_last IS NULL OR _last <> _hash").select(*batch.columns)
 
 
+def append_outcomes(stored: DataFrame, batch: DataFrame, key: list[str], content: list[str], seen: str = "first_seen_at", available: str = "available_at", estimated: str | None = None) -> DataFrame:
+    """Rows of batch that become new versions of their keys (null equal to null), in the columns of batch.
+
+    A key that is new comes as it is. One whose content differs from the latest stored version is a correction: nobody could
+    know it before it was seen, so `available` is at least `seen`, and its time is no estimate. What repeats the latest
+    version, or another row of batch, is left out. Two contents of a key in one batch, a correction seen no later than what
+    it corrects, or a row without `seen` are errors. stored has the columns key, content and seen.
+    """
+    digest = content_hash(content)
+    rest = [c for c, kind in batch.dtypes if c not in {*key, *content} and "map<" not in kind]
+    rows = keep_one(batch.withColumn("_hash", digest), [*key, "_hash"], [F.col(c).asc_nulls_last() for c in rest] or [F.lit(0)])
+    twice = batch.groupBy(*key).agg(F.min(digest).alias("_a"), F.max(digest).alias("_b")).where("_a <> _b").select(*key).limit(1).collect()
+    if twice:
+        raise ValueError(f"two contents of a key in one batch: {twice[0].asDict()}")
+    latest = stored.groupBy(*key).agg(F.max_by(digest, F.struct(F.col(seen), digest)).alias("_last"), F.max(seen).alias("_at"))
+    keys = latest.select(*[F.col(k).alias(f"_key_{k}") for k in key], "_last", "_at")
+    on = F.lit(True)
+    for k in key:
+        on &= F.col(k).eqNullSafe(F.col(f"_key_{k}"))
+    fresh = rows.join(keys, on, "left").where("_last IS NULL OR _last <> _hash")
+    correction = F.col("_last").isNotNull()
+    error = lambda text: F.raise_error(F.lit(text)).cast(dict(batch.dtypes)[seen])
+    at = F.when(F.col(seen).isNull(), error("a row does not say when it was seen")).when(correction & (F.col(seen) <= F.col("_at")), error("a correction was seen no later than what it corrects")).otherwise(F.col(seen))
+    out = fresh.withColumn(seen, at).withColumn(available, F.when(correction, F.greatest(F.col(available), F.col(seen))).otherwise(F.col(available)))
+    if estimated:
+        out = out.withColumn(estimated, F.when(correction, False).otherwise(F.col(estimated)))
+    return out.select(*batch.columns)
+
+
 def replace(df: DataFrame, root: str, sort_by: list[str] | None = None) -> str:
     """Writes df as the new state of the table at root and points to it; what was there stays on disk."""
     state = f"{root}/state-{uuid.uuid4().hex}"
