@@ -258,3 +258,19 @@ def test_moments_of_groups_with_nulls_no_rows_or_no_weight(spark):
     rows = spark.createDataFrame([(1, 2.0, 1.0), (1, None, 1.0), (2, 5.0, 0.0), (None, 3.0, 2.0)], "g int, x double, weight double")
     got = {r["g"]: (r["mean"], r["variance"]) for r in moments_or_default(rows, spark.createDataFrame([(1,), (2,), (3,), (None,), (1,)], "g int"), ["g"], "x", 7.0, 8.0).collect()}
     assert got == {1: (1.0, 1.0), 2: (7.0, 8.0), 3: (7.0, 8.0), None: (3.0, 1e-9)}
+
+
+def test_totals_of_folds_are_those_of_copied_rows(spark):
+    from tidemark.operators.calibration import fold_totals, walk_forward
+
+    rows = spark.createDataFrame([(s, float(i) if i % 3 else None) for i, s in enumerate([2001, 2001, 2003, 2004, 2004, 2004, None])], "season int, x double")
+    want = walk_forward(rows, "season").groupBy("fold", "role").agg(F.count("*").alias("n"), F.coalesce(F.sum("x"), F.lit(0.0)).alias("sum_x"), F.count("x").alias("n_x"))
+    assert sorted(map(tuple, fold_totals(rows, "season", ["x"]).collect())) == sorted(map(tuple, want.collect()))
+    assert fold_totals(rows.where("season = 2001"), "season", ["x"]).count() == 0
+
+
+def test_event_times_need_their_column(spark):
+    from tidemark.operators.timing import event_time_known
+
+    with pytest.raises(ValueError, match="event_at"):
+        event_time_known(spark.range(1), "event_at")

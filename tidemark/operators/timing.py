@@ -89,6 +89,13 @@ def availability_of_result(date: Column, hours: Column | int, given: Column) ->
     return F.coalesce(given, estimate), given.isNull()
 
 
+def event_time_known(rows: DataFrame, event: str, available: str = "available_at", estimated: str = "available_at_is_estimated") -> DataFrame:
+    """rows available from the time of their event; a row without one keeps the time it has and is flagged as an estimate. A missing column is an error."""
+    if event not in rows.columns:
+        raise ValueError(f"rows lack the time of their event, {event}")
+    return rows.withColumns({available: F.coalesce(F.col(event), F.col(available)), estimated: F.col(event).isNull()})
+
+
 def evidence_class(genuine: Column, at: Column, cutoff: Column, final: Column) -> Column:
     """What a row proves before a game: OBSERVED, ESTIMATED, LATE, NOT_FINAL or UNDATED."""
     return F.when(at.isNull(), "UNDATED").when(at > cutoff, "LATE").when(~final, "NOT_FINAL").when(genuine, "OBSERVED").otherwise("ESTIMATED")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import scoring
-from tidemark.operators import boards as B, inputs as I, protocol as P, report as E, resolution as N, state as T
+from tidemark.operators import boards as B, inputs as I, protocol as P, report as E, resolution as N, state as T, timing as K
 from tidemark.plans.common import Registry, rounded, table
 from tidemark.plans.tables import _scratch
 from tidemark.sources import receipts as C, tables as S
@@ -280,3 +280,11 @@ def posterior_states(spark, sf_dir):
     out = out.withColumns({"posterior": scoring.updated(F.col("mean"), F.col("n"), 20.0, 40.0), "posterior_variance": scoring.posterior_variance(F.col("variance"), F.col("n"), 50.0)})
     out = out.withColumns({"carried": scoring.carried(F.col("posterior"), 20.0, 0.9), "concentration": scoring.concentration(F.col("posterior_variance"), 30.0, 4.0)})
     return out.select("s_suppkey", *[rounded(c).alias(c) for c in ("mean", "variance", "posterior", "carried", "posterior_variance", "concentration")])
+
+
+@R.add("SELECT l_suppkey, l_returnflag = 'N' AS estimated, count(*) AS n, strftime(max(CASE WHEN l_returnflag = 'N' THEN l_shipdate ELSE l_shipdate - INTERVAL 7 DAY END), '%Y-%m-%d') AS last FROM lineitem GROUP BY 1, 2")
+def event_times(spark, sf_dir):
+    """Lines known from their event on, a week before they were shipped; those without an event keep their time, as an estimate."""
+    event = F.when(F.col("l_returnflag") != "N", F.col("l_shipdate") - F.expr("INTERVAL 7 DAYS")).alias("event_at")
+    rows = K.event_time_known(table(spark, sf_dir, "lineitem").select("l_suppkey", F.col("l_shipdate").alias("available_at"), event), "event_at", estimated="estimated")
+    return rows.groupBy("l_suppkey", "estimated").agg(F.count("*").alias("n"), F.date_format(F.max("available_at"), "yyyy-MM-dd").alias("last"))

@@ -69,7 +69,7 @@ def prequential_rate(spark, sf_dir):
     SELECT fold, CASE WHEN season = fold THEN 'score' ELSE 'fit' END AS role, count(*) AS n, round(avg(x), 4) AS mean FROM o JOIN s ON season <= fold GROUP BY ALL""")
 def walk_forward_folds(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select(F.year("o_orderdate").cast("long").alias("season"), "o_totalprice")
-    return C.walk_forward(rows, "season").groupBy("fold", "role").agg(F.count("*").alias("n"), F.round(F.avg("o_totalprice"), 4).alias("mean"))
+    return C.fold_totals(rows, "season", ["o_totalprice"]).select("fold", "role", "n", F.round(F.col("sum_o_totalprice") / F.col("n_o_totalprice"), 4).alias("mean"))
 
 
 BENCHMARK = """
