@@ -7,6 +7,7 @@ many games there are; everything about a game happens in the task that holds its
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -55,33 +56,62 @@ def checked(shards: DataFrame, game: str) -> DataFrame:
     return shards.withColumn("labels", F.when(same, F.col("labels")).otherwise(F.raise_error(F.lit("a shard has changed"))))
 
 
-def weights(features: np.ndarray, theta: np.ndarray) -> np.ndarray:
-    """Weights of draws that add up to 1, in proportion to exp(features . theta)."""
-    z = features @ theta
-    e = np.exp(z - z.max())
-    return e / e.sum()
-
-
-def masses(codes: np.ndarray, n: int, *of: np.ndarray) -> list[np.ndarray]:
-    """Sums of each of `of` over the draws of each code."""
-    return [np.bincount(codes, x, n) for x in of]
-
-
-def _cut(lists: pa.Array) -> list[np.ndarray]:
-    """The rows of a list column as views of one array."""
-    ends = np.cumsum(np.asarray(lists.value_lengths()))
-    return np.split(lists.flatten().to_numpy(zero_copy_only=False), ends[:-1]) if len(ends) else []
-
-
-def read(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, list[tuple[str, str, float, np.ndarray, np.ndarray]]]]:
-    """Of each shard of a batch (flat, n_draws, labels): the features, a row a draw, and the labels: player, prop, observed, values, codes."""
-    features, n, labels = (batch.column(batch.schema.get_field_index(c)) for c in ("flat", "n_draws", "labels"))
-    of = labels.flatten()
-    fields = [of.field(c).to_pylist() for c in ("player", "prop", "observed")] + [_cut(of.field(c)) for c in ("values", "codes")]
-    rows, at = list(zip(*fields, strict=True)), 0
-    for flat, draws, many in zip(_cut(features), n.to_pylist(), np.asarray(labels.value_lengths()).tolist(), strict=True):
-        yield flat.reshape(draws, -1), rows[at : at + many]
-        at += many
+#: Draws that one vectorised step works on at a time; bounds the memory of a Python worker.
+SLICE_DRAWS = 200_000
+
+
+class Block:
+    """Some shards of a batch as flat arrays: a row of x for each draw, an entry of `code` for each label and draw, one of `values` for each label and value."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        features, n, labels = (batch.column(batch.schema.get_field_index(c)) for c in ("flat", "n_draws", "labels"))
+        of = labels.flatten()
+        numbers = lambda a: a.to_numpy(zero_copy_only=False)
+        self.player, self.prop, self.observed = of.field("player"), of.field("prop"), numbers(of.field("observed"))
+        draws, size = numbers(n).astype(np.int64), numbers(of.field("values").value_lengths()).astype(np.int64)
+        self.game = np.repeat(np.arange(len(n)), numbers(labels.value_lengths()))
+        flat = numbers(features.flatten()).astype(float)
+        self.x = flat.reshape(int(draws.sum()), -1) if len(flat) else np.zeros((int(draws.sum()), 0))
+        self.first = np.cumsum(draws) - draws
+        self.of = np.repeat(np.arange(len(draws)), draws)
+        #: where the values of each label begin and end, and which label each value is of
+        self.end = np.cumsum(size)
+        self.start = self.end - size
+        self.values = numbers(of.field("values").flatten())
+        self.label = np.repeat(np.arange(len(size)), size)
+        # each label's draws are those of its game
+        many = draws[self.game]
+        within = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+        self.draw = np.repeat(self.first[self.game], many) + within
+        self.code = numbers(of.field("codes").flatten()).astype(np.int64) + np.repeat(self.start, many)
+
+    @cached_property
+    def x_of_draw(self) -> np.ndarray:
+        """The features of each label's draws."""
+        return self.x[self.draw]
+
+    def weights(self, theta: np.ndarray) -> np.ndarray:
+        """Weights of draws that add up to 1 in each game, in proportion to exp(features . theta)."""
+        z = self.x @ theta
+        e = np.exp(z - np.maximum.reduceat(z, self.first)[self.of])
+        return e / np.add.reduceat(e, self.first)[self.of]
+
+    def masses(self, w: np.ndarray) -> np.ndarray:
+        """Sums of w over the draws of each value of each label."""
+        return np.bincount(self.code, w[self.draw], len(self.values))
+
+
+def blocks(batch: pa.RecordBatch) -> Iterator[tuple[int, Block]]:
+    """The shards of a batch in blocks of about SLICE_DRAWS draws, each with the row it begins at. A shard without draws is an error."""
+    n = np.asarray(batch.column(batch.schema.get_field_index("n_draws")))
+    if len(n) and n.min() < 1:
+        raise ValueError("a shard without draws")
+    ends, i = np.cumsum(n), 0
+    while i < len(n):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + SLICE_DRAWS, "right")))
+        yield i, Block(batch.slice(i, j - i))
+        i = j
+    pa.default_memory_pool().release_unused()
 
 
 def flat(shards: DataFrame, *keep: str) -> DataFrame:
@@ -98,16 +128,13 @@ def distributions(shards: DataFrame, game: str, thetas: dict[str, list[float]],
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, out = [], []
-            for i, (x, labels) in enumerate(read(batch)):
+            for i, block in blocks(batch):
+                kept = [batch.column(batch.schema.get_field_index(c)).take(pa.array(block.game + i)) for c in columns]
+                bounds = pa.array(np.append(block.start[:1], block.end), pa.int32())
                 for variant, theta in names.items():
-                    w = weights(x, theta)
-                    out += [(variant, *label[:4], masses(label[4], len(label[3]), w)[0]) for label in labels]
-                    at += [i] * len(labels)
-            kept = [batch.column(batch.schema.get_field_index(c)).take(pa.array(at, pa.int32())) for c in columns]
-            own = [pa.array(list(c), kind) for c, kind in zip(zip(*out, strict=True), (pa.string(), pa.string(), pa.string(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.float64())), strict=False)]
-            if out:
-                yield pa.RecordBatch.from_arrays([own[0], *kept, *own[1:]], names=["variant", *columns, "player", "prop", "observed", "outcomes", "p"])
+                    own = [pa.array([variant] * len(block.game), pa.string()), *kept, block.player, block.prop, pa.array(block.observed), pa.ListArray.from_arrays(bounds, pa.array(block.values, pa.int64())), pa.ListArray.from_arrays(bounds, pa.array(block.masses(block.weights(theta))))]
+                    if len(block.game):
+                        yield pa.RecordBatch.from_arrays(own, names=["variant", *columns, "player", "prop", "observed", "outcomes", "p"])
 
     rows = flat(shards, *columns).mapInArrow(made, schema)
     return rows.withColumn("pmf", F.arrays_zip(F.col("outcomes").alias("outcome"), F.col("p").alias("p"))).drop("outcomes", "p")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.functions.scoring import CLIP
 from tidemark.operators.quality import require_empty
-from tidemark.operators.shards import BINARY_PROPS, flat, masses, read, weights
+from tidemark.operators.shards import BINARY_PROPS, Block, blocks, flat
 from tidemark.sources.tables import cut
 
 #: Weight of the ridge, most passes of a fit, and the largest gradient at which a fold is done.
@@ -51,28 +51,49 @@ def checked_folds(folds: list[Fold]) -> list[Fold]:
     return folds
 
 
-def label_score(values: np.ndarray, mass: np.ndarray, slope: np.ndarray, observed: float, binary: bool) -> tuple[float, np.ndarray]:
-    """Score of a distribution (log loss if binary, else CRPS) and its gradient. slope: that of each mass, one row a parameter."""
-    if binary:
-        hit, y = values >= 1, float(observed)
-        p, d = float(mass[hit].sum()), slope[:, hit].sum(1)
-        q = min(max(p, CLIP), 1 - CLIP)
-        score = -(y * np.log(q) + (1 - y) * np.log(1 - q))
-        return score, (d * ((1 - y) / (1 - q) - y / q) if p == q else 0.0 * d)
-    cdf, d = np.cumsum(mass)[:-1], np.cumsum(slope, axis=1)[:, :-1]
-    below = np.clip(observed, values[:-1], values[1:]) - values[:-1]
-    above = np.diff(values) - below
-    score = float((cdf * cdf * below + (1 - cdf) ** 2 * above).sum() + max(values[0] - observed, 0.0) + max(observed - values[-1], 0.0))
-    return score, 2 * (d * (cdf * below - (1 - cdf) * above)).sum(1)
+def block_scores(block: Block, theta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Score of each label of a block (log loss if its prop is binary, else CRPS) and its gradient, one row a label."""
+    w, n = block.weights(theta), len(block.start)
+    mass = block.masses(w)
+    label, values = block.label, block.values.astype(float)
+    binary = np.isin(np.asarray(block.prop.to_pylist(), object), BINARY_PROPS)
+    add = lambda v: np.bincount(label, v, n)
+    # log loss of the labels that are binary
+    hit, y = values >= 1, block.observed
+    p = add(np.where(hit, mass, 0.0))
+    q = np.clip(p, CLIP, 1 - CLIP)
+    log_loss, pull = -(y * np.log(q) + (1 - y) * np.log(1 - q)), np.where(p == q, (1 - y) / (1 - q) - y / q, 0.0)
+    # CRPS of the others: distribution functions begin anew with each label, and the last value of a label has no gap after it
+    def running(v: np.ndarray) -> np.ndarray:
+        v = v.copy()
+        v[block.start[1:]] -= add(v)[:-1]
+        return np.cumsum(v)
+
+    cdf = running(mass)
+    gap = np.append(np.diff(values), 0.0)
+    gap[block.end - 1] = 0.0
+    below = np.clip(y[label], values, values + gap) - values
+    above = gap - below
+    crps = add(cdf * cdf * below + (1 - cdf) ** 2 * above) + np.maximum(values[block.start] - y, 0.0) + np.maximum(y - values[block.end - 1], 0.0)
+    score = np.where(binary, log_loss, crps)
+    # what a mass adds to the score: a mass counts in the distribution function from its value on
+    bend = 2 * (cdf * below - (1 - cdf) * above)
+    each = np.where(binary[label], hit * pull[label], add(bend)[label] - running(bend) + bend)
+    pulled = (w[block.draw] * each[block.code])[:, None]
+    mean = np.add.reduceat(w[:, None] * block.x, block.first, axis=0)[block.game]
+    first = np.concatenate([[0], np.flatnonzero(np.diff(label[block.code])) + 1])  # draws of a label are neighbours
+    gradient = np.add.reduceat(pulled * block.x_of_draw, first, axis=0) - mean * np.add.reduceat(pulled, first, axis=0)
+    return score, gradient
 
 
 def game_scores(x: np.ndarray, labels: list, theta: np.ndarray) -> Iterator[tuple[str, float, np.ndarray]]:
-    """prop, score and gradient of each label (as `shards.read` gives it) of a game."""
-    w = weights(x, theta)
-    slope = (w[:, None] * (x - w @ x)).T
-    for _, prop, observed, values, codes in labels:
-        mass, *slopes = masses(codes, len(values), w, *slope)
-        yield (prop, *label_score(values.astype(float), mass, np.array(slopes), observed, prop in BINARY_PROPS))
+    """prop, score and gradient of each label (player, prop, observed, values, codes) of one game."""
+    names = ("player", "prop", "observed", "values", "codes")
+    kind = pa.list_(pa.struct(list(zip(names, (pa.string(), pa.string(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int32())), strict=True))))
+    held = [{c: v.tolist() if isinstance(v, np.ndarray) else v for c, v in zip(names, label, strict=True)} for label in labels]
+    batch = pa.RecordBatch.from_arrays([pa.array([x.ravel().tolist()], pa.list_(pa.float64())), pa.array([len(x)]), pa.array([held], kind)], names=["flat", "n_draws", "labels"])
+    score, slope = block_scores(Block(batch), theta)
+    yield from ((label[1], float(s), g) for label, s, g in zip(labels, score, slope, strict=True))
 
 
 def evaluated(shards: DataFrame, folds: str, thetas: dict[str, list[np.ndarray]]) -> dict[tuple[str, int, str], tuple[float, float, np.ndarray]]:
@@ -84,15 +105,23 @@ def evaluated(shards: DataFrame, folds: str, thetas: dict[str, list[np.ndarray]]
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple[str, int, str], np.ndarray] = {}
         for batch in batches:
-            for own, (x, labels) in zip(batch.column(batch.schema.get_field_index("folds")).to_pylist(), read(batch), strict=True):
+            members = batch.column(batch.schema.get_field_index("folds")).to_pylist()
+            for i0, block in blocks(batch):
+                if not len(block.start):
+                    continue
+                own = members[i0 : i0 + len(block.first)]
+                props, prop = np.unique(np.asarray(block.prop.to_pylist(), str), return_inverse=True)
                 made = {}
-                for fold in own:
-                    for i, theta in enumerate(thetas.get(fold, ())):
+                for fold in sorted({f for fs in own for f in fs if f in thetas}):
+                    inside = np.array([fold in fs for fs in own])[block.game]
+                    count = np.bincount(prop[inside], minlength=len(props))
+                    for i, theta in enumerate(thetas[fold]):
                         if (key := tuple(theta)) not in made:
-                            made[key] = list(game_scores(x, labels, theta))
-                        for prop, score, slope in made[key]:
-                            at = sums.setdefault((fold, i, prop), np.zeros(2 + k))
-                            at += [1.0, score, *slope]
+                            made[key] = block_scores(block, theta)
+                        score, slope = made[key]
+                        parts = [count, *(np.bincount(prop[inside], c[inside], len(props)) for c in (score, *slope.T))]
+                        for j in np.flatnonzero(count):
+                            sums.setdefault((fold, i, str(props[j])), np.zeros(2 + k))[:] += [part[j] for part in parts]
         if sums:
             columns = [pa.array(c, kind) for c, kind in zip(zip(*((*key, *v.tolist()) for key, v in sums.items()), strict=True), (pa.string(), pa.int32(), pa.string(), *[pa.float64()] * (2 + k)), strict=True)]
             yield pa.RecordBatch.from_arrays(columns, names=["fold", "i", "prop", *figures])
