@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from tidemark.sources.tables import exists
+
 #: Version of the documents, the picks, and decimals of each number of a row.
 SCHEMA_VERSION = "public-ready/v1"
 PICKS = ("OVER", "UNDER", "YES")
@@ -53,9 +55,19 @@ def documents(rows: DataFrame, runs: DataFrame) -> DataFrame:
     return runs.join(listed, "run", "left").select("run", F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("document"))
 
 
+def _writes(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the writes below path: a folder for each write, not for each run."""
+    if not exists(spark, path):
+        return []
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    names = [f.getPath().getName() for f in at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)]
+    return [int(n.removeprefix("write=")) for n in names if n.startswith("write=")]
+
+
 def write_documents(made: DataFrame, path: str) -> None:
-    """A folder for each run with its document as a line of text. A run that is written again replaces itself only."""
-    made.select("run", F.col("document").alias("value")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").text(path)
+    """A line of text for each document, in a new folder for each write. A run that is written again replaces itself only: readers take its last line. One writer at a time is assumed."""
+    n = max(_writes(made.sparkSession, path), default=0) + 1
+    made.select(F.col("document").alias("value")).write.text(f"{path}/write={n}")
 
 
 def faults(now: Column, most_age: str) -> Column:
@@ -77,7 +89,12 @@ def faults(now: Column, most_age: str) -> Column:
 def read_documents(spark: SparkSession, path: str, now: Column, most_age: str) -> DataFrame:
     """The fields of every document below path, with fault. A text that is no such document has the fault SCHEMA."""
     lines = spark.read.option("recursiveFileLookup", "true").text(path)
-    return lines.select(F.from_json("value", DOCUMENT).alias("d")).select("d.*").withColumn("fault", faults(now, most_age))
+    number = F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(F.col("_metadata.file_path"), "write=([0-9]+)/", 1), F.lit("")), F.lit("9999999999")).cast("long"), F.lit(0))
+    read = lines.select(F.from_json("value", DOCUMENT).alias("d"), number.alias("_write"))
+    if len(_writes(spark, path)) > 1:
+        last = read.groupBy(F.col("d.run").alias("_run")).agg(F.max("_write").alias("_last")).where("_run IS NOT NULL")
+        read = read.join(last, F.col("d.run") == F.col("_run"), "left").where("_run IS NULL OR _write = _last")
+    return read.select("d.*").withColumn("fault", faults(now, most_age))
 
 
 def current(read: DataFrame) -> DataFrame:
