@@ -5,7 +5,8 @@ are fitted on the outcomes known before; the map used is the one whose own earli
 had the least log loss. The narrowest group that can say both gives the answer; without one a row keeps its probability.
 
 Probabilities are counted on a grid, so what a fit needs is a bounded table of counts, whatever the number of rows
-behind it. A group's times are dealt out by range, and a range begins with the counts of all ranges before it, which
+behind it. Losses and answers come from such counts too; rows meet their answer in the end and are not shuffled for
+it while answers are few. A group's times are dealt out by range, and a range begins with the counts of all ranges before it, which
 Spark adds up: no task reads a whole group.
 """
 
@@ -21,9 +22,12 @@ from tidemark.functions.scoring import CLIP
 from tidemark.operators.calibration import METHODS, pooled
 from tidemark.operators.distributions import RANGES, past_sums, with_range
 from tidemark.operators.quality import require_empty
+from tidemark.sources.tables import cut
 
 #: Ridge on the weights (not the intercept), and most rounds of a fit.
 RIDGE, ROUNDS = 1e-6, 100
+#: Most answers (one for each set of groups, time and p) that are sent to every task instead of shuffling the rows to them.
+BROADCAST_ROWS = 200_000
 
 
 def newton(x: np.ndarray, s: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -139,33 +143,39 @@ def prequential(rows: DataFrame, key: list[str], levels: dict[str, str | None],
         raise ValueError("one row and one method at least")
     bad = F.col(p).isNull() | ~F.col(p).between(0.0, 1.0) | F.col(y).isNull() | ~F.col(y).isin(0, 1) | F.col(as_of).isNull() | F.col(known).isNull()
     require_empty(rows.where(bad), "rows with a probability, outcome or time that cannot be used")
-    require_empty(rows.groupBy(*key).count().where("count > 1"), "rows that repeat a key")
+    _require_distinct(rows, key)
     at = F.round(F.col(p).cast("double"), digits)
-    named = F.array(*[F.struct(F.lit(i).alias("depth"), F.lit(level).alias("level"), (F.lit("GLOBAL") if c is None else F.col(c).cast("string")).alias("value")) for i, (level, c) in enumerate(levels.items())])
-    usable = F.filter(named, lambda g: g["value"].isNotNull() & (g["value"] != ""))
-    each = rows.select(*key, at.alias("p"), F.col(y).cast("int").alias("y"), F.col(as_of).alias("asked_at"), F.col(known).alias("known_at"), F.explode(usable).alias("g"))
-    each = each.select("*", "g.*").withColumn("group", F.concat_ws("|", "level", "value")).drop("g")
-    candidates = _candidates(_events(each), methods, least)
+    names = {level: None if c is None else f"_v{i}" for i, (level, c) in enumerate(levels.items())}
+    of = {names[level]: F.when(F.col(c).cast("string") != "", F.col(c).cast("string")) for level, c in levels.items() if c is not None}
+    of |= {"_asked": F.col(as_of), "_p": at}
+    # rows that agree in all that a map, a loss or an answer depends on are counted once; the rest works on these counts
+    counts = rows.groupBy(*[v.alias(k) for k, v in of.items()], F.col(known).alias("known_at")).agg(F.count("*").alias("n"), F.sum(F.col(y).cast("int")).alias("ones"))
+    counts = cut(counts)
+    named = F.array(*[F.struct(F.lit(i).alias("depth"), F.lit(level).alias("level"), (F.lit("GLOBAL") if c is None else F.col(c)).alias("value")) for i, (level, c) in enumerate(names.items())])
+    usable = F.filter(named, lambda g: g["value"].isNotNull())
+    grouped = lambda df, *more: df.select("*", F.inline(usable)).select(F.concat_ws("|", "level", "value").alias("group"), F.col("_asked").alias("asked_at"), F.col("_p").alias("p"), *more)
+    each = grouped(counts, "known_at", "n", "ones").groupBy("group", "asked_at", "p", "known_at").agg(F.sum("n").alias("n"), F.sum("ones").alias("ones"))
+    candidates = cut(_candidates(_events(each), methods, least))
     # losses of what each group predicted, by the time the outcome became known
-    mine = each.join(candidates, ["group", "asked_at", "p"])
-    loss = lambda m: -(F.col("y") * F.log(F.col(m)) + (1 - F.col("y")) * F.log(F.lit(1.0) - F.col(m)))
+    loss = lambda m: -(F.col("ones") * F.log(F.col(m)) + (F.col("n") - F.col("ones")) * F.log(F.lit(1.0) - F.col(m)))
     sums = ["n", "ones", *(f"loss_{m}" for m in methods)]
-    added = mine.groupBy("group", F.col("known_at").alias("time")).agg(F.count("*").alias("n"), F.sum("y").alias("ones"), *[F.sum(loss(m)).alias(f"loss_{m}") for m in methods])
-    asked = mine.select("group", F.col("asked_at").alias("time")).distinct().select("*", *[F.lit(0).cast("long").alias(c) for c in sums[:2]], *[F.lit(0.0).alias(c) for c in sums[2:]])
-    times = added.unionByName(asked).groupBy("group", "time").agg(*[F.sum(c).alias(c) for c in sums])
+    added = each.join(candidates, ["group", "asked_at", "p"]).groupBy("group", F.col("known_at").alias("time")).agg(F.sum("n").alias("n"), F.sum("ones").alias("ones"), *[F.sum(loss(m)).alias(f"loss_{m}") for m in methods])
+    asked = candidates.select("group", F.col("asked_at").alias("time")).distinct().select("*", *[F.lit(0).cast("long").alias(c) for c in sums[:2]], *[F.lit(0.0).alias(c) for c in sums[2:]])
+    times = cut(added.unionByName(asked).groupBy("group", "time").agg(*[F.sum(c).alias(c) for c in sums]))
     past = past_sums(times, ["group"], "time", sums)
     ranked = F.array_min(F.array(*[F.struct(F.col(f"loss_{m}").alias("loss"), F.lit(i).alias("i"), F.lit(m).alias("method")) for i, m in enumerate(methods)]))
     chosen = past.where((F.col("n") >= least) & (F.col("ones") > 0) & (F.col("ones") < F.col("n")))
     chosen = chosen.select("group", F.col("time").alias("asked_at"), ranked["method"].alias("calibration_method"), F.col("n").alias("selection_rows"), (ranked["loss"] / F.col("n")).alias("selection_log_loss"))
     value = F.coalesce(*[F.when(F.col("calibration_method") == m, F.col(m)) for m in methods])
-    found = mine.join(chosen, ["group", "asked_at"])
+    found = candidates.join(chosen, ["group", "asked_at"])
     answer = F.min(F.struct("depth", value.alias("p_calibrated"), F.col("level").alias("calibration_level"), F.col("value").alias("calibration_group"), "calibration_method", "fit_rows", "selection_rows", "selection_log_loss")).alias("_a")
-    best = found.groupBy(*key).agg(answer)
-    names = [f"_k{i}" for i in range(len(key))]
-    best = best.toDF(*names, "_a")
+    cells = grouped(counts.select(*of).distinct(), *of, "depth", "level", "value")
+    best = cut(cells.join(found, ["group", "asked_at", "p"]).groupBy(*of).agg(answer))
+    if best.count() <= BROADCAST_ROWS:
+        best = F.broadcast(best)
     on = F.lit(True)
-    for k, name in zip(key, names, strict=True):
-        on &= rows[k].eqNullSafe(best[name])
+    for k, v in of.items():
+        on &= v.eqNullSafe(best[k])
     plain = lambda c, other: F.coalesce(F.col(f"_a.{c}"), F.lit(other)).alias(c)
     return rows.join(best, on, "left").select(
         *[rows[c] for c in rows.columns], F.coalesce(F.col("_a.p_calibrated"), F.col(p).cast("double")).alias("p_calibrated"), plain("calibration_level", "identity"), plain("calibration_group", "IDENTITY"), plain("calibration_method", "identity"),
@@ -173,12 +183,21 @@ def prequential(rows: DataFrame, key: list[str], levels: dict[str, str | None],
     )
 
 
+def _require_distinct(rows: DataFrame, key: list[str]) -> None:
+    """Raises if a key repeats. Hashes of keys are counted, keys themselves only where hashes are equal."""
+    at = F.xxhash64(*key).alias("_h")
+    twice = rows.select(at).groupBy("_h").count().where("count > 1").select("_h")
+    if twice.limit(1).count():
+        suspects = rows.select(*key, at).join(twice, "_h", "left_semi")
+        require_empty(suspects.groupBy(*key).count().where("count > 1"), "rows that repeat a key")
+
+
 def _events(each: DataFrame) -> DataFrame:
-    """What `_candidates` reads: counts of each group, part of its times, time and p; those of earlier parts as the counts a part begins with."""
+    """What `_candidates` reads, of each (group, asked_at, p, known_at, n, ones): counts of each group, part of its times, time and p; those of earlier parts as the counts a part begins with."""
     zero = [F.lit(0.0).alias("s"), F.lit(0.0).alias("n")]
-    known = each.groupBy("group", F.col("known_at").alias("time"), "p").agg(F.sum("y").cast("double").alias("s"), F.count("*").cast("double").alias("n")).withColumn("kind", F.lit(2))
+    known = each.groupBy("group", F.col("known_at").alias("time"), "p").agg(F.sum("ones").cast("double").alias("s"), F.sum("n").cast("double").alias("n")).withColumn("kind", F.lit(2))
     asked = each.select("group", F.col("asked_at").alias("time"), "p").distinct().select("*", *zero, F.lit(1).alias("kind"))
-    rows = with_range(known.unionByName(asked), "time", "part")
+    rows = cut(with_range(known.unionByName(asked), "time", "part"))
     totals = rows.where("kind = 2").groupBy("group", "part", "p").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
     needed = rows.where("kind = 1").select("group", F.col("part").alias("_to")).distinct()
     later = F.explode(F.sequence(F.col("part") + 1, F.lit(RANGES)))
