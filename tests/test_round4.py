@@ -1,9 +1,13 @@
 """Work that must not grow faster than the input, and the same results as before."""
 
+import math
+
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import prequential as Q
+from tidemark.operators import prequential as Q, shards as S
 
 
 def _lines(spark, n: int):
@@ -45,3 +49,57 @@ def test_a_repeated_key_with_nulls_is_told_from_an_equal_hash(spark):
     assert Q.prequential(spark.createDataFrame([(None, 1, *rest), (1, None, *rest)], kind), ["a", "b"], {"g": "g"}, "p", "y", "asked", "known").count() == 2
     with pytest.raises(ValueError, match="repeat"):
         Q.prequential(spark.createDataFrame([(None, 1, *rest)] * 2, kind), ["a", "b"], {"g": "g"}, "p", "y", "asked", "known")
+
+
+def _figures_by_loop(pmf, y):
+    out = {"model_mean": sum(p * x for x, p in pmf), "p_zero": sum(p for x, p in pmf if x == 0), "_hit": sum(p for x, p in pmf if x >= 1)}
+    out["model_variance"] = sum(p * (x - out["model_mean"]) ** 2 for x, p in pmf)
+    out |= {"_below": sum(p for x, p in pmf if y is not None and x < y), "_at": sum(p for x, p in pmf if x == y), "support_min": pmf[0][0] if pmf else None, "support_max": pmf[-1][0] if pmf else None}
+    steps = [(x, sum(p for _, p in pmf[: i + 1])) for i, (x, _) in enumerate(pmf)]
+    for name, level in S.QUANTILES.items():
+        out[name] = next((x for x, c in steps if c >= level - 1e-12), None)
+    if pmf and y is not None:
+        inside = sum(c * c * (min(max(y, x), z) - x) + (1 - c) ** 2 * (z - min(max(y, x), z)) for (x, c), (z, _) in zip(steps, steps[1:], strict=False))
+        out["_crps"] = inside + max(pmf[0][0] - y, 0) + max(y - pmf[-1][0], 0)
+    return out
+
+
+def test_figures_of_flat_distributions_equal_a_loop(monkeypatch):
+    monkeypatch.setattr(S, "PADDED", 50)
+    rng = np.random.default_rng(4)
+    pmfs = [[(3, 1.0)], [], [(0, 0.25), (1, 0.75)], [(-2, 0.5), (0, 0.25), (7, 0.25)]]
+    for n in rng.integers(1, 90, 40).tolist():
+        w = rng.random(n)
+        pmfs.append(list(zip(np.sort(rng.choice(200, n, replace=False)).tolist(), (w / w.sum()).tolist(), strict=True)))
+    actual = [None if i % 9 == 8 else float(rng.integers(-5, 210)) if i % 2 else 3.0 for i in range(len(pmfs))]
+    got = S._figures(np.array([len(m) for m in pmfs]), np.array([x for m in pmfs for x, _ in m]), np.array([p for m in pmfs for _, p in m]), pa.array(actual, pa.float64()))
+    assert list(got) == list(S.FIGURES)
+    for i, (pmf, y) in enumerate(zip(pmfs, actual, strict=True)):
+        for name, want in _figures_by_loop(pmf, y).items():
+            value = got[name][i].as_py()
+            assert value == want if want is None or isinstance(want, int) and name[0] in "sp" and name != "p_zero" else math.isclose(value, want, abs_tol=1e-9), (name, pmf, y)
+
+
+def _shards(spark, labels):
+    draws = spark.createDataFrame([(g, d, float(d * g % 3)) for g in range(6) for d in range(8)], "game long, draw int, a double")
+    outcomes = draws.select("game", "draw", F.inline(F.array(*[F.struct(F.lit("x").alias("player"), F.lit(p).alias("prop"), (F.col("draw") * k % 5).alias("value")) for k, p in ((2, "yards"), (3, "anytime_td"), (1, "unlabelled"))])))
+    return S.compact(draws, outcomes, spark.createDataFrame(labels, "game long, player string, prop string, observed double"), "game", "draw", ["a"])
+
+
+def test_scores_in_one_pass_are_those_of_the_distributions(spark):
+    shards = _shards(spark, [(g, "x", p, None if g == 5 else float(g)) for g in range(6) for p in ("yards", "anytime_td")])
+    thetas = {"raw": [0.0], "tilted": [0.7]}
+    one = S.scored_distributions(shards, "game", thetas)
+    two = S.scored(S.distributions(shards, "game", thetas), "game")
+    assert one.columns == [c for c in two.columns if c != "pmf"]
+    by = lambda df: sorted(df.select(*one.columns).collect(), key=lambda r: (r.variant, r.game, r.prop))
+    assert by(one) == by(two) and one.count() == 24
+    # one row a label goes through the shuffle that labels are joined in, not one a draw
+    plan = one._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join Inner") < plan.index("collect_list(struct(d")
+
+
+def test_a_label_that_is_there_twice_is_an_error(spark):
+    with pytest.raises(Exception, match="there twice"):
+        _shards(spark, [(1, "x", "yards", 2.0)] * 2).collect()
+    assert len(_shards(spark, [(1, "x", "yards", 2.0), (1, "x", "yards", 3.0)]).first().labels) == 2

@@ -33,15 +33,17 @@ def compact(draws: DataFrame, outcomes: DataFrame, labels: DataFrame, game: str,
     """game, n_draws, features (of each draw, in order of draws), labels and content_hash.
 
     draws: game, draw and features; outcomes: game, draw, player, prop, value; labels: game, player, prop, observed. A label holds
-    its distinct values in order and each draw's place among them. A label without a value for every draw is an error;
-    outcomes without a label are left out, games without labels too.
+    its distinct values in order and each draw's place among them. A label without a value for every draw is an error, and so
+    is one that is there twice; outcomes without a label are left out, games without labels too.
     """
     of = F.struct(F.col(draw), F.array(*[F.col(f).cast("double") for f in features]).alias("f"))
     games = draws.groupBy(game).agg(F.sort_array(F.collect_list(of)).alias("d")).select(game, F.size("d").alias("n_draws"), F.col("d.f").alias("features"))
-    known = labels.select(game, F.col("player").cast("string").alias("player"), "prop", F.col("observed").cast("double").alias("observed"))
+    known = labels.groupBy(game, F.col("player").cast("string").alias("player"), "prop", F.col("observed").cast("double").alias("observed")).agg(F.count("*").alias("_n"))
     named = outcomes.withColumn("player", F.col("player").cast("string"))
-    one = named.join(known, [game, "player", "prop"]).groupBy(game, "player", "prop", "observed").agg(F.sort_array(F.collect_list(F.struct(F.col(draw).alias("d"), F.col("value").cast("long").alias("v")))).alias("o"))
-    one = one.select(game, "player", "prop", "observed", F.col("o.v").alias("drawn")).withColumn("values", F.array_sort(F.array_distinct("drawn")))
+    # draws of a label are gathered before they meet it: one row a label is joined, not one a draw
+    one = named.groupBy(game, "player", "prop").agg(F.sort_array(F.collect_list(F.struct(F.col(draw).alias("d"), F.col("value").cast("long").alias("v")))).alias("o"))
+    one = one.select(game, "player", "prop", F.col("o.v").alias("drawn")).join(known, [game, "player", "prop"])
+    one = one.withColumn("drawn", F.when(F.col("_n") == 1, F.col("drawn")).otherwise(F.raise_error(F.lit("a label is there twice")))).withColumn("values", F.array_sort(F.array_distinct("drawn")))
     codes = F.transform("drawn", lambda v: (F.array_position("values", v) - 1).cast("int"))
     one = one.select(game, F.struct("player", "prop", "observed", "values", codes.alias("codes")).alias("label"))
     packed = games.join(one.groupBy(game).agg(F.sort_array(F.collect_list("label")).alias("labels")), game)
@@ -67,7 +69,8 @@ class Block:
         features, n, labels = (batch.column(batch.schema.get_field_index(c)) for c in ("flat", "n_draws", "labels"))
         of = labels.flatten()
         numbers = lambda a: a.to_numpy(zero_copy_only=False)
-        self.player, self.prop, self.observed = of.field("player"), of.field("prop"), numbers(of.field("observed"))
+        self.player, self.prop, self.actual = of.field("player"), of.field("prop"), of.field("observed")
+        self.observed = numbers(self.actual)
         draws, size = numbers(n).astype(np.int64), numbers(of.field("values").value_lengths()).astype(np.int64)
         self.game = np.repeat(np.arange(len(n)), numbers(labels.value_lengths()))
         flat = numbers(features.flatten()).astype(float)
@@ -119,49 +122,107 @@ def flat(shards: DataFrame, *keep: str) -> DataFrame:
     return shards.select(*keep, "n_draws", F.flatten("features").alias("flat"), F.col("labels").cast(f"array<{LABEL}>").alias("labels"))
 
 
-def distributions(shards: DataFrame, game: str, thetas: dict[str, list[float]], keep: tuple[str, ...] = ()) -> DataFrame:
-    """variant, game, player, prop, observed and pmf (an array of outcome and p, in order) of each label under each named theta."""
+def _labels(shards: DataFrame, game: str, thetas: dict[str, list[float]], keep: tuple[str, ...], more: str, made) -> DataFrame:
+    """variant, game, keep, player, prop, observed and the columns `more`, which made(block, p) gives of each label's values and their p."""
     kinds = dict(shards.dtypes)
     columns = [game, *keep]
-    schema = ", ".join(["variant string", *(f"`{c}` {kinds[c]}" for c in columns), "player string, prop string, observed double, outcomes array<bigint>, p array<double>"])
+    schema = ", ".join(["variant string", *(f"`{c}` {kinds[c]}" for c in columns), "player string, prop string, observed double", more])
     names = {k: np.array(v, float) for k, v in thetas.items()}
 
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, block in blocks(batch):
+                if not len(block.game):
+                    continue
                 kept = [batch.column(batch.schema.get_field_index(c)).take(pa.array(block.game + i)) for c in columns]
-                bounds = pa.array(np.append(block.start[:1], block.end), pa.int32())
                 for variant, theta in names.items():
-                    own = [pa.array([variant] * len(block.game), pa.string()), *kept, block.player, block.prop, pa.array(block.observed), pa.ListArray.from_arrays(bounds, pa.array(block.values, pa.int64())), pa.ListArray.from_arrays(bounds, pa.array(block.masses(block.weights(theta))))]
-                    if len(block.game):
-                        yield pa.RecordBatch.from_arrays(own, names=["variant", *columns, "player", "prop", "observed", "outcomes", "p"])
+                    own = made(block, block.masses(block.weights(theta)))
+                    columns_ = [pa.array([variant] * len(block.game), pa.string()), *kept, block.player, block.prop, block.actual, *own.values()]
+                    yield pa.RecordBatch.from_arrays(columns_, names=["variant", *columns, "player", "prop", "observed", *own])
+
+    return flat(shards, *columns).mapInArrow(each, schema)
+
+
+def distributions(shards: DataFrame, game: str, thetas: dict[str, list[float]], keep: tuple[str, ...] = ()) -> DataFrame:
+    """variant, game, player, prop, observed and pmf (an array of outcome and p, in order) of each label under each named theta."""
+
+    def made(block: Block, p: np.ndarray) -> dict[str, pa.Array]:
+        bounds = pa.array(np.append(block.start[:1], block.end), pa.int32())
+        return {"outcomes": pa.ListArray.from_arrays(bounds, pa.array(block.values, pa.int64())), "p": pa.ListArray.from_arrays(bounds, pa.array(p))}
 
-    rows = flat(shards, *columns).mapInArrow(made, schema)
+    rows = _labels(shards, game, thetas, keep, "outcomes array<bigint>, p array<double>", made)
     return rows.withColumn("pmf", F.arrays_zip(F.col("outcomes").alias("outcome"), F.col("p").alias("p"))).drop("outcomes", "p")
 
 
+def scored_distributions(shards: DataFrame, game: str, thetas: dict[str, list[float]], keep: tuple[str, ...] = ()) -> DataFrame:
+    """What `scored` gives of `distributions`, without the distributions themselves, which do not leave the task."""
+    made = lambda block, p: _figures(block.end - block.start, block.values, p, block.actual)
+    return _derived(_labels(shards, game, thetas, keep, ", ".join(f"{c} {kind}" for c, kind in FIGURES.items()), made), game)
+
+
 def total(pmf: Column, of) -> Column:
     """Sum of a function of an array's elements."""
     return F.aggregate(pmf, F.lit(0.0), lambda a, x: a + of(x).cast("double"))
 
 
-def crps_of(pmf: Column, actual: Column) -> Column:
-    """CRPS of an array of (outcome, p) in order: the squared distance of its distribution function from a step at the actual value."""
-    def step(a, x):
-        at, cdf = x["outcome"].cast("double"), a["cdf"]
-        last = F.coalesce(a["last"], at)
-        below = F.least(F.greatest(actual, last), at) - last
-        return F.struct((cdf + x["p"]).alias("cdf"), at.alias("last"), (a["s"] + cdf * cdf * below + (F.lit(1.0) - cdf) * (F.lit(1.0) - cdf) * (at - last - below)).alias("s"))
+#: What tasks find out about a label from its distribution and its actual value.
+FIGURES = {**dict.fromkeys(("model_mean", "model_variance", "p_zero", "_below", "_at", "_hit", "_crps"), "double"), **dict.fromkeys(("support_min", "support_max", *QUANTILES), "bigint")}
+#: Most places of a padded block of distributions.
+PADDED = 1_000_000
+
+
+def _running(size: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Sums of p up to and with each entry of its row. Rows of like size are added up side by side, each from its own beginning, so that no sum has another's rounding."""
+    out, start, order, i = np.empty(len(p)), np.cumsum(size) - size, np.argsort(-size, kind="stable"), 0
+    while i < len(order) and (width := int(size[order[i]])):
+        rows = order[i : i + max(1, PADDED // width)]
+        place = np.arange(width)
+        inside = place < size[rows][:, None]
+        at = (start[rows][:, None] + place)[inside]
+        block = np.zeros(inside.shape)
+        block[inside] = p[at]
+        out[at] = np.cumsum(block, axis=1)[inside]
+        i += len(rows)
+    return out
 
-    start = F.struct(F.lit(0.0).alias("cdf"), F.lit(None).cast("double").alias("last"), F.lit(0.0).alias("s"))
-    inside = F.aggregate(pmf, start, step, lambda a: a["s"])
-    first, last = F.get(pmf, F.lit(0))["outcome"], F.get(pmf, F.size(pmf) - 1)["outcome"]
-    return inside + F.greatest(first - actual, F.lit(0.0)) + F.greatest(actual - last, F.lit(0.0))
 
+def _figures(size: np.ndarray, outcome: np.ndarray, p: np.ndarray, observed: pa.Array) -> dict[str, pa.Array]:
+    """FIGURES of distributions one after another: `size` outcomes in order, with their p, for each entry of observed.
 
-def _first_at(steps: str, level: float) -> Column:
-    """The least outcome whose distribution function reaches a level."""
-    return F.array_min(F.transform(F.filter(steps, lambda s: s["c"] >= level - 1e-12), lambda s: s["outcome"]))
+    CRPS is the squared distance of the distribution function from a step at the actual value. Without an actual value no
+    outcome is below or at it; one that is no number is above all.
+    """
+    n, row = len(size), np.repeat(np.arange(len(size)), size)
+    end = np.cumsum(size)
+    begin, unknown = end - size, np.asarray(observed.is_null())
+    actual = observed.to_numpy(zero_copy_only=False).astype(float)
+    y = np.where(np.isnan(actual) & ~unknown, np.inf, actual)
+    x, of = outcome.astype(float), y[row]
+    add = lambda w: np.bincount(row, w, n)
+    mean = add(p * x)
+    cdf = _running(size, p)
+    # the step before each outcome; the first of a row has none
+    first = np.zeros(len(x), bool)
+    first[begin[size > 0]] = True
+    last, before = np.where(first, x, np.roll(x, 1)), np.where(first, 0.0, np.roll(cdf, 1))
+    below = np.minimum(np.where(unknown[row], last, np.maximum(of, last)), x) - last
+    parts = np.column_stack([before * before * below, (1 - before) * (1 - before) * (x - last - below)]).ravel()
+    crps = np.bincount(np.repeat(row, 2), parts, n)
+    full = size > 0
+    low, high = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    low[full], high[full] = outcome[begin[full]], outcome[end[full] - 1]
+    known = full & ~unknown
+    crps[known] = crps[known] + np.maximum(low[known] - actual[known], 0) + np.maximum(actual[known] - high[known], 0)
+    whole = lambda v, there: pa.array(v, pa.int64(), mask=~there)
+    out = {c: pa.array(v) for c, v in {"model_mean": mean, "model_variance": add(p * (x - mean[row]) ** 2), "p_zero": add(np.where(outcome == 0, p, 0.0)), "_below": add(np.where(x < of, p, 0.0)), "_at": add(np.where(x == of, p, 0.0)), "_hit": add(np.where(outcome >= 1, p, 0.0)), "_crps": crps}.items()}
+    out |= {"support_min": whole(low, full), "support_max": whole(high, full)}
+    for name, level in QUANTILES.items():
+        # sums never fall, so those below the level come first
+        short = np.bincount(row, cdf < level - 1e-12, n).astype(np.int64)
+        there, value = short < size, np.zeros(n, np.int64)
+        value[there] = outcome[(begin + short)[there]]
+        out[name] = whole(value, there)
+    return out
 
 
 def pit_uniform(*parts: Column) -> Column:
@@ -172,23 +233,29 @@ def pit_uniform(*parts: Column) -> Column:
 
 def scored(rows: DataFrame, game: str) -> DataFrame:
     """rows of `distributions` with moments, randomised PIT, quantiles and scores: log loss and Brier of props read as 0 or 1, CRPS of others."""
-    pmf, actual = F.col("pmf"), F.col("observed")
-    rows = rows.withColumn("model_mean", total(pmf, lambda x: x["p"] * x["outcome"]))
-    below, at = total(pmf, lambda x: F.when(x["outcome"] < actual, x["p"]).otherwise(0.0)), total(pmf, lambda x: F.when(x["outcome"] == actual, x["p"]).otherwise(0.0))
-    rows = rows.withColumns({
-        "model_variance": total(pmf, lambda x: x["p"] * F.pow(x["outcome"] - F.col("model_mean"), F.lit(2.0))), "p_zero": total(pmf, lambda x: F.when(x["outcome"] == 0, x["p"]).otherwise(0.0)),
-        "_below": below, "_at": at, "_hit": total(pmf, lambda x: F.when(x["outcome"] >= 1, x["p"]).otherwise(0.0)), "support_min": F.get(pmf, F.lit(0))["outcome"], "support_max": F.get(pmf, F.size(pmf) - 1)["outcome"],
-        "_steps": F.aggregate(pmf, F.struct(F.lit(0.0).alias("c"), F.array().cast("array<struct<outcome:bigint,c:double>>").alias("a")), lambda s, x: F.struct((s["c"] + x["p"]).alias("c"), F.concat(s["a"], F.array(F.struct(x["outcome"].alias("outcome"), (s["c"] + x["p"]).alias("c")))).alias("a")), lambda s: s["a"]),
-    })
-    binary, y, p = F.col("prop").isin(*BINARY_PROPS), F.when(actual >= 1, 1.0).otherwise(0.0), F.col("_hit")
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pmf, observed = (batch.column(batch.schema.get_field_index(c)) for c in ("pmf", "observed"))
+            of = pmf.flatten()
+            numbers = [of.field(c).to_numpy(zero_copy_only=False) for c in ("outcome", "p")]
+            own = _figures(pmf.value_lengths().fill_null(0).to_numpy().astype(np.int64), *numbers, observed)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *own.values()], names=[*batch.schema.names, *own])
+
+    kinds = ", ".join(f"`{c}` {kind}" for c, kind in [*rows.dtypes, *FIGURES.items()])
+    return _derived(rows.mapInArrow(each, kinds), game)
+
+
+def _derived(rows: DataFrame, game: str) -> DataFrame:
+    """rows with what FIGURES decide; helpers among these go."""
+    binary, y, p = F.col("prop").isin(*BINARY_PROPS), F.when(F.col("observed") >= 1, 1.0).otherwise(0.0), F.col("_hit")
     q = clipped(p, CLIP)
     pit = F.col("_below") + pit_uniform(F.col(game), F.col("player"), F.col("prop")) * F.col("_at")
     rows = rows.withColumns({
         "p_le_actual": F.col("_below") + F.col("_at"), "p_ge_actual": F.lit(1.0) - F.col("_below"), "pit": F.least(F.greatest(pit, F.lit(0.0)), F.lit(1.0)),
-        **{name: _first_at("_steps", level) for name, level in QUANTILES.items()},
-        "outcome": F.when(binary, y), "p_final": F.when(binary, p), "log_loss": F.when(binary, -(y * F.log(q) + (F.lit(1.0) - y) * F.log(F.lit(1.0) - q))), "brier": F.when(binary, (q - y) * (q - y)), "crps": F.when(~binary, crps_of(pmf, actual)),
+        "outcome": F.when(binary, y), "p_final": F.when(binary, p), "log_loss": F.when(binary, -(y * F.log(q) + (F.lit(1.0) - y) * F.log(F.lit(1.0) - q))), "brier": F.when(binary, (q - y) * (q - y)), "crps": F.when(~binary, F.col("_crps")),
     })
-    return rows.drop("_below", "_at", "_hit", "_steps")
+    return rows.drop("_below", "_at", "_hit", "_crps")
 
 
 #: Levels of the intervals that interval scores are taken of, by the quantiles at their ends.
