@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import prequential as Q, shards as S
+from tidemark.operators import distributions as D, gates as G, prequential as Q, shards as S
 
 
 def _lines(spark, n: int):
@@ -103,3 +103,35 @@ def test_a_label_that_is_there_twice_is_an_error(spark):
     with pytest.raises(Exception, match="there twice"):
         _shards(spark, [(1, "x", "yards", 2.0)] * 2).collect()
     assert len(_shards(spark, [(1, "x", "yards", 2.0), (1, "x", "yards", 3.0)]).first().labels) == 2
+
+
+def test_tables_joined_one_to_one_are_shuffled_once(spark):
+    left, right = spark.range(50).select(F.col("id").alias("k"), (F.col("id") * 2).alias("a")), spark.range(50).select(F.col("id").alias("k"), (F.col("id") * 3).alias("b"))
+    out = G.joined_one_to_one(left, right, ["k"], at_once=False)
+    assert out.columns == ["k", "a", "b"]
+    assert sorted(map(tuple, out.collect())) == [(i, 2 * i, 3 * i) for i in range(50)]
+    assert out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning") == 2
+    null = spark.createDataFrame([(None, 1)], "k long, b long")
+    for l, r in ((left, right.where("k > 0")), (left.where("k > 0"), right), (left.union(left.limit(1)), right), (left, right.union(right.limit(1))), (left.union(null), right), (left.union(null), right.union(null))):
+        with pytest.raises(Exception, match="exactly once"):
+            G.joined_one_to_one(l, r, ["k"], at_once=False).count()
+
+
+def test_wide_rows_meet_time_and_position_in_one_join(spark):
+    settled = spark.range(20).select(F.col("id").cast("string").alias("prediction_id"), (F.col("id") % 4).alias("game_id"), (F.col("id") % 5).alias("player_id"), F.lit("x" * 50).alias("wide"))
+    known = settled.select("game_id", "player_id", F.lit(9).alias("outcome_available_at"))
+    where = spark.range(5).select(F.col("id").alias("player_id"), F.lit("QB").alias("position_group"))
+    out = G.scoreable(settled, known, where, "game_id", "player_id")
+    assert out.count() == 20 and out.columns == ["game_id", "player_id", "prediction_id", "wide", "outcome_available_at", "position_group"]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftOuter") == 2 and plan.rindex("LeftOuter") > plan.rindex("AS wide")
+
+
+@pytest.mark.parametrize("ranges", [1, 3, 10, 64])
+def test_ranges_are_found_as_by_a_search_of_all_ends(spark, ranges):
+    rows = spark.range(400).select(F.when(F.col("id") % 50 > 0, F.col("id") * 7919 % 401 / 4).alias("x"))
+    got = D.with_range(rows, "x", "part", ranges).collect()
+    ends = rows.agg(F.array_distinct(F.approx_percentile("x", [i / ranges for i in range(1, ranges)], 10 * ranges))).first()[0] if ranges > 1 else []
+    assert all(r.part == (0 if r.x is None else sum(r.x > e for e in ends)) for r in got) and max(r.part for r in got) == len(ends)
+    plan = D.with_range(rows, "x")._jdf.queryExecution().analyzed().toString()
+    assert "slice(" in plan  # not every end is compared with every row

@@ -50,11 +50,23 @@ def directed(rows: DataFrame, key: list[str], targets: str, attempts: str, weigh
     return rows.groupBy(*key).agg(F.count_if(valid).alias("n_valid"), total(targets), total(attempts))
 
 
-def joined_one_to_one(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
-    """The join of two tables that hold the same keys, each once; anything else is an error."""
+UNPAIRED = "keys that are not in both tables exactly once"
+
+
+def joined_one_to_one(left: DataFrame, right: DataFrame, key: list[str], at_once: bool = True) -> DataFrame:
+    """The join of two tables that hold the same keys, each once; anything else is an error.
+
+    at_once: keys are looked at before the join is given back, which reads both tables twice. Otherwise the error comes
+    when the joined rows are read: counts of keys use the shuffle and the order that the join needs anyhow.
+    """
+    if not at_once:
+        same = Window.partitionBy(*key)
+        both = left.withColumn("_l", F.count("*").over(same)).join(right.withColumn("_r", F.count("*").over(same)), key, "full")
+        paired = F.col("_l").eqNullSafe(1) & F.col("_r").eqNullSafe(1)
+        return both.where(F.when(paired, True).otherwise(F.raise_error(F.lit(UNPAIRED)).cast("boolean"))).drop("_l", "_r")
     names = [F.col(k) for k in key]
     both = left.groupBy(*names).agg(F.count("*").alias("_l")).join(right.groupBy(*names).agg(F.count("*").alias("_r")), key, "full")
-    require_empty(both.where("_l IS DISTINCT FROM 1 OR _r IS DISTINCT FROM 1"), "keys that are not in both tables exactly once")
+    require_empty(both.where("_l IS DISTINCT FROM 1 OR _r IS DISTINCT FROM 1"), UNPAIRED)
     return left.join(right, key)
 
 
@@ -180,7 +192,9 @@ def with_provenance(rows: DataFrame, sources: DataFrame, key: list[str]) -> Data
 
 def scoreable(settled: DataFrame, availability: DataFrame, positions: DataFrame, game: str, player: str) -> DataFrame:
     """settled with outcome_available_at (of game and player) and position_group (of the player); a row that lacks one is an error."""
-    rows = settled.join(availability.select(game, player, "outcome_available_at"), [game, player], "left").join(positions.select(player, "position_group"), player, "left")
+    # the two narrow tables meet first, so that wide rows are shuffled once
+    facts = availability.select(game, player, "outcome_available_at").join(positions.select(player, "position_group"), player, "left")
+    rows = settled.join(facts, [game, player], "left")
     missing = F.when(F.col("outcome_available_at").isNull(), "outcome_available_at").when(F.col("position_group").isNull(), "position_group")
     told = F.when(missing.isNotNull(), F.raise_error(F.concat(F.lit("a settled prediction lacks "), missing)))
     return rows.withColumn("position_group", F.coalesce(told, F.col("position_group")))
@@ -196,8 +210,8 @@ BACKTEST = {
 
 
 def backtest_rows(scoreable_: DataFrame, calibrated: DataFrame) -> DataFrame:
-    """The 28 columns of a backtest. calibrated: prediction_id and p_calibrated, once for each prediction; anything else is an error."""
-    joined = joined_one_to_one(scoreable_, calibrated.select("prediction_id", "p_calibrated"), ["prediction_id"])
+    """The 28 columns of a backtest. calibrated: prediction_id and p_calibrated, once for each prediction; anything else is an error, once rows are read."""
+    joined = joined_one_to_one(scoreable_, calibrated.select("prediction_id", "p_calibrated"), ["prediction_id"], at_once=False)
     empty = {"closing_line": "double", "closing_odds": "int", "quoted_at_close": "boolean"}
     checked = F.when(F.col("p_calibrated").isNull(), F.raise_error(F.lit("a prediction without a calibrated probability"))).otherwise(F.col("p_calibrated"))
     return joined.withColumn("p_calibrated", checked).select(*[F.lit(None).cast(empty[c]).alias(c) if old is None else F.col(old).alias(c) for c, old in BACKTEST.items()])
