@@ -195,6 +195,7 @@ def scoreable(settled: DataFrame, availability: DataFrame, positions: DataFrame,
     # the two narrow tables meet first, so that wide rows are shuffled once
     facts = availability.select(game, player, "outcome_available_at").join(positions.select(player, "position_group"), player, "left")
     rows = settled.join(facts, [game, player], "left")
+    rows = rows.select(player, game, *[c for c in rows.columns if c not in (game, player)])
     missing = F.when(F.col("outcome_available_at").isNull(), "outcome_available_at").when(F.col("position_group").isNull(), "position_group")
     told = F.when(missing.isNotNull(), F.raise_error(F.concat(F.lit("a settled prediction lacks "), missing)))
     return rows.withColumn("position_group", F.coalesce(told, F.col("position_group")))
