@@ -38,8 +38,9 @@ def fair(over: Column, under: Column) -> Column:
 
 
 def expected_value(win: Column, push: Column, price: Column) -> Column:
-    """Expected profit of a unit stake at American odds."""
-    return win * (decimal(price) - 1.0) - (1.0 - win - push)
+    """Expected profit of a unit stake at American odds; null for 0. The gain is no difference of decimal odds, which would lose its last bits."""
+    a = price.cast("double")
+    return F.when(a < 0, win * 100.0 / -a).when(a > 0, win * a / 100.0) - (1.0 - win - push)
 
 
 def non_push(win: Column, push: Column) -> Column:

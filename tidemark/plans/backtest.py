@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scoring
 from tidemark.operators import boards as B, inputs as I, protocol as P, report as E, resolution as N, state as T, timing as K
-from tidemark.plans.common import Registry, rounded, table, tied
+from tidemark.plans.common import Registry, rounded, scaled, table
 from tidemark.plans.tables import _scratch
 from tidemark.sources import receipts as C, tables as S
 
@@ -98,7 +98,7 @@ def tiered_board(spark, sf_dir):
     drawn = lines.where("l_suppkey % 7 > 0").select("l_suppkey")
     quotes = _tier_quotes(spark, sf_dir).where(F.col("l_shipdate") <= cutoff)
     out = B.board(quotes, pmf(draws, ["l_suppkey", "prop"]), ["l_suppkey", "prop"], cutoff, "l_shipdate", 2, drawn)
-    return out.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "prop", "side", "tier", tied("p_win").alias("p_win"), tied("ev").alias("ev"), "quote_age_seconds")
+    return out.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "prop", "side", "tier", scaled("p_win").alias("p_win"), scaled("ev").alias("ev"), "quote_age_seconds")
 
 
 AS_OF, TARGET = "1995-07-01", 199506
