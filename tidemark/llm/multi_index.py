@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.llm.common import stage
@@ -22,6 +23,10 @@ from tidemark.llm.common import stage
 FIT_ROWS, ROUNDS, CENTROIDS = 20_000, 10, 1024
 #: Share of all entries that a query looks at, whatever their number.
 SHARE = 0.55
+#: Centroids of a half that the walk takes at once.
+RUN = 16
+#: Bits of a hash by which entries are counted before the codebooks' vectors are taken.
+BITS = 12
 #: Entries of a block, queries that meet it at once, and queries whose nearest a task holds before it hands them on.
 BLOCK, TOGETHER, HELD = 1024, 128, 50_000
 
@@ -67,39 +72,41 @@ class Cells:
             full += count
             if count > block:
                 at, full = at + int(self.split[i]), 0
+        #: place of each cell by its two centroids; -1: it holds nothing
+        self.at = np.full((int(self.id[-1]) // n + 1 if len(ids) else 0, n), -1, np.int32)
+        self.at.ravel()[self.id] = np.arange(len(ids))
 
-    def of_left(self, i: int) -> tuple[int, int]:
-        """Where the cells of a left centroid begin and end."""
-        return tuple(np.searchsorted(self.id, (i * self.n, (i + 1) * self.n)).tolist())
 
-
-def cells_in_order(left: np.ndarray, right: np.ndarray, cells: Cells, enough: int) -> list[int]:
+def cells_in_order(left: np.ndarray, right: np.ndarray, cells: Cells, enough: int) -> np.ndarray:
     """Cells (by their place) in the order of the sum of their halves' distances, until they hold enough entries.
 
-    The heap has the nearest cell not yet taken of each left centroid that is near enough to have the next one; a left
-    centroid's cells are sorted when its turn comes.
+    Centroids of each half go in runs of neighbours by distance. The heap has, of each run of left centroids that is near
+    enough, the nearest run of right ones not yet taken with it; what two runs hold together is taken at once and sorted in the end.
     """
-    lefts, least = np.argsort(left, kind="stable").tolist(), float(right.min())
-    heap, out, have, opened = [], [], 0, 0
-    while have < enough:
-        while opened < len(lefts) and (not heap or left[lefts[opened]] + least <= heap[0][0]):
-            i = lefts[opened]
-            opened += 1
-            begin, end = cells.of_left(i)
-            if begin < end:
-                far = right[cells.id[begin:end] - i * cells.n] + left[i]
-                order = np.argsort(far, kind="stable")
-                heapq.heappush(heap, (float(far[order[0]]), i, 0, far[order].tolist(), (begin + order).tolist()))
-        if not heap:
-            break
-        _, i, j, far, places = heap[0]
-        out.append(places[j])
-        have += int(cells.size[places[j]])
-        if j + 1 < len(far):
-            heapq.heapreplace(heap, (far[j + 1], i, j + 1, far, places))
-        else:
-            heapq.heappop(heap)
-    return out
+    lefts, rights = np.argsort(left, kind="stable"), np.argsort(right, kind="stable")
+    lefts = lefts[lefts < len(cells.at)]
+    least = lambda a, b: (float(left[lefts[a]] + right[rights[b]]), a, b)
+    heap, taken, have, far = [least(0, 0)] if len(lefts) and enough > 0 else [], [np.zeros(0, np.int32)], 0, np.inf
+
+    def nearest() -> tuple[np.ndarray, np.ndarray]:
+        places = np.concatenate(taken)
+        sums = left[cells.id[places] // cells.n] + right[cells.id[places] % cells.n]
+        order = np.lexsort((places, sums))
+        order = order[: int(np.searchsorted(np.cumsum(cells.size[places[order]]), enough)) + 1]
+        return places[order], sums[order]
+
+    while heap and heap[0][0] <= far:
+        _, a, b = heapq.heappop(heap)
+        if not b and a + RUN < len(lefts):
+            heapq.heappush(heap, least(a + RUN, 0))
+        if b + RUN < len(rights):
+            heapq.heappush(heap, least(a, b + RUN))
+        places = cells.at[lefts[a : a + RUN, None], rights[b : b + RUN]]
+        taken.append(places[places >= 0])
+        have += int(cells.size[taken[-1]].sum())
+        if have >= enough and far == np.inf:  # from here on only what may be nearer than these
+            far = float(nearest()[1][-1])
+    return nearest()[0]
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -125,6 +132,10 @@ class _Best:
         self.ids += [tuple(i) for i in ids]
         s = np.concatenate([self.score[at], score], axis=1)
         f, e = (np.concatenate([own[at], np.broadcast_to(new, score.shape)], axis=1) for own, new in ((self.first, first), (self.entry, entry)))
+        # all that may be among the best, ties included, come first
+        behind = s < -np.partition(-s, self.most - 1, axis=1)[:, self.most - 1 : self.most]
+        near = np.argsort(behind, axis=1, kind="stable")[:, : int((~behind).sum(1).max())]
+        s, f, e = (np.take_along_axis(x, near, 1) for x in (s, f, e))
         order = np.lexsort((f, -s), axis=1)[:, : self.most]
         self.score[at], self.first[at], self.entry[at] = (np.take_along_axis(x, order, 1) for x in (s, f, e))
 
@@ -135,6 +146,23 @@ class _Best:
         return pd.DataFrame(out, columns=["rep", "vec_id", "score"])
 
 
+def _least(entries: DataFrame, most: int) -> np.ndarray:
+    """The vectors of least hash, `most` at the most. Hashes are counted first, so that tasks hand on few more than are wanted, however many tasks there are."""
+    key = F.xxhash64("vec")
+    bins = F.shiftright(key, 64 - BITS).cast("int")
+    counts = entries.groupBy(bins.alias("bin")).count().toArrow()
+    names, sizes = counts["bin"].to_numpy(), counts["count"].to_numpy()
+    order = np.argsort(names)
+    last = min(int(np.searchsorted(np.cumsum(sizes[order]), most)), len(names) - 1)
+    wanted = entries.where(bins <= int(names[order][last]))
+    return _flat(wanted.orderBy(key, "vec").limit(most).select("vec").toArrow()["vec"])
+
+
+def _flat(column: pa.ChunkedArray) -> np.ndarray:
+    flat = column.combine_chunks()
+    return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1)
+
+
 def _search(vectors: DataFrame, size: int, every: int, k: int, share: float) -> DataFrame:
     vectors = stage(vectors.where(F.size("vec") == size).distinct(), "vectors")
     by_id = Window.partitionBy("vec").orderBy("vec_id")
@@ -144,7 +172,7 @@ def _search(vectors: DataFrame, size: int, every: int, k: int, share: float) ->
     reps = stage(asked.groupBy("vec").agg(F.min("vec_id").alias("rep")), "reps")
 
     total = entries.count()
-    sample = _unit(_matrix(entries.orderBy(F.xxhash64("vec"), "vec").limit(FIT_ROWS).toPandas()["vec"]))
+    sample = _unit(_least(entries, FIT_ROWS))
     half = size // 2
     n = int(np.clip(2 ** round(np.log2(max(np.sqrt(total) / 2, 1))), 32, CENTROIDS))
     books = codebook(sample[:, :half], n, ROUNDS), codebook(sample[:, half:], n, ROUNDS)
@@ -160,7 +188,7 @@ def _search(vectors: DataFrame, size: int, every: int, k: int, share: float) ->
                 yield frame.assign(cell=left.argmin(1) * len(books[1]) + right.argmin(1))
 
     placed = stage(entries.mapInPandas(assign, "vec array<double>, ids array<long>, cell int"), "cells")
-    counted = placed.groupBy("cell").agg(F.count("*").alias("size")).toPandas()  # CENTROIDS squared rows at most, 20 bytes each
+    counted = placed.groupBy("cell").agg(F.count("*").alias("size")).toArrow()  # CENTROIDS squared rows at most, 12 bytes each
     cells = Cells(counted["cell"].to_numpy(), counted["size"].to_numpy(), len(books[1]), BLOCK)
 
     @F.pandas_udf("first int, split int")
@@ -174,47 +202,47 @@ def _search(vectors: DataFrame, size: int, every: int, k: int, share: float) ->
     packed = packed.select("block", F.flatten("rows.vec").alias("vecs"), F.col("rows.ids").alias("ids"), F.col("rows.cell").alias("cells"))
     enough = int(np.ceil(share * total))
 
+    first = np.flatnonzero(np.diff(cells.block, prepend=-1)).tolist()  # the cells of a block are neighbours
+
     def route(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for i in range(0, len(frame), TOGETHER):
                 part = frame.iloc[i : i + TOGETHER]
                 reps, flat = part["rep"].to_numpy(), _matrix(part["vec"])
-                chosen = [np.array(cells_in_order(left, right, cells, enough), np.int64) for left, right in zip(*distances(part["vec"]), strict=True)]
-                row, place = np.repeat(np.arange(len(part)), [len(c) for c in chosen]), np.concatenate(chosen)
-                # a cell of several blocks is chosen in each of them
-                times = cells.split[place]
-                within = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                row, place = np.repeat(row, times), np.repeat(place, times)
-                block = cells.block[place] + within
-                order = np.lexsort((row, block))
-                row, place, block = row[order], place[order], block[order]
-                ends = np.append(np.flatnonzero(np.diff(block, prepend=-1)), len(block)).tolist()
+                opened = np.zeros((len(part), len(cells.id)), bool)
+                for row, (left, right) in zip(opened, zip(*distances(part["vec"]), strict=True), strict=True):
+                    row[cells_in_order(left, right, cells, enough)] = True
                 out = []
-                for low, high in zip(ends, ends[1:], strict=False):
-                    rows, at = np.unique(row[low:high], return_inverse=True)
-                    out.append((int(block[low]), reps[rows], flat[rows].ravel(), at.astype(np.int32), cells.id[place[low:high]].astype(np.int32)))
-                yield pd.DataFrame(out, columns=["block", "reps", "queries", "row", "cell"])
+                for low, high in zip(first, first[1:] + [len(cells.id)], strict=True):
+                    rows = np.flatnonzero(opened[:, low:high].any(1))
+                    if len(rows):
+                        # one bit for each query and cell; a cell of several blocks is chosen in each of them
+                        bits = np.packbits(opened[rows, low:high]).tobytes()
+                        out += [(int(cells.block[low]) + b, reps[rows], flat[rows].ravel(), bits) for b in range(int(cells.split[low]))]
+                    if len(out) >= TOGETHER or high == len(cells.id):
+                        yield pd.DataFrame(out, columns=["block", "reps", "queries", "open"])
+                        out = []
 
     tasks = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, so that few bytes of queries still make many tasks
     near_first = reps.mapInPandas(assign, "vec array<double>, rep long, cell int").repartitionByRange(tasks, "cell").sortWithinPartitions("cell")
-    routed = near_first.mapInPandas(route, "block int, reps array<long>, queries array<double>, row array<int>, cell array<int>")
+    routed = near_first.mapInPandas(route, "block int, reps array<long>, queries array<double>, open binary")
 
     def rerank(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best = _Best(k + 1)
         for frame in frames:
-            for reps, flat, row, cell, vecs, ids, cells in zip(*(frame[c] for c in ("reps", "queries", "row", "cell", "vecs", "ids", "cells")), strict=True):
+            for reps, flat, bits, vecs, ids, held in zip(*(frame[c] for c in ("reps", "queries", "open", "vecs", "ids", "cells")), strict=True):
                 q, x = np.asarray(flat).reshape(-1, size), np.asarray(vecs).reshape(-1, size)
                 score = q @ x.T / (np.sqrt((q * q).sum(1))[:, None] * np.sqrt((x * x).sum(1)))
-                names, at = np.unique(cells, return_inverse=True)
-                open_ = np.zeros((len(q), len(names)), bool)
-                open_[row, np.searchsorted(names, cell)] = True
+                names, at = np.unique(held, return_inverse=True)
+                open_ = np.unpackbits(np.frombuffer(bits, np.uint8), count=len(q) * len(names)).reshape(len(q), -1).astype(bool)
                 best.add(np.asarray(reps), np.where(open_[:, at], score, -np.inf), ids)
                 if len(best.index) > HELD or len(best.ids) > 20 * HELD:
                     yield best.rows()
                     best = _Best(k + 1)
         yield best.rows()
 
-    found = routed.join(packed, "block").mapInPandas(rerank, "rep long, vec_id long, score double")
+    # neither side is small, whatever Spark makes of the size of arrays: a broadcast would take all of routed to the driver
+    found = routed.join(packed.hint("merge"), "block").mapInPandas(rerank, "rep long, vec_id long, score double")
     near = Window.partitionBy("rep").orderBy(F.desc("score"), "vec_id")
     best = stage(found.withColumn("r", F.row_number().over(near)).where(F.col("r") <= k + 1).drop("r"), "nearest")
     # back to every query: those with equal vectors share what was found, each without its own row
