@@ -146,6 +146,12 @@ def z_scores(df: DataFrame, group: list[str], value: str) -> DataFrame:
     return df.withColumn("z", F.when(sd > 0, (F.col(value) - F.avg(value).over(w)) / sd).otherwise(0.0))
 
 
+def z_scores_of(df: DataFrame, group: list[str], values: list[str], prefix: str = "z") -> DataFrame:
+    """The `z_scores` of several columns, each named by the prefix and its column; they share one pass over a group."""
+    w = Window.partitionBy(*group)
+    return df.withColumns({prefix + c: F.when(F.stddev_pop(c).over(w) > 0, (F.col(c) - F.avg(c).over(w)) / F.stddev_pop(c).over(w)).otherwise(0.0) for c in values})
+
+
 def softmax_weights(df: DataFrame, group: list[str], score: Column) -> DataFrame:
     """Weights that add up to 1 in each group, in proportion to exp(score)."""
     w = Window.partitionBy(*group)

@@ -11,6 +11,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.scoring import CLIP, clipped
@@ -43,13 +44,35 @@ def compact(draws: DataFrame, outcomes: DataFrame, labels: DataFrame, game: str,
     # draws of a label are gathered before they meet it: one row a label is joined, not one a draw
     one = named.groupBy(game, "player", "prop").agg(F.sort_array(F.collect_list(F.struct(F.col(draw).alias("d"), F.col("value").cast("long").alias("v")))).alias("o"))
     one = one.select(game, "player", "prop", F.col("o.v").alias("drawn")).join(known, [game, "player", "prop"])
-    one = one.withColumn("drawn", F.when(F.col("_n") == 1, F.col("drawn")).otherwise(F.raise_error(F.lit("a label is there twice")))).withColumn("values", F.array_sort(F.array_distinct("drawn")))
-    codes = F.transform("drawn", lambda v: (F.array_position("values", v) - 1).cast("int"))
-    one = one.select(game, F.struct("player", "prop", "observed", "values", codes.alias("codes")).alias("label"))
-    packed = games.join(one.groupBy(game).agg(F.sort_array(F.collect_list("label")).alias("labels")), game)
-    complete = F.forall("labels", lambda x: (F.size(x["codes"]) == F.col("n_draws")) & F.forall(x["codes"], lambda c: c >= 0))
-    packed = packed.withColumn("labels", F.when(complete, F.col("labels")).otherwise(F.raise_error(F.lit("a label lacks values of some draws"))))
-    return packed.withColumn("content_hash", content_hash([game, "n_draws", "features", "labels"]))
+    one = one.withColumn("drawn", F.when(F.col("_n") == 1, F.col("drawn")).otherwise(F.raise_error(F.lit("a label is there twice")))).withColumn("values", F.sort_array(F.array_distinct("drawn")))
+    one = one.select(game, F.struct("player", "prop", "observed", "values", _codes("drawn", "values").alias("codes")).alias("label"))
+    return _whole(games.join(one.groupBy(game).agg(F.sort_array(F.collect_list("label")).alias("labels")), game), game)
+
+
+def _codes(drawn: str, values: str) -> Column:
+    return F.transform(drawn, lambda v: (F.array_position(values, v) - 1).cast("int"))
+
+
+def _whole(shards: DataFrame, game: str) -> DataFrame:
+    """shards with content_hash; a label without a value for every draw is an error."""
+    complete = F.forall("labels", lambda x: (F.size(x["codes"]) == F.col("n_draws")) & ~F.array_contains(x["codes"], -1))  # null if a code is
+    shards = shards.withColumn("labels", F.when(complete, F.col("labels")).otherwise(F.raise_error(F.lit("a label lacks values of some draws"))))
+    return shards.withColumn("content_hash", content_hash([game, "n_draws", "features", "labels"]))
+
+
+def compact_wide(draws: DataFrame, game: str, draw: str, features: list[str], player: Column, outcomes: dict[str, str], observed: Column) -> DataFrame:
+    """What `compact` makes, of draws that hold their outcomes as columns: a game's draws are gathered once, and nothing is joined.
+
+    outcomes: the column of each prop; observed: an aggregate that has what happened, a struct of the same columns; player: that
+    of all props of a game, an expression over `game`. Rows without a game are left out.
+    """
+    of = F.struct(F.col(draw), F.array(*[F.col(f).cast("double") for f in features]).alias("f"), *[F.col(c).cast("long").alias(f"v{i}") for i, c in enumerate(outcomes.values())])
+    games = draws.where(F.col(game).isNotNull()).groupBy(game).agg(F.sort_array(F.collect_list(of)).alias("d"), observed.alias("y"))
+    seen = {f"y{i}": F.col("y")[c].cast("double") for i, c in enumerate(outcomes.values())}
+    games = games.select(game, F.size("d").alias("n_draws"), F.col("d.f").alias("features"), *[F.col(f"d.v{i}").alias(f"v{i}") for i in range(len(outcomes))], *[y.alias(k) for k, y in seen.items()])
+    games = games.withColumns({f"s{i}": F.sort_array(F.array_distinct(f"v{i}")) for i in range(len(outcomes))})
+    labels = [F.struct(player.cast("string").alias("player"), F.lit(p).alias("prop"), F.col(f"y{i}").alias("observed"), F.col(f"s{i}").alias("values"), _codes(f"v{i}", f"s{i}").alias("codes")) for i, p in enumerate(outcomes)]
+    return _whole(games.select(game, "n_draws", "features", F.sort_array(F.array(*labels)).alias("labels")), game)
 
 
 def checked(shards: DataFrame, game: str) -> DataFrame:
@@ -66,27 +89,51 @@ class Block:
     """Some shards of a batch as flat arrays: a row of x for each draw, an entry of `code` for each label and draw, one of `values` for each label and value."""
 
     def __init__(self, batch: pa.RecordBatch):
-        features, n, labels = (batch.column(batch.schema.get_field_index(c)) for c in ("flat", "n_draws", "labels"))
-        of = labels.flatten()
-        numbers = lambda a: a.to_numpy(zero_copy_only=False)
-        self.player, self.prop, self.actual = of.field("player"), of.field("prop"), of.field("observed")
-        self.observed = numbers(self.actual)
-        draws, size = numbers(n).astype(np.int64), numbers(of.field("values").value_lengths()).astype(np.int64)
-        self.game = np.repeat(np.arange(len(n)), numbers(labels.value_lengths()))
-        flat = numbers(features.flatten()).astype(float)
+        draws, labels, flat, self.observed, size, self.values, codes = self._parts(batch)
+        self.game = np.repeat(np.arange(len(draws)), labels)
         self.x = flat.reshape(int(draws.sum()), -1) if len(flat) else np.zeros((int(draws.sum()), 0))
-        self.first = np.cumsum(draws) - draws
-        self.of = np.repeat(np.arange(len(draws)), draws)
+        self.draws, self.first = draws, np.cumsum(draws) - draws
         #: where the values of each label begin and end, and which label each value is of
         self.end = np.cumsum(size)
         self.start = self.end - size
-        self.values = numbers(of.field("values").flatten())
         self.label = np.repeat(np.arange(len(size)), size)
         # each label's draws are those of its game
-        many = draws[self.game]
-        within = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
-        self.draw = np.repeat(self.first[self.game], many) + within
-        self.code = numbers(of.field("codes").flatten()).astype(np.int64) + np.repeat(self.start, many)
+        self.many = draws[self.game]
+        self.draw = np.repeat(self.first[self.game] - np.cumsum(self.many) + self.many, self.many)
+        self.draw += np.arange(len(self.draw))
+        self.code = np.repeat(self.start, self.many)
+        self.code += codes
+
+    def _parts(self, batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        """Draws and labels of each game, all features, what happened and the number of values of each label, all values and all codes."""
+        features, n, labels = (batch.column(batch.schema.get_field_index(c)) for c in ("flat", "n_draws", "labels"))
+        of = labels.flatten()
+        numbers = lambda a: a.to_numpy(zero_copy_only=False)
+        self.player, self.prop, self.actual = of.field("player"), of.field("prop"), of.field("observed")
+        size = numbers(of.field("values").value_lengths()).astype(np.int64)
+        return numbers(n).astype(np.int64), numbers(labels.value_lengths()), numbers(features.flatten()).astype(float), numbers(self.actual), size, numbers(of.field("values").flatten()), numbers(of.field("codes").flatten())
+
+    @cached_property
+    def of(self) -> np.ndarray:
+        """The game of each draw."""
+        return np.repeat(np.arange(len(self.draws)), self.draws)
+
+    @cached_property
+    def props(self) -> tuple[list[str], np.ndarray]:
+        """Names of the props, and which of them each label has."""
+        known = pc.fill_null(self.prop, "None").dictionary_encode()
+        return known.dictionary.to_pylist(), known.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+
+    @cached_property
+    def fixed(self) -> tuple[np.ndarray, ...]:
+        """What no weight changes: whether a label's prop is binary, whether a value is a hit, how far what happened lies outside all values, and how much of the gap after a value is below and above it."""
+        names, prop = self.props
+        binary, values, y = np.isin(names, BINARY_PROPS)[prop], self.values.astype(float), self.observed
+        # the last value of a label has no gap after it
+        gap = np.append(np.diff(values), 0.0)
+        gap[self.end - 1] = 0.0
+        below = np.clip(y[self.label], values, values + gap) - values
+        return binary, values >= 1, np.maximum(values[self.start] - y, 0.0) + np.maximum(y - values[self.end - 1], 0.0), below, gap - below
 
     @cached_property
     def x_of_draw(self) -> np.ndarray:
@@ -104,15 +151,67 @@ class Block:
         return np.bincount(self.code, w[self.draw], len(self.values))
 
 
-def blocks(batch: pa.RecordBatch) -> Iterator[tuple[int, Block]]:
-    """The shards of a batch in blocks of about SLICE_DRAWS draws, each with the row it begins at. A shard without draws is an error."""
+class PackedBlock(Block):
+    """A block of shards as `packed` makes them: the same arrays, read from bytes as they are."""
+
+    def _parts(self, batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        of = lambda c: batch.column(batch.schema.get_field_index(c))
+        self.prop = of("props").flatten()
+        n, labels = (a.to_numpy(zero_copy_only=False).astype(np.int64) for a in (of("n_draws"), of("props").value_lengths()))
+        return n, labels, *(_numbers(of(c), kind) for c, kind in PACKED.items())
+
+
+#: Binary columns of a packed shard, and the type of their numbers.
+PACKED = {"x": np.float64, "observed": np.float64, "sizes": np.int64, "values": np.int64, "codes": np.int32}
+
+
+def _numbers(column: pa.Array, kind: type) -> np.ndarray:
+    """The numbers of all rows of a binary column."""
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    return np.frombuffer(data, np.uint8)[at[0] : at[-1]].view(kind) if at[-1] > at[0] else np.zeros(0, kind)
+
+
+def _bytes(values: np.ndarray, counts: np.ndarray, kind: type) -> pa.Array:
+    """A binary column whose rows have so many of the values each."""
+    values = np.ascontiguousarray(values, kind)
+    ends = np.append(0, np.cumsum(counts)) * values.itemsize
+    whole = pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(values)])
+    return whole.cast(pa.binary())
+
+
+def packed(shards: DataFrame, *keep: str) -> DataFrame:
+    """The columns `keep`, n_draws, props and the arrays of a shard as bytes, for work that reads shards again and again."""
+    kinds = dict(shards.dtypes)
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "n_draws int, props array<string>", *(f"{c} binary" for c in PACKED)])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, block in blocks(batch):
+                own = batch.slice(i, len(block.draws))
+                labels = np.bincount(block.game, minlength=len(own))
+                sums = lambda a: np.bincount(block.game, a, len(own)).astype(np.int64)
+                size = block.end - block.start
+                arrays = [own.column(own.schema.get_field_index(c)) for c in keep]
+                arrays += [pa.array(block.draws, pa.int32()), pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(labels)), pa.int32()), block.prop)]
+                data = (block.x.ravel(), block.observed, size, block.values, block.code - np.repeat(block.start, block.many))
+                counts = (block.draws * block.x.shape[1], labels, labels, sums(size), sums(block.many))
+                arrays += [_bytes(v, n, kind) for v, n, kind in zip(data, counts, PACKED.values(), strict=True)]
+                yield pa.RecordBatch.from_arrays(arrays, names=[*keep, "n_draws", "props", *PACKED])
+
+    return flat(shards, *keep).mapInArrow(each, schema)
+
+
+def blocks(batch: pa.RecordBatch, kind: type[Block] = Block, most: int | None = None) -> Iterator[tuple[int, Block]]:
+    """The shards of a batch in blocks of about `most` draws (SLICE_DRAWS by default), each with the row it begins at. A shard without draws is an error."""
     n = np.asarray(batch.column(batch.schema.get_field_index("n_draws")))
     if len(n) and n.min() < 1:
         raise ValueError("a shard without draws")
     ends, i = np.cumsum(n), 0
     while i < len(n):
-        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + SLICE_DRAWS, "right")))
-        yield i, Block(batch.slice(i, j - i))
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + (most or SLICE_DRAWS), "right")))
+        yield i, kind(batch.slice(i, j - i))
         i = j
     pa.default_memory_pool().release_unused()
 
